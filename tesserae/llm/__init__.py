@@ -7,8 +7,10 @@ from importlib import import_module
 #: Query name to module; modules are loaded on use so that each stands alone.
 MODULES = {
     "op1_exact_dedup": "exact_dedup",
+    "op2_token_counts": "token_counts",
     "op5_substring_dedup": "substring_dedup",
     "op6_decontamination": "decontamination",
+    "op7_sentencepiece": "sentencepiece_codec",
     "op8_near_dedup": "near_dedup",
 }
 
