@@ -135,7 +135,7 @@ def _confirmed(least: int):
 def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, least: int) -> DataFrame:
     """The pairs (a, b) of row numbers whose full shingle sets are similar enough."""
     nodes = pairs.select(F.col("a").alias("row_no")).unionByName(pairs.select(F.col("b").alias("row_no"))).distinct()
-    texts = numbered(docs).select("row_no", "text").join(nodes, "row_no", "left_semi")
+    texts = numbered(docs).select("row_no", "text").join(nodes.hint("merge"), "row_no", "left_semi")
     sets = stored(texts.mapInArrow(_sets(shingle), "node long, elements binary"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
     both = both.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")

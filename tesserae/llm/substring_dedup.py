@@ -169,7 +169,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     need = lite.join(first, "row_no", "left_semi").join(lone, "row_no", "left").where("n_anchors > coalesce(size(lone), 0)")
     need = need.select("row_no", "ord", "lone")
     packed = numbered(docs).select("row_no", "text").mapInArrow(_packed, "row_no long, packed binary")
-    held = stored(packed.join(need, "row_no"), "seeded")
+    held = stored(packed.join(need.hint("merge"), "row_no"), "seeded")
 
     found = held.mapInArrow(_windows(window, gram), "w1 long, w2 long, ord long, row_no long, start int")
     earliest = found.groupBy("w1", "w2").agg(F.min(F.struct("ord", "row_no", "start")).alias("e"))
