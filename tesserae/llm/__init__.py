@@ -12,6 +12,8 @@ MODULES = {
     "op6_decontamination": "decontamination",
     "op7_sentencepiece": "sentencepiece_codec",
     "op8_near_dedup": "near_dedup",
+    "op9_pii": "pii",
+    "op10_html_extraction": "html_extraction",
 }
 
 
