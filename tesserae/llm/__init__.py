@@ -8,6 +8,8 @@ from importlib import import_module
 MODULES = {
     "op1_exact_dedup": "exact_dedup",
     "op2_token_counts": "token_counts",
+    "op3_toxicity": "toxicity",
+    "op4_quality": "quality",
     "op5_substring_dedup": "substring_dedup",
     "op6_decontamination": "decontamination",
     "op7_sentencepiece": "sentencepiece_codec",
