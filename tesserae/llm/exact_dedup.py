@@ -12,6 +12,7 @@ Large groups are dealt over salts first, and the salts' leaders compared after.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,9 @@ SALTS = 64
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 998244353)
 PRINT = ["size", "h1", "h2"]
+IDS = ["row_no", "doc_id", "n_points"]
 #: The white space that two equal texts may differ in.
-SPACE = " \t\n\x0b\x0c\r"
+SPACE = b" \t\n\x0b\x0c\r"
 
 
 def _powers(chunk: int) -> list[np.ndarray]:
@@ -56,6 +58,7 @@ def combine(left: tuple[int, int, int], right: tuple[int, int, int]) -> tuple[in
 
 def fingerprint(data: bytes, chunk: int = CHUNK) -> tuple[int, int, int]:
     weights = _powers(chunk)
+    data = _normal(data)
     total = (0, 0, 0)
     for i in range(0, len(data), chunk):
         piece = data[i : i + chunk]
@@ -63,55 +66,85 @@ def fingerprint(data: bytes, chunk: int = CHUNK) -> tuple[int, int, int]:
     return total
 
 
+def _normal(data: bytes) -> bytes:
+    return data.translate(None, SPACE)
+
+
+def _hash_texts(chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = _powers(chunk)
+        for batch in batches:
+            out = []
+            for text in batch.column("text").cast(pa.binary()):
+                data = _normal(text.as_py())
+                out.append((hashlib.sha256(data).hexdigest(), len(data), *chunk_hash(data, weights)))
+            cols = list(zip(*out, strict=True)) if out else [()] * 4
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in IDS), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*IDS, "text_sha256", *PRINT]
+            )
+
+    return run
+
+
 def _hash_chunks(chunk: int):
-    """Replaces column ``piece`` by the chunk's hashes, shifted by the bytes that follow in its text."""
+    """Of each chunk: its length without white space, its hashes, and the powers that shift what precedes it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = _powers(chunk)
         for batch in batches:
-            hashes = []
-            for piece, after in zip(batch.column("piece").to_pylist(), batch.column("after").to_pylist(), strict=True):
-                hs = chunk_hash(piece, weights)
-                hashes.append([h * pow(b, after, p) % p for h, b, p in zip(hs, BASES, PRIMES, strict=True)] if after else hs)
-            h = np.array(hashes, np.int64).reshape(-1, 2)
-            kept = batch.drop_columns(["piece", "after"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(h[:, 0]), pa.array(h[:, 1])], names=[*kept.schema.names, "h1", "h2"])
+            out = []
+            for piece in batch.column("piece"):
+                data = _normal(piece.as_py())
+                out.append((len(data), *chunk_hash(data, weights), *(pow(b, len(data), p) for b, p in zip(BASES, PRIMES, strict=True))))
+            cols = list(zip(*out, strict=True)) if out else [()] * 5
+            names = ["n", "a1", "a2", "p1", "p2"]
+            yield pa.RecordBatch.from_arrays([batch.column("row_no"), batch.column("k"), *(pa.array(c, pa.int64()) for c in cols)], names=["row_no", "k", *names])
 
     return run
 
 
-def _pieces(chunk: int):
-    return F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("size") / chunk).cast("int") - 1)),
-        lambda k: F.struct(
-            k.alias("k"),
-            F.call_function("substring", F.col("data"), k * chunk + 1, F.lit(chunk)).alias("piece"),
-            F.greatest(F.lit(0).cast("long"), F.col("size") - (k.cast("long") + 1) * chunk).alias("after"),
-        ),
-    )
+def _composed(h: str, power: str, prime: int):
+    """H(ab) = H(a) * B^|b| + H(b) over the chunks in order; products stay below 2^63."""
+    p = F.lit(prime).cast("long")
+    return F.aggregate("chunks", F.lit(0).cast("long"), lambda x, c: F.pmod(x * c[power] + c[h], p))
 
 
 def fingerprints(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row per document: row_no, doc_id, n_points, text_sha256, size, h1, h2 (a stored table)."""
-    base = (
-        numbered(docs)
-        .select("row_no", "doc_id", F.length("text").alias("n_points"), F.encode(F.translate("text", SPACE, ""), "UTF-8").alias("data"))
-        .withColumn("size", F.octet_length("data").cast("long"))
-        .withColumn("text_sha256", F.sha2("data", 256))
-    )
-    ids = ["row_no", "doc_id", "n_points", "text_sha256", "size"]
+    base = numbered(docs).select("row_no", F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("n_points"), "text")
+    raw = F.octet_length("text")
     schema = "row_no long, doc_id long, n_points int, text_sha256 string, size long, h1 long, h2 long"
-    short = base.where(F.col("size") <= chunk).select(*ids, F.col("data").alias("piece"), F.lit(0).cast("long").alias("after"))
-    short = short.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_hash_chunks(chunk), schema)
-    # Huge documents: every chunk is a row of its own, dealt to any task; the shifted hashes add up.
-    huge = base.where(F.col("size") > chunk).select(*ids, F.inline(_pieces(chunk))).repartition("row_no", "k").drop("k")
-    huge = (
-        huge.withColumn("doc_id", F.col("doc_id").cast("long"))
-        .mapInArrow(_hash_chunks(chunk), schema)
-        .groupBy(*ids)
-        .agg(*(F.pmod(F.sum(c), F.lit(p).cast("long")).alias(c) for c, p in zip(("h1", "h2"), PRIMES, strict=True)))
-    )
-    return stored(short.unionByName(huge), "fingerprints")
+    short = base.where(raw <= chunk).mapInArrow(_hash_texts(chunk), schema)
+    # Huge documents: every chunk is a row of its own, dealt to any task; their hashes compose.
+    huge = base.where(raw > chunk).withColumn("data", F.encode("text", "UTF-8"))
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.octet_length("data") / chunk).cast("int") - 1), lambda k: F.struct(k.alias("k"), F.call_function("substring", F.col("data"), k * chunk + 1, F.lit(chunk)).alias("piece")))
+    parts = huge.select("row_no", F.inline(pieces)).repartition("row_no", "k").mapInArrow(_hash_chunks(chunk), "row_no long, k int, n long, a1 long, a2 long, p1 long, p2 long")
+    parts = parts.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("k", "n", "a1", "a2", "p1", "p2"))).alias("chunks"))
+    parts = parts.select("row_no", F.aggregate("chunks", F.lit(0).cast("long"), lambda x, c: x + c["n"]).alias("size"), _composed("a1", "p1", PRIMES[0]).alias("h1"), _composed("a2", "p2", PRIMES[1]).alias("h2"))
+    whole = huge.select(*IDS, F.sha2(F.encode(F.translate("text", SPACE.decode(), ""), "UTF-8"), 256).alias("text_sha256"))
+    return stored(short.unionByName(whole.join(parts, "row_no")), "fingerprints")
+
+
+def _chunks(chunk: int):
+    """A text without white space as rows of at most ``chunk`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ks, pieces, size = [], [], [], 0
+            for i, text in enumerate(batch.column("text").cast(pa.binary())):
+                data = _normal(text.as_py())
+                for k in range(max(1, -(-len(data) // chunk))):
+                    rows.append(i)
+                    ks.append(k)
+                    pieces.append(data[k * chunk : (k + 1) * chunk])
+                    size += len(pieces[-1])
+                if size >= 8 << 20 or i + 1 == len(batch):
+                    ids = batch.select(["row_no", *PRINT]).take(pa.array(rows, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(ks, pa.int32()), pa.array(pieces, pa.binary())], names=["row_no", *PRINT, "k", "piece"])
+                    rows, ks, pieces, size = [], [], [], 0
+
+    return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +152,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, leader, piece = None, None, None
     for batch in batches:
         out = []
-        names = [*PRINT, "salt", "k"]
-        for *place, row, data in zip(*(batch.column(c).to_pylist() for c in [*names, "row_no", "piece"]), strict=True):
+        places = zip(*(batch.column(c).to_pylist() for c in [*PRINT, "salt", "k"]), strict=True)
+        for place, row, data in zip(places, batch.column("row_no").to_pylist(), batch.column("piece"), strict=True):
+            data = data.as_py()
             if place != at:
                 at, leader, piece = place, row, data
             out.append((row, leader, data != piece))
@@ -128,11 +162,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(leaders, pa.int64()), pa.array(differs, pa.bool_())], names=["row_no", "leader", "differs"])
 
 
-def _compared(texts: DataFrame, salts: int, chunk: int) -> DataFrame:
-    """row_no, leader and whether the two texts differ anywhere, for the rows of ``texts``."""
-    rows = texts.withColumn("salt", F.pmod(F.xxhash64("row_no"), F.lit(salts)).cast("int")).select("row_no", *PRINT, "salt", F.inline(_pieces(chunk))).drop("after")
-    order = [*PRINT, "salt", "k", "row_no"]
-    dealt = rows.repartition(*PRINT, "salt", "k").sortWithinPartitions(*order)
+def _compared(pieces: DataFrame, salts: int) -> DataFrame:
+    """row_no, leader and whether the two texts differ anywhere, for the texts of ``pieces``."""
+    rows = pieces.withColumn("salt", F.pmod(F.xxhash64("row_no"), F.lit(salts)).cast("int"))
+    dealt = rows.repartition(*PRINT, "salt", "k").sortWithinPartitions(*PRINT, "salt", "k", "row_no")
     out = dealt.mapInArrow(_compare, "row_no long, leader long, differs boolean")
     return out.groupBy("row_no").agg(F.min("leader").alias("leader"), F.max("differs").alias("differs"))
 
@@ -144,20 +177,22 @@ def text_classes(docs: DataFrame, prints: DataFrame, chunk: int = CHUNK, salts:
     """
     shared = prints.groupBy(*PRINT).agg(F.count("*").alias("n")).where("n > 1").select(*PRINT)
     rows = prints.join(shared, PRINT, "left_semi").select("row_no", *PRINT)
+    texts = numbered(docs).select("row_no", "text").join(rows.hint("merge"), "row_no")
+    pieces = stored(texts.mapInArrow(_chunks(chunk), "row_no long, size long, h1 long, h2 long, k int, piece binary"), "pieces")
     found, part = None, 0
     while True:
-        texts = numbered(docs).select("row_no", F.encode(F.translate("text", SPACE, ""), "UTF-8").alias("data")).join(rows, "row_no")
-        first = stored(_compared(texts, salts, chunk), "compared")
-        leaders = first.groupBy("leader").agg(F.count("*").alias("n")).select(F.col("leader").alias("row_no"))
-        second = stored(_compared(texts.join(leaders, "row_no", "left_semi"), 1, chunk), "leaders")
+        first = stored(_compared(pieces, salts), "compared")
+        leaders = first.select(F.col("leader").alias("row_no")).distinct()
+        second = stored(_compared(pieces.join(leaders, "row_no", "left_semi"), 1), "leaders")
         bad = first.where("differs").select("row_no").unionByName(
             first.join(second.where("differs").select(F.col("row_no").alias("leader")), "leader", "left_semi").select("row_no")
         ).distinct()
         if bad.isEmpty():
             return found
         part += 1
-        rows = stored(rows.join(bad, "row_no", "left_semi"), "unequal")
-        now = rows.select("row_no", F.lit(part).alias("part"))
+        bad = stored(bad, "unequal")
+        pieces = pieces.join(bad, "row_no", "left_semi")
+        now = bad.select("row_no", F.lit(part).alias("part"))
         found = now if found is None else stored(found.join(now.select("row_no"), "row_no", "left_anti").unionByName(now), "parts")
 
 
