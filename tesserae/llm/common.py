@@ -41,15 +41,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by ``stored`` that nothing needs any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def numbered(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
     """``row_no`` (unique per row), ``doc_id``, further columns, and the text with null as empty.
 
@@ -64,6 +55,17 @@ def numbered(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
     )
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Each row as one column ``row``, whatever its columns are called, and its text."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+
+
+def rows_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose number is in ``kept`` (row_no), all columns as they were."""
+    rows = whole_rows(docs).select(F.monotonically_increasing_id().alias("row_no"), "row")
+    return rows.join(kept.select("row_no").hint("merge"), "row_no", "left_semi").select("row.*")
+
+
 def key(row: str = "doc_id"):
     """Order key that puts null ids last."""
     return F.struct(F.col(row).isNull(), F.col(row))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_LOWER
+from .common import ALNUM_LOWER, whole_rows
 
 WINDOW = 10
 #: Bytes of benchmark text in a block, the most that a task gets at once.
@@ -249,7 +249,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
 
 def clean_documents(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """``docs`` without those that hold a window of the benchmark."""
-    flagged = contamination(docs.select(F.struct(*docs.columns).alias("row"), "text"), bench)
+    flagged = contamination(whole_rows(docs), bench)
     return flagged.where("not contaminated").select("row.*")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key, numbered, stored
+from .common import key, numbered, rows_kept, stored
 
 CHUNK = 1 << 16
 SALTS = 64
@@ -227,8 +227,7 @@ def exact_groups(docs: DataFrame, chunk: int = CHUNK, salts: int = SALTS) -> Dat
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were."""
-    kept = exact_groups(docs).where("kept").select(F.col("row_no").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    return rows_kept(docs, exact_groups(docs).where("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_LOWER
+from .common import ALNUM_LOWER, whole_rows
 from .labelled import SAMPLE, held_out, sample
 
 WINDOW = 32
@@ -315,7 +315,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFram
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that are predicted toxic, all columns as they were."""
     model = train(*sample(docs, labels, "toxic"))
-    rows = with_scores(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    rows = with_scores(whole_rows(docs), model)
     return rows.where(F.col("score") < REJECT).select("row.*")
 
 
