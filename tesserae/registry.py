@@ -1,11 +1,502 @@
-"""Names of all queries over the driver's tables, and the SQL that checks them."""
+"""All queries over the driver's tables by name, and the SQL that another engine checks them with."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import kernels as K
+from .functions.borders import MODES
+from .functions.shapes import circle_points, ellipse_points
+from .operators import drawing, features, geometry, histograms, labels, pointwise, regions, spatial, whole_image
+from .operators import neighbourhood as N
+from .plans import gather_sql as G
+from .plans import rasters as R
+from .plans.frames import cast_to, grid, images_of, shown
+from .streaming.frames import windowed
+
+Query = Callable[[SparkSession, str], DataFrame]
+c = F.col
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def add(name: str, run: Query, sql: str | None = None) -> None:
+    """Registers a query; names are taken once."""
+    if name in _queries:
+        raise ValueError(f"{name} is taken")
+    _queries[name] = run
+    if sql:
+        _sql[name] = sql
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def _plain(px: DataFrame) -> DataFrame:
+    return px.select("image_id", "y", "x", shown("v").alias("v"))
+
+
+def pixels(name: str, op: Callable[[DataFrame], DataFrame], sql: str | None, source=R.gray) -> None:
+    """A query of pixels (image_id, y, x, v) from an operator on the raster."""
+    add(name, lambda s, d: _plain(op(source(s, d))), G.shown(sql) if sql else None)
+
+
+CROSS, BOX3, BOX5, RING = K.default_element(1), K.box(3, 3), K.box(5, 5), K.default_element(2, hole=True)
+SHARP = [[0.0, -1.0, 0.0], [-1.0, 5.0, -2.0], [0.0, 0.5, 1.0]]
+CORNER = [[1.0, 1.0], [0.0, 1.0]]
+
+# Colour.
+
+_UNIT = f"SELECT image_id, h, w, y, x, r / 255 AS r, g / 255 AS g, b / 255 AS b FROM ({R.RGB})"
+
+
+def _unit(s: SparkSession, d: str) -> DataFrame:
+    return pointwise.scaled(R.rgb(s, d), 1 / 255)
+
+
+def _cols(names: str) -> list:
+    return ["image_id", "y", "x", *(shown(n, 9).alias(n) for n in names.split())]
+
+
+def _sel(names: str, sql: str) -> str:
+    return f"SELECT image_id, y, x, {', '.join(f'round({n}, 9) + 0.0 AS {n}' for n in names.split())} FROM ({sql})"
+
+
+_YUV = "SELECT image_id, y, x, 0.299 * r + 0.578 * g + 0.114 * b AS yy, -0.147 * r - 0.289 * g + 0.436 * b + 0.5 AS u, 0.615 * r - 0.515 * g - 0.1 * b + 0.5 AS vv FROM (" + _UNIT + ")"
+_HSV = (
+    "SELECT *, CASE WHEN dl = 0 THEN 0 ELSE hh - floor(hh) END AS hue, CASE WHEN dl = 0 THEN 0 ELSE dl / val END AS sat FROM (SELECT *, "
+    "CASE WHEN b = val THEN 4 + (r - g) / dl WHEN g = val THEN 2 + (b - r) / dl ELSE (g - b) / dl END / 6 AS hh FROM (SELECT *, greatest(r, g, b) AS val, greatest(r, g, b) - least(r, g, b) AS dl FROM (" + _UNIT + ")))"
+)
+_RGB2 = (
+    "SELECT image_id, y, x, [val, q, p, p, t, val][k] AS r, [t, val, val, q, p, p][k] AS g, [p, p, t, val, val, q][k] AS b FROM (SELECT *, val * (1 - sat) AS p, "
+    "val * (1 - (hue * 6 - floor(hue * 6)) * sat) AS q, val * (1 - (1 - hue * 6 + floor(hue * 6)) * sat) AS t, (floor(hue * 6)::INT % 6) + 1 AS k FROM (" + _HSV + "))"
+)
+pixels("color_rgb2gray", pointwise.rgb2gray, f"SELECT *, 0.2989 * r + 0.5870 * g + 0.1140 * b AS v FROM ({R.RGB})", R.rgb)
+add("color_gray2rgb", lambda s, d: pointwise.gray2rgb(R.gray(s, d)).select("image_id", "y", "x", "r", "g", "b"), f"SELECT image_id, y, x, v AS r, v AS g, v AS b FROM ({R.GRAY})")
+add("color_gray2rgba", lambda s, d: pointwise.gray2rgba(R.gray(s, d)).select("image_id", "y", "x", "r", "g", "b", "a"), f"SELECT image_id, y, x, v AS r, v AS g, v AS b, 255.0::DOUBLE AS a FROM ({R.GRAY})")
+add("color_rgb2yuv", lambda s, d: pointwise.rgb2yuv(_unit(s, d)).select(*_cols("yy u vv")), _sel("yy u vv", _YUV))
+add("color_yuv2rgb", lambda s, d: pointwise.yuv2rgb(pointwise.rgb2yuv(_unit(s, d))).select(*_cols("r g b")), _sel("r g b", f"SELECT image_id, y, x, yy + 1.14 * (vv - 0.5) AS r, yy - 0.395 * (u - 0.5) - 0.581 * (vv - 0.5) AS g, yy + 2.032 * (u - 0.5) AS b FROM ({_YUV})"))
+add("color_rgb2hsv", lambda s, d: pointwise.rgb2hsv(_unit(s, d)).select(*_cols("hue sat val")), _sel("hue sat val", _HSV))
+add("color_hsv2rgb", lambda s, d: pointwise.hsv2rgb(pointwise.rgb2hsv(_unit(s, d))).select(*_cols("r g b")), _sel("r g b", _RGB2))
+
+# Intensity.
+
+_ENDS = "SELECT *, min(v) OVER (PARTITION BY image_id) AS lo, max(v) OVER (PARTITION BY image_id) AS hi FROM ({})"
+_T = f"SELECT *, (v - lo) / (hi - lo) AS t FROM ({_ENDS.format(R.GRAY)})"
+
+
+def _curve(expr: str) -> str:
+    return f"SELECT image_id, y, x, floor(round((k - min(k) OVER w2) * ((hi - lo) / (max(k) OVER w2 - min(k) OVER w2)) + lo, 9)) AS v FROM (SELECT *, {expr} AS k FROM ({_T})) WINDOW w2 AS (PARTITION BY image_id)"
+
+
+pixels("adj_gamma", lambda p: pointwise.adjust_gamma(p, 0.7, 1.1), f"SELECT *  REPLACE (floor(least(255 * 1.1 * pow(v / 255, 0.7), 255)) AS v) FROM ({R.GRAY})")
+pixels("adj_gamma_float", lambda p: pointwise.adjust_gamma(p, 1.5, 0.9, "float64"), f"SELECT image_id, y, x, 0.9 * pow(t, 1.5) AS v FROM ({_T})")
+pixels("adj_log", pointwise.adjust_log, _curve("log2(t + 1)"))
+pixels("adj_exp", pointwise.adjust_exp, _curve("exp(t) - 1"))
+pixels("adj_linear", lambda p: pointwise.adjust_linear(p, (10, 200), (20, 180)), f"SELECT * REPLACE ((least(greatest(v, 20), 180) - 20) * (190.0 / 160) + 10 AS v) FROM ({R.GRAY})")
+pixels("adj_linear_image", pointwise.adjust_linear, f"SELECT image_id, y, x, t * 255 AS v FROM ({_T})")
+pixels("invert", pointwise.invert, f"SELECT * REPLACE (255 - v AS v) FROM ({R.GRAY})")
+pixels("quantise_sqr", pointwise.quantise, f"SELECT * REPLACE (floor(sqrt(v)) AS v) FROM ({R.GRAY})")
+pixels("quantise_log", lambda p: pointwise.quantise(p, "log"), f"SELECT * REPLACE (CASE WHEN v > 0 THEN floor(log2(v)) ELSE 0 END AS v) FROM ({R.GRAY})")
+pixels("quantise_linear", lambda p: pointwise.quantise(p, "linear"), f"SELECT * REPLACE (CASE WHEN v = 0 THEN 0 ELSE floor(v / 16) + 1 END AS v) FROM ({R.GRAY})")
+pixels("binarize", lambda p: pointwise.binarize(p, 100), f"SELECT * REPLACE ((v > 100)::INT::DOUBLE AS v) FROM ({R.GRAY})")
+pixels("check_finite", pointwise.checked, R.GRAY)
+pixels("cast_uint8", lambda p: p.withColumn("v", cast_to(c("v") * 1.5 - 60, "uint8")), f"SELECT * REPLACE (least(greatest(round(v * 1.5 - 60), 0), 255) AS v) FROM ({R.GRAY})")
+for _mode in MODES[2:]:
+    pixels(f"pad_{_mode}", lambda p, m=_mode: N.pad(p, 2, 3, 4, 1, m), f"SELECT g.image_id, g.y, g.x, s.v FROM (SELECT i.i::BIGINT AS image_id, y.y::INT AS y, x.x::INT AS x FROM range(4) i(i), range(-2, 35) y(y), range(-4, 33) x(x)) g JOIN ({R.GRAY}) s ON s.image_id = g.image_id AND s.y = {G.fit_sql('g.y', '32', _mode)} AND s.x = {G.fit_sql('g.x', '32', _mode)}")
+
+# Histograms and thresholds.
+
+
+def _hist(rows: DataFrame) -> DataFrame:
+    return rows.select("image_id", shown("bin").alias("bin"), "cnt")
+
+
+_H = f"SELECT image_id, round(bin, 6) + 0.0 AS bin, cnt FROM ({{}})"
+_WIDE = (
+    "SELECT e.image_id, e.lo + (k.k + 0.5) * (e.hi - e.lo) / {n} AS bin, coalesce(q.cnt, 0)::BIGINT AS cnt FROM (SELECT image_id, min(v) AS lo, max(v) AS hi FROM ({px}) GROUP BY 1) e CROSS JOIN range({n}) k(k) "
+    "LEFT JOIN (SELECT image_id, least(floor((v - lo) * {n} / (hi - lo)), {n} - 1) AS k, count(*) AS cnt FROM ({ends}) GROUP BY ALL) q ON q.image_id = e.image_id AND q.k = k.k"
+)
+_EDGES = [0, 10, 50, 100, 180, 255]
+add("hist_bincount", lambda s, d: _hist(histograms.bin_count(R.gray(s, d))), _H.format(G.counts(R.GRAY)))
+add("hist_equal_width", lambda s, d: _hist(histograms.histogram(R.gray(s, d), 10)), _H.format(_WIDE.format(n=10, px=R.GRAY, ends=_ENDS.format(R.GRAY))))
+add(
+    "hist_edges",
+    lambda s, d: _hist(histograms.histogram(R.gray(s, d), _EDGES)),
+    "SELECT i.i::BIGINT AS image_id, (e.lo + e.hi) / 2.0 AS bin, count(p.v) AS cnt FROM range(4) i(i) CROSS JOIN (VALUES " + ", ".join(f"({a}, {b})" for a, b in zip(_EDGES, _EDGES[1:], strict=False)) + f") e(lo, hi) LEFT JOIN ({R.GRAY}) p ON p.image_id = i.i AND p.v >= e.lo AND (p.v < e.hi OR (p.v = 255 AND e.hi = 255)) GROUP BY ALL",
+)
+add("hist_normalised", lambda s, d: histograms.normalised(histograms.bin_count(R.gray(s, d))).select("image_id", "bin", shown("p").alias("p")), f"SELECT image_id, bin, round(cnt / sum(cnt) OVER (PARTITION BY image_id), 6) + 0.0 AS p FROM ({G.counts(R.GRAY)})")
+_CDF = f"SELECT *, sum(cnt) OVER (PARTITION BY image_id ORDER BY bin) / sum(cnt) OVER (PARTITION BY image_id) AS f FROM ({{}})"
+add("hist_cdf", lambda s, d: histograms.cdf(histograms.bin_count(R.gray(s, d))).select("image_id", "bin", shown("cdf").alias("cdf")), f"SELECT image_id, bin, round(f, 6) + 0.0 AS cdf FROM ({_CDF.format(G.counts(R.GRAY))})")
+
+
+def _interp(q: str, n: str) -> str:
+    """Queries (image_id, xn) through nodes (image_id, xp, fp): f."""
+    return (
+        f"SELECT q.image_id, q.xn, CASE WHEN a.xp IS NULL THEN b.fp WHEN b.xp IS NULL OR a.xp = q.xn THEN a.fp ELSE a.fp + (b.fp - a.fp) * (q.xn - a.xp) / (b.xp - a.xp) END AS f FROM ({q}) q "
+        f"ASOF LEFT JOIN ({n}) a ON a.image_id = q.image_id AND a.xp <= q.xn ASOF LEFT JOIN ({n}) b ON b.image_id = q.image_id AND b.xp >= q.xn"
+    )
+
+
+_NODES = f"SELECT image_id, bin AS xp, f AS fp FROM ({_CDF.format(_WIDE.format(n=256, px=R.GRAY, ends=_ENDS.format(R.GRAY)))})"
+pixels("hist_equalize", histograms.equalise, f"SELECT p.image_id, p.y, p.x, round(m.f * 255) AS v FROM ({R.GRAY}) p JOIN ({_interp(f'SELECT DISTINCT image_id, v AS xn FROM ({R.GRAY})', _NODES)}) m ON m.image_id = p.image_id AND m.xn = p.v")
+
+
+def _interp_query(s: SparkSession, d: str) -> DataFrame:
+    nodes = histograms.cdf(histograms.histogram(R.gray(s, d), 16)).select("image_id", c("bin").alias("xp"), c("cdf").alias("fp"))
+    asked = R.gray(s, d).where("y = 3").select("image_id", c("v").alias("xn"), "x")
+    return histograms.interpolated(asked, nodes, ["image_id"]).select("image_id", "x", "xn", shown("f").alias("f"))
+
+
+add("interp_linear", _interp_query, f"SELECT p.image_id, p.x, p.v AS xn, round(m.f, 6) + 0.0 AS f FROM ({R.GRAY}) p JOIN ({_interp(f'SELECT DISTINCT image_id, v AS xn FROM ({R.GRAY}) WHERE y = 3', f'SELECT image_id, bin AS xp, f AS fp FROM ({_CDF.format(_WIDE.format(n=16, px=R.GRAY, ends=_ENDS.format(R.GRAY)))})')}) m ON m.image_id = p.image_id AND m.xn = p.v WHERE p.y = 3")
+
+
+def _threshold(name: str, run, sql: str | None) -> None:
+    add(name, lambda s, d: run(R.gray(s, d)).select("image_id", shown("th").alias("th")), f"SELECT image_id, round(th, 6) + 0.0 AS th FROM ({sql})" if sql else None)
+
+
+_S = G.sums(R.GRAY)
+_P = f"SELECT *, sum(p) OVER u AS p1, sum(p) OVER dn AS p2, sum(e) OVER u AS e1, sum(e) OVER (PARTITION BY image_id) AS al FROM (SELECT image_id, bin, cnt / n AS p, CASE WHEN cnt > 0 THEN cnt / n * ln(cnt / n) ELSE 0 END AS e FROM ({_S})) WINDOW u AS (PARTITION BY image_id ORDER BY bin), dn AS (PARTITION BY image_id ORDER BY bin DESC)"
+_ONE = "CASE WHEN {0} = 0 THEN 1 ELSE {0} END"
+_V = f"SELECT image_id, bin, n1, n2, {_ONE.format('s1')} AS s1, {_ONE.format('s2')} AS s2 FROM (SELECT *, sqrt(sum(pow(bin - m1, 2)) OVER u / n1) AS s1, sqrt(sum(pow(bin - m2, 2)) OVER dn / n2) AS s2 FROM ({_S}) WINDOW u AS (PARTITION BY image_id ORDER BY bin), dn AS (PARTITION BY image_id ORDER BY bin DESC))"
+_LN = "CASE WHEN {0} = 0 THEN 0 ELSE ln({0}) END"
+_threshold("thr_otsu", histograms.otsu, G.otsu(R.GRAY))
+_threshold("thr_li_lee", histograms.li_and_lee, G.best(f"SELECT image_id, bin, n1 * m1 * {_LN.format('m1')} AS a, n2 * m2 * {_LN.format('m2')} AS b FROM ({_S})", "a + lead(b) @lead", 1))
+_threshold("thr_kapur", histograms.kapur, G.best(_P, "-(e1 / p1) + ln(p1) - (al - e1) / p2 + ln(p2)"))
+_threshold("thr_min_error", histograms.minimum_error, G.best(_V, "1 + 2 * (lead(n1) @lead * ln(lead(s1) @lead / s2) + n2 * ln(s2 / lead(s1) @lead))", 1, True))
+_threshold("thr_mean", histograms.mean_threshold, f"SELECT image_id, avg(v) AS th FROM ({R.GRAY}) GROUP BY 1")
+_threshold("thr_minimum", histograms.minimum, None)
+pixels("threshold_otsu", lambda p: histograms.threshold(p, "otsu"), f"SELECT p.image_id, p.y, p.x, (p.v > t.th)::INT::DOUBLE AS v FROM ({R.GRAY}) p JOIN ({G.otsu(R.GRAY)}) t USING (image_id)")
+
+# Filters.
+
+for _mode in MODES:
+    pixels(f"flt_convolve_{_mode}", lambda p, m=_mode: N.convolve(p, SHARP, mode=m, value=7.0 if m == "constant" else 0.0), G.convolved(R.GRAY, SHARP, _mode, 7.0 if _mode == "constant" else 0.0))
+pixels("flt_convolve_anchor", lambda p: N.convolve(p, CORNER, (1, 1)), G.convolved(R.GRAY, CORNER, anchor=(1, 1)))
+pixels("flt_convolve_dilated", lambda p: N.convolve(p, BOX3, dilation=2), G.gather(R.GRAY, K.taps(BOX3, dilation=2), "sum(@w * @v) AS v"))
+pixels("flt_gaussian", lambda p: N.gaussian_filter(p, 1.2), G.blurred(R.GRAY, 1.2))
+_MEAN = [[w / 25 for w in r] for r in BOX5]
+pixels("flt_mean", lambda p: N.mean_filter(p, BOX5), G.convolved(R.GRAY, _MEAN))
+pixels("flt_variance", lambda p: N.variance_filter(p, BOX5, "symmetric"), G.gather(R.GRAY, K.taps(_MEAN), "sum(@w * @v * @v) - pow(sum(@w * @v), 2) AS v", "symmetric"))
+pixels("flt_median", lambda p: N.median_filter(p, BOX3, "reflect"), G.ranked(R.GRAY, BOX3, 4, "reflect"))
+pixels("flt_rank", lambda p: N.rank_filter(p, CROSS, 2, mode="symmetric"), G.ranked(R.GRAY, CROSS, 2, "symmetric"))
+pixels("flt_local_min", lambda p: N.local_min_filter(p, BOX3), G.gather(R.GRAY, K.taps(BOX3), "min(@v) AS v", "reflect"))
+pixels("flt_local_max", lambda p: N.local_max_filter(p, BOX5), G.gather(R.GRAY, K.taps(BOX5), "max(@v) AS v", "reflect"))
+for _how, _t in (("gaussian", G.blurred(R.GRAY, 4 / 6, radius=2)), ("mean", G.convolved(R.GRAY, _MEAN, "reflect")), ("median", G.ranked(R.GRAY, BOX5, 12, "reflect"))):
+    pixels(f"thr_adaptive_{_how}", lambda p, m=_how: N.adaptive_threshold(p, 5, m, 2.0).withColumnRenamed("th", "v"), f"SELECT image_id, y, x, v - 2.0 AS v FROM ({_t})")
+
+# Edges and corners.
+
+_RMS = "SELECT image_id, y, x, sqrt((gy * gy + gx * gx) / 2) AS v FROM ({})"
+pixels("edge_sobel", N.sobel, _RMS.format(G.gradients(R.GRAY)))
+pixels("edge_prewitt", N.prewitt, _RMS.format(G.gradients(R.GRAY, "prewitt")))
+pixels("edge_sobel_axis", lambda p: N.sobel(p, axis=0, mode="wrap"), f"SELECT image_id, y, x, gy AS v FROM ({G.gradients(R.GRAY, 'sobel', 'wrap')})")
+_UNITPX = f"SELECT * REPLACE (v / 255 AS v) FROM ({R.GRAY})"
+_GRAD = G.gradients(R.GRAY, normalise=False)
+_NINE = ", ".join(f"max(CASE WHEN k.dy = {a} AND k.dx = {b} THEN coalesce(s.v, 0) END) AS m{(a + 1) * 3 + b + 1}" for a in (-1, 0, 1) for b in (-1, 0, 1))
+
+
+def _nms(grad: str) -> str:
+    mag = f"SELECT image_id, h, w, y, x, sqrt(gy * gy + gx * gx) AS v FROM ({grad})"
+    wide = G.gather(mag, [(a, b, 1.0) for a in (-1, 0, 1) for b in (-1, 0, 1)], _NINE)
+    rows = f"SELECT n.*, gy, gx, (gy >= 0 AND gx >= 0) OR (gy <= 0 AND gx <= 0) AS dg, CASE WHEN abs(gy) > abs(gx) THEN abs(gx) / abs(gy) WHEN abs(gx) > 0 THEN abs(gy) / abs(gx) END AS d FROM ({wide}) n JOIN ({grad}) USING (image_id, y, x)"
+    first = "CASE WHEN dg AND abs(gx) > abs(gy) THEN m7 * d + m8 * (1 - d) WHEN dg THEN m5 * d + m8 * (1 - d) WHEN abs(gy) < abs(gx) THEN m7 * d + m6 * (1 - d) ELSE m3 * d + m6 * (1 - d) END"
+    other = "CASE WHEN dg AND abs(gx) > abs(gy) THEN m0 * d + m1 * (1 - d) WHEN dg THEN m0 * d + m3 * (1 - d) WHEN abs(gy) < abs(gx) THEN m2 * d + m1 * (1 - d) ELSE m2 * d + m5 * (1 - d) END"
+    return f"SELECT image_id, h, w, y, x, m4 AS mag, coalesce(y BETWEEN 1 AND h - 2 AND x BETWEEN 1 AND w - 2 AND m4 + 1e-9 >= {first} AND m4 + 1e-9 >= {other}, false)::INT::DOUBLE AS v FROM ({rows})"
+
+
+def _edge_nms(s: SparkSession, d: str) -> DataFrame:
+    g = N.gradients(R.gray(s, d), normalise=False).withColumn("mag", F.sqrt(c("gy") * c("gy") + c("gx") * c("gx")))
+    return _plain(N.canny_suppression(g, 0.0))
+
+
+add("edge_nms", _edge_nms, G.shown(_nms(_GRAD)))
+_SMALL = R.small_sql(R.GRAY)
+_SU = f"SELECT * REPLACE (v / 255 AS v) FROM ({_SMALL})"
+_INNER = "(y BETWEEN 1 AND h - 2 AND x BETWEEN 1 AND w - 2)::INT::DOUBLE"
+_GK = K.gaussian(1.0, radius=2)
+_BLUR = G.minus(G.convolved(_SU, _GK), G.convolved(f"SELECT * REPLACE ({_INNER} AS v) FROM ({_SU})", _GK), f"a.v / (b.v + {K.EPSILON!r})")
+_THIN = f"SELECT * REPLACE ((v > 0 AND y BETWEEN 3 AND h - 4 AND x BETWEEN 3 AND w - 4 AND mag >= 0.1)::INT::DOUBLE AS v) FROM ({_nms(G.gradients(_BLUR, normalise=False))})"
+pixels("edge_canny", lambda p: labels.canny(R.small(p)), f"SELECT image_id, y, x, coalesce(max(CASE WHEN mag >= 0.2 AND root IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, root) = 1 AND root IS NOT NULL, false)::INT::DOUBLE AS v FROM ({G.rooted(_THIN, 2)})")
+_GRAD0 = G.gradients(R.GRAY, "sobel", "constant", False)
+_TENSOR = [G.blurred(f"SELECT image_id, h, w, y, x, {e} AS v FROM ({_GRAD0})", 1.0, "constant") for e in ("gy * gy", "gy * gx", "gx * gx")]
+_ST = f"SELECT a.image_id, a.y, a.x, a.v AS ayy, b.v AS axy, c.v AS axx FROM ({_TENSOR[0]}) a JOIN ({_TENSOR[1]}) b USING (image_id, y, x) JOIN ({_TENSOR[2]}) c USING (image_id, y, x)"
+add("structure_tensor", lambda s, d: N.structure_tensor(R.gray(s, d)).select("image_id", "y", "x", *(shown(n, 3).alias(n) for n in ("ayy", "axy", "axx"))), f"SELECT image_id, y, x, round(ayy, 3) + 0.0 AS ayy, round(axy, 3) + 0.0 AS axy, round(axx, 3) + 0.0 AS axx FROM ({_ST})")
+
+
+def _unit_gray(s: SparkSession, d: str) -> DataFrame:
+    return R.gray(s, d).withColumn("v", c("v") / 255)
+
+
+_UT = [G.blurred(f"SELECT image_id, h, w, y, x, {e} AS v FROM ({G.gradients(_UNITPX, 'sobel', 'constant', False)})", 1.0, "constant") for e in ("gy * gy", "gy * gx", "gx * gx")]
+_UST = f"SELECT a.image_id, a.y, a.x, a.v AS ayy, b.v AS axy, c.v AS axx FROM ({_UT[0]}) a JOIN ({_UT[1]}) b USING (image_id, y, x) JOIN ({_UT[2]}) c USING (image_id, y, x)"
+pixels("harris", N.harris_corner, f"SELECT image_id, y, x, axx * ayy - axy * axy - 0.05 * pow(axx + ayy, 2) AS v FROM ({_UST})", _unit_gray)
+pixels("harris_nobel", lambda p: N.harris_corner(p, nobel=True), f"SELECT image_id, y, x, 2 * (axx * ayy - axy * axy) / (axx + ayy + 1e-5) AS v FROM ({_UST})", _unit_gray)
+
+# Morphology.
+
+pixels("morph_erode", N.binary_erosion, G.eroded(R.MASK, CROSS), R.mask)
+pixels("morph_dilate", N.binary_dilation, G.dilated(R.MASK, CROSS), R.mask)
+pixels("morph_erode_anchor", lambda p: N.binary_erosion(p, CORNER, (1, 1), border=1), G.eroded(R.MASK, CORNER, 1.0, (1, 1)), R.mask)
+pixels("morph_dilate_twice", lambda p: N.binary_dilation(p, CROSS, iterations=2), G.dilated(G.dilated(R.MASK, CROSS), CROSS), R.mask)
+pixels("morph_erode_stable", lambda p: N.binary_erosion(p, BOX3, iterations=-1), f"SELECT * REPLACE (0.0 AS v) FROM ({R.MASK})", R.mask)
+pixels("morph_open", N.binary_opening, G.dilated(G.eroded(R.MASK, CROSS), CROSS), R.mask)
+pixels("morph_close", N.binary_closing, G.eroded(G.dilated(R.MASK, CROSS), CROSS), R.mask)
+_E, _D = G.eroded(R.MASK, CROSS), G.dilated(R.MASK, CROSS)
+for _how, _a, _b in (("inner", R.MASK, _E), ("outer", _D, R.MASK), ("double", _D, _E)):
+    pixels(f"morph_edge_{_how}", lambda p, m=_how: N.binary_edge(p, m), G.minus(_a, _b, "(a.v <> b.v)::INT::DOUBLE"), R.mask)
+pixels("morph_gray_erode", lambda p: N.gray_erosion(p, BOX3), G.eroded(R.GRAY, BOX3))
+pixels("morph_gray_dilate", lambda p: N.gray_dilation(p, BOX3), G.dilated(R.GRAY, BOX3))
+_BUMP = [[1.0, 2.0, 1.0], [2.0, 5.0, 3.0], [1.0, 2.0, 1.0]]
+pixels("morph_gray_erode_height", lambda p: N.gray_erosion(p, _BUMP, border=255.0, flat=False), G.gather(R.GRAY, K.taps(_BUMP), "min(@v - @w) AS v", "constant", 255.0))
+pixels("morph_gray_dilate_height", lambda p: N.gray_dilation(p, _BUMP, flat=False), G.gather(R.GRAY, K.taps(_BUMP), "max(@v + @w) AS v"))
+_OPEN, _CLOSE = G.dilated(G.eroded(R.GRAY, BOX3), BOX3), G.eroded(G.dilated(R.GRAY, BOX3), BOX3)
+pixels("morph_gray_open", lambda p: N.gray_opening(p, BOX3), _OPEN)
+pixels("morph_gray_close", lambda p: N.gray_closing(p, BOX3), _CLOSE)
+pixels("morph_white_top", lambda p: N.white_top(p, BOX3), G.minus(R.GRAY, _OPEN))
+pixels("morph_black_top", lambda p: N.black_top(p, BOX3), G.minus(_CLOSE, R.GRAY))
+pixels("morph_hit_or_miss", lambda p: N.hit_or_miss(p, CROSS), G.minus(_E, G.eroded(R.MASK, [[float(not w) for w in r] for r in CROSS]), "(a.v = 1 AND b.v = 0)::INT::DOUBLE"), R.mask)
+pixels("morph_skeleton", whole_image.skeletonize, None, R.mask)
+pixels("morph_area_open", lambda p: whole_image.area_open(p, 8), None)
+pixels("morph_area_close", lambda p: whole_image.area_close(p, 8), None)
+pixels("tree_labels", whole_image.tree_labels, None)
+
+# Labels and regions.
+
+add("label", lambda s, d: labels.label(R.mask(s, d)).select("image_id", "y", "x", "label"), f"SELECT image_id, y, x, label FROM ({G.labelled(R.MASK)})")
+_SM = R.small_sql(R.MASK)
+add("label_diagonal", lambda s, d: labels.label(R.small(R.mask(s, d)), 2).select("image_id", "y", "x", "label"), f"SELECT image_id, y, x, label FROM ({G.labelled(_SM, 2)})")
+add("label_values", lambda s, d: labels.label(R.small(R.gray(s, d)), 1, "linear", 128).select("image_id", "y", "x", "label"), f"SELECT image_id, y, x, label FROM ({G.labelled(f'SELECT * REPLACE (CASE WHEN v = 0 THEN 0 ELSE floor(v / 128) + 1 END AS v) FROM ({_SMALL})')})")
+pixels("rm_small_objects", lambda p: labels.remove_small_objects(p, 6), G.by_area(R.MASK, 6), R.mask)
+pixels("rm_small_holes", lambda p: labels.remove_small_holes(p, 6), G.inverted(G.by_area(G.inverted(R.MASK), 6)), R.mask)
+pixels("fill_holes", labels.fill_holes, G.filled(R.MASK), R.mask)
+pixels("region_fill", lambda p: labels.region_fill(p, (5, 5)), f"SELECT image_id, y, x, (v = 0 OR coalesce(root = max(CASE WHEN y = 5 AND x = 5 THEN root END) OVER (PARTITION BY image_id), false))::INT::DOUBLE AS v FROM ({G.rooted(G.inverted(R.MASK))})", R.mask)
+_NEARBY = f"SELECT p.* REPLACE ((abs(p.v - t.v) <= 90)::INT::DOUBLE AS v) FROM ({_SMALL}) p JOIN ({_SMALL}) t ON t.image_id = p.image_id AND t.y = 5 AND t.x = 5"
+pixels("region_fill_gray", lambda p: labels.region_fill(R.small(p), (5, 5), 90, binary=False), f"SELECT image_id, y, x, (v = 0 OR coalesce(root = max(CASE WHEN y = 5 AND x = 5 THEN root END) OVER (PARTITION BY image_id), false))::INT::DOUBLE AS v FROM ({G.rooted(_NEARBY)})")
+_L = G.labelled(R.MASK)
+_BOXES = f"SELECT image_id, label, min(y) AS y0, min(x) AS x0, max(y) AS y1, max(x) AS x1, count(*) AS area FROM ({_L}) WHERE label > 0 GROUP BY 1, 2"
+add("find_object", lambda s, d: regions.find_objects(labels.label(R.mask(s, d))), f"SELECT image_id, label, y0, x0, y1, x1 FROM ({_BOXES})")
+add(
+    "bbox",
+    lambda s, d: regions.boxes(regions.find_objects(labels.label(R.mask(s, d)))),
+    f"SELECT image_id, label, y0, x0, y1, x1, (y0 + y1) / 2.0 AS cy, (x0 + x1) / 2.0 AS cx, (y1 - y0) / 2.0 AS ly, (x1 - x0) / 2.0 AS lx, ((y0 + y1) // 2)::INT AS py, ((x0 + x1) // 2)::INT AS px, ((y1 - y0 + 1) * (x1 - x0 + 1))::BIGINT AS box_area, y1 + 1 AS y_end, x1 + 1 AS x_end FROM ({_BOXES})",
+)
+_PROPS = "area y0 x0 y1 x1 cy cx v_min v_max v_mean mu20 mu11 mu02 box_area local_cy local_cx"
+
+
+def _props(lab: DataFrame, px: DataFrame) -> DataFrame:
+    return regions.region_properties(lab, px).select("image_id", "label", *(shown(c(n).cast("double"), 4).alias(n) for n in _PROPS.split()))
+
+
+def _props_sql(lab: str, px: str) -> str:
+    rows = f"SELECT l.image_id, l.label, l.y::DOUBLE AS y, l.x::DOUBLE AS x, p.v FROM ({lab}) l JOIN ({px}) p USING (image_id, y, x) WHERE label > 0"
+    agg = f"SELECT image_id, label, count(*) AS area, min(y) AS y0, min(x) AS x0, max(y) AS y1, max(x) AS x1, avg(y) AS cy, avg(x) AS cx, min(v) AS v_min, max(v) AS v_max, avg(v) AS v_mean, sum(y * y) AS syy, sum(y * x) AS syx, sum(x * x) AS sxx FROM ({rows}) GROUP BY 1, 2"
+    more = f"SELECT *, syy - area * cy * cy AS mu20, syx - area * cy * cx AS mu11, sxx - area * cx * cx AS mu02, (y1 - y0 + 1) * (x1 - x0 + 1) AS box_area, cy - y0 AS local_cy, cx - x0 AS local_cx FROM ({agg})"
+    return f"SELECT image_id, label, {', '.join(f'round({n}::DOUBLE, 4) + 0.0 AS {n}' for n in _PROPS.split())} FROM ({more})"
+
+
+add("region_props", lambda s, d: _props(labels.label(R.mask(s, d)), R.gray(s, d)), _props_sql(_L, R.GRAY))
+add("region_shapes", lambda s, d: regions.region_shapes(labels.label(R.mask(s, d))).select("image_id", "label", "area", "area_filled", shown("perimeter").alias("perimeter"), "euler_number", shown("circularity").alias("circularity")))
+_CODES = G.convolved(G.minus(R.MASK, _E, "(a.v <> b.v)::INT::DOUBLE"), regions.CODES)
+add(
+    "perimeter",
+    lambda s, d: regions.perimeter(R.mask(s, d)).select("image_id", shown("perimeter").alias("perimeter")),
+    f"SELECT image_id, round(sum(CASE WHEN v IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN v IN (21, 33) THEN sqrt(2) WHEN v IN (13, 23) THEN (1 + sqrt(2)) / 2 ELSE 0 END), 6) + 0.0 AS perimeter FROM ({_CODES}) GROUP BY 1",
+)
+_M = [(p, q) for p in range(3) for q in range(3)]
+add("moments", lambda s, d: regions.moments(R.gray(s, d), 2), f"SELECT image_id, {', '.join(f'sum(v * pow(y, {p}) * pow(x, {q})) AS m{p}{q}' for p, q in _M)} FROM ({R.GRAY}) GROUP BY 1")
+add("moments_central", lambda s, d: regions.moments(R.gray(s, d), 2, (15.5, 15.5)), f"SELECT image_id, {', '.join(f'sum(v * pow(y - 15.5, {p}) * pow(x - 15.5, {q})) AS m{p}{q}' for p, q in _M)} FROM ({R.GRAY}) GROUP BY 1")
+add("crop", lambda s, d: regions.cropped(R.gray(s, d), regions.find_objects(labels.label(R.mask(s, d)))).select("image_id", "label", "y", "x", "v"), f"SELECT p.image_id, b.label, p.y - b.y0 AS y, p.x - b.x0 AS x, p.v FROM ({R.GRAY}) p JOIN ({_BOXES}) b ON b.image_id = p.image_id AND p.y BETWEEN b.y0 AND b.y1 AND p.x BETWEEN b.x0 AND b.x1")
+
+# Texture.
+
+_DIST, _ANG = (1, 2), (0.0, math.pi / 4, math.pi / 2)
+_SHIFTS = ", ".join(f"({i}, {j}, {regions._half_away(r * math.sin(t))}, {regions._half_away(r * math.cos(t))})" for i, r in enumerate(_DIST) for j, t in enumerate(_ANG))
+_Q16 = f"SELECT * REPLACE (floor(v / 16) AS v) FROM ({R.GRAY})"
+
+
+def _coarse(s: SparkSession, d: str) -> DataFrame:
+    return R.gray(s, d).withColumn("v", F.floor(c("v") / 16).cast("double"))
+
+
+_GLCM = f"SELECT p.image_id, k.d::INT AS d, k.a::INT AS a, p.v::INT AS i, s.v::INT AS j, count(*) AS n FROM ({_Q16}) p CROSS JOIN (VALUES {_SHIFTS}) k(d, a, sy, sx) JOIN ({_Q16}) s ON s.image_id = p.image_id AND s.y = p.y + k.sy AND s.x = p.x + k.sx GROUP BY ALL"
+_SYM = f"SELECT image_id, d, a, i, j, sum(n) AS n FROM (SELECT * FROM ({_GLCM}) UNION ALL SELECT image_id, d, a, j, i, n FROM ({_GLCM})) GROUP BY ALL"
+_NORM = f"SELECT image_id, d, a, i, j, n / sum(n) OVER (PARTITION BY image_id, d, a) AS p FROM ({_SYM})"
+add("glcm", lambda s, d: regions.glcm(_coarse(s, d), _DIST, _ANG), _GLCM)
+add("glcm_normalised", lambda s, d: regions.glcm(_coarse(s, d), _DIST, _ANG, True, True).select("image_id", "d", "a", "i", "j", shown("p", 9).alias("p")), f"SELECT image_id, d, a, i, j, round(p, 9) + 0.0 AS p FROM ({_NORM})")
+_GP = f"SELECT image_id, d, a, sum(pow(i - j, 2) * p) AS contrast, sum(p * p) AS asm, sum(p / (1 + pow(i - j, 2))) AS idm, (sum(i * j * p) - sum(i * p) * sum(j * p)) / (sqrt(sum(i * i * p) - pow(sum(i * p), 2)) * sqrt(sum(j * j * p) - pow(sum(j * p), 2))) AS cor FROM ({_NORM}) GROUP BY 1, 2, 3"
+add("glcm_props", lambda s, d: regions.glcm_props(regions.glcm(_coarse(s, d), _DIST, _ANG, True, True)).select("image_id", "d", "a", *(shown(n).alias(n) for n in ("contrast", "asm", "idm", "cor"))), f"SELECT image_id, d, a, {', '.join(f'round({n}, 6) + 0.0 AS {n}' for n in ('contrast', 'asm', 'idm', 'cor'))} FROM ({_GP})")
+
+# Integral images, Haar, FAST.
+
+_INT = f"SELECT image_id, h, w, y, x, sum(r) OVER (PARTITION BY image_id, x ORDER BY y) AS v FROM (SELECT *, sum(v) OVER (PARTITION BY image_id, y ORDER BY x) AS r FROM ({R.GRAY}))"
+pixels("integral", features.integral_image, _INT)
+for _kind, _axis in features.HAAR:
+    (_ny, _nx), _parts = features.HAAR[_kind, _axis]
+    _sum = " + ".join(f"{'' if i % 2 else '-'}(SELECT sum(q.v) FROM s q WHERE q.image_id = p.image_id AND q.y BETWEEN p.y + {a} * z.dh AND p.y + {a} * z.dh + z.dh - 1 AND q.x BETWEEN p.x + {b} * z.dw AND p.x + {b} * z.dw + z.dw - 1)" for i, (a, b) in enumerate(_parts))
+    add(
+        f"haar_{_kind}_{_axis}",
+        lambda s, d, k=_kind, a=_axis: features.haar_features(R.small(R.gray(s, d)), k, a).select("image_id", "y", "x", "dh", "dw", shown("v").alias("v")),
+        f"WITH s AS ({_SMALL}) SELECT p.image_id, p.y, p.x, z.dh, z.dw, {_sum} AS v FROM s p CROSS JOIN (VALUES (1, 1), (1, 2), (2, 1), (2, 2)) z(dh, dw) WHERE p.y + {_ny} * z.dh <= p.h AND p.x + {_nx} * z.dw <= p.w",
+    )
+_RS = ", ".join(f"max(CASE WHEN k.wt = {i} THEN s.v END) AS r{i}" for i in range(17))
+_FAST = G.gather(R.GRAY, [(0, 0, 16), *((a, b, i) for i, (a, b) in enumerate(features.RING))], _RS)
+_RINGS = [f"CASE WHEN r{i} > r16 + 0.1 THEN '+' WHEN r{i} < r16 - 0.1 THEN '-' ELSE '0' END" for i in range(16)]
+pixels("fast", lambda p: features.corner_fast(p, 9), f"SELECT image_id, y, x, CASE WHEN y BETWEEN 3 AND h - 4 AND x BETWEEN 3 AND w - 4 AND (contains(g, '{'+' * 9}') OR contains(g, '{'-' * 9}')) THEN {' + '.join(f'floor(abs(r{i} - r16))' for i in range(16))} ELSE 0 END AS v FROM (SELECT *, concat({', '.join(_RINGS + _RINGS)}) AS g FROM ({_FAST}))")
+
+# Hough.
+
+_ANGLES = features.default_angles(36)
+_AV = ", ".join(f"({i}, {math.cos(t)!r}::DOUBLE, {math.sin(t)!r}::DOUBLE)" for i, t in enumerate(_ANGLES))
+add("hough_line", lambda s, d: features.hough_line(R.mask(s, d), _ANGLES), f"SELECT image_id, floor(round(x * t.co + y * t.si, 9) + 0.5)::INT AS rho, t.i AS theta_ix, count(*) AS votes FROM ({R.MASK}) CROSS JOIN (VALUES {_AV}) t(i, co, si) WHERE v <> 0 GROUP BY ALL")
+_RADII = (3, 5)
+_CO = ", ".join(f"({i}, {a}, {b})" for i, r in enumerate(_RADII) for a, b in circle_points(r))
+add("hough_circle", lambda s, d: features.hough_circle(R.mask(s, d), _RADII), f"SELECT image_id, o.i AS radius_ix, p.y + o.dy AS y, p.x + o.dx AS x, count(*) AS votes FROM ({R.MASK}) p CROSS JOIN (VALUES {_CO}) o(i, dy, dx) WHERE v <> 0 AND p.y + o.dy BETWEEN 0 AND 31 AND p.x + o.dx BETWEEN 0 AND 31 GROUP BY ALL")
+add("hough_pp_line", lambda s, d: whole_image.hough_probabilistic_line(R.mask(s, d), _ANGLES, 5, 6, 2))
+add("hough_line_peak", lambda s, d: whole_image.hough_line_peak(features.hough_line(R.mask(s, d), _ANGLES), 5))
+add("hough_circle_peak", lambda s, d: whole_image.hough_circle_peak(features.hough_circle(R.mask(s, d), _RADII), 5))
+add("peaks", lambda s, d: whole_image.find_peaks(R.gray(s, d), 3, n_peaks=10))
+add("peaks_box", lambda s, d: whole_image.peak_suppression(R.gray(s, d), 3))
+
+# Geometry and pyramids.
+
+for _o in range(4):
+    pixels(f"resize_{_o}", lambda p, o=_o: geometry.resize(p, (20, 45), o), G.resized(R.GRAY, (20, 45), _o))
+pixels("resize_antialias", lambda p: geometry.resize(p, (16, 16), 1, size=(32, 32)), G.resized(G.convolved(G.convolved(R.GRAY, [[w] for w in K.gaussian_line((31 / 15 - 1) / 2)]), [K.gaussian_line((31 / 15 - 1) / 2)]), (16, 16), 1))
+_AFF = geometry.affine(20, (3, -2), (1.1, 0.9), (0.1, 0.0))
+pixels("warp", lambda p: geometry.warp(p, _AFF), G.warped(R.GRAY, (32, 32), _AFF, 1))
+_PROJ = [[1.0, 0.1, -1.0], [0.05, 0.9, 2.0], [0.001, 0.002, 1.0]]
+pixels("warp_projective", lambda p: geometry.warp(p, _PROJ, 3), G.warped(R.GRAY, (32, 32), _PROJ, 3))
+_ROT = geometry.times(geometry.times(geometry.rigid(0, (15.5, 15.5)), geometry.rigid(30)), geometry.rigid(0, (-15.5, -15.5)))
+pixels("rotate", lambda p: geometry.rotate(p, 30, (32, 32), reshape=False), G.warped(R.GRAY, (32, 32), _ROT, 1))
+_TURN = geometry.rotation(30, (32, 32))
+pixels("rotate_reshape", lambda p: geometry.rotate(p, 30, (32, 32)), G.warped(R.GRAY, _TURN[1], _TURN[0], 1))
+add(
+    "transform_points",
+    lambda s, d: geometry.transform_points(R.points(s, d).select("point_id", c("p")[0].alias("x"), c("p")[1].alias("y")), _PROJ).select("point_id", shown("x").alias("x"), shown("y").alias("y")),
+    f"SELECT point_id, round((p[1] + 0.1::DOUBLE * p[2] - 1) / z, 6) + 0.0 AS x, round((0.05 * p[1] + 0.9 * p[2] + 2) / z, 6) + 0.0 AS y FROM (SELECT *, 0.001 * p[1] + 0.002 * p[2] + 1 AS z FROM ({R.POINTS}))",
+)
+
+
+def _levels(px: DataFrame, *more: str) -> DataFrame:
+    return px.select("image_id", "level", *more, "y", "x", shown("v").alias("v"))
+
+
+def _sym(px: str, sigma: float = 1.0) -> str:
+    return G.blurred(px, sigma, "symmetric")
+
+
+_G0 = _sym(R.GRAY)
+_R1 = G.resized(_G0, (16, 16), 0, "symmetric")
+_LEVEL = "SELECT image_id, {k} AS level, y, x, round(v, 6) + 0.0 AS v FROM ({s})"
+add("pyr_gauss", lambda s, d: _levels(geometry.gaussian_pyramid(R.gray(s, d), (32, 32), n_layers=2)), " UNION ALL ".join(_LEVEL.format(k=k, s=q) for k, q in enumerate((_G0, _sym(_R1)))))
+add("pyr_laplace", lambda s, d: _levels(geometry.laplacian_pyramid(R.gray(s, d), (32, 32), n_layers=2)), " UNION ALL ".join(_LEVEL.format(k=k, s=q) for k, q in enumerate((G.minus(R.GRAY, _G0), G.minus(_R1, _sym(_R1))))))
+_S0 = [R.GRAY, _sym(R.GRAY, 0.8), _sym(_sym(R.GRAY, 0.8), 1.0)]
+_S1 = [(_x := G.resized(_S0[-1], (16, 16), 0, "symmetric")), _sym(_x, 0.8), _sym(_sym(_x, 0.8), 1.0)]
+_SCALE = "SELECT image_id, {k} AS level, {i} AS scale_ix, y, x, round(v, 6) + 0.0 AS v FROM ({s})"
+add("pyr_scale_space", lambda s, d: _levels(geometry.scale_space(R.gray(s, d), (32, 32), (0.8, 1.0), 2), "scale_ix"), " UNION ALL ".join(_SCALE.format(k=k, i=i, s=q) for k, o in enumerate((_S0, _S1)) for i, q in enumerate(o)))
+add("pyr_dog", lambda s, d: _levels(geometry.dog_pyramid(R.gray(s, d), (32, 32), (0.8, 1.0), 1), "scale_ix"), " UNION ALL ".join(_SCALE.format(k=k, i=i, s=G.minus(o[i + 1], o[i])) for k, o in enumerate((_S0, _S1)) for i in (0, 1)))
+add("pyr_mosaic", lambda s, d: _plain(geometry.mosaic(geometry.gaussian_pyramid(R.gray(s, d), (32, 32), n_layers=2))), f"SELECT image_id, y, x, round(v, 6) + 0.0 AS v FROM (SELECT image_id, y, x, v FROM ({_G0}) UNION ALL SELECT image_id, y, x + 32 AS x, v FROM ({_sym(_R1)}))")
+
+# Point sets.
+
+
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    return R.points(s, d).select(c("point_id").alias("query_id"), c("p").alias("q"))
+
+
+def _dist(p: float = 2) -> str:
+    gap = "abs(a.p[{0}] - b.p[{0}])"
+    if math.isinf(p):
+        return f"greatest({', '.join(gap.format(i) for i in (1, 2, 3))})"
+    return f"pow({' + '.join(f'pow({gap.format(i)}, {p})' for i in (1, 2, 3))}, 1.0 / {p})"
+
+
+_PAIR = f"SELECT a.point_id AS query_id, b.point_id, round({{}}, 9) + 0.0 AS dist FROM ({R.POINTS}) a, ({R.POINTS}) b"
+for _p, _n in ((2, "knn"), (1, "knn_p1"), (math.inf, "knn_inf")):
+    add(_n, lambda s, d, p=_p: spatial.knn(R.points(s, d), _asked(s, d), 5, p).select("query_id", "point_id", shown("dist", 9).alias("dist"), "rank"), f"SELECT query_id, point_id, dist, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, point_id) AS rank FROM ({_PAIR.format(_dist(_p))})) WHERE rank <= 5")
+add("ball", lambda s, d: spatial.ball(R.points(s, d), _asked(s, d), 12.0), f"SELECT * FROM ({_PAIR.format(_dist())}) WHERE dist <= 12")
+_CENTRES = [[0.0, 0.0, 0.0], [10.0, 5.0, -5.0], [-10.0, 10.0, 10.0]]
+_CD = ", ".join(f"round(sqrt({' + '.join(f'pow(p[{i + 1}] - {x!r}, 2)' for i, x in enumerate(k))}), 9)" for k in _CENTRES)
+add("kmeans_assign", lambda s, d: spatial.assign(R.points(s, d), _CENTRES).select("point_id", "cluster"), f"SELECT point_id, (list_position([{_CD}], list_min([{_CD}])) - 1)::INT AS cluster FROM ({R.POINTS})")
+
+
+def _kmeans(s: SparkSession, d: str) -> DataFrame:
+    centres = spatial.kmeans(R.points(s, d), 4, iterations=10)
+    return spatial.assign(R.points(s, d), centres).groupBy("cluster").agg(F.count("*").alias("n"), *(shown(F.avg(c("p")[i])).alias(f"m{i}") for i in range(3)))
+
+
+add("kmeans_fit", _kmeans)
+
+
+def _foreground(s: SparkSession, d: str) -> DataFrame:
+    return R.mask(s, d, 250).where("v = 1").select(c("image_id").alias("set_id"), "y", "x")
+
+
+_FG = f"SELECT image_id AS set_id, y, x FROM ({R.GRAY}) WHERE v > 250"
+# A point is a corner of the hull if no two others have it between or inside them.
+_ON = "SELECT DISTINCT a.set_id, a.y, a.x, b.y AS y2, b.x AS x2 FROM f a JOIN f b ON a.set_id = b.set_id AND (a.y <> b.y OR a.x <> b.x) WHERE NOT EXISTS (SELECT 1 FROM f q WHERE q.set_id = a.set_id AND ((b.y - a.y) * (q.x - a.x) - (b.x - a.x) * (q.y - a.y) < 0 OR ((b.y - a.y) * (q.x - a.x) - (b.x - a.x) * (q.y - a.y) = 0 AND ((q.y - a.y) * (q.y - b.y) + (q.x - a.x) * (q.x - b.x)) > 0)))"
+_HULL = f"WITH f AS ({_FG}), e AS ({_ON}) "
+add("hull", lambda s, d: spatial.convex_hull(_foreground(s, d)).select("set_id", c("y").cast("int").alias("y"), c("x").cast("int").alias("x")), _HULL + "SELECT DISTINCT set_id, y, x FROM e")
+_INSIDE = "NOT EXISTS (SELECT 1 FROM e WHERE e.set_id = g.image_id AND (e.y2 - e.y) * (g.x - e.x) - (e.x2 - e.x) * (g.y - e.y) < 0)"
+add("hull_fill", lambda s, d: _plain(spatial.hull_image(spatial.convex_hull(_foreground(s, d)), images_of(R.gray(s, d)))), _HULL + f"SELECT g.image_id, g.y, g.x, ({_INSIDE})::INT::DOUBLE AS v FROM ({R.GRAY}) g")
+add("hull_query", lambda s, d: spatial.hull_contains(spatial.convex_hull(_foreground(s, d)), R.gray(s, d).where("(y + x) % 5 = 0").select(c("image_id").alias("set_id"), "y", "x")), _HULL + f"SELECT g.image_id AS set_id, g.y, g.x, {_INSIDE} AS inside FROM ({R.GRAY}) g WHERE (g.y + g.x) % 5 = 0")
+add("hull_outline", lambda s, d: spatial.hull_outline(spatial.convex_hull(_foreground(s, d))))
+
+# Drawing.
+
+
+def _segments(s: SparkSession, d: str) -> DataFrame:
+    p = R.table(s, d, "embeddings").select("vec_id", *(F.abs(F.round(c("embedding")[i].cast("double") * 40)).cast("int").alias(n) for i, n in enumerate(("y1", "x1", "y2", "x2"))))
+    return p.where("vec_id < 50")
+
+
+_SEG = "SELECT vec_id, " + ", ".join(f"abs(round(embedding[{i + 1}]::DOUBLE * 40))::INT AS {n}" for i, n in enumerate(("y1", "x1", "y2", "x2"))) + " FROM embeddings WHERE vec_id < 50"
+_N = "greatest(abs(y2 - y1), abs(x2 - x1))"
+_LINE = (
+    f"SELECT vec_id, i::INT AS i, (y1 + CASE WHEN y2 > y1 THEN 1 ELSE -1 END * CASE WHEN abs(y2 - y1) > abs(x2 - x1) THEN i WHEN n = 0 THEN 0 ELSE (2 * abs(y2 - y1) * i + n) // (2 * n) END)::INT AS y, "
+    f"(x1 + CASE WHEN x2 > x1 THEN 1 ELSE -1 END * CASE WHEN abs(y2 - y1) <= abs(x2 - x1) THEN i WHEN n = 0 THEN 0 ELSE (2 * abs(x2 - x1) * i + n) // (2 * n) END)::INT AS x FROM (SELECT *, {_N} AS n, unnest(range({_N} + 1)) AS i FROM ({_SEG}))"
+)
+add("draw_line", lambda s, d: drawing.lines(_segments(s, d)), _LINE)
+
+
+def _centres(s: SparkSession, d: str) -> DataFrame:
+    return R.gray(s, d).where("v > 250").select("image_id", "y", "x")
+
+
+def _stamped(offsets) -> str:
+    o = ", ".join(f"({a}, {b})" for a, b in dict.fromkeys(offsets))
+    return f"SELECT g.image_id, g.y + o.dy AS y, g.x + o.dx AS x FROM ({R.GRAY}) g CROSS JOIN (VALUES {o}) o(dy, dx) WHERE g.v > 250"
+
+
+add("draw_circle", lambda s, d: drawing.circles(_centres(s, d), 6), _stamped(circle_points(6)))
+add("draw_ellipse", lambda s, d: drawing.ellipses(_centres(s, d), 7, 4), _stamped(ellipse_points(7, 4)))
+add("draw_paint", lambda s, d: _plain(drawing.paint(R.gray(s, d), drawing.circles(_centres(s, d), 4), 300.0)), f"SELECT g.image_id, g.y, g.x, CASE WHEN EXISTS (SELECT 1 FROM ({_stamped(circle_points(4))}) k WHERE k.image_id = g.image_id AND k.y = g.y AND k.x = g.x) THEN 300.0::DOUBLE ELSE g.v END AS v FROM ({R.GRAY}) g")
+_MARK = f"EXISTS (SELECT 1 FROM ({_stamped(drawing.SHAPES['CROSS'])}) k WHERE k.image_id = g.image_id AND k.y = g.y AND k.x = g.x)"
+add("mark_points", lambda s, d: drawing.mark_points(R.gray(s, d), _centres(s, d), "CROSS").select("image_id", "y", "x", "r", "g", "b"), f"SELECT g.image_id, g.y, g.x, CASE WHEN {_MARK} THEN 255.0::DOUBLE ELSE v END AS r, CASE WHEN {_MARK} THEN 0.0::DOUBLE ELSE v END AS g, CASE WHEN {_MARK} THEN 0.0::DOUBLE ELSE v END AS b FROM ({R.GRAY}) g")
+
+# Streams (as batches) and grids.
+
+add("stream_windows", lambda s, d: windowed(R.table(s, d, "events")).select("win_start", "event_type", "n", shown("total", 4).alias("total"), "lo", "hi"), "SELECT date_trunc('hour', ts) AS win_start, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1, 2")
+add("grid", lambda s, d: grid(images_of(R.gray(s, d))), f"SELECT image_id, h, w, y, x FROM ({R.GRAY})")
+
+# Flagship: opening, Otsu's threshold, labels, properties of regions.
+
+
+def _flagship(s: SparkSession, d: str) -> DataFrame:
+    smooth = N.gray_opening(R.gray(s, d), CROSS)
+    return _props(labels.label(histograms.threshold(smooth, "otsu").drop("th")), R.gray(s, d))
+
+
+_SMOOTH = G.dilated(G.eroded(R.GRAY, CROSS), CROSS)
+_CUT = f"SELECT p.image_id, p.h, p.w, p.y, p.x, (p.v > t.th)::INT::DOUBLE AS v FROM ({_SMOOTH}) p JOIN ({G.otsu(_SMOOTH)}) t USING (image_id)"
+add("flagship_regions", _flagship, _props_sql(G.labelled(_CUT), R.GRAY))
