@@ -7,15 +7,18 @@ and once every slot holds a value below j no later step can change anything: wit
 many elements two or three steps do.
 
 Documents with the same set of shingles become one node first. Nodes that share a
-band are candidates. A band's members are first linked to its smallest node; links
+band are candidates. A band's members are first linked to its most typical node; links
 are confirmed on the full sets; then only members of one band that ended up in
 different components are compared, which loses no link and yet spares the pairs
-within a group.
+within a group. Of those, parity sketches of the sets rule out nearly all that are
+no link, without error, before they become rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHash, grams, key, mixed, numbered, signed, stored
+from .common import U64, WordHash, grams, key, mixed, numbered, rows_kept, signed, stored
 
 SHINGLE = 5
 SLOTS = 128
 BAND = 4
 #: Similarity, in hundredths.
 LEAST = 75
+#: Longs of a set's parity sketch.
+SKETCH = 32
 #: Elements hashed at once in a task.
 ELEMENTS = 300_000
 
@@ -75,6 +80,14 @@ def band_keys(signatures: np.ndarray, band: int = BAND) -> np.ndarray:
     return signed(h)
 
 
+def parity_sketches(elements: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
+    """Every element flips one bit of its set's sketch. Two sketches differ in no more bits than their sets
+    have elements that are not common, so a pair whose sketches differ too much is surely no link."""
+    size = SKETCH * 64
+    bits = np.bincount(owner * size + (mixed(elements ^ U64(0x5851F42D4C957F2D)) & U64(size - 1)).astype(np.int64), minlength=sets * size) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(sets, size), axis=1).view(np.int64)
+
+
 def _signatures(shingle: int, slots: int, band: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
@@ -99,11 +112,15 @@ def _signed_sets(rows, ids, sets, slots, band) -> pa.RecordBatch:
     elements = np.concatenate(sets)
     owner = np.repeat(np.arange(len(full)), sizes[full])
     keys = band_keys(super_minhash(elements, owner, len(full), slots), band) if len(full) else np.empty((0, slots // band), np.int64)
+    sketches = parity_sketches(elements, owner, len(full))
     with np.errstate(over="ignore"):
         sums = [np.array([f(s).sum(dtype=U64) for s in sets], U64) for f in (mixed, lambda s: mixed(s ^ U64(0xA5A5A5A5A5A5A5A5)))]
     offsets = np.concatenate(([0], np.cumsum(np.where(sizes > 0, keys.shape[1], 0))))
     bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel()))
-    return pa.RecordBatch.from_arrays([rows, ids, pa.array(sizes), pa.array(signed(sums[0])), pa.array(signed(sums[1])), bands], names=["row_no", "doc_id", "n_shingles", "s1", "s2", "bands"])
+    offsets = np.concatenate(([0], np.cumsum(np.where(sizes > 0, SKETCH, 0))))
+    sketch = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sketches.ravel()))
+    names = ["row_no", "doc_id", "n_shingles", "s1", "s2", "bands", "sketch"]
+    return pa.RecordBatch.from_arrays([rows, ids, pa.array(sizes), pa.array(signed(sums[0])), pa.array(signed(sums[1])), bands, sketch], names=names)
 
 
 def _sets(shingle: int):
@@ -193,32 +210,39 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, slo
     null id counts as the largest. Links are confirmed on full sets; with 32 bands of
     4 slots a pair at exactly 0.75 is missed as a candidate with probability 5e-6.
     """
-    schema = "row_no long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
+    schema = "row_no long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"
     signs = stored(numbered(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_signatures(shingle, slots, band), schema), "signatures")
     by = ["s1", "s2", "n_shingles"]
-    one = signs.where("n_shingles > 0").groupBy(*by).agg(F.min(F.struct("row_no", "bands")).alias("one"))
-    nodes = stored(one.select(F.col("one.row_no").alias("node"), "one.bands", *by), "nodes")
+    one = signs.where("n_shingles > 0").groupBy(*by).agg(F.min(F.struct("row_no", "bands", "sketch")).alias("one"))
+    nodes = stored(one.select(F.col("one.row_no").alias("node"), "one.bands", "one.sketch", *by), "nodes")
 
     rows = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    heads = rows.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("head")).where("members > 1").drop("members")
-    shared = stored(rows.join(heads, "band"), "shared")
+    counts = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    shared = stored(rows.join(counts, "band"), "shared")
+    # The text that others were made from has the most company in its bands: a good centre to link them to.
+    score = shared.groupBy("node").agg(F.sum("members").alias("score"))
+    ranked = shared.join(score, "node").withColumn("rank", F.struct("score", -F.col("node"), "node", "n"))
+    heads = ranked.groupBy("band").agg(F.max("rank").alias("head"))
     alike = lambda x, y: 100 * F.least(x, y) >= least * F.greatest(x, y)
-    star = shared.where((F.col("node") != F.col("head.node")) & alike(F.col("n"), F.col("head.n")))
-    pairs = stored(star.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    star = shared.join(heads, "band").where((F.col("node") != F.col("head.node")) & alike(F.col("n"), F.col("head.n")))
+    pairs = stored(star.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct(), "pairs")
     links = confirmed(docs, pairs, shingle, least)
     roots = components(links)
 
     at = shared.join(roots, "node", "left").select("node", "n", "band", F.coalesce("root", "node").alias("root"))
     torn = at.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    at = stored(at.join(torn, "band", "left_semi"), "torn")
+    at = stored(at.join(torn, "band", "left_semi").join(nodes.select("node", "sketch"), "node"), "torn")
+    # |A - B| + |B - A| <= (|A| + |B|) * (100 - least) / (100 + least) for links; the sketches bound the left side from below.
+    apart = reduce(add, [F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH)])
+    near = (100 + least) * apart <= (100 - least) * (F.col("x.n") + F.col("y.n"))
     x, y = at.alias("x"), at.alias("y")
-    cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & alike(F.col("x.n"), F.col("y.n")))
+    cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & alike(F.col("x.n"), F.col("y.n")) & near)
     cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     cross = stored(cross, "cross")
     if not cross.isEmpty():
         roots = components(links.unionByName(confirmed(docs, cross, shingle, least)))
 
-    member = signs.drop("bands").join(nodes.drop("bands"), by, "left").join(roots, "node", "left")
+    member = signs.drop("bands", "sketch").join(nodes.drop("bands", "sketch"), by, "left").join(roots, "node", "left")
     member = member.select("row_no", "doc_id", "n_shingles", F.coalesce("root", "node").alias("part"))
     first = member.where("part is not null").groupBy("part").agg(F.min(F.struct(key().alias("id"), "row_no")).alias("first"))
     return member.join(first, "part", "left").select(
@@ -232,8 +256,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, slo
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, all columns as they were."""
-    kept = near_groups(docs).where("kept").select(F.col("row_no").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    return rows_kept(docs, near_groups(docs).where("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
