@@ -216,7 +216,7 @@ def _step(items, window: int, names: list[str]):
             texts = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
             counts, spans, hit = phrases.hits(texts)
             old = [json.loads(x) for x in batch.column("found").to_pylist()]
-            found = [json.dumps([_merged(o[0] + s), sorted({*o[1], *(phrases.ids[i] for i in h)})]) for o, s, h in zip(old, spans, hit, strict=True)]
+            found = [json.dumps([_merged([*map(tuple, o[0]), *s]), sorted({*o[1], *(phrases.ids[i] for i in h)})]) for o, s, h in zip(old, spans, hit, strict=True)]
             kept = [c for c in names if c not in ("n_words", "found")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(counts, pa.int64()), pa.array(found)], names=[*kept, "n_words", "found"])
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ IDS = ["row_no", "doc_id", "n_points"]
 SPACE = b" \t\n\x0b\x0c\r"
 
 
+@lru_cache(maxsize=4)
 def _powers(chunk: int) -> list[np.ndarray]:
     out = []
     for p, b in zip(PRIMES, BASES, strict=True):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,6 +145,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     """Flat text blocks in page order with their own features: flags, heading, words, link density."""
     out: list[tuple[str, list[float]]] = []
     stack: list[tuple[str, tuple[int, int, int, int]]] = []
+    open_: Counter[str] = Counter()  # a tag that is not open is not looked for
     texts: list[str] = []
     linked: list[str] = []
     links = silent = 0
@@ -160,6 +162,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     def pop(to: int) -> None:
         nonlocal links, silent
         for tag, _ in stack[to:]:
+            open_[tag] -= 1
             links -= tag == "a"
             silent -= tag in SILENT
         del stack[to:]
@@ -188,7 +191,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         if tag not in INLINE:
             close()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if open_[tag] else ():
                 if stack[i][0] == tag:
                     pop(i)
                     break
@@ -199,7 +202,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             if tag in CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 ends = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,) if tag in ("li", "tr", "option") else ("p",)
                 stop = ("ul", "ol", "dl", "table", "tr") if ends != ("p",) else ("button", "td", "th", "table", "object")
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, -1, -1) if any(open_[e] for e in ends) else ():
                     if stack[i][0] in ends:
                         pop(i)
                         break
@@ -210,6 +213,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             above = stack[-1][1] if stack else (0, 0, 0, 0)
             own = _flags(tag, m[3])
             stack.append((tag, tuple(map(max, above, own))))
+            open_[tag] += 1
             links += tag == "a"
             silent += tag in SILENT
         if tag not in INLINE:
