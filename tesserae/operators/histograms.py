@@ -9,10 +9,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 c = F.col
-BINS = Window.partitionBy("image_id").orderBy("bin")
-UP = BINS.rowsBetween(Window.unboundedPreceding, 0)
-DOWN = BINS.rowsBetween(0, Window.unboundedFollowing)
-ALL = Window.partitionBy("image_id")
+
+
+def by_bin():
+    return Window.partitionBy("image_id").orderBy("bin")
+
+
+def upto():
+    return by_bin().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def onward():
+    return by_bin().rowsBetween(0, Window.unboundedFollowing)
+
+
+def every():
+    """All bins of an image."""
+    return Window.partitionBy("image_id")
 
 
 def bin_count(px: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
@@ -51,11 +64,11 @@ def histogram(px: DataFrame, bins: int | list[float] = 10) -> DataFrame:
 
 
 def normalised(hist: DataFrame) -> DataFrame:
-    return hist.withColumn("p", c("cnt") / F.sum("cnt").over(ALL))
+    return hist.withColumn("p", c("cnt") / F.sum("cnt").over(every()))
 
 
 def cdf(hist: DataFrame) -> DataFrame:
-    return hist.withColumn("cdf", F.sum("cnt").over(UP) / F.sum("cnt").over(ALL))
+    return hist.withColumn("cdf", F.sum("cnt").over(upto()) / F.sum("cnt").over(every()))
 
 
 def interpolated(queries: DataFrame, nodes: DataFrame, by: list[str], left: float | None = None) -> DataFrame:
@@ -89,17 +102,17 @@ def _trimmed(px: DataFrame, bins: int | None) -> DataFrame:
     """The histogram without empty bins at its ends."""
     hist = bin_count(px) if bins is None else histogram(px, bins)
     filled = F.when(c("cnt") > 0, c("bin"))
-    return hist.withColumns({"a": F.min(filled).over(ALL), "b": F.max(filled).over(ALL)}).where(c("bin").between(c("a"), c("b"))).drop("a", "b")
+    return hist.withColumns({"a": F.min(filled).over(every()), "b": F.max(filled).over(every())}).where(c("bin").between(c("a"), c("b"))).drop("a", "b")
 
 
 def _sums(hist: DataFrame) -> DataFrame:
     s = c("cnt") * c("bin")
-    return hist.withColumns({"n1": F.sum("cnt").over(UP), "n2": F.sum("cnt").over(DOWN), "m1": F.sum(s).over(UP) / F.sum("cnt").over(UP), "m2": F.sum(s).over(DOWN) / F.sum("cnt").over(DOWN)})
+    return hist.withColumns({"n1": F.sum("cnt").over(upto()), "n2": F.sum("cnt").over(onward()), "m1": F.sum(s).over(upto()) / F.sum("cnt").over(upto()), "m2": F.sum(s).over(onward()) / F.sum("cnt").over(onward())})
 
 
 def _best(hist: DataFrame, value: Column, shift: int = 0, least: bool = False) -> DataFrame:
     """The bin (or the one ``shift`` after it) with the greatest or least criterion; of equal ones the first."""
-    rows = hist.withColumn("crit", F.round(value, 9)).withColumn("at", F.lead("bin", shift).over(BINS) if shift else c("bin")).where("crit is not null")
+    rows = hist.withColumn("crit", F.round(value, 9)).withColumn("at", F.lead("bin", shift).over(by_bin()) if shift else c("bin")).where("crit is not null")
     order = c("crit") if least else -c("crit")
     return rows.groupBy("image_id").agg(F.min_by("at", F.struct(order, c("bin"))).alias("th"))
 
@@ -109,19 +122,19 @@ def _ln(x: Column) -> Column:
 
 
 def otsu(px: DataFrame, bins: int | None = None) -> DataFrame:
-    n2, m2 = F.lead("n2").over(BINS), F.lead("m2").over(BINS)
+    n2, m2 = F.lead("n2").over(by_bin()), F.lead("m2").over(by_bin())
     return _lone(px, _best(_sums(_trimmed(px, bins)), c("n1") * n2 * F.pow(c("m1") - m2, 2)))
 
 
 def li_and_lee(px: DataFrame, bins: int | None = None) -> DataFrame:
-    n2, m2 = F.lead("n2").over(BINS), F.lead("m2").over(BINS)
+    n2, m2 = F.lead("n2").over(by_bin()), F.lead("m2").over(by_bin())
     return _lone(px, _best(_sums(_trimmed(px, bins)), c("n1") * c("m1") * _ln(c("m1")) + n2 * m2 * _ln(m2), 1))
 
 
 def kapur(px: DataFrame, bins: int | None = None) -> DataFrame:
     h = normalised(_trimmed(px, bins))
     h = h.withColumn("e", c("p") * F.log(F.when(c("p") <= 0, 1.0).otherwise(c("p"))))
-    h = h.withColumns({"p1": F.sum("p").over(UP), "p2": F.sum("p").over(DOWN), "e1": F.sum("e").over(UP), "all": F.sum("e").over(ALL)})
+    h = h.withColumns({"p1": F.sum("p").over(upto()), "p2": F.sum("p").over(onward()), "e1": F.sum("e").over(upto()), "all": F.sum("e").over(every())})
     return _best(h, -(c("e1") / c("p1")) + F.log("p1") - (c("all") - c("e1")) / c("p2") + F.log("p2"))
 
 
@@ -129,9 +142,9 @@ def minimum_error(px: DataFrame, bins: int | None = None) -> DataFrame:
     """The spreads add up (bin - mean)^2 bin by bin, without the counts."""
     h = _sums(_trimmed(px, bins))
     h = h.withColumns({"q1": F.pow(c("bin") - c("m1"), 2), "q2": F.pow(c("bin") - c("m2"), 2)})
-    h = h.withColumns({"s1": F.sqrt(F.sum("q1").over(UP) / c("n1")), "s2": F.sqrt(F.sum("q2").over(DOWN) / c("n2"))})
+    h = h.withColumns({"s1": F.sqrt(F.sum("q1").over(upto()) / c("n1")), "s2": F.sqrt(F.sum("q2").over(onward()) / c("n2"))})
     one = lambda x: F.when(x == 0, 1.0).otherwise(x)
-    n1, s1 = F.lead("n1").over(BINS), one(F.lead("s1").over(BINS))
+    n1, s1 = F.lead("n1").over(by_bin()), one(F.lead("s1").over(by_bin()))
     s2 = one(c("s2"))
     return _lone(px, _best(h, 1 + 2 * (n1 * F.log(s1 / s2) + c("n2") * F.log(s2 / s1)), 1, least=True))
 

@@ -16,13 +16,13 @@ from . import neighbourhood as N
 from .pointwise import quantise
 
 c = F.col
-ROW = Window.partitionBy("image_id", "y").orderBy("x")
 
 
 def runs(px: DataFrame) -> DataFrame:
     """Foreground runs (image_id, w, y, x0, x1, cls, run): stretches of a row with one class; run is the first cell's raster number."""
-    rows = px.where("v <> 0").withColumn("new", ((c("x") - F.lag("x").over(ROW) > 1) | (c("v") != F.lag("v").over(ROW))).cast("int"))
-    rows = rows.withColumn("no", F.sum(F.coalesce("new", F.lit(1))).over(ROW.rowsBetween(Window.unboundedPreceding, 0)))
+    row = Window.partitionBy("image_id", "y").orderBy("x")
+    rows = px.where("v <> 0").withColumn("new", ((c("x") - F.lag("x").over(row) > 1) | (c("v") != F.lag("v").over(row))).cast("int"))
+    rows = rows.withColumn("no", F.sum(F.coalesce("new", F.lit(1))).over(row.rowsBetween(Window.unboundedPreceding, 0)))
     out = rows.groupBy("image_id", "w", "y", "no").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.first("v").alias("cls"))
     return out.select("image_id", "w", "y", "x0", "x1", "cls", (c("y").cast("long") * c("w") + c("x0")).alias("run"))
 

@@ -20,7 +20,7 @@ def windowed(events: DataFrame, width: str = "1 hour", slide: str | None = None,
     On a stream, state is kept until the watermark passes, ``late`` behind the latest row.
     """
     if events.isStreaming:
-        events = events.withWatermark("ts", late)
+        events = events.withColumn("ts", c("ts").cast("timestamp")).withWatermark("ts", late)
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
     out = events.groupBy(w.alias("win"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     return out.select(c("win.start").alias("win_start"), "event_type", "n", "total", "lo", "hi")
