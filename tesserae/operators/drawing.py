@@ -67,6 +67,11 @@ def mark_points(px: DataFrame, points: DataFrame, shape: str = "CIRCLE", colour:
 
 
 def inside_hull(edges: Column, y: Column, x: Column) -> Column:
-    """Whether (y, x) lies in or on a hull given as an array of edges (y0, x0, y1, x1): all turns have one sign."""
+    """Whether (y, x) lies in or on a hull given as an array of edges (y0, x0, y1, x1); false where there is none.
+
+    All turns have one sign; the box settles hulls that are a point or a stretch.
+    """
     side = lambda e: (e["x1"] - e["x0"]) * (y - e["y0"]) - (e["y1"] - e["y0"]) * (x - e["x0"])
-    return F.forall(edges, lambda e: side(e) >= 0) | F.forall(edges, lambda e: side(e) <= 0)
+    ys, xs = (F.transform(edges, lambda e: e["y0"]), F.transform(edges, lambda e: e["x0"]))
+    box = y.between(F.array_min(ys), F.array_max(ys)) & x.between(F.array_min(xs), F.array_max(xs))
+    return F.coalesce(box & (F.forall(edges, lambda e: side(e) >= 0) | F.forall(edges, lambda e: side(e) <= 0)), F.lit(False))

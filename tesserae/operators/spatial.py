@@ -146,12 +146,12 @@ def hull_edges(corners: DataFrame) -> DataFrame:
 
 def hull_contains(corners: DataFrame, queries: DataFrame) -> DataFrame:
     """Queries (set_id, y, x) with inside: in or on the hull of their set."""
-    return queries.join(hull_edges(corners), "set_id").withColumn("inside", inside_hull(c("edges"), c("y"), c("x"))).drop("edges")
+    return queries.join(hull_edges(corners), "set_id", "left").withColumn("inside", inside_hull(c("edges"), c("y"), c("x"))).drop("edges")
 
 
 def hull_image(corners: DataFrame, images: DataFrame) -> DataFrame:
     """Filled hulls on grids (image_id, h, w); set_id is the image."""
-    cells = grid(images).join(hull_edges(corners).withColumnRenamed("set_id", "image_id"), "image_id")
+    cells = grid(images).join(hull_edges(corners).withColumnRenamed("set_id", "image_id"), "image_id", "left")
     return cells.select(*PIXEL, inside_hull(c("edges"), c("y"), c("x")).cast("double").alias("v"))
 
 

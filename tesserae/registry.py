@@ -248,7 +248,7 @@ pixels("morph_erode", N.binary_erosion, G.eroded(R.MASK, CROSS), R.mask)
 pixels("morph_dilate", N.binary_dilation, G.dilated(R.MASK, CROSS), R.mask)
 pixels("morph_erode_anchor", lambda p: N.binary_erosion(p, CORNER, (1, 1), border=1), G.eroded(R.MASK, CORNER, 1.0, (1, 1)), R.mask)
 pixels("morph_dilate_twice", lambda p: N.binary_dilation(p, CROSS, iterations=2), G.dilated(G.dilated(R.MASK, CROSS), CROSS), R.mask)
-pixels("morph_erode_stable", lambda p: N.binary_erosion(p, BOX3, iterations=-1), f"SELECT * REPLACE (0.0 AS v) FROM ({R.MASK})", R.mask)
+pixels("morph_erode_stable", lambda p: N.binary_erosion(p, BOX3, iterations=-1), f"SELECT * REPLACE (0.0::DOUBLE AS v) FROM ({R.MASK})", R.mask)
 pixels("morph_open", N.binary_opening, G.dilated(G.eroded(R.MASK, CROSS), CROSS), R.mask)
 pixels("morph_close", N.binary_closing, G.eroded(G.dilated(R.MASK, CROSS), CROSS), R.mask)
 _E, _D = G.eroded(R.MASK, CROSS), G.dilated(R.MASK, CROSS)
@@ -439,15 +439,15 @@ add("kmeans_fit", _kmeans)
 
 
 def _foreground(s: SparkSession, d: str) -> DataFrame:
-    return R.mask(s, d, 250).where("v = 1").select(c("image_id").alias("set_id"), "y", "x")
+    return R.gray(s, d).where("v % 61 = 3").select(c("image_id").alias("set_id"), "y", "x")
 
 
-_FG = f"SELECT image_id AS set_id, y, x FROM ({R.GRAY}) WHERE v > 250"
+_FG = f"SELECT image_id AS set_id, y, x FROM ({R.GRAY}) WHERE v % 61 = 3"
 # A point is a corner of the hull if no two others have it between or inside them.
 _ON = "SELECT DISTINCT a.set_id, a.y, a.x, b.y AS y2, b.x AS x2 FROM f a JOIN f b ON a.set_id = b.set_id AND (a.y <> b.y OR a.x <> b.x) WHERE NOT EXISTS (SELECT 1 FROM f q WHERE q.set_id = a.set_id AND ((b.y - a.y) * (q.x - a.x) - (b.x - a.x) * (q.y - a.y) < 0 OR ((b.y - a.y) * (q.x - a.x) - (b.x - a.x) * (q.y - a.y) = 0 AND ((q.y - a.y) * (q.y - b.y) + (q.x - a.x) * (q.x - b.x)) > 0)))"
 _HULL = f"WITH f AS ({_FG}), e AS ({_ON}) "
 add("hull", lambda s, d: spatial.convex_hull(_foreground(s, d)).select("set_id", c("y").cast("int").alias("y"), c("x").cast("int").alias("x")), _HULL + "SELECT DISTINCT set_id, y, x FROM e")
-_INSIDE = "NOT EXISTS (SELECT 1 FROM e WHERE e.set_id = g.image_id AND (e.y2 - e.y) * (g.x - e.x) - (e.x2 - e.x) * (g.y - e.y) < 0)"
+_INSIDE = "EXISTS (SELECT 1 FROM e WHERE e.set_id = g.image_id) AND NOT EXISTS (SELECT 1 FROM e WHERE e.set_id = g.image_id AND (e.y2 - e.y) * (g.x - e.x) - (e.x2 - e.x) * (g.y - e.y) < 0)"
 add("hull_fill", lambda s, d: _plain(spatial.hull_image(spatial.convex_hull(_foreground(s, d)), images_of(R.gray(s, d)))), _HULL + f"SELECT g.image_id, g.y, g.x, ({_INSIDE})::INT::DOUBLE AS v FROM ({R.GRAY}) g")
 add("hull_query", lambda s, d: spatial.hull_contains(spatial.convex_hull(_foreground(s, d)), R.gray(s, d).where("(y + x) % 5 = 0").select(c("image_id").alias("set_id"), "y", "x")), _HULL + f"SELECT g.image_id AS set_id, g.y, g.x, {_INSIDE} AS inside FROM ({R.GRAY}) g WHERE (g.y + g.x) % 5 = 0")
 add("hull_outline", lambda s, d: spatial.hull_outline(spatial.convex_hull(_foreground(s, d))))
@@ -470,12 +470,12 @@ add("draw_line", lambda s, d: drawing.lines(_segments(s, d)), _LINE)
 
 
 def _centres(s: SparkSession, d: str) -> DataFrame:
-    return R.gray(s, d).where("v > 250").select("image_id", "y", "x")
+    return R.gray(s, d).where("v % 61 = 3").select("image_id", "y", "x")
 
 
 def _stamped(offsets) -> str:
     o = ", ".join(f"({a}, {b})" for a, b in dict.fromkeys(offsets))
-    return f"SELECT g.image_id, g.y + o.dy AS y, g.x + o.dx AS x FROM ({R.GRAY}) g CROSS JOIN (VALUES {o}) o(dy, dx) WHERE g.v > 250"
+    return f"SELECT g.image_id, g.y + o.dy AS y, g.x + o.dx AS x FROM ({R.GRAY}) g CROSS JOIN (VALUES {o}) o(dy, dx) WHERE g.v % 61 = 3"
 
 
 add("draw_circle", lambda s, d: drawing.circles(_centres(s, d), 6), _stamped(circle_points(6)))
