@@ -42,6 +42,13 @@ def pad(px: DataFrame, top: int, bottom: int, left: int, right: int, mode: str =
     return px.unionByName(frame.where(~inside()).select(*PIXEL, *others))
 
 
+def border_mask(px: DataFrame, rows: int, columns: int) -> DataFrame:
+    """1 on the frame that kernels of this size reach over (half the size, rounded down), else 0; a side of 1 has none."""
+    ry, rx = rows // 2, columns // 2
+    framed = (c("y") < ry) | (c("y") >= c("h") - ry) | (c("x") < rx) | (c("x") >= c("w") - rx)
+    return px.withColumn("v", framed.cast("double"))
+
+
 def neighbours(px: DataFrame, taps: Sequence[K.Tap], mode: str = "constant", value: float = 0.0, pad_zeros: bool = True) -> DataFrame:
     """Rows (image_id, h, w, y, x, wt, ... values): for each cell, its taps' weights and what they read.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.frames import PIXEL
 from . import neighbourhood as N
 from .labels import fill_holes
+from .spatial import convex_hull, hull_contains
 
 c = F.col
 REGION = ["image_id", "label"]
@@ -86,6 +87,18 @@ def region_shapes(labels: DataFrame) -> DataFrame:
     return out.select(c("i").alias("image_id"), "label", "area", "area_filled", "perimeter", (c("area") - c("area_filled")).alias("euler_number"), ratio.alias("circularity"))
 
 
+def region_hulls(labels: DataFrame) -> DataFrame:
+    """Area, convex hull (its number of corners) and cells within the hull (area_convex) of each region."""
+    cells = labels.where("label > 0").withColumn("set_id", F.xxhash64("image_id", "label"))
+    names = cells.groupBy("set_id").agg(F.first("image_id").alias("image_id"), F.first("label").alias("label"), F.count("*").alias("area"))
+    corners = convex_hull(cells.select("set_id", "y", "x"))
+    boxes_ = find_objects(labels).withColumn("set_id", F.xxhash64("image_id", "label"))
+    grid_ = boxes_.select("set_id", F.explode(F.sequence("y0", "y1")).alias("y"), "x0", "x1").select("set_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+    inside = hull_contains(corners, grid_).groupBy("set_id").agg(F.sum(c("inside").cast("long")).alias("area_convex"))
+    n = corners.groupBy("set_id").agg(F.count("*").alias("n_corners"))
+    return names.join(inside, "set_id").join(n, "set_id").select("image_id", "label", "area", "area_convex", "n_corners")
+
+
 def _half_away(x: float) -> int:
     return int(math.copysign(math.floor(abs(x) + 0.5), x))
 

@@ -114,6 +114,8 @@ pixels("cast_uint8", lambda p: p.withColumn("v", cast_to(c("v") * 1.5 - 60, "uin
 for _mode in MODES[2:]:
     pixels(f"pad_{_mode}", lambda p, m=_mode: N.pad(p, 2, 3, 4, 1, m), f"SELECT g.image_id, g.y, g.x, s.v FROM (SELECT i.i::BIGINT AS image_id, y.y::INT AS y, x.x::INT AS x FROM range(4) i(i), range(-2, 35) y(y), range(-4, 33) x(x)) g JOIN ({R.GRAY}) s ON s.image_id = g.image_id AND s.y = {G.fit_sql('g.y', '32', _mode)} AND s.x = {G.fit_sql('g.x', '32', _mode)}")
 
+pixels("border_mask", lambda p: N.border_mask(p, 5, 3), f"SELECT * REPLACE ((y < 2 OR y >= h - 2 OR x < 1 OR x >= w - 1)::INT::DOUBLE AS v) FROM ({R.GRAY})")
+
 # Histograms and thresholds.
 
 
@@ -306,6 +308,7 @@ def _props_sql(lab: str, px: str) -> str:
 
 add("region_props", lambda s, d: _props(labels.label(R.mask(s, d)), R.gray(s, d)), _props_sql(_L, R.GRAY))
 add("region_shapes", lambda s, d: regions.region_shapes(labels.label(R.mask(s, d))).select("image_id", "label", "area", "area_filled", shown("perimeter").alias("perimeter"), "euler_number", shown("circularity").alias("circularity")))
+add("region_hulls", lambda s, d: regions.region_hulls(labels.label(R.mask(s, d))))
 _CODES = G.convolved(G.minus(R.MASK, _E, "(a.v <> b.v)::INT::DOUBLE"), regions.CODES)
 add(
     "perimeter",
@@ -361,7 +364,7 @@ add("hough_line", lambda s, d: features.hough_line(R.mask(s, d), _ANGLES), f"SEL
 _RADII = (3, 5)
 _CO = ", ".join(f"({i}, {a}, {b})" for i, r in enumerate(_RADII) for a, b in circle_points(r))
 add("hough_circle", lambda s, d: features.hough_circle(R.mask(s, d), _RADII), f"SELECT image_id, o.i AS radius_ix, p.y + o.dy AS y, p.x + o.dx AS x, count(*) AS votes FROM ({R.MASK}) p CROSS JOIN (VALUES {_CO}) o(i, dy, dx) WHERE v <> 0 AND p.y + o.dy BETWEEN 0 AND 31 AND p.x + o.dx BETWEEN 0 AND 31 GROUP BY ALL")
-add("hough_pp_line", lambda s, d: whole_image.hough_probabilistic_line(R.mask(s, d), _ANGLES, 5, 6, 2))
+add("hough_pp_line", lambda s, d: whole_image.hough_probabilistic_line(R.mask(s, d, 40), _ANGLES, 5, 6, 2))
 add("hough_line_peak", lambda s, d: whole_image.hough_line_peak(features.hough_line(R.mask(s, d), _ANGLES), 5))
 add("hough_circle_peak", lambda s, d: whole_image.hough_circle_peak(features.hough_circle(R.mask(s, d), _RADII), 5))
 add("peaks", lambda s, d: whole_image.find_peaks(R.gray(s, d), 3, n_peaks=10))

@@ -145,6 +145,12 @@ def test_hull(spark):
     assert {(r.y, r.x) for r in hull.collect()} <= {(y, x) for y, x in pts.tolist()}
 
 
+def test_region_hulls(spark):
+    u = [[1, 0, 1, 0], [1, 0, 1, 0], [1, 1, 1, 0], [0, 0, 0, 1]]
+    got = {r.label: (r.area, r.area_convex, r.n_corners) for r in regions.region_hulls(labels.label(px(spark, u))).collect()}
+    assert got == {1: (7, 9, 4), 2: (1, 1, 1)}
+
+
 def test_knn_in_blocks(spark):
     rng = np.random.default_rng(5)
     p = rng.integers(0, 50, (80, 2)).astype(float)
