@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.frames import IMAGE, LIMITS
+from ..plans.frames import LIMITS
 
 c = F.col
 
