@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 MARK = "▁"
 #: Frequent words that go to every task, and their greatest length: at most 100,000 x 48 code points.
 FREQUENT = 100_000
@@ -47,9 +49,20 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(texts: DataFrame, most: int = FREQUENT) -> DataFrame:
-    """The most frequent marked words: word, n. Counted in the tasks before the shuffle."""
+    """The most frequent marked words, at most ``most``: word, n. Counted in the tasks before the shuffle.
+
+    Words go in by whole classes of like frequency, so the choice needs a small histogram and no global sort.
+    """
     counts = texts.select("text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most)
+    level = F.floor(F.log2("n") * 64).cast("int").alias("level")  # at most 64 x 63 levels, whatever the corpus
+    counts = stored(counts.where("n > 1").select("word", "n", level), "words")
+    least, total = None, 0
+    for r in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["level"]
+    return counts.where(F.lit(False) if least is None else F.col("level") >= least).select("word", "n")
 
 
 class WordTable(dict):
