@@ -215,8 +215,8 @@ def exact_groups(docs: DataFrame, chunk: int = CHUNK, salts: int = SALTS) -> Dat
     rows = prints.withColumn("part", F.lit(0)) if parts is None else prints.join(parts, "row_no", "left").fillna({"part": 0})
     by = [*PRINT, "part"]
     best = F.min(F.struct((-F.col("n_points")).alias("n"), key().alias("id"), F.col("row_no").alias("row"))).alias("best")
-    groups = rows.groupBy(*by).agg(F.count("*").alias("group_size"), best)
-    # Lone texts need no join; the rest join the small table of groups.
+    # From a stored table the join reads both sides through exchanges of its own, which lets Spark split the rows of a hot group.
+    groups = stored(rows.groupBy(*by).agg(F.count("*").alias("group_size"), best), "groups")
     return rows.join(groups, by).select(
         "row_no",
         "doc_id",

@@ -183,41 +183,54 @@ class Model:
         self.by_word, self.by_gram, self.q, self.prior = by_word, by_gram, q, prior
 
 
+class Vocabulary:
+    """Distinct words as arrays: checksums, lengths, and the ids of their n-grams end to end."""
+
+    def __init__(self, words: list[bytes]):
+        self.crc = np.array([crc32(w) for w in words], np.int64)
+        self.size = np.array([len(w) for w in words], np.float32)
+        grams = [np.array(gram_ids(w), np.int32) for w in words]
+        self.start = np.concatenate(([0], np.cumsum([len(g) for g in grams]))).astype(np.int64)
+        self.grams = np.concatenate([np.empty(0, np.int32), *grams])
+
+    def grams_of(self, words: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.int32), *(self.grams[self.start[i] : self.start[i + 1]] for i in words.tolist())])
+
+    def inputs(self, by_word: np.ndarray, by_gram: np.ndarray) -> np.ndarray:
+        """``word_input`` of every word."""
+        if not len(self.crc):
+            return np.empty((0, INPUTS), np.float32)
+        e, at = by_gram[self.grams], self.start[:-1]
+        mean, most = np.add.reduceat(e, at) / np.diff(self.start), np.maximum.reduceat(e, at)
+        code = [((self.crc >> k) & 255) / 255 - 0.5 for k in (16, 24)]
+        return np.stack([by_word[self.crc & (WORDS - 1)] / 2, mean, most / 2, np.minimum(self.size, 20) / 20, *code], 1).astype(np.float32)
+
+
 def train(texts: list[bytes], y: np.ndarray, epochs: int = 14, seed: int = 7) -> Model:
     prior = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
     if len(np.unique(y)) < 2:
         return Model(None, None, None, prior)
     rng = np.random.default_rng(seed)
-    words = [words_of(t) for t in texts]
+    vocabulary: dict[bytes, int] = {}
+    numbers = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)), np.int64) for t in texts]
+    facts = Vocabulary(list(vocabulary))
     fold = np.zeros(len(y), np.int64)
     for value in (0, 1):
         mine = np.flatnonzero(y == value)
         fold[rng.permutation(mine)] = np.arange(len(mine)) % FOLDS
     hits = {k: np.zeros((2, FOLDS, n), np.float32) for k, n in (("w", WORDS), ("g", GRAMS))}
-    for d, w in enumerate(words):
-        distinct = set(w)
-        ids = {"w": np.unique([crc32(x) & (WORDS - 1) for x in distinct]), "g": np.unique([i for x in distinct for i in gram_ids(x)])}
-        for k, i in ids.items():
-            if len(i):
-                hits[k][int(y[d]), fold[d], i.astype(np.int64)] += 1
-
-    def tables(without: int | None) -> list[list[float]]:
+    for d, n in enumerate(numbers):
+        distinct = np.unique(n)
+        for k, i in (("w", facts.crc[distinct] & (WORDS - 1)), ("g", facts.grams_of(distinct))):
+            hits[k][int(y[d]), fold[d], np.unique(i)] += 1
+
+    def tables(without: int | None) -> list[np.ndarray]:
         use = [f for f in range(FOLDS) if f != without]
-        return [evidence((h := hits[k][:, use].sum(axis=1)).sum(axis=0), h[1], prior).tolist() for k in ("w", "g")]
-
-    # Inputs of every training word, under the tables that have not seen its document.
-    numbers: list[np.ndarray] = [np.empty(0, np.int64)] * len(y)
-    rows: list[tuple[float, ...]] = [(0.0,) * INPUTS]
-    for f in range(FOLDS):
-        by_word, by_gram = tables(f)
-        known: dict[bytes, int] = {}
-        for d in np.flatnonzero(fold == f):
-            for x in words[d]:
-                if x not in known:
-                    known[x] = len(rows)
-                    rows.append(word_input(x, by_word, by_gram))
-            numbers[d] = np.fromiter((known[x] for x in words[d]), np.int64, len(words[d]))
-    x = np.array(rows, np.float32)
+        return [evidence((h := hits[k][:, use].sum(axis=1)).sum(axis=0), h[1], prior) for k in ("w", "g")]
+
+    # Inputs of every word, for each fold under the tables that have not seen its documents; row 0 pads.
+    x = np.concatenate([np.zeros((1, INPUTS), np.float32), *(facts.inputs(*tables(f)) for f in range(FOLDS))])
+    numbers = [1 + fold[d] * len(facts.crc) + n for d, n in enumerate(numbers)]
     windows, owner, _ = cut(numbers)
     q = fresh(rng)
     q["c"][0] = np.log(prior / (1 - prior))
@@ -235,7 +248,7 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 14, seed: int = 7) ->
                 adam.step(q, g)
         if epoch == epochs * 2 // 3:
             adam.rate /= 4
-    return Model(*(np.array(t, np.float32) for t in tables(None)), q, prior)
+    return Model(*tables(None), q, prior)
 
 
 class Scorer:

@@ -24,6 +24,13 @@ def test_toxicity_gradient():
         assert (up - down) / (2 * e) == pytest.approx(g[k][i], abs=1e-6)
 
 
+def test_inputs_of_a_vocabulary_are_those_of_its_words():
+    rng = np.random.default_rng(3)
+    by_word, by_gram = (rng.normal(size=n).astype(np.float32) for n in (T.WORDS, T.GRAMS))
+    words = [b"a", b"toxic", "größe".encode(), b"x" * 60]
+    assert T.Vocabulary(words).inputs(by_word, by_gram) == pytest.approx(np.array([T.word_input(w, by_word, by_gram) for w in words]), abs=1e-5)
+
+
 def test_windows_overlap_and_cover():
     for n in (0, 1, 31, 32, 33, 56, 57, 500):
         windows, owner, first = T.cut([np.arange(1, n + 1)])
