@@ -4,21 +4,38 @@ If no piece of the vocabulary has a whitespace marker after another character, n
 merge crosses into a marker, and a text's ids are those of its marked words put
 together. So each distinct word is segmented once and the ids are joined back by
 position; decoding joins the words' decoded texts in the same way.
+
+Texts are taken in blocks of bounded size. A block sends each of its distinct words
+once to the word's bucket, sorted and packed; the bucket segments every distinct word
+once for all blocks and answers in the same order; the answers meet the block's texts,
+which give the words their positions. A word of every document costs a bucket one
+entry for each block, so frequent words need no care of their own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import numbered
-from .word_table import FREQUENT, MARK, WordTable, by_parts, frequent_words
+from .word_table import MARK, WordTable, marked_words
+
+#: UTF-8 bytes of text in a block; a longer text is a block of its own.
+BLOCK = 8_000_000
+#: Buckets of words for each shuffle partition; a task holds the table of one bucket at a time.
+BUCKETS = 4
+TEXTS = -1
 
 
 def default_model() -> str:
@@ -40,62 +57,170 @@ def processor(model: str):
     return sp
 
 
-def segmented(model: str, words: list[str]) -> list[tuple[str, int, str]]:
-    """For each marked word: its ids as decimals joined by commas, their number, its decoded text."""
+def plain(word: str) -> str:
+    """What nearly every marked word decodes to."""
+    return word[1:].replace(MARK, " ")
+
+
+def segmented(model: str, words: list[str]) -> list[tuple[bytes, str | None]]:
+    """For each marked word: its ids as little-endian 32-bit numbers, and its decoded text where that is not the plain one."""
     sp = processor(model)
     ids = sp.encode([w[1:] for w in words], num_threads=1) if words else []
     # The library gives no ids for an empty text; a lone marker is a word within a text.
     ids = [x or [sp.piece_to_id(MARK)] for x in ids]
-    texts = [sp.decode(x) for x in ids]
-    return [(",".join(map(str, x)), len(x), t) for x, t in zip(ids, texts, strict=True)]
+    texts = sp.decode(ids) if ids else []
+    return [(np.array(x, "<u4").tobytes(), None if t == plain(w) else t) for w, x, t in zip(words, ids, texts, strict=True)]
+
+
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Consecutive rows with ``size`` bytes of text or a little more; the cuts depend on the rows alone."""
+    held, total = [], 0
+    for batch in batches:
+        first = 0
+        for i, n in enumerate(pc.binary_length(batch.column("text")).to_pylist(), 1):
+            total += n
+            if total >= size:
+                yield pa.Table.from_batches([*held, batch.slice(first, i - first)])
+                held, total, first = [], 0, i
+        if first < batch.num_rows:
+            held.append(batch.slice(first))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def words_by_bucket(rows: pa.Table, buckets: int) -> dict[int, list[str]]:
+    """The distinct marked words of a block in order, dealt over buckets."""
+    words: set[str] = set()
+    for text in rows.column("text"):
+        words.update(marked_words(text.as_py()))
+    dealt: dict[int, list[str]] = {}
+    for word in sorted(words):
+        dealt.setdefault(crc32(word.encode()) % buckets, []).append(word)
+    return dealt
+
+
+def _packed(block: list[int], bucket: list[int], **binary: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), *(pa.array(x, pa.binary()) for x in binary.values())], names=["block", "bucket", *binary])
+
+
+def _distinct(size: int, buckets: int):
+    """Each block's distinct words, a row for each bucket. A block is named by its first row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor().compress
+        for rows in blocks(batches, size):
+            dealt = words_by_bucket(rows, buckets)
+            # No marked word has a space in it.
+            yield _packed([rows["row_no"][0].as_py()] * len(dealt), list(dealt), words=[pack(" ".join(w).encode()) for w in dealt.values()])
+
+    return run
 
 
 def _segment(model: str):
+    """Answers each row of words, bucket after bucket, by their ids end to end, the numbers of ids, and odd decoded texts by index."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, unpack = zstandard.ZstdCompressor().compress, zstandard.ZstdDecompressor().decompress
+        at, known = None, WordTable({}, lambda words: segmented(model, words))
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            ids, n, text = zip(*segmented(model, words), strict=True) if words else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.string()), pa.array(n, pa.int64()), pa.array(text, pa.string())], names=["word", "ids", "n", "decoded"])
+            for block, bucket, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "words")), strict=True):
+                if bucket != at:
+                    known.clear()
+                    at = bucket
+                words = unpack(packed).decode().split(" ")
+                known.learn(set(words))
+                ids, texts = zip(*map(known.__getitem__, words), strict=True)
+                counts = np.array([len(x) // 4 for x in ids], "<u4")
+                flat = np.frombuffer(b"".join(ids), "<u4")
+                flat = flat.astype("<u2") if not len(flat) or flat.max() < 1 << 16 else flat
+                odd = {i: t for i, t in enumerate(texts) if t is not None}
+                yield _packed([block], [bucket], ids=[flat.dtype.str.encode() + pack(flat.tobytes())], counts=[pack(counts.tobytes())], odd=[json.dumps(odd).encode() if odd else None])
+
+    return run
+
+
+def _texts(size: int):
+    """Each block's rows as one packed row, to meet the answers to its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in blocks(batches, size):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(rows.combine_chunks())
+            yield _packed([rows["row_no"][0].as_py()], [TEXTS], ids=[out.getvalue().to_pybytes()], counts=[None], odd=[None])
 
     return run
 
 
-def _encode(model: str, table, digests: bool):
+def _answers(words: list[str], ids: bytes, counts: bytes, odd: bytes | None) -> Iterator[tuple[str, tuple[str, int, str]]]:
+    """Word, (its ids as decimals joined by commas, their number, its decoded text)."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    n = np.frombuffer(unpack(counts), "<u4").tolist()
+    decimals = list(map(str, np.frombuffer(unpack(ids[3:]), ids[:3].decode()).tolist()))
+    texts, at = json.loads(odd) if odd else {}, 0
+    for i, (word, k) in enumerate(zip(words, n, strict=True)):
+        text = texts.get(str(i)) if texts else None
+        yield word, (",".join(decimals[at : at + k]), k, plain(word) if text is None else text)
+        at += k
+
+
+def _encoded(rows: pa.Table, known: dict[str, tuple[str, int, str]], digests: bool) -> Iterator[pa.RecordBatch]:
+    for batch in rows.to_batches(max_chunksize=1000):
+        counts, ids, decoded = [], [], []
+        for text in batch.column("text"):
+            words = marked_words(text.as_py())
+            a, n, t = zip(*map(known.__getitem__, words), strict=True) if words else ((), (), ())
+            counts.append(sum(n))
+            ids.append(",".join(a))
+            decoded.append(" ".join(t))
+            if digests:
+                ids[-1], decoded[-1] = (hashlib.sha256(x[-1].encode()).hexdigest() for x in (ids, decoded))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row_no"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["row_no", "doc_id", "n_tokens", "ids", "decoded"]
+        )
+
+
+def _join(buckets: int, digests: bool):
+    """Blocks in order, each with its texts first and then the answers of all buckets that have words of it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordTable(table.value, lambda words: segmented(model, words))
+        rows, dealt, known = None, {}, {}
         for batch in batches:
-            for first, texts in by_parts(batch):
-                known.learn(set().union(*texts))
-                counts, ids, decoded = [], [], []
-                for words in texts:
-                    a, n, t = zip(*map(known.__getitem__, words), strict=True) if words else ((), (), ())
-                    counts.append(sum(n))
-                    ids.append(",".join(a))
-                    decoded.append(" ".join(t))
-                if digests:
-                    ids, decoded = ([hashlib.sha256(x.encode()).hexdigest() for x in y] for y in (ids, decoded))
-                rows = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("row_no"), rows.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["row_no", "doc_id", "n_tokens", "ids", "decoded"]
-                )
+            for i in range(batch.num_rows):
+                bucket, ids, counts, odd = (batch.column(c)[i].as_py() for c in ("bucket", "ids", "counts", "odd"))
+                if bucket == TEXTS:
+                    if dealt:
+                        raise ValueError("a block lacks answers to its words")
+                    rows, known = pa.ipc.open_stream(ids).read_all(), {}
+                    dealt = words_by_bucket(rows, buckets)
+                else:
+                    known.update(_answers(dealt.pop(bucket), ids, counts, odd))
+                if not dealt:
+                    yield from _encoded(rows, known, digests)
+        if dealt:
+            raise ValueError("a block lacks answers to its words")
 
     return run
 
 
-def encoded(docs: DataFrame, model: str | None = None, frequent: int = FREQUENT, digests: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, model: str | None = None, block: int = BLOCK, buckets: int | None = None, digests: bool = False) -> DataFrame:
     """Ids and decoded text of every document, as the sentencepiece library gives them.
 
     One row per row of ``docs``: row_no, doc_id, n_tokens, ids (decimals joined by
     commas) and decoded; with ``digests`` the SHA-256 of the two in hex, so that the
     texts leave no task. Null and empty texts have no ids and decode to the empty text.
+    ``block`` bounds the text that a task holds, ``buckets`` divides the distinct words.
     """
     model = model or default_model()
     processor(model)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or BUCKETS * parts
     texts = numbered(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    common = frequent_words(texts, frequent).repartition(8).mapInArrow(_segment(model), "word string, ids string, n long, decoded string")
-    table = {r["word"]: (r["ids"], r["n"], r["decoded"]) for r in common.toLocalIterator()}
-    known = docs.sparkSession.sparkContext.broadcast(table)
-    return texts.mapInArrow(_encode(model, known, digests), "row_no long, doc_id long, n_tokens long, ids string, decoded string")
+    packed = "block long, bucket int, ids binary, counts binary, odd binary"
+    words = texts.mapInArrow(_distinct(block, buckets), "block long, bucket int, words binary")
+    answers = words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_segment(model), packed)
+    both = answers.union(texts.mapInArrow(_texts(block), packed))
+    return both.repartition(parts, "block").sortWithinPartitions("block", "bucket").mapInArrow(_join(buckets, digests), "row_no long, doc_id long, n_tokens long, ids string, decoded string")
 
 
 def digests(docs: DataFrame, model: str | None = None) -> DataFrame:

@@ -17,8 +17,13 @@ def odd_texts(n, seed=1):
 def test_codec_is_the_library(table, corpus):
     sp = P.processor(P.default_model())
     rows = corpus(3) + [(1000 + i, t) for i, t in enumerate(odd_texts(400))]
-    got = {r.doc_id: r for r in P.encoded(table(rows), frequent=20).collect()}
-    assert len(got) == len(rows)
+    for block, buckets in ((300, 5), (P.BLOCK, None)):
+        check(sp, rows, P.encoded(table(rows), block=block, buckets=buckets).collect())
+
+
+def check(sp, rows, out):
+    got = {r.doc_id: r for r in out}
+    assert len(got) == len(out) == len(rows)
     for i, t in rows:
         ids = sp.encode(t or "")
         assert got[i].n_tokens == len(ids)
@@ -26,6 +31,11 @@ def test_codec_is_the_library(table, corpus):
         assert got[i].decoded == sp.decode(ids)
 
 
+def test_repeated_ids_stay_apart(table):
+    rows = [(1, "a b"), (1, "a b"), (None, "a"), (None, None)]
+    assert sorted((r.doc_id or 0, r.n_tokens, r.decoded) for r in P.encoded(table(rows)).collect()) == [(0, 0, ""), (0, 1, "a"), (1, 2, "a b"), (1, 2, "a b")]
+
+
 def test_digests(table):
     r = P.digests(table([(1, "hello world")])).first()
     ids = P.processor(P.default_model()).encode("hello world")
