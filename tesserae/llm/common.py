@@ -6,7 +6,8 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Table that turns ASCII upper case to lower case and every other non-word byte to a space.
@@ -45,7 +46,8 @@ def numbered(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
     """``row_no`` (unique per row), ``doc_id``, further columns, and the text with null as empty.
 
     Row numbers follow from the partitions of the scan, so a lost task gives the
-    same ones again; repeated doc_ids and nulls stay apart.
+    same ones again; repeated doc_ids and nulls stay apart. A later job may scan
+    in other partitions: numbers that are met again there come from ``located``.
     """
     return docs.select(
         F.monotonically_increasing_id().alias("row_no"),
@@ -55,14 +57,41 @@ def numbered(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
     )
 
 
+def in_files(docs: DataFrame) -> DataFrame:
+    """``docs`` if its rows have places in Parquet files, else a stored copy, whose rows have."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+        return docs
+    except AnalysisException:
+        return stored(docs, "rows")
+
+
+def located(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """``columns`` of ``docs`` (from ``in_files``) and ``row_no``, unique per row and the same in every job.
+
+    The number is the file's rank by path and the row's place in the file; neither
+    depends on how a scan is cut into partitions.
+    """
+    rows = docs.select(F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__place"), *columns)
+    paths = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    files = docs.sparkSession.createDataFrame([(p, i << 40) for i, p in enumerate(paths)], "__path string, __first long")
+    rows = rows.join(F.broadcast(files), "__path")
+    return rows.withColumn("row_no", F.col("__first") + F.col("__place")).drop("__path", "__place", "__first")
+
+
+def located_texts(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """``located`` with doc_id, further columns, and the text with null as empty."""
+    return located(docs, "doc_id", *columns, F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
 def whole_rows(docs: DataFrame) -> DataFrame:
     """Each row as one column ``row``, whatever its columns are called, and its text."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
 
 
 def rows_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose number is in ``kept`` (row_no), all columns as they were."""
-    rows = whole_rows(docs).select(F.monotonically_increasing_id().alias("row_no"), "row")
+    """The rows of ``docs`` whose number (of ``located``) is in ``kept`` (row_no), all columns as they were."""
+    rows = located(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     return rows.join(kept.select("row_no").hint("merge"), "row_no", "left_semi").select("row.*")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key, numbered, rows_kept, stored
+from .common import in_files, key, located_texts, rows_kept, stored
 
 CHUNK = 1 << 16
 SALTS = 64
@@ -114,7 +114,7 @@ def _composed(h: str, power: str, prime: int):
 
 def fingerprints(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row per document: row_no, doc_id, n_points, text_sha256, size, h1, h2 (a stored table)."""
-    base = numbered(docs).select("row_no", F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("n_points"), "text")
+    base = located_texts(docs).select("row_no", F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("n_points"), "text")
     raw = F.octet_length("text")
     schema = "row_no long, doc_id long, n_points int, text_sha256 string, size long, h1 long, h2 long"
     short = base.where(raw <= chunk).mapInArrow(_hash_texts(chunk), schema)
@@ -179,7 +179,7 @@ def text_classes(docs: DataFrame, prints: DataFrame, chunk: int = CHUNK, salts:
     """
     shared = prints.groupBy(*PRINT).agg(F.count("*").alias("n")).where("n > 1").select(*PRINT)
     rows = prints.join(shared, PRINT, "left_semi").select("row_no", *PRINT)
-    texts = numbered(docs).select("row_no", "text").join(rows.hint("merge"), "row_no")
+    texts = located_texts(docs).select("row_no", "text").join(rows.hint("merge"), "row_no")
     pieces = stored(texts.mapInArrow(_chunks(chunk), "row_no long, size long, h1 long, h2 long, k int, piece binary"), "pieces")
     found, part = None, 0
     while True:
@@ -210,6 +210,7 @@ def exact_groups(docs: DataFrame, chunk: int = CHUNK, salts: int = SALTS) -> Dat
     one. Null texts count as empty; empty texts are equal to each other; an empty
     table gives an empty result.
     """
+    docs = in_files(docs)
     prints = fingerprints(docs, chunk)
     parts = text_classes(docs, prints, chunk, salts)
     rows = prints.withColumn("part", F.lit(0)) if parts is None else prints.join(parts, "row_no", "left").fillna({"part": 0})
@@ -229,6 +230,7 @@ def exact_groups(docs: DataFrame, chunk: int = CHUNK, salts: int = SALTS) -> Dat
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were."""
+    docs = in_files(docs)
     return rows_kept(docs, exact_groups(docs).where("kept"))
 
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHash, grams, key, mixed, numbered, rows_kept, signed, stored
+from .common import U64, WordHash, grams, in_files, key, located_texts, mixed, rows_kept, signed, stored
 
 SHINGLE = 5
 SLOTS = 128
@@ -152,7 +152,7 @@ def _confirmed(least: int):
 def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, least: int) -> DataFrame:
     """The pairs (a, b) of row numbers whose full shingle sets are similar enough."""
     nodes = pairs.select(F.col("a").alias("row_no")).unionByName(pairs.select(F.col("b").alias("row_no"))).distinct()
-    texts = numbered(docs).select("row_no", "text").join(nodes.hint("merge"), "row_no", "left_semi")
+    texts = located_texts(docs).select("row_no", "text").join(nodes.hint("merge"), "row_no", "left_semi")
     sets = stored(texts.mapInArrow(_sets(shingle), "node long, elements binary"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
     both = both.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
@@ -210,8 +210,9 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, slo
     null id counts as the largest. Links are confirmed on full sets; with 32 bands of
     4 slots a pair at exactly 0.75 is missed as a candidate with probability 5e-6.
     """
+    docs = in_files(docs)
     schema = "row_no long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"
-    signs = stored(numbered(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_signatures(shingle, slots, band), schema), "signatures")
+    signs = stored(located_texts(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_signatures(shingle, slots, band), schema), "signatures")
     by = ["s1", "s2", "n_shingles"]
     one = signs.where("n_shingles > 0").groupBy(*by).agg(F.min(F.struct("row_no", "bands", "sketch")).alias("one"))
     nodes = stored(one.select(F.col("one.row_no").alias("node"), "one.bands", "one.sketch", *by), "nodes")
@@ -256,6 +257,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, slo
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, all columns as they were."""
+    docs = in_files(docs)
     return rows_kept(docs, near_groups(docs).where("kept"))
 
 

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHash, grams, mixed, numbered, signed, stored
+from .common import U64, WordHash, grams, in_files, located_texts, mixed, signed, stored
 
 WINDOW = 20
 GRAM = 6
@@ -154,7 +154,8 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     maximal repeats). Null and empty texts have no words; texts under ``window``
     words lose none.
     """
-    rows = numbered(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"))
+    docs = in_files(docs)
+    rows = located_texts(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"))
     scan = "row_no long, ord long, n_words long, f1 long, f2 long, all_sha256 string, n_anchors int, at binary, hash binary"
     table = stored(rows.select("row_no", "ord", "text").mapInArrow(_scan(window, gram), scan), "scan")
     lite = table.drop("at", "hash")
@@ -168,7 +169,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     lone = seeds.where("n = 1").groupBy(F.col("s.row_no").alias("row_no")).agg(F.collect_list("s.at").alias("lone"))
     need = lite.join(first, "row_no", "left_semi").join(lone, "row_no", "left").where("n_anchors > coalesce(size(lone), 0)")
     need = need.select("row_no", "ord", "lone")
-    packed = numbered(docs).select("row_no", "text").mapInArrow(_packed, "row_no long, packed binary")
+    packed = located_texts(docs).select("row_no", "text").mapInArrow(_packed, "row_no long, packed binary")
     held = stored(packed.join(need.hint("merge"), "row_no"), "seeded")
 
     found = held.mapInArrow(_windows(window, gram), "w1 long, w2 long, ord long, row_no long, start int")
