@@ -5,13 +5,17 @@ A word's inputs come from tables learned on the labelled sample: its own evidenc
 its length and a fixed random code. Two GRUs read a window of words from either
 end, attention pools their states, and a logistic unit scores the window. A
 document's score is that of its worst window; windows overlap and cover the whole
-text. Network and tables are trained in numpy on the driver; the evidence that a
+text, of which runs without ASCII space are cut into words first. Network and tables are trained in numpy on the driver; the evidence that a
 training document is read with comes from the other folds of the sample.
 """
 
 from __future__ import annotations
 
+import re
+import sys
 from collections.abc import Iterator
+from functools import lru_cache
+from unicodedata import category
 from zlib import crc32
 
 import numpy as np
@@ -28,6 +32,9 @@ HIDDEN = 8
 ATTENTION = 4
 WORDS = 1 << 16
 GRAMS = 1 << 17
+GRAM_SIZES = (4, 6)
+#: Bytes of a word; a longer run is several words.
+LONGEST = 40
 INPUTS = 6
 FOLDS = 4
 REJECT = 0.7
@@ -38,13 +45,47 @@ BATCH = 4096
 Params = dict[str, np.ndarray]
 
 
+@lru_cache(maxsize=1)
+def _parts() -> re.Pattern:
+    """Runs of letters, marks and digits of any script, and runs of all else."""
+    inside = [c < 128 or category(chr(c))[0] in "LMN" for c in range(sys.maxunicode + 1)]
+    edges = [c for c in range(1, len(inside)) if inside[c] != inside[c - 1]] + [len(inside)]
+    other = "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=False))
+    return re.compile(f"[{other}]+|[^{other}]+")
+
+
+def _edge(run: bytes, i: int) -> int:
+    """The nearest start of a character at or before ``i``."""
+    for _ in range(3):
+        if i < len(run) and run[i] & 0xC0 == 0x80:
+            i -= 1
+    return i
+
+
+def pieces(run: bytes) -> Iterator[bytes]:
+    """A run without ASCII space as words of at most ``LONGEST`` bytes: cut at the signs and spaces of other
+    scripts, then into pieces that overlap, so that every n-gram of a part is whole in one of them."""
+    for part in _parts().findall(run.decode("utf-8", "surrogateescape")):
+        if part.isspace():
+            continue
+        part, i = part.encode("utf-8", "surrogateescape"), 0
+        while i + LONGEST < len(part):
+            end = _edge(part, i + LONGEST)
+            yield part[i:end]
+            i = _edge(part, end - max(GRAM_SIZES) + 1)
+        yield part[i:]
+
+
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(ALNUM_LOWER).split()
+    words = text.translate(ALNUM_LOWER).split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [p for w in words for p in (pieces(w) if len(w) > LONGEST else (w,))]
 
 
 def gram_ids(word: bytes) -> list[int]:
-    w = b"<" + word[:40] + b">"
-    return [crc32(w[i : i + n]) & (GRAMS - 1) for n in (4, 6) for i in range(max(1, len(w) - n + 1))]
+    w = b"<" + word + b">"
+    return [crc32(w[i : i + n]) & (GRAMS - 1) for n in GRAM_SIZES for i in range(max(1, len(w) - n + 1))]
 
 
 def window_starts(n: int) -> range:
