@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,11 +27,14 @@ def distance(a: Column, b: Column, p: float = 2) -> Column:
     return F.pow(total, F.lit(1.0 / p))
 
 
-def _nearest(data: np.ndarray, ids: np.ndarray, k: int, p: float, within: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for q, x in zip(batch["query_id"], batch["q"], strict=True):
+def _nearest(k: int, p: float, within: float):
+    """The k best points of one block for each query of another."""
+
+    def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "point_id": [], "dist": []})]
+        if len(points) and len(queries):
+            data, ids = np.array(points["p"].tolist()), points["point_id"].to_numpy()
+            for q, x in zip(queries["query_id"], queries["q"], strict=True):
                 gap = np.abs(data - np.asarray(x))
                 d = gap.max(axis=1) if math.isinf(p) else (gap**p).sum(axis=1) ** (1 / p)
                 near = np.flatnonzero(d < within)
@@ -40,7 +42,7 @@ def _nearest(data: np.ndarray, ids: np.ndarray, k: int, p: float, within: float)
                     near = near[d[near] <= np.partition(d[near], k - 1)[k - 1]]
                 near = near[np.lexsort((ids[near], d[near]))][:k]
                 out.append(pd.DataFrame({"query_id": q, "point_id": ids[near], "dist": d[near]}))
-            yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "point_id": [], "dist": []})
+        return pd.concat(out[1:] or out)
 
     return run
 
@@ -48,18 +50,21 @@ def _nearest(data: np.ndarray, ids: np.ndarray, k: int, p: float, within: float)
 def knn(points: DataFrame, queries: DataFrame, k: int, p: float = 2, within: float = math.inf, block: int = BLOCK) -> DataFrame:
     """The k nearest points (point_id, p) of each query (query_id, q), closer than ``within``: query_id, point_id, dist, rank.
 
-    Ties go by point_id. The points are taken in blocks of bounded size; each block's k best go to one final
-    ranking, so what a task holds and what is shuffled (k rows a query and block) do not grow with the points.
+    Ties go by point_id. Both sides are dealt by hash into blocks of about ``block`` rows at most, and each pair of
+    blocks meets in one group of a shuffle; the k best of each pair go to one final ranking. What a task holds does
+    not grow with the points, and no row passes through the driver.
     """
-    parts = max(1, -(-points.count() // block))
-    best = None
-    for i in range(parts):
-        rows = points.where(F.pmod(F.xxhash64("point_id"), F.lit(parts)) == i).select("point_id", "p").toPandas()
-        if len(rows):
-            found = queries.select("query_id", "q").mapInPandas(_nearest(np.array(rows["p"].tolist()), rows["point_id"].to_numpy(), k, p, within), "query_id long, point_id long, dist double")
-            best = found if best is None else best.unionByName(found)
-    if best is None:
-        best = queries.sparkSession.createDataFrame([], "query_id long, point_id long, dist double")
+    spark = points.sparkSession
+    n, m = points.count(), queries.count()
+    blocks = max(1, -(-n // block))
+    asks = max(1, -(-m // block), min(-(-m // 1000), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def dealt(rows: DataFrame, key: str, value: str, mine: str, parts: int, other: str, others: int) -> DataFrame:
+        return rows.select(key, value, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    left = dealt(points, "point_id", "p", "i", blocks, "j", asks).groupBy("i", "j")
+    right = dealt(queries, "query_id", "q", "j", asks, "i", blocks).groupBy("i", "j")
+    best = left.cogroup(right).applyInPandas(_nearest(k, p, within), "query_id long, point_id long, dist double")
     ranked = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "point_id"))), 1, k).alias("top"))
     return ranked.select("query_id", F.posexplode("top").alias("rank", "e")).select("query_id", "e.point_id", "e.dist", (c("rank") + 1).alias("rank"))
 
