@@ -8,7 +8,7 @@ no benchmark text cannot be part of a hit, so runs of them enter the index as on
 separator: the index grows with what could match.
 
 No shuffle is needed. The benchmark goes to the tasks in blocks of bounded size;
-each further block is one more step over the same documents within the same stage.
+each further block is one more pass over the documents, stored in between.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_LOWER, whole_rows
+from .common import ALNUM_LOWER, stored, whole_rows
 
 WINDOW = 10
 #: Bytes of benchmark text in a block, the most that a task gets at once.
@@ -129,7 +129,7 @@ class FMIndex:
 class Phrases:
     """The windows of a block of benchmark items, as symbols. Symbol 1 is the separator."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.ids = [i for i, _ in items]
         self.symbol: dict[bytes, int] = {}
         rows: dict[tuple[int, ...], set[int]] = {}
@@ -199,9 +199,9 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The benchmark in blocks of bounded size, one at a time on the driver."""
-    items = bench.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
+    items = bench.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("t is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // block_bytes))
     for k in range(n):
@@ -216,7 +216,7 @@ def _step(items, window: int, names: list[str]):
             texts = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
             counts, spans, hit = phrases.hits(texts)
             old = [json.loads(x) for x in batch.column("found").to_pylist()]
-            found = [json.dumps([_merged([*map(tuple, o[0]), *s]), sorted({*o[1], *(phrases.ids[i] for i in h)})]) for o, s, h in zip(old, spans, hit, strict=True)]
+            found = [json.dumps([_merged([*map(tuple, o[0]), *s]), sorted({*o[1], *(phrases.ids[i] for i in h if phrases.ids[i] is not None)})]) for o, s, h in zip(old, spans, hit, strict=True)]
             kept = [c for c in names if c not in ("n_words", "found")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(counts, pa.int64()), pa.array(found)], names=[*kept, "n_words", "found"])
 
@@ -228,13 +228,16 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
 
     Returns one row per row of ``docs``: its other columns as they were (text with
     ``keep_text``), n_words, n_hit, n_items, items (sorted as strings), spans (word
-    positions [start, end), merged) and contaminated. Null texts have no words; null
-    items and items without words match nothing; repeated items count once.
+    positions [start, end), merged) and contaminated. Null texts have no words; items
+    without words match nothing; the windows of an item with a null id count as hits, but the item is not
+    in ``items``; repeated items count once. With several blocks the documents are stored after each but the last.
     """
     spark = docs.sparkSession
     spare = {c: f"__in_{i}" for i, c in enumerate(docs.columns) if c != "text"}
     out = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in spare.items()), "text", F.lit(0).cast("long").alias("n_words"), F.lit("[[], []]").alias("found"))
-    for items in _blocks(bench, block_bytes):
+    for k, items in enumerate(_blocks(bench, block_bytes)):
+        if k:  # a task holds the phrases of one block only
+            out = stored(out, "decontamination")
         out = out.mapInArrow(_step(spark.sparkContext.broadcast(items), window, out.columns), out.schema)
     out = out.withColumn("found", F.from_json("found", "array<string>"))
     out = out.withColumn("spans", F.from_json(F.col("found")[0], "array<array<int>>")).withColumn("items", F.from_json(F.col("found")[1], "array<string>"))
