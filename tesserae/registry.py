@@ -434,7 +434,7 @@ add("kmeans_assign", lambda s, d: spatial.assign(R.points(s, d), _CENTRES).selec
 
 
 def _kmeans(s: SparkSession, d: str) -> DataFrame:
-    centres = spatial.kmeans(R.points(s, d), 4, iterations=10)
+    centres = spatial.kmeans(R.points(s, d), 4)
     return spatial.assign(R.points(s, d), centres).groupBy("cluster").agg(F.count("*").alias("n"), *(shown(F.avg(c("p")[i])).alias(f"m{i}") for i in range(3)))
 
 
@@ -453,7 +453,7 @@ add("hull", lambda s, d: spatial.convex_hull(_foreground(s, d)).select("set_id",
 _INSIDE = "EXISTS (SELECT 1 FROM e WHERE e.set_id = g.image_id) AND NOT EXISTS (SELECT 1 FROM e WHERE e.set_id = g.image_id AND (e.y2 - e.y) * (g.x - e.x) - (e.x2 - e.x) * (g.y - e.y) < 0)"
 add("hull_fill", lambda s, d: _plain(spatial.hull_image(spatial.convex_hull(_foreground(s, d)), images_of(R.gray(s, d)))), _HULL + f"SELECT g.image_id, g.y, g.x, ({_INSIDE})::INT::DOUBLE AS v FROM ({R.GRAY}) g")
 add("hull_query", lambda s, d: spatial.hull_contains(spatial.convex_hull(_foreground(s, d)), R.gray(s, d).where("(y + x) % 5 = 0").select(c("image_id").alias("set_id"), "y", "x")), _HULL + f"SELECT g.image_id AS set_id, g.y, g.x, {_INSIDE} AS inside FROM ({R.GRAY}) g WHERE (g.y + g.x) % 5 = 0")
-add("hull_outline", lambda s, d: spatial.hull_outline(spatial.convex_hull(_foreground(s, d))))
+add("hull_outline", lambda s, d: spatial.hull_outline(spatial.convex_hull(R.mask(s, d).where("v = 1").select(c("image_id").alias("set_id"), "y", "x"))))
 
 # Drawing.
 
