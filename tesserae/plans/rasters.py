@@ -48,8 +48,9 @@ def small(px: DataFrame, side: int = 16) -> DataFrame:
     return px.where((F.col("y") < side) & (F.col("x") < side)).withColumns({"h": F.lit(side), "w": F.lit(side)})
 
 
-def points(spark: SparkSession, sf_dir: str, dims: int = 3) -> DataFrame:
-    p = F.transform(F.slice("embedding", 1, dims), lambda e: F.round(e.cast("double") * 100))
+def points(spark: SparkSession, sf_dir: str, dims: int | None = 3) -> DataFrame:
+    """Embeddings as points: their first ``dims`` values, or all."""
+    p = F.transform(F.slice("embedding", 1, dims) if dims else F.col("embedding"), lambda e: F.round(e.cast("double") * 100))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), p.alias("p"))
 
 

@@ -434,8 +434,9 @@ add("kmeans_assign", lambda s, d: spatial.assign(R.points(s, d), _CENTRES).selec
 
 
 def _kmeans(s: SparkSession, d: str) -> DataFrame:
-    centres = spatial.kmeans(R.points(s, d), 4)
-    return spatial.assign(R.points(s, d), centres).groupBy("cluster").agg(F.count("*").alias("n"), *(shown(F.avg(c("p")[i])).alias(f"m{i}") for i in range(3)))
+    points = R.points(s, d, None)
+    centres = spatial.kmeans(points, 4)
+    return spatial.assign(points, centres).groupBy("cluster").agg(F.count("*").alias("n"), *(shown(F.avg(c("p")[i])).alias(f"m{i}") for i in range(len(centres[0]))))
 
 
 add("kmeans_fit", _kmeans)
