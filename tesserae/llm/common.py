@@ -39,7 +39,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more: all that was made of them is stored itself."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
@@ -117,6 +127,24 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=U64, count=len(words))
 
 
+class WordPrint(dict):
+    """Word to two independent 64-bit hashes; bounded like ``WordHash``."""
+
+    def __init__(self, most: int = 400_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[word] = xxhash.xxh3_128_digest(word)
+        return value
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        both = np.frombuffer(b"".join(map(self.__getitem__, words)), U64).reshape(-1, 2)
+        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     x = x ^ (x >> U64(30))

@@ -51,3 +51,42 @@ def test_repeated_rows_keep_one(table):
     text = " ".join(f"w{i}" for i in range(30))
     got = sorted(r.n_removed for r in S.repeated_passages(table([(1, text), (1, text), (1, text)])).collect())
     assert got == [0, 30, 30]
+
+
+def test_hot_anchors_are_extended_before_the_shuffle(table):
+    """A phrase of many contexts and a passage of many documents, with no, some and all anchors hot."""
+    rng = random.Random(3)
+    phrase, passage = " ".join(f"q{i}" for i in range(7)), " ".join(f"p{i}" for i in range(30))
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) + f" {phrase} {rng.choice('xyz')} {passage if i % 3 else phrase} " + " ".join(rng.choice("abc") for _ in range(15))) for i in range(60)]
+    for hot in (0, 20, 10**9):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in S.repeated_passages(table(rows), hot=hot).collect()}
+        assert got == brute(rows)
+
+
+def test_groups_over_several_batches(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    n = 400
+    meet = np.sort(rng.integers(0, 6, n))
+    count = rng.integers(1, 5, n)
+    ext = [rng.integers(0, 4, k).astype(np.int64) for k in count]
+    seen, want = set(), []
+    for i in range(n):
+        mask = 0
+        for d, x in enumerate(ext[i].tolist()):
+            mask |= ((meet[i], x) not in seen) << d
+            seen.add((meet[i], x))
+        if mask:
+            want.append((i, (10 * i) | int(mask) << 48))
+    cols = [pa.array(meet), pa.array(np.arange(n)), pa.array((10 * np.arange(n)) << 4 | count), pa.array([x.tobytes() for x in ext])]
+    whole = pa.RecordBatch.from_arrays(cols, names=["meet", "row_no", "place", "extensions"])
+    for size in (1, 7, n):
+        parts = list(S._earliest(whole.slice(i, size) for i in range(0, n, size)))
+        assert [(r, f) for p in parts for r, f in zip(*(c.to_pylist() for c in p.columns), strict=True)] == want
+
+
+def test_largest_id_is_kept(table):
+    last = (1 << 63) - 1
+    got = {r.doc_id: r.n_removed for r in S.repeated_passages(table([(last, "w " * 30), (None, "v " * 30)])).collect()}
+    assert got == {last: 29, None: 29}
