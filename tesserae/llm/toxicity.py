@@ -1,12 +1,16 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A word's inputs come from tables learned on the labelled sample: its own evidence
-(log-odds of its hash) and that of its character n-grams (mean and maximum), with
-its length and a fixed random code. Two GRUs read a window of words from either
-end, attention pools their states, and a logistic unit scores the window. A
-document's score is that of its worst window; windows overlap and cover the whole
-text, of which runs without ASCII space are cut into words first. Network and tables are trained in numpy on the driver; the evidence that a
-training document is read with comes from the other folds of the sample.
+A word enters as a learned embedding of its own and the mean of learned embeddings of
+its character n-grams; both are rows of hashed tables that are trained with the
+network, by back-propagation. Beside them stands the evidence of small samples: the
+log-odds of the word and of its n-grams (mean and greatest), which a training document
+is read with as the other folds of the sample give them. Two GRUs read a window of words from either end,
+attention pools their states, and a logistic unit scores the window. A document's
+score is that of its worst window; windows overlap and cover the whole text, of which
+runs without ASCII space are cut into words first. All is trained in numpy on the
+driver, from a bounded sample. Embeddings start at zero, so what the sample never
+showed says nothing; words are dropped at random while training, so that characters
+have to speak for the words that the sample lacks.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import ALNUM_LOWER, whole_rows
 from .labelled import SAMPLE, held_out, sample
@@ -35,9 +40,18 @@ GRAMS = 1 << 17
 GRAM_SIZES = (4, 6)
 #: Bytes of a word; a longer run is several words.
 LONGEST = 40
-INPUTS = 6
+WORD_SIZE, GRAM_SIZE = 6, 10
+#: Inputs of a word that are counted, then those that are learned.
+COUNTED = 4
+INPUTS = COUNTED + WORD_SIZE + GRAM_SIZE
 FOLDS = 4
 REJECT = 0.7
+#: Step of the embeddings, weight of a toxic document in training, times that an epoch reads each document.
+RATE = 0.01
+TOXIC = 2
+PASSES = 3
+#: Texts of the sample that a word or n-gram must be in to be learned.
+COMMON = 3
 #: Words that a task remembers the inputs of, and windows it scores at once.
 KNOWN = 200_000
 BATCH = 4096
@@ -92,18 +106,18 @@ def window_starts(n: int) -> range:
     return range(0, max(1, n - (WINDOW - STRIDE)), STRIDE)
 
 
+def word_input(word: bytes, m: Model) -> np.ndarray:
+    w, g = crc32(word) & (WORDS - 1), gram_ids(word)
+    odds = m.odds["g"][g]
+    return np.concatenate([[m.odds["w"][w] / 2, odds.mean(), odds.max() / 2, min(len(word), 20) / 20], m.by["w"][w], m.by["g"][g].mean(axis=0)]).astype(np.float32)
+
+
 def evidence(hits: np.ndarray, positive: np.ndarray, prior: float, strength: float = 2.0) -> np.ndarray:
     """Log-odds of a document with each id, against the prior, drawn to 0 where few documents have it."""
     p = np.clip((positive + strength * prior) / (hits + strength), 1e-4, 1 - 1e-4)
     return np.clip(np.log(p / (1 - p)) - np.log(prior / (1 - prior)), -6, 6).astype(np.float32)
 
 
-def word_input(word: bytes, by_word, by_gram) -> tuple[float, ...]:
-    c = crc32(word)
-    g = [by_gram[i] for i in gram_ids(word)]
-    return (by_word[c & (WORDS - 1)] / 2, sum(g) / len(g), max(g) / 2, min(len(word), 20) / 20, ((c >> 16) & 255) / 255 - 0.5, ((c >> 24) & 255) / 255 - 0.5)
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -161,13 +175,14 @@ def forward(q: Params, pf: np.ndarray, pb: np.ndarray, mask: np.ndarray, tapes:
     return pooled @ q["w"] + q["c"][0], (states, u, a, pooled)
 
 
-def gradient(q: Params, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, Params]:
-    """Mean log-loss of windows x (time, windows, inputs) and its gradient by back-propagation through time."""
+def gradient(q: Params, x: np.ndarray, mask: np.ndarray, y: np.ndarray, toxic: float = 1) -> tuple[float, Params, np.ndarray]:
+    """Mean log-loss of windows x (time, windows, inputs), and its gradients of the weights and of x, by back-propagation
+    through time. Windows with y = 1 weigh ``toxic``."""
     tapes: tuple[list, list] = ([], [])
     logit, (states, u, a, pooled) = forward(q, x @ q["Wf"] + q["bf"], x @ q["Wb"] + q["bb"], mask, tapes)
     p = sigmoid(logit)
-    loss = float(-np.mean(np.where(y > 0, np.log(p + 1e-7), np.log(1 - p + 1e-7))))
-    d = ((p - y) / len(y)).astype(x.dtype)
+    loss = float(-np.mean(np.where(y > 0, toxic * np.log(p + 1e-7), np.log(1 - p + 1e-7))))
+    d = (np.where(y > 0, toxic, 1) * (p - y) / len(y)).astype(x.dtype)
     g = {"w": pooled.T @ d, "c": np.array([d.sum()], x.dtype)}
     d_pool = d[:, None] * q["w"]
     d_a = np.einsum("tnk,nk->tn", states, d_pool)
@@ -176,11 +191,12 @@ def gradient(q: Params, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple
     g["v"] = np.einsum("tn,tna->a", d_s, u)
     g["A"], g["ab"] = np.einsum("tnk,tna->ka", states, d_u), d_u.sum(axis=(0, 1))
     d_states = a[:, :, None] * d_pool + d_u @ q["A"].T
-    k = q["Uf"].shape[0]
+    k, d_x = q["Uf"].shape[0], np.zeros_like(x)
     for way, part, tape in (("f", d_states[:, :, :k], tapes[0]), ("b", d_states[:, :, k:], tapes[1])):
         d_p, g["U" + way] = _unread(part, mask, q["U" + way], tape)
         g["W" + way], g["b" + way] = np.einsum("tni,tnj->ij", x, d_p), d_p.sum(axis=(0, 1))
-    return loss, g
+        d_x += d_p @ q["W" + way].T
+    return loss, g, d_x
 
 
 class Adam:
@@ -218,87 +234,147 @@ def scored(q: Params, x: np.ndarray, table_f: np.ndarray, table_b: np.ndarray) -
 
 
 class Model:
-    """Evidence tables and network; without two classes to learn from it scores the prior."""
+    """Tables ("w": of words, "g": of n-grams) of log-odds and embeddings, and the network; without two classes to learn from it scores the prior."""
 
-    def __init__(self, by_word, by_gram, q: Params | None, prior: float):
-        self.by_word, self.by_gram, self.q, self.prior = by_word, by_gram, q, prior
+    def __init__(self, odds, by, q: Params | None, prior: float):
+        self.odds, self.by, self.q, self.prior = odds, by, q, prior
 
 
-class Vocabulary:
-    """Distinct words as arrays: checksums, lengths, and the ids of their n-grams end to end."""
+def added(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the sum of the values of each."""
+    order = np.argsort(rows, kind="stable")
+    at = np.flatnonzero(np.concatenate(([True], rows[order][1:] != rows[order][:-1])))
+    return rows[order][at], np.add.reduceat(values[order], at)
 
-    def __init__(self, words: list[bytes]):
-        self.crc = np.array([crc32(w) for w in words], np.int64)
-        self.size = np.array([len(w) for w in words], np.float32)
-        grams = [np.array(gram_ids(w), np.int32) for w in words]
-        self.start = np.concatenate(([0], np.cumsum([len(g) for g in grams]))).astype(np.int64)
-        self.grams = np.concatenate([np.empty(0, np.int32), *grams])
 
-    def grams_of(self, words: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.empty(0, np.int32), *(self.grams[self.start[i] : self.start[i + 1]] for i in words.tolist())])
+class Vocabulary:
+    """A sample's distinct words with their rows in the tables, and the embeddings, which are trained row by row.
 
-    def inputs(self, by_word: np.ndarray, by_gram: np.ndarray) -> np.ndarray:
-        """``word_input`` of every word."""
-        if not len(self.crc):
-            return np.empty((0, INPUTS), np.float32)
-        e, at = by_gram[self.grams], self.start[:-1]
-        mean, most = np.add.reduceat(e, at) / np.diff(self.start), np.maximum.reduceat(e, at)
-        code = [((self.crc >> k) & 255) / 255 - 0.5 for k in (16, 24)]
-        return np.stack([by_word[self.crc & (WORDS - 1)] / 2, mean, most / 2, np.minimum(self.size, 20) / 20, *code], 1).astype(np.float32)
+    Only rows that ``COMMON`` texts share move: what one document has alone would explain its label and
+    no other. A row moves by its gradient over the root of its squared gradients so far, and of ``DAMP``,
+    without which the least gradient would move a rare row by a whole step.
+    """
 
+    DAMP = 1e-6
 
-def train(texts: list[bytes], y: np.ndarray, epochs: int = 14, seed: int = 7) -> Model:
+    def __init__(self, words: list[bytes], rate: float):
+        self.rate = rate
+        self.word = np.array([crc32(w) & (WORDS - 1) for w in words], np.int64)
+        self.length = np.array([min(len(w), 20) / 20 for w in words], np.float32)
+        grams = [np.array(gram_ids(w), np.int32) for w in words]
+        self.count = np.array([len(g) for g in grams], np.int64)
+        self.start = np.cumsum(self.count) - self.count
+        self.grams = np.concatenate([np.empty(0, np.int32), *grams])
+        self.by = {"w": np.zeros((WORDS, WORD_SIZE), np.float32), "g": np.zeros((GRAMS, GRAM_SIZE), np.float32)}
+        self.seen = {k: np.zeros_like(x) for k, x in self.by.items()}
+        self.moves = {k: np.ones(len(x), bool) for k, x in self.by.items()}
+
+    def grams_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of words end to end, and where each word's begin."""
+        n = self.count[words]
+        at = np.cumsum(n) - n
+        return self.grams[np.repeat(self.start[words] - at, n) + np.arange(n.sum())], at
+
+    def counts(self, texts: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> dict[str, np.ndarray]:
+        """Texts with each word and n-gram, by label and fold."""
+        hits = {"w": np.zeros((2, FOLDS, WORDS), np.float32), "g": np.zeros((2, FOLDS, GRAMS), np.float32)}
+        for text, label, f in zip(texts, y.astype(int), fold, strict=True):
+            distinct = np.unique(text)
+            hits["w"][label, f, np.unique(self.word[distinct])] += 1
+            hits["g"][label, f, np.unique(self.grams_of(distinct)[0])] += 1
+        self.moves = {k: n.sum(axis=(0, 1)) >= COMMON for k, n in hits.items()}
+        return hits
+
+    def counted(self, odds: dict[str, np.ndarray]) -> np.ndarray:
+        """The counted inputs of every word."""
+        if not len(self.word):
+            return np.empty((0, COUNTED), np.float32)
+        g = odds["g"][self.grams]
+        mean, most = np.add.reduceat(g, self.start) / self.count, np.maximum.reduceat(g, self.start)
+        return np.stack([odds["w"][self.word] / 2, mean, most / 2, self.length], 1).astype(np.float32)
+
+    def learned(self, words: np.ndarray) -> np.ndarray:
+        """The learned inputs of words."""
+        if not len(words):
+            return np.empty((0, WORD_SIZE + GRAM_SIZE), np.float32)
+        g, at = self.grams_of(words)
+        return np.concatenate([self.by["w"][self.word[words]], np.add.reduceat(self.by["g"][g], at) / self.count[words][:, None]], 1).astype(np.float32)
+
+    def move(self, words: np.ndarray, d: np.ndarray) -> None:
+        """One step against the gradients ``d`` of the words' learned inputs."""
+        n = self.count[words]
+        g, _ = self.grams_of(words)
+        for k, rows, values in (("w", self.word[words], d[:, :WORD_SIZE]), ("g", g, np.repeat(d[:, WORD_SIZE:] / n[:, None], n, axis=0))):
+            some = self.moves[k][rows]
+            if some.any():
+                rows, values = added(rows[some], values[some])
+                self.seen[k][rows] += values * values
+                self.by[k][rows] -= self.rate * values / np.sqrt(self.DAMP + self.seen[k][rows])
+
+
+def train(texts: list[bytes], y: np.ndarray, epochs: int = 6, dropped: float = 0.5, seed: int = 7) -> Model:
     prior = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
     if len(np.unique(y)) < 2:
         return Model(None, None, None, prior)
     rng = np.random.default_rng(seed)
-    vocabulary: dict[bytes, int] = {}
-    numbers = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)), np.int64) for t in texts]
-    facts = Vocabulary(list(vocabulary))
+    known: dict[bytes, int] = {}
+    numbers = [np.fromiter((known.setdefault(w, len(known)) for w in words_of(t)), np.int64) for t in texts]
+    words = Vocabulary(list(known), RATE)
     fold = np.zeros(len(y), np.int64)
     for value in (0, 1):
         mine = np.flatnonzero(y == value)
         fold[rng.permutation(mine)] = np.arange(len(mine)) % FOLDS
-    hits = {k: np.zeros((2, FOLDS, n), np.float32) for k, n in (("w", WORDS), ("g", GRAMS))}
-    for d, n in enumerate(numbers):
-        distinct = np.unique(n)
-        for k, i in (("w", facts.crc[distinct] & (WORDS - 1)), ("g", facts.grams_of(distinct))):
-            hits[k][int(y[d]), fold[d], np.unique(i)] += 1
+    hits = words.counts(numbers, y, fold)
 
-    def tables(without: int | None) -> list[np.ndarray]:
+    def odds(without: int | None) -> dict[str, np.ndarray]:
         use = [f for f in range(FOLDS) if f != without]
-        return [evidence((h := hits[k][:, use].sum(axis=1)).sum(axis=0), h[1], prior) for k in ("w", "g")]
+        return {k: evidence((h := n[:, use].sum(axis=1)).sum(axis=0), h[1], prior) for k, n in hits.items()}
 
-    # Inputs of every word, for each fold under the tables that have not seen its documents; row 0 pads.
-    x = np.concatenate([np.zeros((1, INPUTS), np.float32), *(facts.inputs(*tables(f)) for f in range(FOLDS))])
-    numbers = [1 + fold[d] * len(facts.crc) + n for d, n in enumerate(numbers)]
-    windows, owner, _ = cut(numbers)
+    # Every word once for each fold, with the odds of those who have not seen its documents; 0 pads.
+    counted = np.concatenate([words.counted(odds(f)) for f in range(FOLDS)])
+    windows, owner, _ = cut([1 + fold[d] * len(known) + n for d, n in enumerate(numbers)])
+    size = min(64, max(16, len(y) // 16))
+    blank = np.zeros((1, INPUTS), np.float32)
     q = fresh(rng)
     q["c"][0] = np.log(prior / (1 - prior))
     adam = Adam(q, 0.01)
-    worth = np.maximum(x[:, 0], x[:, 2])[windows].max(axis=1)
+    # Each document stands for itself by its worst window, as it will be scored; at first by that of the most suspicious word.
+    worth = np.concatenate([[-np.inf], np.maximum(counted[:, 0], counted[:, 2])])[windows].max(axis=1)
     for epoch in range(epochs):
         if epoch:
+            x = np.concatenate([blank, np.hstack([counted, np.tile(words.learned(np.arange(len(known))), (FOLDS, 1))])])
             worth = scored(q, windows, x @ q["Wf"] + q["bf"], x @ q["Wb"] + q["bb"])
         order = np.lexsort((worth, owner))
         worst = order[np.append(owner[order][1:] != owner[order][:-1], True)]
-        for _ in range(3):
-            for i in np.array_split(rng.permutation(worst), max(1, len(worst) // 64)):
-                part = windows[i].T
-                _, g = gradient(q, x[part], (part > 0)[:, :, None].astype(np.float32), y[owner[i]])
+        for _ in range(PASSES):
+            for i in np.array_split(rng.permutation(worst), max(1, len(worst) // size)):
+                used, at = np.unique(np.append(windows[i].T, 0), return_inverse=True)  # 0 first, whether it pads or not
+                at = at[:-1].reshape(windows[i].T.shape)
+                used = used[1:] - 1
+                here = used % len(known) if len(known) else used
+                x = np.concatenate([blank, np.hstack([counted[used], words.learned(here)])])
+                gone = rng.random((len(x), 1)) < dropped
+                x[:, COUNTED : COUNTED + WORD_SIZE] *= ~gone
+                _, g, d_x = gradient(q, x[at], (windows[i].T > 0)[:, :, None].astype(np.float32), y[owner[i]], TOXIC)
                 adam.step(q, g)
+                d = np.zeros_like(x)
+                rows, values = added(at.ravel(), d_x.reshape(-1, INPUTS))
+                d[rows] = values
+                d[:, COUNTED : COUNTED + WORD_SIZE] *= ~gone
+                if len(here):
+                    words.move(here, d[1:, COUNTED:])
         if epoch == epochs * 2 // 3:
             adam.rate /= 4
-    return Model(*tables(None), q, prior)
+            words.rate /= 4
+    return Model(odds(None), words.by, q, prior)
 
 
 class Scorer:
     """Scores texts in a task; remembers the projected inputs of a bounded number of words."""
 
     def __init__(self, model: Model):
-        self.q, self.prior = model.q, model.prior
+        self.model, self.q, self.prior = model, model.q, model.prior
         if self.q:
-            self.by_word, self.by_gram = model.by_word.tolist(), model.by_gram.tolist()
             self._forget()
 
     def _forget(self) -> None:
@@ -312,7 +388,7 @@ class Scorer:
             new = set().union(*texts)
         if new:
             new = sorted(new)
-            x = np.array([word_input(w, self.by_word, self.by_gram) for w in new], np.float32)
+            x = np.stack([word_input(w, self.model) for w in new])
             first = len(self.known) + 1
             self.known.update(zip(new, range(first, first + len(new)), strict=True))
             self.table = {w: np.concatenate([self.table[w], x @ self.q["W" + w] + self.q["b" + w]]) for w in "fb"}
@@ -350,7 +426,7 @@ def _score(model):
 def with_scores(rows: DataFrame, model: Model) -> DataFrame:
     """``rows`` (with a column ``text``, which goes) and the score of every whole text."""
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "text") + ", score double"
+    schema = StructType([*(f for f in rows.schema if f.name != "text"), StructField("score", DoubleType())])
     return rows.mapInArrow(_score(rows.sparkSession.sparkContext.broadcast(model)), schema)
 
 
@@ -359,7 +435,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFram
 
     Learns from at most ``most`` labelled rows outside the held-out third of the ids.
     Null and empty texts score as the empty window does; with no labels, or of one
-    class only, every text scores the prior. Null ids are not held out.
+    class only, every text scores the prior. Null ids are not held out. One row per row
+    of ``docs``: repeated rows each get the same score, an empty table gives an empty
+    result, further columns are left alone whatever their names.
     """
     model = train(*sample(docs, labels, "toxic", most))
     out = with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
@@ -367,7 +445,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFram
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are predicted toxic, all columns as they were."""
+    """``docs`` without the documents that are predicted toxic, all columns as they were.
+
+    Repeated rows stay or go together; null and empty texts score as the empty window; columns may have any names.
+    """
     model = train(*sample(docs, labels, "toxic"))
     rows = with_scores(whole_rows(docs), model)
     return rows.where(F.col("score") < REJECT).select("row.*")
