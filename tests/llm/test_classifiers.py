@@ -92,13 +92,57 @@ def test_chain_marginals_by_enumeration():
         assert pairs[a, b] == pytest.approx(sum(w * sum((x, y) == (a, b) for x, y in itertools.pairwise(s)) for s, w in weight.items()) / z)
 
 
-def test_padding_changes_nothing():
+def plain_marginals(unary, change):
+    """Forward-backward over one chain, line by line."""
+    lse = lambda x: np.log(np.exp(x - x.max()).sum()) + x.max()
+    n, node = len(unary), np.stack([np.zeros(len(unary)), unary], 1)
+    a, b = np.zeros((n, 2)), np.zeros((n, 2))
+    for t in range(1, n):
+        a[t] = [lse(a[t - 1] + node[t - 1] + change[:, j]) for j in (0, 1)]
+        b[n - 1 - t] = [lse(change[i] + node[n - t] + b[n - t]) for i in (0, 1)]
+    both = a + node + b
+    return np.exp(both[:, 1] - [lse(x) for x in both])
+
+
+def test_pieces_carry_the_messages(monkeypatch):
+    monkeypatch.setattr(Q, "CELLS", 40)
     rng = np.random.default_rng(2)
-    rows = [rng.normal(size=(n, Q.SIZE)) for n in (1, 5, 3)]
-    w, change = rng.normal(size=Q.SIZE), rng.normal(size=(2, 2))
-    both = Q.line_marginals(rows, w, change)
-    for r, p in zip(rows, both, strict=True):
-        assert p == pytest.approx(Q.line_marginals([r], w, change)[0])
+    unary, change = [rng.normal(size=n) * 3 for n in (1, 5, 8, 9, 16, 3, 61, 8, 1)], rng.normal(size=(2, 2)) * 2
+    for piece in (1, 2, 8, 100):
+        for u, p in zip(unary, Q.line_marginals(unary, change, piece), strict=True):
+            assert p == pytest.approx(plain_marginals(u, change))
+
+
+def test_quality_is_that_of_the_definition():
+    rng = np.random.default_rng(4)
+    m = Q.Model(rng.normal(size=Q.SIZE), rng.normal(size=(2, 2)), np.array([2.0, -1.0]), 0.5)
+    texts = [b"", b"one line", b"\n\n", "größe | x\nWHAT!?\n$$$ ** 12\nWHAT!?".encode(), b"\n".join(b"%d is." % (i % 40) for i in range(700))]
+    want = []
+    for t in texts:
+        lines = t.split(b"\n")
+        rows = np.vstack([Q.line_features(lines, Q.Counter(lines), i, i + 1) for i in range(len(lines))])
+        n = np.array([len(x) + 1 for x in lines])
+        want.append(1 / (1 + np.exp(1 - 2 * (plain_marginals(rows @ m.w, m.change) * n).sum() / n.sum())))
+    assert m.scores(texts) == pytest.approx(want)
+
+
+def test_a_million_lines_take_bounded_time_and_memory():
+    import resource
+    import time
+
+    m = Q.Model(np.zeros(Q.SIZE), np.zeros((2, 2)), np.array([1.0, 0.0]), 0.5)
+    m.scores([b"a\n" * 1000])
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+    m.scores([b"short"] * 255 + [b"\n" * 1_000_000])
+    assert time.process_time() - began < 30 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+def test_training_lines_are_bounded():
+    texts = [b"\n" * 5000, b"a\nb", b"x\n" * 900]
+    rows, owner = Q.training_pieces(texts, most=1000)
+    assert sum(map(len, rows)) <= 1000 + 3 * Q.PIECE and set(owner) == {0, 1, 2}
+    rows, owner = Q.training_pieces(texts)
+    assert sum(map(len, rows)) == 5001 + 2 + 901
 
 
 @pytest.mark.parametrize(("module", "label", "least"), [(T, "toxic", 0.9), (Q, "quality", 0.95)])
