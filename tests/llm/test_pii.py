@@ -59,6 +59,49 @@ def test_long_runs_take_linear_time():
         pii.found(t)
 
 
+def test_a_million_spaces_take_linear_time():
+    import time
+
+    spaces = " " * 1_000_000
+    for t in (f"joe (at) x (dot) org{spaces}", f"joe{spaces}(at){spaces}x (dot) org", f"one{spaces}two{spaces}(", f"joe at {spaces}x dot org{spaces}dot", f"({spaces}at"):
+        began = time.process_time()
+        pii.found(t)
+        assert time.process_time() - began < 10
+    assert pii.found("joe (at) x (dot) org  (at)  y (dot) com")[1]["email"] == [(0, 20)]
+
+
+def plainly(text):
+    """Base spans by the definition's patterns as they stand."""
+    import re
+
+    email = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    ip = [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    card = [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(d[::-1])) % 10 == 0]
+    phone = [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return {"email": email, "ip": ip, "card": card, "phone": phone}
+
+
+def test_added_spans_are_those_of_the_plain_text():
+    """Every identifier, disguised as a whole, is found where it stands in the disguised text."""
+    import random
+
+    rng = random.Random(6)
+    disguises = {
+        "email": [lambda x: x.replace("@", " (at) ").replace(".", " [dot] "), lambda x: x.replace("@", "@\u200b"), lambda x: x.replace("o", "\u043e"), lambda x: x.replace("@", " at ").replace(".", " dot ")],
+        "ip": [lambda x: "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in x), lambda x: x.replace(".", "\u2024")],
+        "card": [lambda x: " ".join("zero one two three four five six seven eight nine".split()[int(c)] for c in x), lambda x: "\u200b".join(x)],
+        "phone": [lambda x: "plus " + " ".join("zero one two three four five six seven eight nine".split()[int(c)] for c in x[1:]), lambda x: x.replace("1", "\u00b9")],
+    }
+    for kind, plain in (("email", "joe@foo.com"), ("ip", "10.21.131.4"), ("card", "4111111111111111"), ("phone", "+15551550199")):
+        for disguise in disguises[kind]:
+            for _ in range(5):
+                left, right = (" ".join(rng.choice(["der", "say", "wort", "x", "ok"]) for _ in range(rng.randint(1, 9))) + "; " for _ in "ab")
+                hidden = disguise(plain)
+                text = left + hidden + " ; " + right
+                base, every = pii.found(text)
+                assert base == plainly(text) and every[kind] == [(len(left), len(left) + len(hidden))], (kind, text)
+
+
 def test_table(table, empty):
     assert pii.personal_data(empty).count() == 0
     rows = [(1, None), (2, ""), (3, "a@b.co 1.2.3.4 +1 (555) 555-0199; 4111 1111 1111 1111;"), (3, "a@b.co"), (None, "x (at) y (dot) com")]
