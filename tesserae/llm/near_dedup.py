@@ -11,14 +11,15 @@ band are candidates. A band's members are first linked to its most typical node;
 are confirmed on the full sets; then only members of one band that ended up in
 different components are compared, which loses no link and yet spares the pairs
 within a group. Of those, parity sketches of the sets rule out nearly all that are
-no link, without error, before they become rows.
+no link, without error, before they become rows. A band of many components (texts of
+one template that differ too much for links) is cut into blocks; each pair of blocks
+is a group of bounded size that any task can take, and sizes that no link can have
+between them are not compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ LEAST = 75
 SKETCH = 32
 #: Elements hashed at once in a task.
 ELEMENTS = 300_000
+#: Nodes of a block of a band; a group of two blocks holds some 10 MB of sketches.
+BLOCK = 1 << 14
 
 
 def shingle_set(text: bytes, words: WordHash, shingle: int = SHINGLE) -> np.ndarray:
@@ -117,8 +120,8 @@ def _signed_sets(rows, ids, sets, slots, band) -> pa.RecordBatch:
         sums = [np.array([f(s).sum(dtype=U64) for s in sets], U64) for f in (mixed, lambda s: mixed(s ^ U64(0xA5A5A5A5A5A5A5A5)))]
     offsets = np.concatenate(([0], np.cumsum(np.where(sizes > 0, keys.shape[1], 0))))
     bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel()))
-    offsets = np.concatenate(([0], np.cumsum(np.where(sizes > 0, SKETCH, 0))))
-    sketch = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sketches.ravel()))
+    held = iter(sketches)
+    sketch = pa.array([next(held).tobytes() if n else None for n in sizes], pa.binary())
     names = ["row_no", "doc_id", "n_shingles", "s1", "s2", "bands", "sketch"]
     return pa.RecordBatch.from_arrays([rows, ids, pa.array(sizes), pa.array(signed(sums[0])), pa.array(signed(sums[1])), bands, sketch], names=names)
 
@@ -150,7 +153,10 @@ def _confirmed(least: int):
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, least: int) -> DataFrame:
-    """The pairs (a, b) of row numbers whose full shingle sets are similar enough."""
+    """The pairs (a, b) of row numbers whose full shingle sets are similar enough.
+
+    The set of b is shuffled with each pair, that of a is not: what is in many pairs should be an a.
+    """
     nodes = pairs.select(F.col("a").alias("row_no")).unionByName(pairs.select(F.col("b").alias("row_no"))).distinct()
     texts = located_texts(docs).select("row_no", "text").join(nodes.hint("merge"), "row_no", "left_semi")
     sets = stored(texts.mapInArrow(_sets(shingle), "node long, elements binary"), "sets")
@@ -159,6 +165,79 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, least: int) -> Da
     return stored(both.mapInArrow(_confirmed(least), "a long, b long"), "links")
 
 
+def near_pairs(group: np.ndarray, n: np.ndarray, root: np.ndarray, sketch: np.ndarray, side: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (indices) within groups, across their sides if they have two, that sizes and sketches do not rule out as links.
+
+    |A - B| + |B - A| <= (|A| + |B|) * (100 - least) / (100 + least) for links; the sketches bound the left side
+    from below. Each row, by size, meets the next of its group, then the one after, until that is too large.
+    """
+    order = np.lexsort((n, group))
+    group, n, root, sketch, side = group[order], n[order], root[order], sketch[order].view(np.uint64), side[order]
+    start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    two = np.repeat(np.minimum.reduceat(side, start) != np.maximum.reduceat(side, start), np.diff(np.append(start, len(n))))
+    found, live, step = [], np.arange(len(n) - 1), 1
+    while len(live):
+        i, j = live, live + step
+        go = (group[i] == group[j]) & (least * n[j] <= 100 * n[i])
+        i, j = i[go], j[go]
+        live = i[i + step + 1 < len(n)]
+        go = (root[i] != root[j]) & (~two[i] | (side[i] != side[j]))
+        i, j = i[go], j[go]
+        apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+        go = (100 + least) * apart <= (100 - least) * (n[i] + n[j])
+        found.append(np.stack([order[i[go]], order[j[go]]]))
+        step += 1
+    pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+    return pairs[0], pairs[1]
+
+
+def _crossed(least: int, rows: int = 20_000):
+    """Rows sorted by band and pair of blocks: the pairs (a, b), a < b, of nodes that may be links. Small groups are worked on together."""
+
+    def pairs(held: list[pa.RecordBatch], groups: list[np.ndarray]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        node, n, root, mine = (table.column(c).to_numpy() for c in ("node", "n", "root", "mine"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.int64).reshape(-1, SKETCH)
+        i, j = near_pairs(np.concatenate(groups), n, root, sketch, mine, least)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, groups, size, last, at = [], [], 0, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("band", "low", "high")], 1)
+            new = np.concatenate(([last is None or (keys[0] != last).any()], (keys[1:] != keys[:-1]).any(axis=1)))
+            group, last = at + np.cumsum(new), keys[-1]
+            if size >= rows and new.any():  # what came before the last group's first row is complete
+                cut = int(np.flatnonzero(new)[-1])
+                yield pairs([*held, batch.slice(0, cut)], [*groups, group[:cut]])
+                held, groups, size = [], [], 0
+                held.append(batch.slice(cut))
+                groups.append(group[cut:])
+            else:
+                held.append(batch)
+                groups.append(group)
+            size += len(groups[-1])
+            at = int(group[-1])
+        if held:
+            yield pairs(held, groups)
+
+    return run
+
+
+def crossing(at: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
+    """Pairs of nodes of different roots that share a band of ``at`` (node, n, band, root, sketch) and may be links."""
+    sizes = at.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi")
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    rows = at.join(sizes.select("band", blocks.alias("blocks")).hint("merge"), "band")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("band", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") < F.col("other")).alias("mine"), "node", "n", "root", "sketch")
+    dealt = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+    return dealt.mapInArrow(_crossed(least), "a long, b long").distinct()
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the edges of one batch after the other: each edge leads to a smaller node."""
     for batch in batches:
@@ -211,7 +290,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, slo
     4 slots a pair at exactly 0.75 is missed as a candidate with probability 5e-6.
     """
     docs = in_files(docs)
-    schema = "row_no long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"
+    schema = "row_no long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"
     signs = stored(located_texts(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_signatures(shingle, slots, band), schema), "signatures")
     by = ["s1", "s2", "n_shingles"]
     one = signs.where("n_shingles > 0").groupBy(*by).agg(F.min(F.struct("row_no", "bands", "sketch")).alias("one"))
@@ -226,20 +305,16 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, slo
     heads = ranked.groupBy("band").agg(F.max("rank").alias("head"))
     alike = lambda x, y: 100 * F.least(x, y) >= least * F.greatest(x, y)
     star = shared.join(heads, "band").where((F.col("node") != F.col("head.node")) & alike(F.col("n"), F.col("head.n")))
-    pairs = stored(star.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct(), "pairs")
+    # A head is in many pairs.
+    pairs = stored(star.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = confirmed(docs, pairs, shingle, least)
     roots = components(links)
 
     at = shared.join(roots, "node", "left").select("node", "n", "band", F.coalesce("root", "node").alias("root"))
     torn = at.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
     at = stored(at.join(torn, "band", "left_semi").join(nodes.select("node", "sketch"), "node"), "torn")
-    # |A - B| + |B - A| <= (|A| + |B|) * (100 - least) / (100 + least) for links; the sketches bound the left side from below.
-    apart = reduce(add, [F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH)])
-    near = (100 + least) * apart <= (100 - least) * (F.col("x.n") + F.col("y.n"))
-    x, y = at.alias("x"), at.alias("y")
-    cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & alike(F.col("x.n"), F.col("y.n")) & near)
-    cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    cross = stored(cross, "cross")
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = stored(crossing(at, least).join(done, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
         roots = components(links.unionByName(confirmed(docs, cross, shingle, least)))
 

@@ -50,6 +50,48 @@ def test_a_large_group_with_many_components_in_one_band(table):
     assert got == {i: c for i, (_, c) in brute(rows).items()}
 
 
+def test_pairs_of_groups_and_blocks():
+    rng = np.random.default_rng(9)
+    for seed in range(6):
+        m = 120
+        group, side = np.sort(rng.integers(0, 9, m)), rng.integers(0, 2 if seed % 2 else 1, m).astype(bool)
+        n, root = rng.integers(20, 60, m), rng.integers(0, 30, m)
+        base = rng.integers(0, 2**62, D.SKETCH)
+        sketch = np.array([base ^ (rng.integers(0, 2**62, D.SKETCH) & rng.integers(0, 2**62, D.SKETCH) * (rng.random(D.SKETCH) < 0.02)) for _ in range(m)])
+        two = {g: len(set(side[group == g])) > 1 for g in group}
+        want = set()
+        for i in range(m):
+            for j in range(i + 1, m):
+                apart = sum(int(v).bit_count() for v in (sketch[i] ^ sketch[j]).view(np.uint64))
+                if group[i] == group[j] and root[i] != root[j] and (side[i] != side[j] or not two[group[i]]) and 75 * max(n[i], n[j]) <= 100 * min(n[i], n[j]) and 175 * apart <= 25 * (n[i] + n[j]):
+                    want.add((i, j))
+        got = D.near_pairs(group, n, root, sketch, side, 75)
+        assert sorted(map(tuple, map(sorted, zip(*(x.tolist() for x in got), strict=True)))) == sorted(want) and want
+
+
+def test_blocks_lose_no_pair(spark):
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 2**62, D.SKETCH)
+    rows = [(int(i), 100, int(b), int(i % 7), base.tobytes()) for b in (1, 2) for i in range(40 * b)]
+    at = spark.createDataFrame(rows, "node long, n long, band long, root long, sketch binary")
+    want = {(i, j) for i in range(80) for j in range(i + 1, 80) if i % 7 != j % 7}
+    for block in (3, 16, 1000):
+        assert {(r.a, r.b) for r in D.crossing(at, 75, block).collect()} == want
+
+
+def test_many_texts_of_one_template(table):
+    """No two are links, and all share bands: their pairs are ruled out by sketches, in groups of bounded size."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(3000):
+        w = list(base)
+        for p in rng.choice(200, 9, replace=False):
+            w[p] = f"x{i}_{p}"
+        rows.append((i, " ".join(w)))
+    assert D.near_groups(table(rows)).where("component_id != doc_id").count() == 0
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(4)
     for _ in range(50):
