@@ -28,11 +28,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered
+from .common import in_files, located_texts
 from .word_table import MARK, WordTable, marked_words
 
-#: UTF-8 bytes of text in a block; a longer text is a block of its own.
+#: UTF-8 bytes of text in a block, more with many buckets, within bounds; a longer text is a block of its own.
 BLOCK = 8_000_000
+FOR_EACH_BUCKET = 16_000
+LARGEST = 32_000_000
 #: Buckets of words for each shuffle partition; a task holds the table of one bucket at a time.
 BUCKETS = 4
 TEXTS = -1
@@ -99,19 +101,24 @@ def words_by_bucket(rows: pa.Table, buckets: int) -> dict[int, list[str]]:
     return dealt
 
 
-def _packed(block: list[int], bucket: list[int], **binary: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), *(pa.array(x, pa.binary()) for x in binary.values())], names=["block", "bucket", *binary])
+def _named(rows: pa.Table) -> tuple[int, int]:
+    return rows["row_no"][0].as_py(), rows["row_no"][-1].as_py()
+
+
+def _packed(block: tuple[int, int], bucket: list[int], **binary: list[bytes]) -> pa.RecordBatch:
+    first, last = (pa.array([x] * len(bucket), pa.int64()) for x in block)
+    return pa.RecordBatch.from_arrays([first, last, pa.array(bucket, pa.int32()), *(pa.array(x, pa.binary()) for x in binary.values())], names=["block", "last", "bucket", *binary])
 
 
 def _distinct(size: int, buckets: int):
-    """Each block's distinct words, a row for each bucket. A block is named by its first row."""
+    """Each block's distinct words, a row for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor().compress
         for rows in blocks(batches, size):
             dealt = words_by_bucket(rows, buckets)
             # No marked word has a space in it.
-            yield _packed([rows["row_no"][0].as_py()] * len(dealt), list(dealt), words=[pack(" ".join(w).encode()) for w in dealt.values()])
+            yield _packed(_named(rows), list(dealt), words=[pack(" ".join(w).encode()) for w in dealt.values()])
 
     return run
 
@@ -123,7 +130,7 @@ def _segment(model: str):
         pack, unpack = zstandard.ZstdCompressor().compress, zstandard.ZstdDecompressor().decompress
         at, known = None, WordTable({}, lambda words: segmented(model, words))
         for batch in batches:
-            for block, bucket, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "words")), strict=True):
+            for block, last, bucket, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "last", "bucket", "words")), strict=True):
                 if bucket != at:
                     known.clear()
                     at = bucket
@@ -134,7 +141,7 @@ def _segment(model: str):
                 flat = np.frombuffer(b"".join(ids), "<u4")
                 flat = flat.astype("<u2") if not len(flat) or flat.max() < 1 << 16 else flat
                 odd = {i: t for i, t in enumerate(texts) if t is not None}
-                yield _packed([block], [bucket], ids=[flat.dtype.str.encode() + pack(flat.tobytes())], counts=[pack(counts.tobytes())], odd=[json.dumps(odd).encode() if odd else None])
+                yield _packed((block, last), [bucket], ids=[flat.dtype.str.encode() + pack(flat.tobytes())], counts=[pack(counts.tobytes())], odd=[json.dumps(odd).encode() if odd else None])
 
     return run
 
@@ -147,7 +154,7 @@ def _texts(size: int):
             out = pa.BufferOutputStream()
             with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
                 stream.write_table(rows.combine_chunks())
-            yield _packed([rows["row_no"][0].as_py()], [TEXTS], ids=[out.getvalue().to_pybytes()], counts=[None], odd=[None])
+            yield _packed(_named(rows), [TEXTS], ids=[out.getvalue().to_pybytes()], counts=[None], odd=[None])
 
     return run
 
@@ -180,47 +187,57 @@ def _encoded(rows: pa.Table, known: dict[str, tuple[str, int, str]], digests: bo
         )
 
 
-def _join(buckets: int, digests: bool):
+def _join(model: str, buckets: int, digests: bool):
     """Blocks in order, each with its texts first and then the answers of all buckets that have words of it."""
 
+    def finished(rows: pa.Table, dealt: dict[int, list[str]], known: dict) -> Iterator[pa.RecordBatch]:
+        for words in dealt.values():  # a block of no answers
+            for word, (ids, text) in zip(words, segmented(model, words), strict=True):
+                numbers = np.frombuffer(ids, "<u4").tolist()
+                known[word] = (",".join(map(str, numbers)), len(numbers), plain(word) if text is None else text)
+        yield from _encoded(rows, known, digests)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, dealt, known = None, {}, {}
+        rows, at, dealt, known = None, None, {}, {}
         for batch in batches:
             for i in range(batch.num_rows):
-                bucket, ids, counts, odd = (batch.column(c)[i].as_py() for c in ("bucket", "ids", "counts", "odd"))
+                block, last, bucket, ids, counts, odd = (batch.column(c)[i].as_py() for c in ("block", "last", "bucket", "ids", "counts", "odd"))
                 if bucket == TEXTS:
-                    if dealt:
-                        raise ValueError("a block lacks answers to its words")
-                    rows, known = pa.ipc.open_stream(ids).read_all(), {}
+                    if rows is not None:
+                        yield from finished(rows, dealt, known)
+                    rows, at, known = pa.ipc.open_stream(ids).read_all(), (block, last), {}
                     dealt = words_by_bucket(rows, buckets)
-                else:
+                elif rows is not None and (block, last) == at and bucket in dealt:
                     known.update(_answers(dealt.pop(bucket), ids, counts, odd))
-                if not dealt:
-                    yield from _encoded(rows, known, digests)
-        if dealt:
-            raise ValueError("a block lacks answers to its words")
+                if rows is not None and not dealt:
+                    yield from finished(rows, dealt, known)
+                    rows = None
+        if rows is not None:
+            yield from finished(rows, dealt, known)
 
     return run
 
 
-def encoded(docs: DataFrame, model: str | None = None, block: int = BLOCK, buckets: int | None = None, digests: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, model: str | None = None, block: int | None = None, buckets: int | None = None, digests: bool = False) -> DataFrame:
     """Ids and decoded text of every document, as the sentencepiece library gives them.
 
-    One row per row of ``docs``: row_no, doc_id, n_tokens, ids (decimals joined by
-    commas) and decoded; with ``digests`` the SHA-256 of the two in hex, so that the
-    texts leave no task. Null and empty texts have no ids and decode to the empty text.
-    ``block`` bounds the text that a task holds, ``buckets`` divides the distinct words.
+    One row per row of ``docs``, repeated ones too: row_no, doc_id, n_tokens, ids (decimals
+    joined by commas) and decoded; with ``digests`` the SHA-256 of the two in hex, so that
+    the texts leave no task. Null and empty texts have no ids and decode to the empty text;
+    an empty table gives an empty result; further columns are left alone. ``block`` bounds
+    the text that a task holds, ``buckets`` divides the distinct words.
     """
     model = model or default_model()
     processor(model)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or BUCKETS * parts
-    texts = numbered(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    packed = "block long, bucket int, ids binary, counts binary, odd binary"
-    words = texts.mapInArrow(_distinct(block, buckets), "block long, bucket int, words binary")
+    block = block or min(LARGEST, max(BLOCK, FOR_EACH_BUCKET * buckets))
+    texts = located_texts(in_files(docs)).withColumn("doc_id", F.col("doc_id").cast("long")).select("row_no", "doc_id", "text")
+    packed = "block long, last long, bucket int, ids binary, counts binary, odd binary"
+    words = texts.mapInArrow(_distinct(block, buckets), "block long, last long, bucket int, words binary")
     answers = words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_segment(model), packed)
     both = answers.union(texts.mapInArrow(_texts(block), packed))
-    return both.repartition(parts, "block").sortWithinPartitions("block", "bucket").mapInArrow(_join(buckets, digests), "row_no long, doc_id long, n_tokens long, ids string, decoded string")
+    return both.repartition(parts, "block", "last").sortWithinPartitions("block", "last", "bucket").mapInArrow(_join(model, buckets, digests), "row_no long, doc_id long, n_tokens long, ids string, decoded string")
 
 
 def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
