@@ -1,9 +1,10 @@
 """Unigram token counts by dynamic programming over a trie of distinct pre-tokens.
 
-Sorted pre-tokens visit their trie in depth-first order, so a stack of forward
-scores is the path from the root: what two neighbours share is worked out once. The
-forward score of a prefix is that of its best segmentation into pieces; the number
-of its pieces is stored where a pre-token ends.
+Distinct pre-tokens are inserted in a trie. A node is a prefix; when it is made, the
+forward score of its best segmentation into pieces is worked out from its ancestors'
+and kept with the number of its pieces, once for all pre-tokens that share it.
+The frequent words of the corpus are dealt by ranges of the sorted words, that is by
+subtrees. Each task grows the trie of the other words that it meets.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from .sentencepiece_codec import default_model
 from .word_table import FREQUENT, WordTable, by_parts, frequent_words
 
 
+#: Nodes of a task's trie.
+NODES = 1_000_000
+
+
 @lru_cache(maxsize=2)
 def piece_scores(model: str) -> tuple[dict[str, float], int, float]:
     """Unigram scores of a vocabulary file's pieces, their greatest length, the score of an unknown character.
@@ -36,49 +41,68 @@ def piece_scores(model: str) -> tuple[dict[str, float], int, float]:
     return scores, max(map(len, scores)), -math.log(len(ranked) + 2) - 10
 
 
-def counted(words: list[str], scores: dict[str, float], longest: int, unknown: float) -> list[int]:
-    """Pieces in the best segmentation of each of the sorted words; an unknown character counts its UTF-8 bytes.
+class Trie:
+    """Prefixes of the words put in so far, each with its forward score and number of pieces; bounded, as it is cleared when full.
 
-    Of equal scores the one with the longest last piece is taken.
+    An unknown character counts its UTF-8 bytes. Of equal scores the one with the longest last piece is taken.
     """
-    best, pieces, before, out = [0.0], [0], "", []
-    get = scores.get
-    for word in words:
-        shared = 0
-        for a, b in zip(before, word, strict=False):
-            if a != b:
-                break
-            shared += 1
-        del best[shared + 1 :], pieces[shared + 1 :]
-        for end in range(shared + 1, len(word) + 1):
-            top, n = -math.inf, 0
-            for start in range(max(0, end - longest), end):
-                s = get(word[start:end])
-                if s is not None and best[start] + s > top:
-                    top, n = best[start] + s, pieces[start] + 1
-            if top == -math.inf:
-                top, n = best[end - 1] + unknown, pieces[end - 1] + len(word[end - 1].encode())
-            best.append(top)
-            pieces.append(n)
-        out.append(pieces[len(word)])
-        before = word
-    return out
+
+    def __init__(self, scores: dict[str, float], longest: int, unknown: float, most: int = NODES):
+        self.scores, self.longest, self.unknown, self.most = scores, longest, unknown, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.child: dict[tuple[int, str], int] = {}
+        self.best, self.pieces = [0.0], [0]
+
+    def insert(self, word: str) -> int:
+        """The number of pieces of the word's best segmentation, as its last node says."""
+        if len(self.best) + len(word) > self.most:
+            self._clear()
+        path = [0]
+        for end, letter in enumerate(word, 1):
+            node = self.child.get((path[-1], letter))
+            if node is None:
+                node = self._grow(path, word[:end])
+            path.append(node)
+        return self.pieces[path[-1]]
+
+    def _grow(self, path: list[int], prefix: str) -> int:
+        end, get, best = len(prefix), self.scores.get, self.best
+        top, n = -math.inf, 0
+        for start in range(max(0, end - self.longest), end):
+            s = get(prefix[start:])
+            if s is not None and best[path[start]] + s > top:
+                top, n = best[path[start]] + s, self.pieces[path[start]] + 1
+        if top == -math.inf:
+            top, n = best[path[-1]] + self.unknown, self.pieces[path[-1]] + len(prefix[-1].encode())
+        node = self.child[path[-1], prefix[-1]] = len(best)
+        best.append(top)
+        self.pieces.append(n)
+        return node
+
+    def counts(self, words: list[str]) -> list[int]:
+        return [self.insert(w) for w in words]
+
+
+def counted(words: list[str], scores: dict[str, float], longest: int, unknown: float) -> list[int]:
+    """Pieces in the best segmentation of each word."""
+    return Trie(scores, longest, unknown).counts(words)
 
 
 def _count_words(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = piece_scores(model)
+        trie = Trie(*piece_scores(model))
         for batch in batches:
             words = batch.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(counted(words, *scores), pa.int64())], names=["word", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(trie.counts(words), pa.int64())], names=["word", "tokens"])
 
     return run
 
 
 def _count_texts(model: str, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = piece_scores(model)
-        known = WordTable(table.value, lambda words: counted(words, *scores))
+        known = WordTable(table.value, Trie(*piece_scores(model)).counts)
         for batch in batches:
             for first, texts in by_parts(batch):
                 known.learn(set().union(*texts))
@@ -92,7 +116,9 @@ def _count_texts(model: str, table):
 def token_counts(docs: DataFrame, model: str | None = None, frequent: int = FREQUENT) -> DataFrame:
     """Unigram tokens of every document: row_no, doc_id, n_words (marked words), n_tokens.
 
-    One row per row of ``docs``; null and empty texts count 0.
+    One row per row of ``docs``, repeated ones too; null and empty texts count 0; an empty
+    table gives an empty result; further columns are left alone. Tries and tables that
+    forget when full only work words out again: counts do not depend on their bounds.
     """
     model = model or default_model()
     texts = numbered(docs).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -31,6 +31,22 @@ def check(sp, rows, out):
         assert got[i].decoded == sp.decode(ids)
 
 
+def test_blocks_without_answers_segment_their_words():
+    """As when the second scan is cut in other places than the first."""
+    import pyarrow as pa
+
+    texts = [t for t in odd_texts(60, 4) if t]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["row_no", "doc_id", "text"])
+    model = P.default_model()
+    words = [pa.Table.from_batches([b]) for b in P._distinct(200, 3)(iter([rows.slice(0, 25), rows.slice(25)]))]
+    answers = list(P._segment(model)(b for t in words for b in t.to_batches()))
+    held = list(P._texts(200)(iter([rows])))
+    both = pa.concat_tables([pa.Table.from_batches([b]) for b in [*answers, *held]]).sort_by([("block", "ascending"), ("last", "ascending"), ("bucket", "ascending")])
+    assert {tuple(x) for b in held for x in zip(b["block"].to_pylist(), b["last"].to_pylist(), strict=True)} - {tuple(x) for b in answers for x in zip(b["block"].to_pylist(), b["last"].to_pylist(), strict=True)}
+    out = [r for b in P._join(model, 3, False)(iter(both.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+    assert sorted((r["doc_id"], r["ids"]) for r in out) == [(i, ",".join(map(str, P.processor(model).encode(t)))) for i, t in enumerate(texts)]
+
+
 def test_repeated_ids_stay_apart(table):
     rows = [(1, "a b"), (1, "a b"), (None, "a"), (None, None)]
     assert sorted((r.doc_id or 0, r.n_tokens, r.decoded) for r in P.encoded(table(rows)).collect()) == [(0, 0, ""), (0, 1, "a"), (1, 2, "a b"), (1, 2, "a b")]
@@ -68,3 +84,14 @@ def test_token_counts(table, corpus):
     for i, t in rows:
         w = marked_words(t or "")
         assert got[i] == (len(w), sum(best_count(x, *model) for x in w))
+
+
+def test_trie_works_out_each_prefix_once():
+    scores, longest, unknown = T.piece_scores(T.default_model())
+    rng = random.Random(8)
+    words = ["▁" + "".join(rng.choice("abé") for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    trie, small = T.Trie(scores, longest, unknown), T.Trie(scores, longest, unknown, most=40)
+    want = [best_count(w, scores, longest, unknown) for w in words]
+    assert trie.counts(words) == small.counts(words) == want
+    assert len(trie.best) == 1 + len({w[:i] for w in words for i in range(1, len(w) + 1)})
+    assert len(small.best) <= 40
