@@ -19,10 +19,17 @@ MODULES = {
 }
 
 
+def query(name: str):
+    return import_module(f"{__name__}.{MODULES[name]}").query
+
+
+def sql(name: str) -> str | None:
+    return getattr(import_module(f"{__name__}.{MODULES[name]}"), "SQL", None)
+
+
 def queries() -> dict:
-    return {name: import_module(f"{__name__}.{module}").query for name, module in MODULES.items()}
+    return {name: query(name) for name in MODULES}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(import_module(f"{__name__}.{module}"), "SQL", None) for name, module in MODULES.items()}
-    return {name: sql for name, sql in found.items() if sql}
+    return {name: found for name in MODULES if (found := sql(name))}

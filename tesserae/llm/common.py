@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -21,12 +22,13 @@ U64 = np.uint64
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (a local
-    session, as in tests) the SQL warehouse serves, which one machine shares with
-    itself.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset in a local
+    session, as in tests, the SQL warehouse serves, which one machine shares with itself.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 

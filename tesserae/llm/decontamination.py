@@ -226,8 +226,8 @@ def _step(items, window: int, names: list[str]):
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
     """Words of documents that lie in an occurrence of a benchmark window.
 
-    Returns one row per row of ``docs``: its other columns as they were (text with
-    ``keep_text``), n_words, n_hit, n_items, items (sorted as strings), spans (word
+    Returns one row per row of ``docs``, repeated ones too: its other columns as they were
+    (text with ``keep_text``; a column named like one of the following gives way to it), n_words, n_hit, n_items, items (sorted as strings), spans (word
     positions [start, end), merged) and contaminated. Null texts have no words; items
     without words match nothing; the windows of an item with a null id count as hits, but the item is not
     in ``items``; repeated items count once. With several blocks the documents are stored after each but the last.
@@ -251,7 +251,10 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
 
 
 def clean_documents(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a window of the benchmark."""
+    """``docs`` without those that hold a window of the benchmark, all columns as they were, whatever their names.
+
+    Null and empty texts stay; repeated rows stay or go together.
+    """
     flagged = contamination(whole_rows(docs), bench)
     return flagged.where("not contaminated").select("row.*")
 
