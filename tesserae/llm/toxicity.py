@@ -19,6 +19,7 @@ import re
 import sys
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from unicodedata import category
 from zlib import crc32
 
@@ -112,6 +113,18 @@ def word_input(word: bytes, m: Model) -> np.ndarray:
     return np.concatenate([[m.odds["w"][w] / 2, odds.mean(), odds.max() / 2, min(len(word), 20) / 20], m.by["w"][w], m.by["g"][g].mean(axis=0)]).astype(np.float32)
 
 
+def inputs_of(words: list[bytes], m: Model) -> np.ndarray:
+    """``word_input`` of many words."""
+    ids = list(map(gram_ids, words))
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    g = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+    w = np.fromiter(map(crc32, words), np.int64, len(words)) & (WORDS - 1)
+    size = np.minimum(np.fromiter(map(len, words), np.float32, len(words)), 20) / 20
+    at, odds = np.cumsum(n) - n, m.odds["g"][g]
+    counted = np.stack([m.odds["w"][w] / 2, np.add.reduceat(odds, at) / n, np.maximum.reduceat(odds, at) / 2, size], 1)
+    return np.hstack([counted, m.by["w"][w], np.add.reduceat(m.by["g"][g], at) / n[:, None]]).astype(np.float32)
+
+
 def evidence(hits: np.ndarray, positive: np.ndarray, prior: float, strength: float = 2.0) -> np.ndarray:
     """Log-odds of a document with each id, against the prior, drawn to 0 where few documents have it."""
     p = np.clip((positive + strength * prior) / (hits + strength), 1e-4, 1 - 1e-4)
@@ -388,7 +401,7 @@ class Scorer:
             new = set().union(*texts)
         if new:
             new = sorted(new)
-            x = np.stack([word_input(w, self.model) for w in new])
+            x = np.concatenate([inputs_of(new[i : i + 20_000], self.model) for i in range(0, len(new), 20_000)])
             first = len(self.known) + 1
             self.known.update(zip(new, range(first, first + len(new)), strict=True))
             self.table = {w: np.concatenate([self.table[w], x @ self.q["W" + w] + self.q["b" + w]]) for w in "fb"}

@@ -36,7 +36,9 @@ def test_inputs_of_a_vocabulary_are_those_of_its_words():
     m, words = random_model(), [b"a", b"toxic", "größe".encode(), b"x" * 60]
     v = T.Vocabulary(words, 0.1)
     v.by = m.by
-    assert np.hstack([v.counted(m.odds), v.learned(np.arange(4))]) == pytest.approx(np.array([T.word_input(w, m) for w in words]), abs=1e-5)
+    want = np.array([T.word_input(w, m) for w in words])
+    assert np.hstack([v.counted(m.odds), v.learned(np.arange(4))]) == pytest.approx(want, abs=1e-5)
+    assert T.inputs_of(words, m) == pytest.approx(want, abs=1e-5)
 
 
 def plain_score(text, m):
