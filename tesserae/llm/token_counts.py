@@ -52,37 +52,45 @@ class Trie:
         self._clear()
 
     def _clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}
         self.best, self.pieces = [0.0], [0]
 
-    def insert(self, word: str) -> int:
-        """The number of pieces of the word's best segmentation, as its last node says."""
-        if len(self.best) + len(word) > self.most:
-            self._clear()
-        path = [0]
-        for end, letter in enumerate(word, 1):
-            node = self.child.get((path[-1], letter))
+    def counts(self, words: list[str]) -> list[int]:
+        """The number of pieces of each word's best segmentation, as its last node says. Sorted words share most of their paths."""
+        before, path, out = "", [0], []
+        for word in words:
+            if len(self.best) + len(word) > self.most:
+                self._clear()
+                before, path = "", [0]
+            shared = 0
+            for a, b in zip(before, word, strict=False):
+                if a != b:
+                    break
+                shared += 1
+            del path[shared + 1 :]
+            self._descend(word, path)
+            out.append(self.pieces[path[-1]])
+            before = word
+        return out
+
+    def _descend(self, word: str, path: list[int]) -> None:
+        """Lengthen the path to the whole word, making the nodes that are missing."""
+        child, best, pieces, get = self.child, self.best, self.pieces, self.scores.get
+        for end in range(len(path), len(word) + 1):
+            edge = path[-1] << 21 | ord(word[end - 1])
+            node = child.get(edge)
             if node is None:
-                node = self._grow(path, word[:end])
+                top, n = -math.inf, 0
+                for start in range(max(0, end - self.longest), end):
+                    s = get(word[start:end])
+                    if s is not None and (t := best[path[start]] + s) > top:
+                        top, n = t, pieces[path[start]] + 1
+                if top == -math.inf:
+                    top, n = best[path[-1]] + self.unknown, pieces[path[-1]] + len(word[end - 1].encode())
+                node = child[edge] = len(best)
+                best.append(top)
+                pieces.append(n)
             path.append(node)
-        return self.pieces[path[-1]]
-
-    def _grow(self, path: list[int], prefix: str) -> int:
-        end, get, best = len(prefix), self.scores.get, self.best
-        top, n = -math.inf, 0
-        for start in range(max(0, end - self.longest), end):
-            s = get(prefix[start:])
-            if s is not None and best[path[start]] + s > top:
-                top, n = best[path[start]] + s, self.pieces[path[start]] + 1
-        if top == -math.inf:
-            top, n = best[path[-1]] + self.unknown, self.pieces[path[-1]] + len(prefix[-1].encode())
-        node = self.child[path[-1], prefix[-1]] = len(best)
-        best.append(top)
-        self.pieces.append(n)
-        return node
-
-    def counts(self, words: list[str]) -> list[int]:
-        return [self.insert(w) for w in words]
 
 
 def counted(words: list[str], scores: dict[str, float], longest: int, unknown: float) -> list[int]:
