@@ -274,10 +274,9 @@ class Vocabulary:
         self.rate = rate
         self.word = np.array([crc32(w) & (WORDS - 1) for w in words], np.int64)
         self.length = np.array([min(len(w), 20) / 20 for w in words], np.float32)
-        grams = [np.array(gram_ids(w), np.int32) for w in words]
-        self.count = np.array([len(g) for g in grams], np.int64)
+        self.count = np.array([sum(max(1, len(w) + 3 - n) for n in GRAM_SIZES) for w in words], np.int64)
         self.start = np.cumsum(self.count) - self.count
-        self.grams = np.concatenate([np.empty(0, np.int32), *grams])
+        self.grams = np.fromiter(chain.from_iterable(map(gram_ids, words)), np.int32, int(self.count.sum()))
         self.by = {"w": np.zeros((WORDS, WORD_SIZE), np.float32), "g": np.zeros((GRAMS, GRAM_SIZE), np.float32)}
         self.seen = {k: np.zeros_like(x) for k, x in self.by.items()}
         self.moves = {k: np.ones(len(x), bool) for k, x in self.by.items()}
@@ -355,8 +354,11 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 6, dropped: float = 0
     worth = np.concatenate([[-np.inf], np.maximum(counted[:, 0], counted[:, 2])])[windows].max(axis=1)
     for epoch in range(epochs):
         if epoch:
-            x = np.concatenate([blank, np.hstack([counted, np.tile(words.learned(np.arange(len(known))), (FOLDS, 1))])])
-            worth = scored(q, windows, x @ q["Wf"] + q["bf"], x @ q["Wb"] + q["bb"])
+            learned = words.learned(np.arange(len(known)))
+            for f in range(FOLDS):  # one fold's words at a time
+                mine, shift = np.flatnonzero(fold[owner] == f), f * len(known)
+                x = np.concatenate([blank, np.hstack([counted[shift : shift + len(known)], learned])])
+                worth[mine] = scored(q, np.maximum(windows[mine] - shift, 0), x @ q["Wf"] + q["bf"], x @ q["Wb"] + q["bb"])
         order = np.lexsort((worth, owner))
         worst = order[np.append(owner[order][1:] != owner[order][:-1], True)]
         for _ in range(PASSES):
