@@ -38,7 +38,7 @@ def test_blocks_without_answers_segment_their_words():
     texts = [t for t in odd_texts(60, 4) if t]
     rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["row_no", "doc_id", "text"])
     model = P.default_model()
-    words = [pa.Table.from_batches([b]) for b in P._distinct(200, 3)(iter([rows.slice(0, 3), rows.slice(3)]))]
+    words = [pa.Table.from_batches([b]) for part in (rows.slice(0, 3), rows.slice(3)) for b in P._distinct(200, 3)(iter([part]))]
     answers = list(P._segment(model)(b for t in words for b in t.to_batches()))
     held = list(P._texts(200)(iter([rows])))
     both = pa.concat_tables([pa.Table.from_batches([b]) for b in [*answers, *held]]).sort_by([("block", "ascending"), ("last", "ascending"), ("bucket", "ascending")])
