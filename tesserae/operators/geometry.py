@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.borders import fit
-from ..plans.frames import IMAGE, PIXEL, grid, images_of
+from ..plans.frames import PIXEL, images_of
 from . import neighbourhood as N
 
 c = F.col
@@ -50,8 +50,9 @@ def sampled(cells: DataFrame, px: DataFrame, order: int, mode: str = "constant",
 
 def _canvas(px: DataFrame, h: Column | int, w: Column | int) -> DataFrame:
     h, w = (x if isinstance(x, Column) else F.lit(x) for x in (h, w))
-    sizes = images_of(px).select("image_id", h.cast("int").alias("nh"), w.cast("int").alias("nw"), c("h").alias("ih"), c("w").alias("iw"))
-    return grid(sizes.select("image_id", c("nh").alias("h"), c("nw").alias("w"), "ih", "iw").select(*IMAGE)).join(F.broadcast(sizes.select("image_id", "ih", "iw")), "image_id")
+    sizes = images_of(px).select("image_id", h.cast("int").alias("nh"), w.cast("int").alias("nw"), c("h").alias("ih"), c("w").alias("iw")).where("nh > 0 AND nw > 0")
+    rows = sizes.withColumn("y", F.explode(F.sequence(F.lit(0), c("nh") - 1)))
+    return rows.select("image_id", c("nh").alias("h"), c("nw").alias("w"), "y", F.explode(F.sequence(F.lit(0), c("nw") - 1)).alias("x"), "ih", "iw")
 
 
 def resize(px: DataFrame, shape: tuple[int, int], order: int = 1, anti_alias: bool | None = None, sigma: float | None = None, mode: str = "constant", value: float = 0.0, size: tuple[int, int] | None = None) -> DataFrame:

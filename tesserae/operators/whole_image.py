@@ -214,6 +214,17 @@ def hough_circle_peak(votes: DataFrame, n_peaks: int = -1, dy: int = 7, dx: int
     return rows.groupBy("image_id").applyInPandas(run, "image_id long, radius_ix int, y int, x int, v double").withColumn("votes", c("v").cast("long")).drop("v")
 
 
+def _arm(mask: np.ndarray, y: int, x: int, dy: int, dx: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells from a set pixel on, by steps, up to the last set one before a hole of more than ``gap`` cells or the border."""
+    room = [(n - 1 - p) // d if d > 0 else p // -d for p, d, n in ((y, dy, mask.shape[0]), (x, dx, mask.shape[1])) if d]
+    k = np.arange(min(room, default=0) + 1)
+    ys, xs = y + dy * k, x + dx * k
+    there = np.flatnonzero(mask[ys, xs])
+    holes = np.flatnonzero(np.diff(there) - 1 > gap)
+    last = there[holes[0]] if len(holes) else there[-1]
+    return ys[: last + 1], xs[: last + 1]
+
+
 def line_segments(a: np.ndarray, theta: Sequence[float], threshold: int, length: int, gap: int) -> list[tuple[int, int, int, int]]:
     """Segments found while votes come in by raster order: once a pixel's best cell passes the threshold, the line
     through it is followed both ways over gaps; if long enough, its pixels and their votes for it are taken back."""
@@ -237,27 +248,14 @@ def line_segments(a: np.ndarray, theta: Sequence[float], threshold: int, length:
             step = (math.floor(co[t] / abs(si[t]) + 0.5), 1 if si[t] < 0 else -1)
         else:
             step = (1 if co[t] > 0 else -1, math.floor(-si[t] / abs(co[t]) + 0.5))
-        ends = []
-        for way in (1, -1):
-            y, x, last, missing = y0, x0, (y0, x0), 0
-            while 0 <= y < h and 0 <= x < w and missing <= gap:
-                if mask[y, x]:
-                    last, missing = (y, x), 0
-                missing += 1
-                y, x = y + way * step[0], x + way * step[1]
-            ends.append(last)
-        (ya, xa), (yb, xb) = ends
+        arms = [_arm(mask, y0, x0, way * step[0], way * step[1], gap) for way in (1, -1)]
+        (ya, xa), (yb, xb) = ((int(y[-1]), int(x[-1])) for y, x in arms)
         if max(abs(ya - yb), abs(xa - xb)) < length:
             continue
-        for way, last in ((1, ends[0]), (-1, ends[1])):
-            y, x = y0, x0
-            while True:
-                if mask[y, x]:
-                    votes[rho(y, x, t), t] -= 1
-                    mask[y, x] = False
-                if (y, x) == last:
-                    break
-                y, x = y + way * step[0], x + way * step[1]
+        for y, x in arms:
+            on = mask[y, x]
+            np.subtract.at(votes, (rho(y[on], x[on], t), t), 1)
+            mask[y[on], x[on]] = False
         out.append((ya, xa, yb, xb))
     return out
 

@@ -207,3 +207,21 @@ def test_stream_of_files_and_windows(spark, tmp_path):
     q = windowed(events).writeStream.format("memory").queryName("sums").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("SELECT sum(n) FROM sums").first()[0] == 1000
+
+
+def test_line_segments_bridge_holes_of_gap_cells_and_no_more():
+    import numpy as np
+
+    from tesserae.operators import whole_image as W
+
+    theta = W.default_angles()
+    for gap in (0, 1, 3):
+        for hole in (0, gap, gap + 1):
+            a = np.zeros((20, 40))
+            a[7, 2:15] = a[7, 15 + hole : 30] = 1
+            ends = sorted(tuple(sorted(((y1, x1), (y2, x2)))) for y1, x1, y2, x2 in W.line_segments(a, theta, 3, 8, gap))
+            want = [((7, 2), (7, 29))] if hole <= gap else [((7, 2), (7, 14)), ((7, 15 + hole), (7, 29))]
+            assert ends == want, (gap, hole, ends)
+    a = np.zeros((30, 30))
+    a[np.arange(4, 25), np.arange(4, 25)] = 1
+    assert [tuple(sorted(((s[0], s[1]), (s[2], s[3])))) for s in W.line_segments(a, theta, 3, 8, 0)] == [((4, 4), (24, 24))]
