@@ -43,14 +43,9 @@ def mask(spark: SparkSession, sf_dir: str, above: int = 128) -> DataFrame:
     return gray(spark, sf_dir).withColumn("v", (F.col("v") > above).cast("double"))
 
 
-def small(px: DataFrame, side: int = 16) -> DataFrame:
-    """The top left corner of each image."""
-    return px.where((F.col("y") < side) & (F.col("x") < side)).withColumns({"h": F.lit(side), "w": F.lit(side)})
-
-
-def points(spark: SparkSession, sf_dir: str, dims: int | None = 3) -> DataFrame:
-    """Embeddings as points: their first ``dims`` values, or all."""
-    p = F.transform(F.slice("embedding", 1, dims) if dims else F.col("embedding"), lambda e: F.round(e.cast("double") * 100))
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as points, in hundredths."""
+    p = F.transform("embedding", lambda e: F.round(e.cast("double") * 100))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), p.alias("p"))
 
 
@@ -67,11 +62,7 @@ def _sql(*sums: tuple[str, str]) -> str:
 GRAY = _sql(("v", "true"))
 RGB = _sql(*((c, f"l_linenumber % 3 = {i}") for i, c in enumerate("rgb")))
 MASK = f"SELECT image_id, h, w, y, x, (v > 128)::INT::DOUBLE AS v FROM ({GRAY})"
-POINTS = "SELECT vec_id AS point_id, [round(e::DOUBLE * 100) FOR e IN embedding[1:3]] AS p FROM embeddings"
-
-
-def small_sql(sql: str, side: int = 16) -> str:
-    return f"SELECT * REPLACE ({side} AS h, {side} AS w) FROM ({sql}) WHERE y < {side} AND x < {side}"
+POINTS = "SELECT vec_id AS point_id, [round(e::DOUBLE * 100) FOR e IN embedding] AS p FROM embeddings"
 
 
 def ctes(**parts: str) -> str:

@@ -155,11 +155,11 @@ pixels("hist_equalize", histograms.equalise, f"SELECT p.image_id, p.y, p.x, roun
 
 def _interp_query(s: SparkSession, d: str) -> DataFrame:
     nodes = histograms.cdf(histograms.histogram(R.gray(s, d), 16)).select("image_id", c("bin").alias("xp"), c("cdf").alias("fp"))
-    asked = R.gray(s, d).where("y = 3").select("image_id", c("v").alias("xn"), "x")
-    return histograms.interpolated(asked, nodes, ["image_id"]).select("image_id", "x", "xn", shown("f").alias("f"))
+    asked = R.gray(s, d).select("image_id", c("v").alias("xn"), "y", "x")
+    return histograms.interpolated(asked, nodes, ["image_id"]).select("image_id", "y", "x", "xn", shown("f").alias("f"))
 
 
-add("interp_linear", _interp_query, f"SELECT p.image_id, p.x, p.v AS xn, round(m.f, 6) + 0.0 AS f FROM ({R.GRAY}) p JOIN ({_interp(f'SELECT DISTINCT image_id, v AS xn FROM ({R.GRAY}) WHERE y = 3', f'SELECT image_id, bin AS xp, f AS fp FROM ({_CDF.format(_WIDE.format(n=16, px=R.GRAY, ends=_ENDS.format(R.GRAY)))})')}) m ON m.image_id = p.image_id AND m.xn = p.v WHERE p.y = 3")
+add("interp_linear", _interp_query, f"SELECT p.image_id, p.y, p.x, p.v AS xn, round(m.f, 6) + 0.0 AS f FROM ({R.GRAY}) p JOIN ({_interp(f'SELECT DISTINCT image_id, v AS xn FROM ({R.GRAY})', f'SELECT image_id, bin AS xp, f AS fp FROM ({_CDF.format(_WIDE.format(n=16, px=R.GRAY, ends=_ENDS.format(R.GRAY)))})')}) m ON m.image_id = p.image_id AND m.xn = p.v")
 
 
 def _threshold(name: str, run, sql: str | None) -> None:
@@ -222,13 +222,11 @@ def _edge_nms(s: SparkSession, d: str) -> DataFrame:
 
 
 add("edge_nms", _edge_nms, G.shown(_nms(_GRAD)))
-_SMALL = R.small_sql(R.GRAY)
-_SU = f"SELECT * REPLACE (v / 255 AS v) FROM ({_SMALL})"
 _INNER = "(y BETWEEN 1 AND h - 2 AND x BETWEEN 1 AND w - 2)::INT::DOUBLE"
 _GK = K.gaussian(1.0, radius=2)
-_BLUR = G.minus(G.convolved(_SU, _GK), G.convolved(f"SELECT * REPLACE ({_INNER} AS v) FROM ({_SU})", _GK), f"a.v / (b.v + {K.EPSILON!r})")
+_BLUR = G.minus(G.convolved(_UNITPX, _GK), G.convolved(f"SELECT * REPLACE ({_INNER} AS v) FROM ({_UNITPX})", _GK), f"a.v / (b.v + {K.EPSILON!r})")
 _THIN = f"SELECT * REPLACE ((v > 0 AND y BETWEEN 3 AND h - 4 AND x BETWEEN 3 AND w - 4 AND mag >= 0.1)::INT::DOUBLE AS v) FROM ({_nms(G.gradients(_BLUR, normalise=False))})"
-pixels("edge_canny", lambda p: labels.canny(R.small(p)), f"SELECT image_id, y, x, coalesce(max(CASE WHEN mag >= 0.2 AND root IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, root) = 1 AND root IS NOT NULL, false)::INT::DOUBLE AS v FROM ({G.rooted(_THIN, 2)})")
+pixels("edge_canny", labels.canny, f"SELECT image_id, y, x, coalesce(max(CASE WHEN mag >= 0.2 AND root IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, root) = 1 AND root IS NOT NULL, false)::INT::DOUBLE AS v FROM ({G.rooted(_THIN, 2)})")
 _GRAD0 = G.gradients(R.GRAY, "sobel", "constant", False)
 _TENSOR = [G.blurred(f"SELECT image_id, h, w, y, x, {e} AS v FROM ({_GRAD0})", 1.0, "constant") for e in ("gy * gy", "gy * gx", "gx * gx")]
 _ST = f"SELECT a.image_id, a.y, a.x, a.v AS ayy, b.v AS axy, c.v AS axx FROM ({_TENSOR[0]}) a JOIN ({_TENSOR[1]}) b USING (image_id, y, x) JOIN ({_TENSOR[2]}) c USING (image_id, y, x)"
@@ -275,15 +273,14 @@ pixels("tree_labels", whole_image.tree_labels, None)
 # Labels and regions.
 
 add("label", lambda s, d: labels.label(R.mask(s, d)).select("image_id", "y", "x", "label"), f"SELECT image_id, y, x, label FROM ({G.labelled(R.MASK)})")
-_SM = R.small_sql(R.MASK)
-add("label_diagonal", lambda s, d: labels.label(R.small(R.mask(s, d)), 2).select("image_id", "y", "x", "label"), f"SELECT image_id, y, x, label FROM ({G.labelled(_SM, 2)})")
-add("label_values", lambda s, d: labels.label(R.small(R.gray(s, d)), 1, "linear", 128).select("image_id", "y", "x", "label"), f"SELECT image_id, y, x, label FROM ({G.labelled(f'SELECT * REPLACE (CASE WHEN v = 0 THEN 0 ELSE floor(v / 128) + 1 END AS v) FROM ({_SMALL})')})")
+add("label_diagonal", lambda s, d: labels.label(R.mask(s, d), 2).select("image_id", "y", "x", "label"), f"SELECT image_id, y, x, label FROM ({G.labelled(R.MASK, 2)})")
+add("label_values", lambda s, d: labels.label(R.gray(s, d), 1, "linear", 128).select("image_id", "y", "x", "label"), f"SELECT image_id, y, x, label FROM ({G.labelled(f'SELECT * REPLACE (CASE WHEN v = 0 THEN 0 ELSE floor(v / 128) + 1 END AS v) FROM ({R.GRAY})')})")
 pixels("rm_small_objects", lambda p: labels.remove_small_objects(p, 6), G.by_area(R.MASK, 6), R.mask)
 pixels("rm_small_holes", lambda p: labels.remove_small_holes(p, 6), G.inverted(G.by_area(G.inverted(R.MASK), 6)), R.mask)
 pixels("fill_holes", labels.fill_holes, G.filled(R.MASK), R.mask)
 pixels("region_fill", lambda p: labels.region_fill(p, (5, 5)), f"SELECT image_id, y, x, (v = 0 OR coalesce(root = max(CASE WHEN y = 5 AND x = 5 THEN root END) OVER (PARTITION BY image_id), false))::INT::DOUBLE AS v FROM ({G.rooted(G.inverted(R.MASK))})", R.mask)
-_NEARBY = f"SELECT p.* REPLACE ((abs(p.v - t.v) <= 90)::INT::DOUBLE AS v) FROM ({_SMALL}) p JOIN ({_SMALL}) t ON t.image_id = p.image_id AND t.y = 5 AND t.x = 5"
-pixels("region_fill_gray", lambda p: labels.region_fill(R.small(p), (5, 5), 90, binary=False), f"SELECT image_id, y, x, (v = 0 OR coalesce(root = max(CASE WHEN y = 5 AND x = 5 THEN root END) OVER (PARTITION BY image_id), false))::INT::DOUBLE AS v FROM ({G.rooted(_NEARBY)})")
+_NEARBY = f"SELECT p.* REPLACE ((abs(p.v - t.v) <= 90)::INT::DOUBLE AS v) FROM ({R.GRAY}) p JOIN ({R.GRAY}) t ON t.image_id = p.image_id AND t.y = 5 AND t.x = 5"
+pixels("region_fill_gray", lambda p: labels.region_fill(p, (5, 5), 90, binary=False), f"SELECT image_id, y, x, (v = 0 OR coalesce(root = max(CASE WHEN y = 5 AND x = 5 THEN root END) OVER (PARTITION BY image_id), false))::INT::DOUBLE AS v FROM ({G.rooted(_NEARBY)})")
 _L = G.labelled(R.MASK)
 _BOXES = f"SELECT image_id, label, min(y) AS y0, min(x) AS x0, max(y) AS y1, max(x) AS x1, count(*) AS area FROM ({_L}) WHERE label > 0 GROUP BY 1, 2"
 add("find_object", lambda s, d: regions.find_objects(labels.label(R.mask(s, d))), f"SELECT image_id, label, y0, x0, y1, x1 FROM ({_BOXES})")
@@ -348,8 +345,8 @@ for _kind, _axis in features.HAAR:
     _sum = " + ".join(f"{'' if i % 2 else '-'}(SELECT sum(q.v) FROM s q WHERE q.image_id = p.image_id AND q.y BETWEEN p.y + {a} * z.dh AND p.y + {a} * z.dh + z.dh - 1 AND q.x BETWEEN p.x + {b} * z.dw AND p.x + {b} * z.dw + z.dw - 1)" for i, (a, b) in enumerate(_parts))
     add(
         f"haar_{_kind}_{_axis}",
-        lambda s, d, k=_kind, a=_axis: features.haar_features(R.small(R.gray(s, d)), k, a).select("image_id", "y", "x", "dh", "dw", shown("v").alias("v")),
-        f"WITH s AS ({_SMALL}) SELECT p.image_id, p.y, p.x, z.dh, z.dw, {_sum} AS v FROM s p CROSS JOIN (VALUES (1, 1), (1, 2), (2, 1), (2, 2)) z(dh, dw) WHERE p.y + {_ny} * z.dh <= p.h AND p.x + {_nx} * z.dw <= p.w",
+        lambda s, d, k=_kind, a=_axis: features.haar_features(R.gray(s, d), k, a).select("image_id", "y", "x", "dh", "dw", shown("v").alias("v")),
+        f"WITH s AS ({R.GRAY}) SELECT p.image_id, p.y, p.x, z.dh, z.dw, {_sum} AS v FROM s p CROSS JOIN (VALUES (1, 1), (1, 2), (2, 1), (2, 2)) z(dh, dw) WHERE p.y + {_ny} * z.dh <= p.h AND p.x + {_nx} * z.dw <= p.w",
     )
 _RS = ", ".join(f"max(CASE WHEN k.wt = {i} THEN s.v END) AS r{i}" for i in range(17))
 _FAST = G.gather(R.GRAY, [(0, 0, 16), *((a, b, i) for i, (a, b) in enumerate(features.RING))], _RS)
@@ -418,23 +415,21 @@ def _asked(s: SparkSession, d: str) -> DataFrame:
 
 
 def _dist(p: float = 2) -> str:
-    gap = "abs(a.p[{0}] - b.p[{0}])"
-    if math.isinf(p):
-        return f"greatest({', '.join(gap.format(i) for i in (1, 2, 3))})"
-    return f"pow({' + '.join(f'pow({gap.format(i)}, {p})' for i in (1, 2, 3))}, 1.0 / {p})"
+    gaps = "[abs(z[1] - z[2]) FOR z IN list_zip(a.p, b.p)]"
+    return "list_distance(a.p, b.p)" if p == 2 else f"list_sum({gaps})" if p == 1 else f"list_max({gaps})"
 
 
 _PAIR = f"SELECT a.point_id AS query_id, b.point_id, round({{}}, 9) + 0.0 AS dist FROM ({R.POINTS}) a, ({R.POINTS}) b"
 for _p, _n in ((2, "knn"), (1, "knn_p1"), (math.inf, "knn_inf")):
     add(_n, lambda s, d, p=_p: spatial.knn(R.points(s, d), _asked(s, d), 5, p).select("query_id", "point_id", shown("dist", 9).alias("dist"), "rank"), f"SELECT query_id, point_id, dist, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, point_id) AS rank FROM ({_PAIR.format(_dist(_p))})) WHERE rank <= 5")
-add("ball", lambda s, d: spatial.ball(R.points(s, d), _asked(s, d), 12.0), f"SELECT * FROM ({_PAIR.format(_dist())}) WHERE dist <= 12")
-_CENTRES = [[0.0, 0.0, 0.0], [10.0, 5.0, -5.0], [-10.0, 10.0, 10.0]]
-_CD = ", ".join(f"round(sqrt({' + '.join(f'pow(p[{i + 1}] - {x!r}, 2)' for i, x in enumerate(k))}), 9)" for k in _CENTRES)
+add("ball", lambda s, d: spatial.ball(R.points(s, d), _asked(s, d), 115.0), f"SELECT * FROM ({_PAIR.format(_dist())}) WHERE dist <= 115")
+_CENTRES = [[0.0] * 64, [5.0 * (-1) ** i for i in range(64)], [float(i % 9 - 4) for i in range(64)]]
+_CD = ", ".join(f"round(list_distance(p, {k}::DOUBLE[]), 9)" for k in _CENTRES)
 add("kmeans_assign", lambda s, d: spatial.assign(R.points(s, d), _CENTRES).select("point_id", "cluster"), f"SELECT point_id, (list_position([{_CD}], list_min([{_CD}])) - 1)::INT AS cluster FROM ({R.POINTS})")
 
 
 def _kmeans(s: SparkSession, d: str) -> DataFrame:
-    points = R.points(s, d, None)
+    points = R.points(s, d)
     centres = spatial.kmeans(points, 4)
     return spatial.assign(points, centres).groupBy("cluster").agg(F.count("*").alias("n"), *(shown(F.avg(c("p")[i])).alias(f"m{i}") for i in range(len(centres[0]))))
 
@@ -443,28 +438,27 @@ add("kmeans_fit", _kmeans)
 
 
 def _foreground(s: SparkSession, d: str) -> DataFrame:
-    return R.gray(s, d).where("v % 61 = 3").select(c("image_id").alias("set_id"), "y", "x")
+    return R.mask(s, d).where("v = 1").select(c("image_id").alias("set_id"), "y", "x")
 
 
-_FG = f"SELECT image_id AS set_id, y, x FROM ({R.GRAY}) WHERE v % 61 = 3"
+_FG = f"SELECT image_id AS set_id, y, unnest(list_distinct([min(x), max(x)])) AS x FROM ({R.MASK}) WHERE v = 1 GROUP BY 1, 2"  # a row's ends have its hull
 # A point is a corner of the hull if no two others have it between or inside them.
 _ON = "SELECT DISTINCT a.set_id, a.y, a.x, b.y AS y2, b.x AS x2 FROM f a JOIN f b ON a.set_id = b.set_id AND (a.y <> b.y OR a.x <> b.x) WHERE NOT EXISTS (SELECT 1 FROM f q WHERE q.set_id = a.set_id AND ((b.y - a.y) * (q.x - a.x) - (b.x - a.x) * (q.y - a.y) < 0 OR ((b.y - a.y) * (q.x - a.x) - (b.x - a.x) * (q.y - a.y) = 0 AND ((q.y - a.y) * (q.y - b.y) + (q.x - a.x) * (q.x - b.x)) > 0)))"
 _HULL = f"WITH f AS ({_FG}), e AS ({_ON}) "
 add("hull", lambda s, d: spatial.convex_hull(_foreground(s, d)).select("set_id", c("y").cast("int").alias("y"), c("x").cast("int").alias("x")), _HULL + "SELECT DISTINCT set_id, y, x FROM e")
 _INSIDE = "EXISTS (SELECT 1 FROM e WHERE e.set_id = g.image_id) AND NOT EXISTS (SELECT 1 FROM e WHERE e.set_id = g.image_id AND (e.y2 - e.y) * (g.x - e.x) - (e.x2 - e.x) * (g.y - e.y) < 0)"
 add("hull_fill", lambda s, d: _plain(spatial.hull_image(spatial.convex_hull(_foreground(s, d)), images_of(R.gray(s, d)))), _HULL + f"SELECT g.image_id, g.y, g.x, ({_INSIDE})::INT::DOUBLE AS v FROM ({R.GRAY}) g")
-add("hull_query", lambda s, d: spatial.hull_contains(spatial.convex_hull(_foreground(s, d)), R.gray(s, d).where("(y + x) % 5 = 0").select(c("image_id").alias("set_id"), "y", "x")), _HULL + f"SELECT g.image_id AS set_id, g.y, g.x, {_INSIDE} AS inside FROM ({R.GRAY}) g WHERE (g.y + g.x) % 5 = 0")
-add("hull_outline", lambda s, d: spatial.hull_outline(spatial.convex_hull(R.mask(s, d).where("v = 1").select(c("image_id").alias("set_id"), "y", "x"))))
+add("hull_query", lambda s, d: spatial.hull_contains(spatial.convex_hull(_foreground(s, d)), R.gray(s, d).select(c("image_id").alias("set_id"), "y", "x")), _HULL + f"SELECT g.image_id AS set_id, g.y, g.x, {_INSIDE} AS inside FROM ({R.GRAY}) g")
+add("hull_outline", lambda s, d: spatial.hull_outline(spatial.convex_hull(_foreground(s, d))))
 
 # Drawing.
 
 
 def _segments(s: SparkSession, d: str) -> DataFrame:
-    p = R.table(s, d, "embeddings").select("vec_id", *(F.abs(F.round(c("embedding")[i].cast("double") * 40)).cast("int").alias(n) for i, n in enumerate(("y1", "x1", "y2", "x2"))))
-    return p.where("vec_id < 50")
+    return R.table(s, d, "embeddings").select("vec_id", *(F.abs(F.round(c("embedding")[i].cast("double") * 40)).cast("int").alias(n) for i, n in enumerate(("y1", "x1", "y2", "x2"))))
 
 
-_SEG = "SELECT vec_id, " + ", ".join(f"abs(round(embedding[{i + 1}]::DOUBLE * 40))::INT AS {n}" for i, n in enumerate(("y1", "x1", "y2", "x2"))) + " FROM embeddings WHERE vec_id < 50"
+_SEG = "SELECT vec_id, " + ", ".join(f"abs(round(embedding[{i + 1}]::DOUBLE * 40))::INT AS {n}" for i, n in enumerate(("y1", "x1", "y2", "x2"))) + " FROM embeddings"
 _N = "greatest(abs(y2 - y1), abs(x2 - x1))"
 _LINE = (
     f"SELECT vec_id, i::INT AS i, (y1 + CASE WHEN y2 > y1 THEN 1 ELSE -1 END * CASE WHEN abs(y2 - y1) > abs(x2 - x1) THEN i WHEN n = 0 THEN 0 ELSE (2 * abs(y2 - y1) * i + n) // (2 * n) END)::INT AS y, "
@@ -474,12 +468,18 @@ add("draw_line", lambda s, d: drawing.lines(_segments(s, d)), _LINE)
 
 
 def _centres(s: SparkSession, d: str) -> DataFrame:
-    return R.gray(s, d).where("v % 61 = 3").select("image_id", "y", "x")
+    """The cells that are the greatest of their 5x5 box."""
+    taps = [(a, b, float(a == b == 0)) for a in range(-2, 3) for b in range(-2, 3)]
+    near = N.gathered(R.gray(s, d), taps, "reflect", top=F.max("v"), own=F.max(F.when(c("wt") == 1, c("v"))))
+    return near.where("own = top").select("image_id", "y", "x")
+
+
+_TOPS = f"SELECT p.image_id, p.y, p.x FROM ({R.GRAY}) p JOIN ({G.gather(R.GRAY, K.taps(BOX5), 'max(@v) AS v', 'reflect')}) t USING (image_id, y, x) WHERE p.v = t.v"
 
 
 def _stamped(offsets) -> str:
     o = ", ".join(f"({a}, {b})" for a, b in dict.fromkeys(offsets))
-    return f"SELECT g.image_id, g.y + o.dy AS y, g.x + o.dx AS x FROM ({R.GRAY}) g CROSS JOIN (VALUES {o}) o(dy, dx) WHERE g.v % 61 = 3"
+    return f"SELECT g.image_id, g.y + o.dy AS y, g.x + o.dx AS x FROM ({_TOPS}) g CROSS JOIN (VALUES {o}) o(dy, dx)"
 
 
 add("draw_circle", lambda s, d: drawing.circles(_centres(s, d), 6), _stamped(circle_points(6)))

@@ -29,6 +29,6 @@ def test_clusters_of_whole_embeddings(spark):
     size = len(R.table(spark, DATA, "embeddings").first()["embedding"])
     out = registry.queries()["kmeans_fit"](spark, DATA)
     assert size > 3 and out.columns == ["cluster", "n", *(f"m{i}" for i in range(size))]
-    points = R.points(spark, DATA, None)
+    points = R.points(spark, DATA)
     own = spatial.assign(points, [list(r[2:]) for r in out.orderBy("cluster").collect()]).groupBy("cluster").count().collect()
     assert {r.cluster: r["count"] for r in own} == {r.cluster: r.n for r in out.collect()}
