@@ -69,6 +69,15 @@ def solid(r: int, height: int = 0, shape: str = "sphere") -> list[list[list[floa
     return [[[float(within(a, b, c)) for c in span] for b in span] for a in span]
 
 
+def cuboid(d: int, h: int, w: int) -> list[list[list[float]]]:
+    return [box(h, w) for _ in range(d)]
+
+
+def binary_table(rank: int) -> list[list[int]]:
+    """All rows of ``rank`` bits in order."""
+    return [[i >> k & 1 for k in reversed(range(rank))] for i in range(2**rank)]
+
+
 def default_element(connectivity: int = 1, hole: bool = False) -> list[list[float]]:
     """The 3x3 cells with an L1 offset up to ``connectivity``, without the centre if ``hole``."""
     return [[float(abs(i) + abs(j) <= connectivity and not (hole and i == j == 0)) for j in (-1, 0, 1)] for i in (-1, 0, 1)]

@@ -179,10 +179,25 @@ def harris_corner(px: DataFrame, nobel: bool = False, k: float = 0.05, epsilon:
 # Morphology.
 
 
+def _within(out: DataFrame, mask: DataFrame | None, before: DataFrame | None = None) -> DataFrame:
+    """``out`` where the mask (image_id, y, x, m) is on; elsewhere, and where it has no row, ``before`` or 0.
+
+    A union and an aggregate, no join.
+    """
+    if mask is None:
+        return out
+    key, none = ["image_id", "y", "x"], F.lit(None).cast("double")
+    rows = out.select(*PIXEL, "v", none.alias("old")).unionByName(mask.select(*key, c("m").cast("double").alias("m")), allowMissingColumns=True)
+    if before is not None:
+        rows = rows.unionByName(before.select(*PIXEL, c("v").alias("old")), allowMissingColumns=True)
+    both = rows.groupBy(*key).agg(*(F.max(n).alias(n) for n in ("h", "w", "v", "old", "m"))).where("v is not null")
+    return both.select(*PIXEL, F.when(c("m") != 0, c("v")).otherwise(F.coalesce("old", F.lit(0.0))).alias("v"))
+
+
 def binary_erosion(px: DataFrame, element: K.Kernel | None = None, anchor=None, border: int = 0, iterations: int = 1, mask: DataFrame | None = None) -> DataFrame:
     """1 where every cell under the turned element is 1; -1 iterations: until nothing changes.
 
-    Pixels outside ``mask`` (rows with m = 0) keep their value; an empty element changes nothing.
+    Pixels outside ``mask`` (rows with m = 0, or none) keep their value; an empty element changes nothing.
     """
     return _binary(px, element, anchor, border, iterations, mask, F.min)
 
@@ -198,10 +213,7 @@ def _binary(px, element, anchor, border, iterations, mask, how) -> DataFrame:
     key, round_ = ["image_id", "y", "x"], 0
     before = px if iterations == 1 else stored(px.select(*PIXEL, "v"), "binary")
     while True:
-        after = gathered(before, taps, "constant", float(border), v=how("v"))
-        if mask is not None:
-            old = before.select(*key, c("v").alias("old"))
-            after = after.join(mask.select(*key, "m"), key).join(old, key).withColumn("v", F.when(c("m") == 0, c("old")).otherwise(c("v"))).drop("m", "old")
+        after = _within(gathered(before, taps, "constant", float(border), v=how("v")), mask, before)
         round_ += 1
         if iterations == 1:
             return after
@@ -211,42 +223,42 @@ def _binary(px, element, anchor, border, iterations, mask, how) -> DataFrame:
         before = after
 
 
-def binary_opening(px: DataFrame, element: K.Kernel | None = None, anchor=None, border: int = 0) -> DataFrame:
-    return binary_dilation(binary_erosion(px, element, anchor, border), element, anchor, border)
+def binary_opening(px: DataFrame, element: K.Kernel | None = None, anchor=None, border: int = 0, mask: DataFrame | None = None) -> DataFrame:
+    return binary_dilation(binary_erosion(px, element, anchor, border, mask=mask), element, anchor, border, mask=mask)
 
 
-def binary_closing(px: DataFrame, element: K.Kernel | None = None, anchor=None, border: int = 0) -> DataFrame:
-    return binary_erosion(binary_dilation(px, element, anchor, border), element, anchor, border)
+def binary_closing(px: DataFrame, element: K.Kernel | None = None, anchor=None, border: int = 0, mask: DataFrame | None = None) -> DataFrame:
+    return binary_erosion(binary_dilation(px, element, anchor, border, mask=mask), element, anchor, border, mask=mask)
 
 
-def binary_edge(px: DataFrame, how: str = "inner", element: K.Kernel | None = None, anchor=None, border: int = 0) -> DataFrame:
-    """Pixels that erosion takes (inner), that dilation adds (outer), or both (double)."""
+def binary_edge(px: DataFrame, how: str = "inner", element: K.Kernel | None = None, anchor=None, border: int = 0, mask: DataFrame | None = None) -> DataFrame:
+    """Pixels that erosion takes (inner), that dilation adds (outer), or both (double); none outside ``mask``."""
     taps = K.taps(element or K.default_element(), anchor)
     numbered = [*((a, b, 0) for a, b, _ in taps), (0, 0, 1)]
     own = F.max(F.when(c("wt") == 1, c("v")))
     least, most = (f(F.when(c("wt") == 0, c("v"))) for f in (F.min, F.max))
     out = gathered(px, numbered, "constant", float(border), own=own, lo=least, hi=most)
     pair = {"inner": ("own", "lo"), "outer": ("hi", "own"), "double": ("hi", "lo")}[how]
-    return out.withColumn("v", (c(pair[0]) != c(pair[1])).cast("double")).drop("own", "lo", "hi")
+    return _within(out.withColumn("v", (c(pair[0]) != c(pair[1])).cast("double")).drop("own", "lo", "hi"), mask)
 
 
-def gray_erosion(px: DataFrame, element: K.Kernel | None = None, anchor=None, border: float = 0.0, flat: bool = True) -> DataFrame:
-    """Least v - height under the turned element; outside the image v is ``border``."""
+def gray_erosion(px: DataFrame, element: K.Kernel | None = None, anchor=None, border: float = 0.0, flat: bool = True, mask: DataFrame | None = None) -> DataFrame:
+    """Least v - height under the turned element; outside the image v is ``border``. Pixels outside ``mask`` keep their value."""
     taps = K.taps(element or K.default_element(), anchor, keep_zeros=not flat)
-    return gathered(px, taps, "constant", float(border), v=F.min(c("v") if flat else c("v") - c("wt")))
+    return _within(gathered(px, taps, "constant", float(border), v=F.min(c("v") if flat else c("v") - c("wt"))), mask, px)
 
 
-def gray_dilation(px: DataFrame, element: K.Kernel | None = None, anchor=None, border: float = 0.0, flat: bool = True) -> DataFrame:
+def gray_dilation(px: DataFrame, element: K.Kernel | None = None, anchor=None, border: float = 0.0, flat: bool = True, mask: DataFrame | None = None) -> DataFrame:
     taps = K.taps(element or K.default_element(), anchor, keep_zeros=not flat)
-    return gathered(px, taps, "constant", float(border), v=F.max(c("v") if flat else c("v") + c("wt")))
+    return _within(gathered(px, taps, "constant", float(border), v=F.max(c("v") if flat else c("v") + c("wt"))), mask, px)
 
 
-def gray_opening(px: DataFrame, element: K.Kernel | None = None, anchor=None, border: float = 0.0, flat: bool = True) -> DataFrame:
-    return gray_dilation(gray_erosion(px, element, anchor, border, flat), element, anchor, border, flat)
+def gray_opening(px: DataFrame, element: K.Kernel | None = None, anchor=None, border: float = 0.0, flat: bool = True, mask: DataFrame | None = None) -> DataFrame:
+    return gray_dilation(gray_erosion(px, element, anchor, border, flat, mask), element, anchor, border, flat, mask)
 
 
-def gray_closing(px: DataFrame, element: K.Kernel | None = None, anchor=None, border: float = 0.0, flat: bool = True) -> DataFrame:
-    return gray_erosion(gray_dilation(px, element, anchor, border, flat), element, anchor, border, flat)
+def gray_closing(px: DataFrame, element: K.Kernel | None = None, anchor=None, border: float = 0.0, flat: bool = True, mask: DataFrame | None = None) -> DataFrame:
+    return gray_erosion(gray_dilation(px, element, anchor, border, flat, mask), element, anchor, border, flat, mask)
 
 
 def _minus(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -255,21 +267,24 @@ def _minus(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy(*PIXEL).agg(F.sum("v").alias("v"))
 
 
-def white_top(px: DataFrame, element: K.Kernel | None = None, anchor=None, border: float = 0.0) -> DataFrame:
-    return _minus(px, gray_opening(px, element, anchor, border))
+def white_top(px: DataFrame, element: K.Kernel | None = None, anchor=None, border: float = 0.0, flat: bool = True, mask: DataFrame | None = None) -> DataFrame:
+    return _minus(px, gray_opening(px, element, anchor, border, flat, mask))
+
 
+def black_top(px: DataFrame, element: K.Kernel | None = None, anchor=None, border: float = 0.0, flat: bool = True, mask: DataFrame | None = None) -> DataFrame:
+    return _minus(gray_closing(px, element, anchor, border, flat, mask), px)
 
-def black_top(px: DataFrame, element: K.Kernel | None = None, anchor=None, border: float = 0.0) -> DataFrame:
-    return _minus(gray_closing(px, element, anchor, border), px)
 
+def hit_or_miss(px: DataFrame, hit: K.Kernel, miss: K.Kernel | None = None, anchor=None, border: int = 0, strict: bool = False, miss_anchor=None, mask: DataFrame | None = None) -> DataFrame:
+    """Erosion by ``hit`` and no erosion by ``miss`` (its complement by default); ``strict``: the image's complement eroded by ``miss``.
 
-def hit_or_miss(px: DataFrame, hit: K.Kernel, miss: K.Kernel | None = None, anchor=None, border: int = 0, strict: bool = False) -> DataFrame:
-    """Erosion by ``hit`` and no erosion by ``miss`` (its complement by default); ``strict``: the image's complement eroded by ``miss``."""
+    ``miss_anchor`` is the anchor by default. Nothing is found outside ``mask``.
+    """
     miss = miss or [[float(not w) for w in r] for r in hit]
-    taps = [*((a, b, 1) for a, b, _ in K.taps(hit, anchor)), *((a, b, 2) for a, b, _ in K.taps(miss, anchor))]
+    taps = [*((a, b, 1) for a, b, _ in K.taps(hit, anchor)), *((a, b, 2) for a, b, _ in K.taps(miss, miss_anchor or anchor))]
     first, second = (F.coalesce(F.min(F.when(c("wt") == k, (1 - c("v")) if strict and k == 2 else c("v"))), F.lit(1.0)) for k in (1, 2))
     out = gathered(px, taps, "constant", float(border), a=first, b=second)
-    return out.withColumn("v", ((c("a") == 1) & ((c("b") == 1) if strict else (c("b") == 0))).cast("double")).drop("a", "b")
+    return _within(out.withColumn("v", ((c("a") == 1) & ((c("b") == 1) if strict else (c("b") == 0))).cast("double")).drop("a", "b"), mask)
 
 
 def adaptive_threshold(px: DataFrame, block: int, method: str = "gaussian", offset: float = 0.0, mode: str = "reflect", value: float = 0.0, sigma: float | None = None) -> DataFrame:

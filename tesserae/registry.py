@@ -265,6 +265,31 @@ pixels("morph_gray_close", lambda p: N.gray_closing(p, BOX3), _CLOSE)
 pixels("morph_white_top", lambda p: N.white_top(p, BOX3), G.minus(R.GRAY, _OPEN))
 pixels("morph_black_top", lambda p: N.black_top(p, BOX3), G.minus(_CLOSE, R.GRAY))
 pixels("morph_hit_or_miss", lambda p: N.hit_or_miss(p, CROSS), G.minus(_E, G.eroded(R.MASK, [[float(not w) for w in r] for r in CROSS]), "(a.v = 1 AND b.v = 0)::INT::DOUBLE"), R.mask)
+
+
+def _masked(name: str, op: Callable[[DataFrame, DataFrame], DataFrame], sql: str, source=R.mask) -> None:
+    """A query of an operator under a mask: the pixels of the gray raster over 60."""
+    add(name, lambda s, d: _plain(op(source(s, d), R.mask(s, d, 60).withColumnRenamed("v", "m"))), G.shown(sql))
+
+
+def _under(after: str, before: str) -> str:
+    return f"SELECT a.* REPLACE (CASE WHEN m.v > 60 THEN a.v ELSE b.v END AS v) FROM ({after}) a JOIN ({before}) b USING (image_id, y, x) JOIN ({R.GRAY}) m USING (image_id, y, x)"
+
+
+_NONE = f"SELECT * REPLACE (0.0::DOUBLE AS v) FROM ({R.GRAY})"
+_ME, _MD = _under(_E, R.MASK), _under(_D, R.MASK)
+_masked("morph_erode_masked", lambda p, m: N.binary_erosion(p, mask=m), _ME)
+_masked("morph_open_masked", lambda p, m: N.binary_opening(p, mask=m), _under(G.dilated(_ME, CROSS), _ME))
+_masked("morph_close_masked", lambda p, m: N.binary_closing(p, mask=m), _under(G.eroded(_MD, CROSS), _MD))
+_masked("morph_edge_masked", lambda p, m: N.binary_edge(p, "double", mask=m), G.minus(_MD, _ME, "(a.v <> b.v)::INT::DOUBLE"))
+_MISS = [[1.0, 0.0], [0.0, 0.0]]
+_masked("morph_hit_or_miss_masked", lambda p, m: N.hit_or_miss(p, CORNER, _MISS, (1, 1), miss_anchor=(0, 1), mask=m), _under(G.minus(G.eroded(R.MASK, CORNER, anchor=(1, 1)), G.eroded(R.MASK, _MISS, anchor=(0, 1)), "(a.v = 1 AND b.v = 0)::INT::DOUBLE"), _NONE))
+_MGE, _MGD = _under(G.eroded(R.GRAY, BOX3), R.GRAY), _under(G.dilated(R.GRAY, BOX3), R.GRAY)
+_MGO, _MGC = _under(G.dilated(_MGE, BOX3), _MGE), _under(G.eroded(_MGD, BOX3), _MGD)
+_masked("morph_gray_dilate_masked", lambda p, m: N.gray_dilation(p, BOX3, mask=m), _MGD, R.gray)
+_masked("morph_gray_open_masked", lambda p, m: N.gray_opening(p, BOX3, mask=m), _MGO, R.gray)
+_masked("morph_white_top_masked", lambda p, m: N.white_top(p, BOX3, mask=m), G.minus(R.GRAY, _MGO), R.gray)
+_masked("morph_black_top_masked", lambda p, m: N.black_top(p, BOX3, mask=m), G.minus(_MGC, R.GRAY), R.gray)
 pixels("morph_skeleton", whole_image.skeletonize, None, R.mask)
 pixels("morph_area_open", lambda p: whole_image.area_open(p, 8), None)
 pixels("morph_area_close", lambda p: whole_image.area_close(p, 8), None)
