@@ -120,12 +120,20 @@ def variance_filter(px: DataFrame, footprint: K.Kernel, mode: str = "constant",
     return gathered(px, _mean_taps(footprint), mode, value, pad_zeros=bool(value), v=F.sum(c("wt") * c("v") * c("v")) - F.pow(F.sum(c("wt") * c("v")), 2))
 
 
+def _by_lines(px: DataFrame, footprint: K.Kernel, mode: str, value: float, v: Column) -> DataFrame:
+    """Least or greatest value under a footprint; a whole box is two passes over lines, so that a cell sends h + w rows and not h * w."""
+    h, w = len(footprint), len(footprint[0])
+    if min(h, w) < 2 or not all(all(r) for r in footprint):
+        return gathered(px, K.taps(footprint), mode, value, v=v)
+    return gathered(gathered(px, K.taps(K.box(h, 1)), mode, value, v=v), K.taps(K.box(1, w)), mode, value, v=v)
+
+
 def local_min_filter(px: DataFrame, footprint: K.Kernel, mode: str = "reflect", value: float = 0.0) -> DataFrame:
-    return gathered(px, K.taps(footprint), mode, value, v=F.min("v"))
+    return _by_lines(px, footprint, mode, value, F.min("v"))
 
 
 def local_max_filter(px: DataFrame, footprint: K.Kernel, mode: str = "reflect", value: float = 0.0) -> DataFrame:
-    return gathered(px, K.taps(footprint), mode, value, v=F.max("v"))
+    return _by_lines(px, footprint, mode, value, F.max("v"))
 
 
 def _edge_taps(name: str, normalise: bool = True) -> list[tuple[int, int, float, float]]:
