@@ -16,6 +16,7 @@ MODULES = {
     "op8_near_dedup": "near_dedup",
     "op9_pii": "pii",
     "op10_html_extraction": "html_extraction",
+    "op11_periodic_runs": "periodic_runs",
     "op12_vector_codes": "vector_codes",
 }
 
