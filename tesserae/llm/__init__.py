@@ -18,6 +18,7 @@ MODULES = {
     "op10_html_extraction": "html_extraction",
     "op11_periodic_runs": "periodic_runs",
     "op12_vector_codes": "vector_codes",
+    "op13_quality_rules": "quality_rules",
 }
 
 
