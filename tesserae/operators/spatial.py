@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.frames import PIXEL, grid
 from .drawing import inside_hull, lines
+from .metric import PivotIndex
 
 c = F.col
-#: Points of one side that a task holds at once.
-BLOCK = 50_000
 
 
 def distance(a: Column, b: Column, p: float = 2) -> Column:
@@ -27,61 +24,17 @@ def distance(a: Column, b: Column, p: float = 2) -> Column:
     return F.pow(total, F.lit(1.0 / p))
 
 
-def _nearest(k: int, p: float, within: float):
-    """The k best points of one block for each query of another."""
-
-    def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "point_id": [], "dist": []})]
-        if len(points) and len(queries):
-            data, ids = np.array(points["p"].tolist()), points["point_id"].to_numpy()
-            for q, x in zip(queries["query_id"], queries["q"], strict=True):
-                gap = np.abs(data - np.asarray(x))
-                d = gap.max(axis=1) if math.isinf(p) else (gap**p).sum(axis=1) ** (1 / p)
-                near = np.flatnonzero(d < within)
-                if len(near) > 4 * k:  # ties at the k-th distance are all kept until they are ordered by id
-                    near = near[d[near] <= np.partition(d[near], k - 1)[k - 1]]
-                near = near[np.lexsort((ids[near], d[near]))][:k]
-                out.append(pd.DataFrame({"query_id": q, "point_id": ids[near], "dist": d[near]}))
-        return pd.concat(out[1:] or out)
-
-    return run
-
-
-def knn(points: DataFrame, queries: DataFrame, k: int, p: float = 2, within: float = math.inf, block: int = BLOCK) -> DataFrame:
+def knn(points: DataFrame, queries: DataFrame, k: int | str, p: float = 2, within: float = math.inf, epsilon: float = 0) -> DataFrame:
     """The k nearest points (point_id, p) of each query (query_id, q), closer than ``within``: query_id, point_id, dist, rank.
 
-    Ties go by point_id. Both sides are dealt by hash into blocks of about ``block`` rows at most, and each pair of
-    blocks meets in one group of a shuffle; the k best of each pair go to one final ranking. What a task holds does
-    not grow with the points, and no row passes through the driver.
+    ``k`` is a number or a column of ``queries``; ties go by point_id. To search the same points again, keep a ``PivotIndex``.
     """
-    spark = points.sparkSession
-    n, m = points.count(), queries.count()
-    blocks = max(1, -(-n // block))
-    asks = max(1, -(-m // block), min(-(-m // 1000), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return PivotIndex(points, p).knn(queries, k, within, epsilon)
 
-    def dealt(rows: DataFrame, key: str, value: str, mine: str, parts: int, other: str, others: int) -> DataFrame:
-        return rows.select(key, value, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
-    left = dealt(points, "point_id", "p", "i", blocks, "j", asks).groupBy("i", "j")
-    right = dealt(queries, "query_id", "q", "j", asks, "i", blocks).groupBy("i", "j")
-    best = left.cogroup(right).applyInPandas(_nearest(k, p, within), "query_id long, point_id long, dist double")
-    ranked = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "point_id"))), 1, k).alias("top"))
-    return ranked.select("query_id", F.posexplode("top").alias("rank", "e")).select("query_id", "e.point_id", "e.dist", (c("rank") + 1).alias("rank"))
-
-
-def ball(points: DataFrame, queries: DataFrame, radius: float, p: float = 2) -> DataFrame:
-    """Pairs with distance <= radius: query_id, point_id, dist.
-
-    Cells of side ``radius`` turn the range join into an equi-join: a query looks into its own and the
-    neighbouring cells (of the first three dimensions), and the distance is checked there.
-    """
-    dims = 3
-    cell = lambda col, i: F.floor(F.coalesce(F.get(col, F.lit(i)), F.lit(0.0)) / radius).cast("long")
-    near = F.array(*(F.struct(*(F.lit(s).alias(f"s{i}") for i, s in enumerate(shift))) for shift in itertools.product((-1, 0, 1), repeat=dims)))
-    left = points.select("point_id", "p", *(cell(c("p"), i).alias(f"c{i}") for i in range(dims)))
-    right = queries.select("query_id", "q", F.explode(near).alias("s")).select("query_id", "q", *((cell(c("q"), i) + c(f"s.s{i}")).alias(f"c{i}") for i in range(dims)))
-    d = F.round(distance(c("p"), c("q"), p), 9)
-    return left.join(right, [f"c{i}" for i in range(dims)]).select("query_id", "point_id", d.alias("dist")).where(c("dist") <= radius)
+def ball(points: DataFrame, queries: DataFrame, radius: float | str, p: float = 2, epsilon: float = 0) -> DataFrame:
+    """Pairs with distance <= radius (a number or a column of ``queries``): query_id, point_id, dist."""
+    return PivotIndex(points, p).ball(queries, radius, epsilon)
 
 
 def assign(points: DataFrame, centres: list[list[float]], p: float = 2) -> DataFrame:

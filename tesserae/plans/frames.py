@@ -7,6 +7,7 @@ there once. Colour images have r, g and b in place of v.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,10 +48,28 @@ def inside() -> Column:
     return F.col("y").between(0, F.col("h") - 1) & F.col("x").between(0, F.col("w") - 1)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that the driver and all executors see: ``spark.checkpoint.dir``; in a local session without it, the SQL warehouse."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder that driver and executors share (spark.checkpoint.dir) and read again."""
-    spark: SparkSession = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """``df`` written as Parquet to the shared folder and read again: what follows depends on files that outlive any executor."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
