@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.frames import PIXEL, grid
+from .clusters import KMeans
 from .drawing import inside_hull, lines
 from .metric import PivotIndex
 
@@ -43,25 +44,9 @@ def assign(points: DataFrame, centres: list[list[float]], p: float = 2) -> DataF
     return points.withColumn("cluster", (F.array_position(d, F.array_min(d)) - 1).cast("int"))
 
 
-def kmeans(points: DataFrame, k: int = 4, iterations: int = 300, tol: float = 1e-5, first: int | None = None, p: float = 2) -> list[list[float]]:
-    """Lloyd's centres. The first is the point with id ``first`` (the least by default), each next the point farthest
-    from those chosen; an empty cluster keeps its centre. Only k centres ever reach the driver."""
-    start = points.orderBy("point_id").limit(1) if first is None else points.where(c("point_id") == first)
-    centres = [list(start.select("p").first()[0])]
-    while len(centres) < k:
-        far = F.array_min(F.array(*(F.round(distance(c("p"), F.array(*map(F.lit, x)), p), 9) for x in centres)))
-        centres.append(list(points.agg(F.min_by("p", F.struct(-far, "point_id"))).first()[0]))
-    dims = len(centres[0])
-    for _ in range(iterations):
-        means = assign(points, centres, p).groupBy("cluster").agg(*(F.avg(c("p")[i]).alias(f"m{i}") for i in range(dims))).collect()
-        new = list(centres)
-        for r in means:
-            new[r["cluster"]] = [float(r[f"m{i}"]) for i in range(dims)]
-        moved = max(sum(abs(a - b) ** p for a, b in zip(x, y, strict=True)) ** (1 / p) if not math.isinf(p) else max(abs(a - b) for a, b in zip(x, y, strict=True)) for x, y in zip(centres, new, strict=True))
-        centres = new
-        if moved < tol:
-            break
-    return centres
+def kmeans(points: DataFrame, k: int = 4, iterations: int = 300, tol: float = 1e-5, first: int | None = None, p: float = 2, start: str = "farthest", seed: int = 0) -> list[list[float]]:
+    """Lloyd's centres, as ``KMeans`` finds them. Only k centres and sums of tasks reach the driver."""
+    return KMeans(k, iterations, tol, start, p, first, seed).fit(points).centers.tolist()
 
 
 def chain(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
