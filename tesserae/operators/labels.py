@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.frames import PIXEL, images_of, stored
+from ..plans.frames import PIXEL, images_of, numbered, stored
 from . import neighbourhood as N
 from .pointwise import quantise
 
@@ -63,8 +63,7 @@ def label(px: DataFrame, connectivity: int = 1, method: str | None = None, mod:
     Pixels are of one component if equal values (classes of ``quantise`` with a ``method``) touch.
     """
     at = components(quantise(px, method, mod) if method else px, connectivity)
-    order = Window.partitionBy("image_id").orderBy("root")
-    names = at.where("root is not null").select("image_id", "root").distinct().withColumn("label", F.row_number().over(order).cast("long"))
+    names = numbered(at.where("root is not null").select("image_id", "root").distinct(), "image_id", [c("root")], "label")
     return at.join(names, ["image_id", "root"], "left").select(*PIXEL, F.coalesce("label", F.lit(0)).cast("long").alias("label"))
 
 

@@ -8,13 +8,14 @@ without a shuffle either.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.borders import MODES, fit
+from ..plans import tiles
 from ..plans.frames import PIXEL, inside, stored
 
 c = F.col
@@ -87,12 +88,19 @@ def convolve_line(px: DataFrame, line: Sequence[float], axis: int, mode: str = "
 image_filter = convolve
 
 
+def _tiled(px: DataFrame, taps: Sequence[K.Tap], mode: str, value: float, kernel: Callable[[int, int], Callable]) -> DataFrame:
+    """A function of the cells that the taps read, over tiles with borders: a pixel is sent a bounded number of times, whatever the footprint."""
+    dys, dxs = [t[0] for t in taps], [t[1] for t in taps]
+    top, bottom, left, right = max(0, -min(dys)), max(0, *dys), max(0, -min(dxs)), max(0, *dxs)
+    return tiles.over_tiles(pad(px, top, bottom, left, right, mode, value), (top, bottom, left, right), kernel(top, left), mode == "valid")
+
+
 def rank_filter(px: DataFrame, footprint: K.Kernel, rank: int, anchor=None, mode: str = "constant", value: float = 0.0) -> DataFrame:
     """The rank-th smallest (from 1) under the footprint, which is not turned."""
     taps = K.taps(footprint, anchor, flip=False)
     if not 1 <= rank <= len(taps):
         raise ValueError(f"rank must be from 1 to {len(taps)}")
-    return gathered(px, taps, mode, value, v=F.element_at(F.array_sort(F.collect_list("v")), rank))
+    return _tiled(px, taps, mode, value, lambda top, left: tiles.ranked([t[:2] for t in taps], rank, top, left))
 
 
 def median_filter(px: DataFrame, footprint: K.Kernel, mode: str = "constant", value: float = 0.0) -> DataFrame:
@@ -113,11 +121,18 @@ def _mean_taps(footprint: K.Kernel) -> list[K.Tap]:
 
 
 def mean_filter(px: DataFrame, footprint: K.Kernel, mode: str = "constant", value: float = 0.0) -> DataFrame:
-    return gathered(px, _mean_taps(footprint), mode, value, pad_zeros=bool(value), v=F.sum(c("wt") * c("v")))
+    taps = _mean_taps(footprint)
+    return _tiled(px, taps, mode, value, lambda top, left: tiles.weighted(taps, top, left))
 
 
 def variance_filter(px: DataFrame, footprint: K.Kernel, mode: str = "constant", value: float = 0.0) -> DataFrame:
-    return gathered(px, _mean_taps(footprint), mode, value, pad_zeros=bool(value), v=F.sum(c("wt") * c("v") * c("v")) - F.pow(F.sum(c("wt") * c("v")), 2))
+    taps = _mean_taps(footprint)
+
+    def kernel(top: int, left: int):
+        mean = tiles.weighted(taps, top, left)
+        return lambda a: mean(a * a) - mean(a) ** 2
+
+    return _tiled(px, taps, mode, value, kernel)
 
 
 def _by_lines(px: DataFrame, footprint: K.Kernel, mode: str, value: float, v: Column) -> DataFrame:

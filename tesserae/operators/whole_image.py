@@ -37,113 +37,6 @@ def each_image(px: DataFrame, work: Callable[[np.ndarray], np.ndarray]) -> DataF
     return px.select(*PIXEL, "v").groupBy("image_id").applyInPandas(run, CELLS)
 
 
-def thinned(a: np.ndarray) -> np.ndarray:
-    """Rounds of two sub-passes. A pixel goes if 2 to 6 of its 8 neighbours are set, they form one run round it, and
-    the sub-pass finds a gap among north, east, south, west as its rule says."""
-    a = a != 0
-    while True:
-        before = a.copy()
-        for corner in (0, 1):
-            p = np.pad(a, 1).astype(np.int8)
-            n, ne, e, se, s, sw, w, nw = (p[1 + dy : p.shape[0] - 1 + dy, 1 + dx : p.shape[1] - 1 + dx] for dy, dx in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)))
-            ring = [n, ne, e, se, s, sw, w, nw]
-            count = sum(ring)
-            rises = sum((x == 0) & (y == 1) for x, y in zip(ring, [*ring[1:], n], strict=True))
-            gap = (n * e * w == 0) & (n * s * w == 0) if corner else (n * e * s == 0) & (e * s * w == 0)
-            a = a & ~((rises == 1) & (count >= 2) & (count <= 6) & gap)
-        if (a == before).all():
-            return a
-
-
-def skeletonize(px: DataFrame) -> DataFrame:
-    return each_image(px, thinned)
-
-
-class ComponentTree:
-    """Max-tree of an image (min-tree: of its negative): nodes are components of upper level sets.
-
-    Pixels are taken from high to low; each joins the trees of its neighbours done before it. ``parent`` is
-    canonical: a pixel's parent is its node's representative, or for that one the parent node's.
-    """
-
-    def __init__(self, a: np.ndarray, connectivity: int = 1):
-        self.shape, v = a.shape, a.ravel()
-        self.values, n = v, len(v)
-        self.order = np.argsort(-v, kind="stable")
-        parent, root, done = np.arange(n), list(range(n)), [False] * n
-        h, w = a.shape
-        near = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if 0 < abs(dy) + abs(dx) <= connectivity]
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i in self.order.tolist():
-            done[i] = True
-            y, x = divmod(i, w)
-            for dy, dx in near:
-                if 0 <= y + dy < h and 0 <= x + dx < w and done[j := (y + dy) * w + x + dx]:
-                    r = find(j)
-                    if r != i:
-                        parent[r] = root[r] = i
-        for i in self.order[::-1].tolist():
-            q = parent[i]
-            if v[parent[q]] == v[q]:
-                parent[i] = parent[q]
-        self.parent = parent
-
-    def area(self) -> np.ndarray:
-        """Pixels in the subtree of each node, at its representative."""
-        out = np.ones(len(self.parent), np.int64)
-        for i in self.order.tolist():
-            if self.parent[i] != i:
-                out[self.parent[i]] += out[i]
-        return out
-
-    def filtered(self, amount: np.ndarray, threshold: float) -> np.ndarray:
-        """Nodes below the threshold take their parent's output; a root below it gives 0."""
-        out = np.zeros(len(self.parent))
-        for i in self.order[::-1].tolist():
-            p = self.parent[i]
-            same = self.values[p] == self.values[i] and p != i
-            out[i] = out[p] if same or (amount[i] < threshold and p != i) else self.values[i] if amount[i] >= threshold else 0.0
-        return out.reshape(self.shape)
-
-    def labels(self) -> np.ndarray:
-        """Flat zones, numbered from the root down."""
-        out, n = np.zeros(len(self.parent), np.int64), 0
-        for i in self.order[::-1].tolist():
-            p = self.parent[i]
-            if p != i and self.values[p] == self.values[i]:
-                out[i] = out[p]
-            else:
-                n += 1
-                out[i] = n
-        return out.reshape(self.shape)
-
-
-def area_open(px: DataFrame, threshold: int = 32, connectivity: int = 1) -> DataFrame:
-    """Bright components of fewer than ``threshold`` cells sink to the level around them."""
-
-    def work(a: np.ndarray) -> np.ndarray:
-        tree = ComponentTree(a, connectivity)
-        return tree.filtered(tree.area(), threshold)
-
-    return each_image(px, work)
-
-
-def area_close(px: DataFrame, threshold: int = 32, connectivity: int = 1, top: float = 255.0) -> DataFrame:
-    """Dark components of fewer than ``threshold`` cells rise to the level around them."""
-    flip = lambda d: d.withColumn("v", F.lit(top) - c("v"))
-    return flip(area_open(flip(px), threshold, connectivity))
-
-
-def tree_labels(px: DataFrame, connectivity: int = 1, minima: bool = False) -> DataFrame:
-    return each_image(px, lambda a: ComponentTree(-a if minima else a, connectivity).labels())
-
-
 def peak_candidates(px: DataFrame, distance: int, threshold: float | None = None, mode: str = "constant", value: float = 0.0) -> DataFrame:
     """Pixels above the threshold (half the image's greatest value by default) and no lower than any in their box."""
     side = 2 * distance + 1

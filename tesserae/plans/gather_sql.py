@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from collections.abc import Sequence
 
 from ..functions import kernels as K
@@ -151,3 +153,39 @@ def resized(px: str, shape: tuple[int, int], order: int, mode: str = "constant")
 def warped(px: str, shape: tuple[int, int], m, order: int) -> str:
     x, y, w = (f"({float(r[0])!r}::DOUBLE * o.x + {float(r[1])!r}::DOUBLE * o.y + {float(r[2])!r}::DOUBLE)" for r in m)
     return sampled(px, shape, f"{y} / {w}", f"{x} / {w}", order)
+
+
+def trees(px: str, connectivity: int = 1) -> str:
+    """Common tables of max-trees: ``r`` has all cells b of each cell a's component at a's level l, ``n`` that component's node
+    (its least cell at level l) and area, ``o`` each node's parent (null for a root); a node is a row of ``n`` with node = a."""
+    return (
+        f"WITH RECURSIVE f AS MATERIALIZED (SELECT image_id, h, w, y, x, y::BIGINT * w + x AS id, v FROM ({px})), "
+        "e AS MATERIALIZED (SELECT f.image_id, f.id AS a, g.id AS b, g.v FROM f JOIN f g ON g.image_id = f.image_id "
+        f"AND abs(g.y - f.y) <= 1 AND abs(g.x - f.x) <= 1 AND abs(g.y - f.y) + abs(g.x - f.x) BETWEEN 1 AND {connectivity}), "
+        "r AS (SELECT image_id, id AS a, id AS b, v AS l, v FROM f UNION SELECT r.image_id, r.a, e.b, r.l, e.v FROM r JOIN e ON e.image_id = r.image_id AND e.a = r.b AND e.v >= r.l), "
+        "n AS MATERIALIZED (SELECT image_id, a, l, count(*) AS area, sum(v) AS mass, min(CASE WHEN v = l THEN b END) AS node FROM r GROUP BY 1, 2, 3), "
+        "q AS (SELECT r.image_id, r.a, arg_max(e.b, e.v) AS near FROM n JOIN r USING (image_id, a) JOIN e ON e.image_id = r.image_id AND e.a = r.b AND e.v < r.l WHERE n.node = n.a GROUP BY 1, 2), "
+        "o AS MATERIALIZED (SELECT n.image_id, n.node, n.l AS level, n.area, n.mass, m.node AS parent, m.l AS below FROM n LEFT JOIN q USING (image_id, a) LEFT JOIN n m ON m.image_id = n.image_id AND m.a = q.near WHERE n.node = n.a) "
+    )
+
+
+def tree_filtered(px: str, stays: str, connectivity: int = 1) -> str:
+    """Each cell's level of the highest node over it that ``stays`` (a condition on ``o``), 0 where none does."""
+    return (
+        f"{trees(px, connectivity)} SELECT f.image_id, f.h, f.w, f.y, f.x, coalesce(t.l, 0.0) AS v FROM f LEFT JOIN "
+        f"(SELECT r.image_id, r.b, max(r.l) AS l FROM r JOIN o ON o.image_id = r.image_id AND o.node = r.a WHERE {stays} GROUP BY 1, 2) t ON t.image_id = f.image_id AND t.b = f.id"
+    )
+
+
+def thinned(px: str, steps: int) -> str:
+    """Set cells after ``steps`` sub-passes, each cell sending its bit to its neighbours; the rule names the codes that go."""
+    from ..operators.thinning import RING, TABLES
+
+    bits = ", ".join(f"({-dy}, {-dx}, {1 << i})" for i, (dy, dx) in enumerate(RING)) + ", (0, 0, 256)"
+    gone = " WHEN ".join(f"{k} THEN code - 256 IN ({', '.join(str(i) for i in np.flatnonzero(t))})" for k, t in enumerate(TABLES))
+    return (
+        f"WITH RECURSIVE t(dy, dx, bit) AS (VALUES {bits}), g AS MATERIALIZED (SELECT * FROM ({px})), r AS (SELECT 0 AS step, image_id, y, x FROM g WHERE v <> 0 UNION ALL "
+        "SELECT step + 1, image_id, y, x FROM (SELECT r.step, r.image_id, r.y + t.dy AS y, r.x + t.dx AS x, sum(t.bit) AS code FROM r, t GROUP BY 1, 2, 3, 4) "
+        f"WHERE step < {steps} AND code >= 256 AND NOT (CASE step % 2 WHEN {gone} END)) "
+        f"SELECT g.* REPLACE ((r.step IS NOT NULL)::INT::DOUBLE AS v) FROM g LEFT JOIN r ON r.step = {steps} AND r.image_id = g.image_id AND r.y = g.y AND r.x = g.x"
+    )

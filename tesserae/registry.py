@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import kernels as K
 from .functions.borders import MODES
 from .functions.shapes import circle_points, ellipse_points
-from .operators import drawing, features, geometry, histograms, labels, pointwise, regions, spatial, whole_image
+from .operators import drawing, features, geometry, histograms, labels, pointwise, regions, spatial, thinning, trees, whole_image
 from .operators import neighbourhood as N
 from .plans import gather_sql as G
 from .plans import rasters as R
@@ -189,6 +189,8 @@ pixels("flt_gaussian", lambda p: N.gaussian_filter(p, 1.2), G.blurred(R.GRAY, 1.
 _MEAN = [[w / 25 for w in r] for r in BOX5]
 pixels("flt_mean", lambda p: N.mean_filter(p, BOX5), G.convolved(R.GRAY, _MEAN))
 pixels("flt_variance", lambda p: N.variance_filter(p, BOX5, "symmetric"), G.gather(R.GRAY, K.taps(_MEAN), "sum(@w * @v * @v) - pow(sum(@w * @v), 2) AS v", "symmetric"))
+pixels("flt_median_15", lambda p: N.median_filter(p, K.box(15, 15), "reflect"), G.ranked(R.GRAY, K.box(15, 15), 112, "reflect"))
+pixels("flt_mean_15", lambda p: N.mean_filter(p, K.box(15, 15), "edge"), G.convolved(R.GRAY, [[w / 225 for w in r] for r in K.box(15, 15)], "edge"))
 pixels("flt_median", lambda p: N.median_filter(p, BOX3, "reflect"), G.ranked(R.GRAY, BOX3, 4, "reflect"))
 pixels("flt_rank", lambda p: N.rank_filter(p, CROSS, 2, mode="symmetric"), G.ranked(R.GRAY, CROSS, 2, "symmetric"))
 pixels("flt_local_min", lambda p: N.local_min_filter(p, BOX3), G.gather(R.GRAY, K.taps(BOX3), "min(@v) AS v", "reflect"))
@@ -290,10 +292,29 @@ _masked("morph_gray_dilate_masked", lambda p, m: N.gray_dilation(p, BOX3, mask=m
 _masked("morph_gray_open_masked", lambda p, m: N.gray_opening(p, BOX3, mask=m), _MGO, R.gray)
 _masked("morph_white_top_masked", lambda p, m: N.white_top(p, BOX3, mask=m), G.minus(R.GRAY, _MGO), R.gray)
 _masked("morph_black_top_masked", lambda p, m: N.black_top(p, BOX3, mask=m), G.minus(_MGC, R.GRAY), R.gray)
-pixels("morph_skeleton", whole_image.skeletonize, None, R.mask)
-pixels("morph_area_open", lambda p: whole_image.area_open(p, 8), None)
-pixels("morph_area_close", lambda p: whole_image.area_close(p, 8), None)
-pixels("tree_labels", whole_image.tree_labels, None)
+pixels("morph_skeleton", thinning.skeletonize, G.thinned(R.MASK, 64), R.mask)
+pixels("morph_skeleton_dark", lambda p: thinning.skeletonize(p, 2, 8), G.thinned(f"SELECT * REPLACE ((v <= 170)::INT::DOUBLE AS v) FROM ({R.GRAY})", 64), lambda s, d: R.gray(s, d).withColumn("v", (c("v") <= 170).cast("double")))
+pixels("morph_area_open", lambda p: trees.area_open(p, 8), G.tree_filtered(R.GRAY, "o.area >= 8"))
+_DARK = f"SELECT * REPLACE (-v AS v) FROM ({R.GRAY})"
+pixels("morph_area_close", lambda p: trees.area_close(p, 8), f"SELECT * REPLACE (0 - v AS v) FROM ({G.tree_filtered(_DARK, 'o.area >= 8')})")
+_NUMBER = "(SELECT image_id, node, row_number() OVER (PARTITION BY image_id ORDER BY {0}level, node) - bool_or(parent IS NULL AND level = 0) OVER (PARTITION BY image_id)::INT AS k FROM o)"
+_NUMBERED = "{0} SELECT f.image_id, f.y, f.x, k::DOUBLE AS v FROM f JOIN n ON n.image_id = f.image_id AND n.a = f.id JOIN {1} z ON z.image_id = n.image_id AND z.node = n.node"
+pixels("tree_labels", trees.tree_labels, _NUMBERED.format(G.trees(R.GRAY), _NUMBER.format("")))
+pixels("tree_labels_min", lambda p: trees.tree_labels(p, 2, minima=True), _NUMBERED.format(G.trees(_DARK, 2), _NUMBER.format("")))
+add("tree_nodes", lambda s, d: trees.ComponentTree(R.gray(s, d), tile=8).nodes.select("image_id", "node", "level", "parent", "area"), G.trees(R.GRAY) + "SELECT image_id, node, level, parent, area FROM o")
+add("tree_nodes_min", lambda s, d: trees.ComponentTree(R.gray(s, d), 2, minima=True, attributes={"mass": c("v")}, tile=8).nodes.drop("h", "w"), G.trees(_DARK, 2) + "SELECT image_id, node, 0 - level AS level, parent, area, 0 - mass AS mass FROM o")
+pixels("tree_filter", lambda p: trees.ComponentTree(p, attributes={"mass": c("v")}, tile=16).filter(c("mass") >= 4000), G.tree_filtered(R.GRAY, "o.mass >= 4000"))
+
+
+def _contrast(px: DataFrame) -> DataFrame:
+    """Nodes stay that stand out from their parent by 12 levels: a values map that is made from the tree."""
+    tree = trees.ComponentTree(px, tile=8)
+    below = tree.nodes.select("image_id", c("node").alias("parent"), c("level").alias("below"))
+    values = tree.nodes.join(below, ["image_id", "parent"]).select("image_id", "node", (c("level") - c("below")).alias("contrast"))
+    return tree.filter(c("contrast") >= 12, values)
+
+
+pixels("tree_filter_values", _contrast, G.tree_filtered(R.GRAY, "o.level - o.below >= 12"))
 
 # Labels and regions.
 

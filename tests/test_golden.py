@@ -5,7 +5,7 @@ import pytest
 
 from tesserae.functions import kernels as K
 from tesserae.functions.shapes import circle_points, ellipse_points, line_points
-from tesserae.operators import drawing, features, geometry, histograms, labels, regions, spatial, whole_image
+from tesserae.operators import drawing, features, geometry, histograms, labels, metric, regions, spatial, thinning, trees, whole_image
 from tesserae.operators import neighbourhood as N
 from tesserae.sources import images
 
@@ -72,9 +72,9 @@ def test_labels_and_fills(spark):
 def test_skeleton(spark):
     point = np.zeros((5, 5))
     point[2, 2] = 1
-    assert arr(whole_image.skeletonize(px(spark, DIAMOND))) == point.tolist()
-    assert arr(whole_image.skeletonize(px(spark, point))) == point.tolist()
-    assert arr(whole_image.skeletonize(px(spark, K.cross(5)))) == K.cross(5)
+    assert arr(thinning.skeletonize(px(spark, DIAMOND))) == point.tolist()
+    assert arr(thinning.skeletonize(px(spark, point))) == point.tolist()
+    assert arr(thinning.skeletonize(px(spark, K.cross(5)))) == K.cross(5)
 
 
 def test_area_open_by_level_sets(spark):
@@ -102,8 +102,8 @@ def test_area_open_by_level_sets(spark):
     want = np.zeros(a.shape)
     for level in range(1, 4):
         want[sizes(a >= level) >= 5] = level
-    assert arr(whole_image.area_open(px(spark, a), 5)) == want.tolist()
-    again = whole_image.area_open(whole_image.area_open(px(spark, a), 5), 5)
+    assert arr(trees.area_open(px(spark, a), 5)) == want.tolist()
+    again = trees.area_open(trees.area_open(px(spark, a), 5), 5)
     assert arr(again) == want.tolist()
 
 
@@ -151,12 +151,13 @@ def test_region_hulls(spark):
     assert got == {1: (7, 9, 4), 2: (1, 1, 1)}
 
 
-def test_knn_in_blocks(spark):
+def test_knn_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(metric, "PACK", 25)
     rng = np.random.default_rng(5)
     p = rng.integers(0, 50, (80, 2)).astype(float)
     pts = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(p)], "point_id long, p array<double>")
     ask = pts.toDF("query_id", "q")
-    got = {(r.query_id, r["rank"]): r.point_id for r in spatial.knn(pts, ask, 4, block=25).collect()}
+    got = {(r.query_id, r["rank"]): r.point_id for r in spatial.knn(pts, ask, 4).collect()}
     for i, q in enumerate(p):
         d = np.sqrt(((p - q) ** 2).sum(axis=1))
         assert [got[i, k + 1] for k in range(4)] == sorted(range(80), key=lambda j: (d[j], j))[:4]
