@@ -1,32 +1,27 @@
 """Connected components of images and what rests on them.
 
-The foreground's horizontal runs are the nodes: one window pass makes them, and
-runs of neighbouring rows that touch are the edges. Rounds of large and small stars
-pull every run to the component's first one, so neither an image nor a component has
-to fit a task. Each round is written to the shared folder, which cuts the lineage.
+Tiles find their components by themselves; these are the nodes, and those of neighbouring
+tiles that touch are the edges. Rounds of large and small stars pull every node to the
+component's first one, so neither an image nor a component has to fit a task. Each
+round is written to the shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.frames import PIXEL, images_of, numbered, stored
+from ..plans import tiles
+from ..plans.frames import PIXEL, discard, images_of, numbered, stored
 from . import neighbourhood as N
 from .pointwise import quantise
+from .trees import steps
 
 c = F.col
 
 
-def runs(px: DataFrame) -> DataFrame:
-    """Foreground runs (image_id, w, y, x0, x1, cls, run): stretches of a row with one class; run is the first cell's raster number."""
-    row = Window.partitionBy("image_id", "y").orderBy("x")
-    rows = px.where("v <> 0").withColumn("new", ((c("x") - F.lag("x").over(row) > 1) | (c("v") != F.lag("v").over(row))).cast("int"))
-    rows = rows.withColumn("no", F.sum(F.coalesce("new", F.lit(1))).over(row.rowsBetween(Window.unboundedPreceding, 0)))
-    out = rows.groupBy("image_id", "w", "y", "no").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.first("v").alias("cls"))
-    return out.select("image_id", "w", "y", "x0", "x1", "cls", (c("y").cast("long") * c("w") + c("x0")).alias("run"))
-
-
 def rooted(edges: DataFrame) -> DataFrame:
     """(image_id, a, root) for edges (image_id, a, b): root is the least node of a's component."""
     key, before = ["image_id", "a"], None
@@ -41,20 +36,60 @@ def rooted(edges: DataFrame) -> DataFrame:
         large = both.join(least, key).where("b > a").select("image_id", c("b").alias("a"), c("m").alias("b")).distinct()
         least = large.groupBy(*key).agg(F.min("b").alias("m"))
         pairs = F.array(F.struct("a", c("m").alias("b")), F.struct(c("b").alias("a"), c("m").alias("b")))
-        edges = stored(large.join(least, key).select("image_id", F.explode(pairs).alias("e")).select("image_id", "e.*").where("a <> b").distinct(), "edges")
-
-
-def components(px: DataFrame, connectivity: int = 1) -> DataFrame:
-    """Adds root to the foreground's pixels (those with v <> 0): the raster number of their component's first cell."""
-    found = stored(runs(px), "runs")
-    near = connectivity - 1
-    upper = found.select("image_id", (c("y") + 1).alias("y"), c("x0").alias("u0"), c("x1").alias("u1"), c("cls").alias("ucls"), c("run").alias("b"))
-    meet = found.join(upper, ["image_id", "y"]).where((c("cls") == c("ucls")) & (c("x0") <= c("u1") + near) & (c("x1") >= c("u0") - near))
-    roots = rooted(meet.select("image_id", c("run").alias("a"), "b"))
-    named = found.join(roots.withColumnRenamed("a", "run"), ["image_id", "run"], "left").withColumn("root", F.coalesce("root", "run"))
-    # A row of pixels is dealt by its image and row; its cells come back from its runs.
-    cells = named.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "root")
-    return px.join(cells, ["image_id", "y", "x"], "left")
+        old, edges = edges, stored(large.join(least, key).select("image_id", F.explode(pairs).alias("e")).select("image_id", "e.*").where("a <> b").distinct(), "edges")
+        discard(old)
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least member of each of n nodes' components under the edges a - b: edges pull roots down, pointers are halved, until all agree."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        least = np.minimum(x, y)
+        np.minimum.at(root, x, least)
+        np.minimum.at(root, y, least)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _tile(connectivity: int):
+    """Components within a tile: each set cell's root, the raster number of the component's first cell there."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        y, x, v = (rows[n].to_numpy() for n in ("y", "x", "v"))
+        order = np.lexsort((x, y))
+        y, x, v = y[order].astype(np.int64), x[order].astype(np.int64), v[order]
+        place = np.full((y.max() - y.min() + 3, x.max() - x.min() + 3), -1)
+        at = y - y.min() + 1, x - x.min() + 1
+        place[at] = np.arange(len(y))
+        pairs = [(np.arange(len(y)), place[at[0] + dy, at[1] + dx]) for dy, dx in steps(connectivity)]
+        a, b = (np.concatenate(e) for e in zip(*pairs, strict=True))
+        touch = (b >= 0) & (v[a] == v[b])
+        first = joined(len(y), a[touch], b[touch])
+        return pd.DataFrame({"image_id": key[0], "y": y, "x": x, "v": v, "part": (y * int(rows["w"].iloc[0]) + x)[first]})
+
+    return run
+
+
+def components(px: DataFrame, connectivity: int = 1, side: int | None = None) -> DataFrame:
+    """Adds root to the foreground's pixels (those with v <> 0): the raster number of their component's first cell.
+
+    Tiles find their components by themselves; what touches across tiles are the edges of a graph of those.
+    """
+    side = side or tiles.TILE
+    rows = px.where("v <> 0").select("image_id", "w", "y", "x", c("v").cast("double").alias("v"), F.floor(c("y") / side).alias("gy"), F.floor(c("x") / side).alias("gx"))
+    cells = stored(rows.groupBy("image_id", "gy", "gx").applyInPandas(_tile(connectivity), "image_id long, y int, x int, v double, part long"), "cells")
+    edge = (c("y") % side).isin(0, side - 1) | (c("x") % side).isin(0, side - 1)
+    seam = cells.where(edge)
+    moves = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps(connectivity)))
+    out = seam.select("*", F.explode(moves).alias("m")).select("image_id", "v", c("part").alias("a"), c("y").alias("y0"), c("x").alias("x0"), (c("y") + c("m.dy")).alias("y"), (c("x") + c("m.dx")).alias("x"))
+    other = (F.floor(c("y0") / side) != F.floor(c("y") / side)) | (F.floor(c("x0") / side) != F.floor(c("x") / side))
+    meet = out.where(other).join(seam.withColumnRenamed("part", "b"), ["image_id", "y", "x", "v"])
+    roots = rooted(meet.select("image_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    named = cells.join(roots.withColumnRenamed("a", "part"), ["image_id", "part"], "left").select("image_id", "y", "x", F.coalesce("root", "part").alias("root"))
+    return px.join(named, ["image_id", "y", "x"], "left")
 
 
 def label(px: DataFrame, connectivity: int = 1, method: str | None = None, mod: int = 16) -> DataFrame:
