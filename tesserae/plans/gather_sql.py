@@ -189,3 +189,24 @@ def thinned(px: str, steps: int) -> str:
         f"WHERE step < {steps} AND code >= 256 AND NOT (CASE step % 2 WHEN {gone} END)) "
         f"SELECT g.* REPLACE ((r.step IS NOT NULL)::INT::DOUBLE AS v) FROM g LEFT JOIN r ON r.step = {steps} AND r.image_id = g.image_id AND r.y = g.y AND r.x = g.x"
     )
+
+
+def gather_volume(px: str, taps: Sequence[tuple[tuple[int, int, int], float]], agg: str, mode: str = "constant", value: float = 0.0) -> str:
+    """``gather`` on volumes."""
+    at = [f"s.{a} = {fit_sql(f'(p.{a} + k.d{a})', f'p.{n}', mode)}" for a, n in zip("zyx", "dhw", strict=True)]
+    rows = ", ".join(f"({z}, {y}, {x}, {w!r}::DOUBLE)" for (z, y, x), w in taps)
+    return (
+        f"SELECT p.image_id, p.d, p.h, p.w, p.z, p.y, p.x, {agg} FROM ({px}) p CROSS JOIN (VALUES {rows}) k(dz, dy, dx, wt) "
+        f"LEFT JOIN ({px}) s ON s.image_id = p.image_id AND {' AND '.join(at)} GROUP BY ALL"
+    ).replace("@v", f"coalesce(s.v, {value!r})").replace("@w", "k.wt")
+
+
+def rooted_volume(px: str, connectivity: int = 1) -> str:
+    """``rooted`` on volumes, with n, the component's cells."""
+    return (
+        f"WITH RECURSIVE g AS MATERIALIZED (SELECT *, (z::BIGINT * h + y) * w + x AS id FROM ({px})), f AS (SELECT * FROM g WHERE v <> 0), "
+        "e AS MATERIALIZED (SELECT f.image_id, f.id AS a, g.id AS b FROM f JOIN f g ON g.image_id = f.image_id AND g.v = f.v AND abs(g.z - f.z) <= 1 "
+        f"AND abs(g.y - f.y) <= 1 AND abs(g.x - f.x) <= 1 AND (g.z <> f.z)::INT + (g.y <> f.y)::INT + (g.x <> f.x)::INT BETWEEN 1 AND {connectivity}), "
+        "r AS (SELECT image_id, id AS a, id AS b FROM f UNION SELECT r.image_id, r.a, e.b FROM r JOIN e ON e.image_id = r.image_id AND e.a = r.b), "
+        "m AS (SELECT image_id, a AS id, min(b) AS root, count(*) AS n FROM r GROUP BY 1, 2) SELECT g.*, m.root, m.n FROM g LEFT JOIN m USING (image_id, id)"
+    )

@@ -65,5 +65,37 @@ MASK = f"SELECT image_id, h, w, y, x, (v > 128)::INT::DOUBLE AS v FROM ({GRAY})"
 POINTS = "SELECT vec_id AS point_id, [round(e::DOUBLE * 100) FOR e IN embedding] AS p FROM embeddings"
 
 
+#: Sides of volumes; there is one for every 16 suppliers, so that their number grows with the data.
+DEPTH, HEIGHT, WIDTH = 6, 12, 10
+
+
+def volume(spark: SparkSession, sf_dir: str, above: int | None = None) -> DataFrame:
+    """Volumes (image_id, d, h, w, z, y, x, v) of values 0..255 from lineitem; with ``above``, 1 where they are greater and else 0."""
+    image, q = F.floor(F.col("l_suppkey") / 16).alias("image_id"), F.round("l_quantity").cast("long")
+    at = [(F.col("l_linenumber") - 1 + F.col("l_orderkey")) % DEPTH, F.col("l_partkey") % HEIGHT, F.col("l_orderkey") % WIDTH]
+    rows = table(spark, sf_dir, "lineitem").select(image, *(a.cast("int").alias(n) for a, n in zip(at, "zyx", strict=True)), q.alias("q"))
+    sums = rows.groupBy("image_id", "z", "y", "x").agg((F.sum("q") % 256).cast("double").alias("v"))
+    cells = rows.select("image_id").distinct()
+    for n, size in zip("zyx", (DEPTH, HEIGHT, WIDTH), strict=True):
+        cells = cells.withColumn(n, F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    v = F.coalesce("v", F.lit(0.0))
+    if above is not None:
+        v = (v > above).cast("double")
+    sizes = [F.lit(n).alias(c) for c, n in zip("dhw", (DEPTH, HEIGHT, WIDTH), strict=True)]
+    return cells.join(sums, ["image_id", "z", "y", "x"], "left").select("image_id", *sizes, "z", "y", "x", v.alias("v"))
+
+
+VOLUME = (
+    f"SELECT i.image_id, {DEPTH} AS d, {HEIGHT} AS h, {WIDTH} AS w, z.z::INT AS z, y.y::INT AS y, x.x::INT AS x, coalesce(a.v, 0.0)::DOUBLE AS v "
+    f"FROM (SELECT DISTINCT l_suppkey // 16 AS image_id FROM lineitem) i, range({DEPTH}) z(z), range({HEIGHT}) y(y), range({WIDTH}) x(x) "
+    f"LEFT JOIN (SELECT l_suppkey // 16 AS image_id, (l_linenumber - 1 + l_orderkey) % {DEPTH} AS z, l_partkey % {HEIGHT} AS y, l_orderkey % {WIDTH} AS x, (sum(round(l_quantity)::BIGINT) % 256)::DOUBLE AS v FROM lineitem GROUP BY ALL) a "
+    "ON a.image_id = i.image_id AND a.z = z.z AND a.y = y.y AND a.x = x.x"
+)
+
+
+def volume_mask(above: int) -> str:
+    return f"SELECT * REPLACE ((v > {above})::INT::DOUBLE AS v) FROM ({VOLUME})"
+
+
 def ctes(**parts: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({s})" for n, s in parts.items())

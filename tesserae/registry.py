@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import kernels as K
 from .functions.borders import MODES
 from .functions.shapes import circle_points, ellipse_points
-from .operators import drawing, features, geometry, histograms, labels, pointwise, regions, spatial, thinning, trees, whole_image
+from .operators import drawing, features, geometry, histograms, labels, pointwise, regions, spatial, thinning, trees, volumes, whole_image
 from .operators import neighbourhood as N
 from .plans import gather_sql as G
 from .plans import rasters as R
@@ -316,6 +316,37 @@ def _contrast(px: DataFrame) -> DataFrame:
 
 pixels("tree_filter_values", _contrast, G.tree_filtered(R.GRAY, "o.level - o.below >= 12"))
 
+# Volumes.
+
+_SPACE = volumes.Space(side=4)
+_BALL = K.solid(1)
+_KERNEL = [[[0.0, -1.0, 0.0], [0.5, 2.0, 0.0], [0.0, 1.0, 0.25]], [[1.0, 0.0, 0.0], [0.0, 4.0, -2.0], [0.0, 0.0, 1.0]], [[0.0, 0.0, 0.0], [0.0, -3.0, 0.0], [0.125, 0.0, 1.0]]]
+
+
+def _voxels(name: str, op: Callable[[DataFrame], DataFrame], sql: str, above: int | None = None) -> None:
+    """A query of cells (image_id, z, y, x, v) from an operator on the volumes."""
+    at = "image_id, z, y, x"
+    add(name, lambda s, d: op(R.volume(s, d, above)).select(*at.split(", "), shown("v").alias("v")), f"SELECT {at}, round(v, 6) + 0.0 AS v FROM ({sql})")
+
+
+_OFF = volumes.offsets(_BALL)
+_voxels("vol_convolve", lambda p: _SPACE.convolve(p, _KERNEL, mode="reflect"), G.gather_volume(R.VOLUME, volumes.offsets(_KERNEL), "sum(@w * @v) AS v", "reflect"))
+_voxels("vol_mean", lambda p: _SPACE.mean_filter(p, K.cuboid(3, 3, 5), mode="wrap"), G.gather_volume(R.VOLUME, volumes.offsets(K.cuboid(3, 3, 5)), "avg(@v) AS v", "wrap"))
+_voxels("vol_median", lambda p: _SPACE.median_filter(p, _BALL, mode="symmetric"), G.gather_volume(R.VOLUME, _OFF, f"list_sort(list(@v))[{len(_OFF) // 2}] AS v", "symmetric"))
+_voxels("vol_rank", lambda p: _SPACE.rank_filter(p, K.solid(1, shape="octahedron"), 6, mode="edge"), G.gather_volume(R.VOLUME, volumes.offsets(K.solid(1, shape="octahedron")), "list_sort(list(@v))[6] AS v", "edge"))
+_voxels("vol_erode", lambda p: _SPACE.erosion(p), G.gather_volume(R.volume_mask(100), volumes.offsets(volumes.element(3)), "min(@v) AS v"), 100)
+_voxels("vol_dilate", lambda p: _SPACE.dilation(p, _BALL), G.gather_volume(R.volume_mask(200), _OFF, "max(@v) AS v"), 200)
+_voxels("vol_gray_open", lambda p: _SPACE.opening(p, _BALL), G.gather_volume(G.gather_volume(R.VOLUME, _OFF, "min(@v) AS v"), _OFF, "max(@v) AS v"))
+for _k in (1, 2, 3):
+    _ROOTS = G.rooted_volume(R.volume_mask(190), _k)
+    add(f"vol_label_{_k}", lambda s, d, k=_k: _SPACE.label(R.volume(s, d, 190), k).select("image_id", "z", "y", "x", "label"), f"SELECT image_id, z, y, x, CASE WHEN root IS NULL THEN 0 ELSE dense_rank() OVER (PARTITION BY image_id ORDER BY root NULLS LAST) END::BIGINT AS label FROM ({_ROOTS})")
+_voxels("vol_small_objects", lambda p: _SPACE.remove_small_objects(p, 4), f"SELECT *, (root IS NOT NULL AND n > 4)::INT::DOUBLE AS k FROM ({G.rooted_volume(R.volume_mask(190))})".replace("SELECT *,", "SELECT * REPLACE (k AS v) FROM (SELECT *,", 1) + ")", 190)
+_EDGE = "z IN (0, d - 1) OR y IN (0, h - 1) OR x IN (0, w - 1)"
+_HOLES = G.rooted_volume(f"SELECT * REPLACE ((v = 0)::INT::DOUBLE AS v) FROM ({R.volume_mask(70)})")
+_voxels("vol_fill_holes", lambda p: _SPACE.fill_holes(p), f"SELECT * REPLACE ((root IS NULL OR NOT bool_or({_EDGE}) OVER (PARTITION BY image_id, root))::INT::DOUBLE AS v) FROM ({_HOLES})", 70)
+_PLANE = volumes.Space((("y", "h"), ("x", "w")), keys=("image_id", "d", "z"), side=8)
+_voxels("vol_planes_mean", lambda p: _PLANE.mean_filter(p, BOX3, mode="reflect"), G.gather_volume(R.VOLUME, volumes.offsets([BOX3]), "avg(@v) AS v", "reflect"))
+
 # Labels and regions.
 
 add("label", lambda s, d: labels.label(R.mask(s, d)).select("image_id", "y", "x", "label"), f"SELECT image_id, y, x, label FROM ({G.labelled(R.MASK)})")
