@@ -210,3 +210,13 @@ def rooted_volume(px: str, connectivity: int = 1) -> str:
         "r AS (SELECT image_id, id AS a, id AS b FROM f UNION SELECT r.image_id, r.a, e.b FROM r JOIN e ON e.image_id = r.image_id AND e.a = r.b), "
         "m AS (SELECT image_id, a AS id, min(b) AS root, count(*) AS n FROM r GROUP BY 1, 2) SELECT g.*, m.root, m.n FROM g LEFT JOIN m USING (image_id, id)"
     )
+
+
+def reached(px: str, open_: str, seeds: str, moves: Sequence[tuple[int, int]], kept: str) -> str:
+    """Cells of ``px`` with v by ``kept`` (of ``hit``), where open cells are reached from seeds by moves (dy, dx)."""
+    steps = ", ".join(f"({dy}, {dx})" for dy, dx in moves)
+    return (
+        f"WITH RECURSIVE g AS MATERIALIZED (SELECT *, {open_} AS free FROM ({px}) p), k(dy, dx) AS (VALUES {steps}), r AS (SELECT image_id, y, x FROM g WHERE free AND ({seeds}) "
+        "UNION SELECT g.image_id, g.y, g.x FROM r CROSS JOIN k JOIN g ON g.image_id = r.image_id AND g.y = r.y + k.dy AND g.x = r.x + k.dx AND g.free) "
+        f"SELECT image_id, h, w, y, x, ({kept})::INT::DOUBLE AS v FROM (SELECT g.*, r.y IS NOT NULL AS hit FROM g LEFT JOIN r USING (image_id, y, x))"
+    )

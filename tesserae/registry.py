@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import kernels as K
 from .functions.borders import MODES
 from .functions.shapes import circle_points, ellipse_points
-from .operators import drawing, features, geometry, histograms, labels, pointwise, regions, spatial, thinning, trees, volumes, whole_image
+from .operators import drawing, features, geometry, histograms, labels, pointwise, reach, regions, spatial, thinning, trees, volumes, whole_image
 from .operators import neighbourhood as N
 from .plans import gather_sql as G
 from .plans import rasters as R
@@ -358,6 +358,15 @@ pixels("fill_holes", labels.fill_holes, G.filled(R.MASK), R.mask)
 pixels("region_fill", lambda p: labels.region_fill(p, (5, 5)), f"SELECT image_id, y, x, (v = 0 OR coalesce(root = max(CASE WHEN y = 5 AND x = 5 THEN root END) OVER (PARTITION BY image_id), false))::INT::DOUBLE AS v FROM ({G.rooted(G.inverted(R.MASK))})", R.mask)
 _NEARBY = f"SELECT p.* REPLACE ((abs(p.v - t.v) <= 90)::INT::DOUBLE AS v) FROM ({R.GRAY}) p JOIN ({R.GRAY}) t ON t.image_id = p.image_id AND t.y = 5 AND t.x = 5"
 pixels("region_fill_gray", lambda p: labels.region_fill(p, (5, 5), 90, binary=False), f"SELECT image_id, y, x, (v = 0 OR coalesce(root = max(CASE WHEN y = 5 AND x = 5 THEN root END) OVER (PARTITION BY image_id), false))::INT::DOUBLE AS v FROM ({G.rooted(_NEARBY)})")
+_UNEVEN = [[0.0, 1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 1.0, 1.0]]
+_LIGHT = f"SELECT * REPLACE ((v > 70)::INT::DOUBLE AS v) FROM ({R.GRAY})"
+_STEPS = [t[:2] for t in K.taps(_UNEVEN)]
+_OUTSIDE = " OR ".join(f"y + {dy} NOT BETWEEN 0 AND h - 1 OR x + {dx} NOT BETWEEN 0 AND w - 1" for dy, dx in _STEPS)
+pixels("fill_holes_element", lambda p: reach.fill_holes(p, _UNEVEN, side=8), G.reached(_LIGHT, "v = 0", _OUTSIDE, [(-dy, -dx) for dy, dx in _STEPS], "NOT hit"), lambda s, d: R.mask(s, d, 70))
+_ON = [t[:2] for t in K.taps(_UNEVEN, flip=False)]
+pixels("region_fill_element", lambda p: reach.region_fill(p, (7, 6), _UNEVEN, side=8), G.reached(R.MASK, "v = 0", "y = 7 AND x = 6", _ON, "hit OR NOT free"), R.mask)
+_CLOSE_TO = f"SELECT p.* REPLACE (abs(p.v - t.v) AS v) FROM ({R.GRAY}) p JOIN ({R.GRAY}) t ON t.image_id = p.image_id AND t.y = 7 AND t.x = 6"
+pixels("region_fill_gray_element", lambda p: reach.region_fill(p, (7, 6), _UNEVEN, tolerance=110, binary=False), G.reached(_CLOSE_TO, "v <= 110", "y = 7 AND x = 6", _ON, "hit OR NOT free"))
 _L = G.labelled(R.MASK)
 _BOXES = f"SELECT image_id, label, min(y) AS y0, min(x) AS x0, max(y) AS y1, max(x) AS x1, count(*) AS area FROM ({_L}) WHERE label > 0 GROUP BY 1, 2"
 add("find_object", lambda s, d: regions.find_objects(labels.label(R.mask(s, d))), f"SELECT image_id, label, y0, x0, y1, x1 FROM ({_BOXES})")
