@@ -1,25 +1,17 @@
-"""Operators that are sequential within an image: one Arrow group for each image, none larger than an image.
-
-What can be said by the pixel is left to DataFrames; these kernels get what remains.
-"""
+"""The search for line segments that is sequential within an image: one Arrow group for each image."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions import kernels as K
 from ..plans.frames import PIXEL
 from .features import default_angles
-from .neighbourhood import local_max_filter
 
-c = F.col
-CELLS = "image_id long, h int, w int, y int, x int, v double"
 
 
 def array_of(rows: pd.DataFrame) -> np.ndarray:
@@ -28,85 +20,6 @@ def array_of(rows: pd.DataFrame) -> np.ndarray:
     return a
 
 
-def each_image(px: DataFrame, work: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """A function of arrays on every image."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows[PIXEL].assign(v=work(array_of(rows)).astype(float)[rows["y"], rows["x"]])
-
-    return px.select(*PIXEL, "v").groupBy("image_id").applyInPandas(run, CELLS)
-
-
-def peak_candidates(px: DataFrame, distance: int, threshold: float | None = None, mode: str = "constant", value: float = 0.0) -> DataFrame:
-    """Pixels above the threshold (half the image's greatest value by default) and no lower than any in their box."""
-    side = 2 * distance + 1
-    top = local_max_filter(px, K.box(side, side), mode, value).select("image_id", "y", "x", c("v").alias("top"))
-    th = px.groupBy("image_id").agg((F.max("v") * 0.5).alias("th")) if threshold is None else px.select("image_id").distinct().withColumn("th", F.lit(float(threshold)))
-    return px.join(top, ["image_id", "y", "x"]).join(th, "image_id").where((c("v") > c("th")) & (c("v") >= c("top"))).select(*PIXEL, "v")
-
-
-def _suppressed(rows: pd.DataFrame, near, limit: int, plateau: bool) -> pd.DataFrame:
-    """Candidates by falling value (then raster order): each that is left is a peak and silences those near it."""
-    rows = rows.sort_values(["v", "y", "x"], ascending=[False, True, True]).reset_index(drop=True)
-    y, x, v = (rows[n].to_numpy(float) for n in ("y", "x", "v"))
-    left, rank, n = np.ones(len(rows), bool), np.zeros(len(rows), np.int64), 0
-    for i in range(len(rows)):
-        if not left[i]:
-            continue
-        n += 1
-        rank[i], left[i] = n, False
-        todo = [i] if plateau else []
-        while todo:
-            k = todo.pop()
-            for j in np.flatnonzero(left & (np.maximum(np.abs(y - y[k]), np.abs(x - x[k])) <= 1) & (v == v[k])).tolist():
-                rank[j], left[j] = n, False
-                todo.append(j)
-        left &= ~near(y - y[i], x - x[i])
-    keep = rank > 0 if limit < 0 else (rank > 0) & (rank <= limit)
-    return rows[keep].assign(rank=rank[keep])[["image_id", "y", "x", "v", "rank"]]
-
-
-PEAKS = "image_id long, y int, x int, v double, rank long"
-
-
-def peak_suppression(px: DataFrame, distance: int, threshold: float | None = None, n_peaks: int = -1, mode: str = "constant", value: float = 0.0) -> DataFrame:
-    """Peaks (image_id, y, x, v, rank): greedy by value over the candidates, each with its plateau, boxes kept clear."""
-    near = lambda dy, dx: (np.abs(dy) <= distance) & (np.abs(dx) <= distance)
-    return peak_candidates(px, distance, threshold, mode, value).groupBy("image_id").applyInPandas(lambda r: _suppressed(r, near, n_peaks, True), PEAKS)
-
-
-def find_peaks(px: DataFrame, distance: int = 1, threshold: float | None = None, n_peaks: int = -1, mode: str = "constant", value: float = 0.0, p: float = 2) -> DataFrame:
-    """As above with balls of a Minkowski norm in place of boxes."""
-    size = (lambda dy, dx: np.maximum(np.abs(dy), np.abs(dx))) if math.isinf(p) else lambda dy, dx: (np.abs(dy) ** p + np.abs(dx) ** p) ** (1 / p)
-    near = lambda dy, dx: size(dy, dx) <= distance
-    return peak_candidates(px, distance, threshold, mode, value).groupBy("image_id").applyInPandas(lambda r: _suppressed(r, near, n_peaks, False), PEAKS)
-
-
-def hough_line_peak(votes: DataFrame, n_peaks: int = -1, distance: int = 7, theta: int = 7, threshold: float | None = None) -> DataFrame:
-    """Peaks of line votes (image_id, rho, theta_ix, votes), in a box of (distance, theta); ranks by votes."""
-    near = lambda dy, dx: (np.abs(dy) <= distance) & (np.abs(dx) <= theta)
-    th = votes.groupBy("image_id").agg((F.max("votes") * 0.5).alias("th"))
-    strong = votes.join(th, "image_id").where(c("votes") > (c("th") if threshold is None else F.lit(threshold)))
-    rows = strong.select("image_id", c("rho").alias("y"), c("theta_ix").alias("x"), c("votes").cast("double").alias("v"))
-    out = rows.groupBy("image_id").applyInPandas(lambda r: _suppressed(r, near, n_peaks, False), PEAKS)
-    return out.select("image_id", c("y").alias("rho"), c("x").alias("theta_ix"), c("v").cast("long").alias("votes"), "rank")
-
-
-def hough_circle_peak(votes: DataFrame, n_peaks: int = -1, dy: int = 7, dx: int = 7, threshold: float | None = None) -> DataFrame:
-    """Peaks of circle votes, each radius by itself; ``n_peaks`` keeps the first in raster order of (radius, y, x)."""
-    near = lambda a, b: (np.abs(a) <= dy) & (np.abs(b) <= dx)
-    th = votes.groupBy("image_id").agg((F.max("votes") * 0.5).alias("th"))
-    strong = votes.join(th, "image_id").where(c("votes") > (c("th") if threshold is None else F.lit(threshold)))
-    rows = strong.select("image_id", "radius_ix", "y", "x", c("votes").cast("double").alias("v"))
-
-    def run(r: pd.DataFrame) -> pd.DataFrame:
-        parts = [_suppressed(g.drop(columns="radius_ix"), near, -1, False).assign(radius_ix=k) for k, g in r.groupby("radius_ix")]
-        out = pd.concat(parts).sort_values(["radius_ix", "y", "x"])
-        return (out if n_peaks < 0 else out.head(n_peaks))[["image_id", "radius_ix", "y", "x", "v"]]
-
-    return rows.groupBy("image_id").applyInPandas(run, "image_id long, radius_ix int, y int, x int, v double").withColumn("votes", c("v").cast("long")).drop("v")
-
-
 def _arm(mask: np.ndarray, y: int, x: int, dy: int, dx: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
     """Cells from a set pixel on, by steps, up to the last set one before a hole of more than ``gap`` cells or the border."""
     room = [(n - 1 - p) // d if d > 0 else p // -d for p, d, n in ((y, dy, mask.shape[0]), (x, dx, mask.shape[1])) if d]

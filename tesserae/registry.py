@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import kernels as K
 from .functions.borders import MODES
 from .functions.shapes import circle_points, ellipse_points
-from .operators import drawing, features, geometry, histograms, labels, pointwise, reach, regions, spatial, thinning, trees, volumes, whole_image
+from .operators import drawing, features, geometry, histograms, labels, peaks, pointwise, reach, regions, spatial, thinning, trees, volumes, whole_image
 from .operators import neighbourhood as N
 from .plans import gather_sql as G
 from .plans import rasters as R
@@ -448,10 +448,26 @@ _RADII = (3, 5)
 _CO = ", ".join(f"({i}, {a}, {b})" for i, r in enumerate(_RADII) for a, b in circle_points(r))
 add("hough_circle", lambda s, d: features.hough_circle(R.mask(s, d), _RADII), f"SELECT image_id, o.i AS radius_ix, p.y + o.dy AS y, p.x + o.dx AS x, count(*) AS votes FROM ({R.MASK}) p CROSS JOIN (VALUES {_CO}) o(i, dy, dx) WHERE v <> 0 AND p.y + o.dy BETWEEN 0 AND 31 AND p.x + o.dx BETWEEN 0 AND 31 GROUP BY ALL")
 add("hough_pp_line", lambda s, d: whole_image.hough_probabilistic_line(R.mask(s, d, 40), _ANGLES, 5, 6, 2))
-add("hough_line_peak", lambda s, d: whole_image.hough_line_peak(features.hough_line(R.mask(s, d), _ANGLES), 5))
-add("hough_circle_peak", lambda s, d: whole_image.hough_circle_peak(features.hough_circle(R.mask(s, d), _RADII), 5))
-add("peaks", lambda s, d: whole_image.find_peaks(R.gray(s, d), 3, n_peaks=10))
-add("peaks_box", lambda s, d: whole_image.peak_suppression(R.gray(s, d), 3))
+add("hough_line_peak", lambda s, d: peaks.hough_line_peak(features.hough_line(R.mask(s, d), _ANGLES), 5))
+add("hough_circle_peak", lambda s, d: peaks.hough_circle_peak(features.hough_circle(R.mask(s, d), _RADII), 5))
+add("peaks_box", lambda s, d: peaks.peak_suppression(R.gray(s, d), 3))
+add("peaks_box_inverted", lambda s, d: peaks.peak_suppression(R.gray(s, d), (2, 4), n_peaks=20, mode="edge", invert=True))
+_GREEDY = "list_reduce(list(struct_pack(y := y, x := x, v := v) ORDER BY v DESC, y, x), lambda a, q: CASE WHEN len(list_filter(a, lambda t: {near})) > 0 THEN a ELSE list_append(a, q) END, []::STRUCT(y INT, x INT, v DOUBLE)[])"
+
+
+def _peaks_sql(taps, near: str, sign: str = "", limit: int = 10) -> str:
+    """Candidates in falling order, each taken unless one that was taken is near."""
+    px = f"SELECT * REPLACE ({sign}v AS v) FROM ({R.GRAY})"
+    top = G.gather(px, taps, "any_value(p.v) AS v, max(@v) AS top")
+    th = f"SELECT image_id, {sign}0.5 * max({sign}v) AS th FROM ({px}) GROUP BY 1"
+    kept = f"SELECT image_id, {_GREEDY.format(near=near)} AS k FROM ({top}) JOIN ({th}) USING (image_id) WHERE v > th AND v >= top GROUP BY 1"
+    each = f"SELECT image_id, unnest(k) AS e, unnest(range(1, len(k) + 1)) AS rank FROM ({kept})"
+    return f"SELECT image_id, e.y AS y, e.x AS x, {sign}e.v AS v, rank::BIGINT AS rank FROM ({each}) WHERE rank <= {limit}"
+
+
+_ROUND = "(t.y - q.y) * (t.y - q.y) + (t.x - q.x) * (t.x - q.x) <= 9"
+add("peaks", lambda s, d: peaks.find_peaks(R.gray(s, d), 3, n_peaks=10), _peaks_sql(K.taps(K.box(7, 7)), _ROUND))
+add("peaks_inverted", lambda s, d: peaks.find_peaks(R.gray(s, d), 3, n_peaks=10, p=1, footprint=CROSS, invert=True), _peaks_sql(K.taps(CROSS), "abs(t.y - q.y) + abs(t.x - q.x) <= 3", "-"))
 
 # Geometry and pyramids.
 

@@ -5,7 +5,7 @@ import pytest
 
 from tesserae.functions import kernels as K
 from tesserae.functions.shapes import circle_points, ellipse_points, line_points
-from tesserae.operators import drawing, features, geometry, histograms, labels, metric, regions, spatial, thinning, trees, whole_image
+from tesserae.operators import drawing, features, geometry, histograms, labels, metric, peaks, regions, spatial, thinning, trees, whole_image
 from tesserae.operators import neighbourhood as N
 from tesserae.sources import images
 
@@ -109,7 +109,7 @@ def test_area_open_by_level_sets(spark):
 
 def test_peaks_keep_their_distance(spark):
     a = np.random.default_rng(3).integers(0, 100, (20, 20))
-    got = whole_image.find_peaks(px(spark, a), 3, threshold=10).collect()
+    got = peaks.find_peaks(px(spark, a), 3, threshold=10).collect()
     assert got
     for i, p in enumerate(got):
         assert all((p.y - q.y) ** 2 + (p.x - q.x) ** 2 > 9 for q in got[:i])
