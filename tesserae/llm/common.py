@@ -69,13 +69,27 @@ def numbered(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
     )
 
 
-def in_files(docs: DataFrame) -> DataFrame:
-    """``docs`` if its rows have places in Parquet files, else a stored copy, whose rows have."""
+#: Steps of a plan that give each row of a file at most once.
+ROW_BY_ROW = {"LogicalRelation", "Project", "Filter", "SubqueryAlias", "View"}
+
+
+def bare_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a scan of Parquet files, filtered and projected at most: no explode, join or union has made rows of its rows."""
     try:
         docs.select("_metadata.file_path", "_metadata.row_index")
-        return docs
     except AnalysisException:
-        return stored(docs, "rows")
+        return False
+    step = docs._jdf.queryExecution().analyzed()
+    while step.nodeName().split(" ")[0] in ROW_BY_ROW:
+        if step.children().isEmpty():
+            return True
+        step = step.children().head()
+    return False
+
+
+def in_files(docs: DataFrame) -> DataFrame:
+    """``docs`` if each of its rows has a place of its own in Parquet files, else a stored copy, whose rows have."""
+    return docs if bare_scan(docs) else stored(docs, "rows")
 
 
 def located(docs: DataFrame, *columns: str | Column) -> DataFrame:

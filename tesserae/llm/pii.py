@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -165,6 +166,13 @@ def signs(t: Rewritten) -> None:
     t.replace([(*m.span(), ".") for m in DOT.finditer(t.text)])
 
 
+def outside(new: list[Span], base: list[Span]) -> list[Span]:
+    """The spans of ``new`` that no span of ``base`` holds; base spans are in order and do not overlap, so the last that starts in time decides."""
+    starts = [b for b, _ in base]
+    at = (bisect_right(starts, s) - 1 for s, _ in new)
+    return [s for s, i in zip(new, at, strict=True) if i < 0 or s[1] > base[i][1]]
+
+
 def disguised(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Further spans that show once the text is rewritten; none lies within a base span of its kind."""
     t = Rewritten(text)
@@ -180,7 +188,7 @@ def disguised(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     out = {}
     for kind, spans in identifiers(t.text).items():
         new = [(t.start[a], t.end[b - 1]) for a, b in spans if any(t.changed[a:b])]
-        out[kind] = [s for s in new if not any(b <= s[0] and s[1] <= e for b, e in base[kind])]
+        out[kind] = outside(new, base[kind])
     return out
 
 

@@ -300,8 +300,11 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, h
     row per row: row_no, doc_id, n_words, n_removed, kept_sha256 and spans (word
     positions [start, end) of the maximal repeats). Null and empty texts have no words;
     texts under ``window`` words lose none; an empty table gives an empty result.
-    ``hot`` only says which anchors are extended before the shuffle.
+    ``hot`` only says which anchors are extended before the shuffle. An anchor's windows are
+    counted in four bits: a window may be longer than ``gram`` by 14 words at most.
     """
+    if not 0 <= window - gram < 15:
+        raise ValueError("a window has as many words as an anchor, or up to 14 more")
     docs = in_files(docs)
     rows = located_texts(docs, F.col("doc_id").cast("long").alias("ord"))
     table, frequent = seeded(rows.select("row_no", "ord", "text"), window, gram, hot)

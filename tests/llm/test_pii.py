@@ -107,3 +107,25 @@ def test_table(table, empty):
     rows = [(1, None), (2, ""), (3, "a@b.co 1.2.3.4 +1 (555) 555-0199; 4111 1111 1111 1111;"), (3, "a@b.co"), (None, "x (at) y (dot) com")]
     got = sorted(((r.doc_id or 0, r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans) for r in pii.personal_data(table(rows)).collect()))
     assert got == [(0, 0, 0, 0, 0, "email:0:18"), (1, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, ""), (3, 1, 0, 0, 0, "email:0:6"), (3, 1, 1, 1, 1, "email:0:6,ip:7:14,card:34:53,phone:15:32")]
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    import time
+
+    parts = {"email": ("a{}@b.co", "c{} (at) d (dot) com"), "ip": ("1.2.3.4", "1․2․3․4"), "card": ("4111111111111111;", "4111​111111111111;"), "phone": ("+15551550199;", "+1555155019¹;")}
+    for kind, (plain, hidden) in parts.items():
+        text = " ; ".join(x.format(i) for i in range(25_000) for x in (plain, hidden))
+        began = time.time()
+        base, every = pii.found(text)
+        assert len(every[kind]) >= 50_000 and len(base[kind]) >= 25_000 and time.time() - began < 20, kind
+
+
+def test_spans_outside_others():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        cuts = sorted(rng.sample(range(40), 10))
+        base = [(a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        new = [tuple(sorted(rng.sample(range(41), 2))) for _ in range(8)]
+        assert pii.outside(new, base) == [s for s in new if not any(b <= s[0] and s[1] <= e for b, e in base)]

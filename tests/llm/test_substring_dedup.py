@@ -90,3 +90,15 @@ def test_largest_id_is_kept(table):
     last = (1 << 63) - 1
     got = {r.doc_id: r.n_removed for r in S.repeated_passages(table([(last, "w " * 30), (None, "v " * 30)])).collect()}
     assert got == {last: 29, None: 29}
+
+
+def test_windows_of_other_lengths(table, corpus):
+    import pytest
+
+    rows = corpus(4)
+    for window in (6, 13, 20):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in S.repeated_passages(table(rows), window=window).collect()}
+        assert got == brute(rows, window)
+    for window in (5, 21, 30):
+        with pytest.raises(ValueError, match="window"):
+            S.repeated_passages(table(rows), window=window)
