@@ -65,6 +65,17 @@ def hsv2rgb(px: DataFrame) -> DataFrame:
     return px.withColumns({"r": pick(v, b, a, a, g, v), "g": pick(g, v, v, b, a, a), "b": pick(a, a, g, v, v, b)}).drop("hue", "sat", "val")
 
 
+#: Colour conversions by name.
+COLOURS = {"RGB2GRAY": rgb2gray, "GRAY2RGB": gray2rgb, "GRAY2RGBA": gray2rgba, "RGB2YUV": rgb2yuv, "YUV2RGB": yuv2rgb, "RGB2HSV": rgb2hsv, "HSV2RGB": hsv2rgb}
+
+
+def converted(px: DataFrame, name: str, **options) -> DataFrame:
+    """A colour conversion by its name, in any case."""
+    if name.upper() not in COLOURS:
+        raise ValueError(f"conversions are {', '.join(COLOURS)}")
+    return COLOURS[name.upper()](px, **options)
+
+
 COLOURS = {"RGB2GRAY": rgb2gray, "GRAY2RGB": gray2rgb, "GRAY2RGBA": gray2rgba, "RGB2YUV": rgb2yuv, "YUV2RGB": yuv2rgb, "RGB2HSV": rgb2hsv, "HSV2RGB": hsv2rgb}
 
 def _ranged(px: DataFrame) -> DataFrame:

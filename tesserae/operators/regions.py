@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.frames import PIXEL
+from ..plans.frames import PIXEL, stored
 from . import neighbourhood as N
 from .labels import fill_holes
 from .spatial import convex_hull, hull_contains
@@ -73,13 +73,18 @@ def region_properties(labels: DataFrame, intensity: DataFrame | None = None) ->
     return out.withColumns({**central, "box_area": box.cast("long"), "local_cy": c("cy") - c("y0"), "local_cx": c("cx") - c("x0")}).drop("syy", "syx", "sxx")
 
 
+def _numbers(labels: DataFrame) -> DataFrame:
+    """A number for each region (image_id, label), stored, so that it is the same in every job."""
+    return stored(labels.where("label > 0").select("image_id", "label").distinct().withColumn("set_id", F.monotonically_increasing_id()), "regions")
+
+
 def region_shapes(labels: DataFrame) -> DataFrame:
     """Perimeter, filled area, euler number (area less filled area) and circularity, each within the region's own box."""
     crops = cropped(labels.withColumnRenamed("label", "at"), find_objects(labels))
     # Each region is an image of its own: its cells by themselves, everything else background.
-    one = crops.withColumns({"v": (c("at") == c("label")).cast("double"), "image_id": F.struct("image_id", "label")})
-    one = one.select(F.xxhash64("image_id.image_id", "image_id.label").alias("image_id"), c("image_id.image_id").alias("i"), "label", "h", "w", "y", "x", "v")
-    names = one.groupBy("image_id").agg(F.first("i").alias("i"), F.first("label").alias("label"), F.sum("v").cast("long").alias("area"))
+    one = crops.join(_numbers(labels), ["image_id", "label"])
+    one = one.select(c("set_id").alias("image_id"), c("image_id").alias("i"), "label", "h", "w", "y", "x", (c("at") == c("label")).cast("double").alias("v"))
+    names = one.groupBy("image_id", "i", "label").agg(F.sum("v").cast("long").alias("area"))
     px = one.select(*PIXEL, "v")
     filled = fill_holes(px).groupBy("image_id").agg(F.sum("v").cast("long").alias("area_filled"))
     out = names.join(perimeter(px), "image_id").join(filled, "image_id")
@@ -89,10 +94,11 @@ def region_shapes(labels: DataFrame) -> DataFrame:
 
 def region_hulls(labels: DataFrame) -> DataFrame:
     """Area, convex hull (its number of corners) and cells within the hull (area_convex) of each region."""
-    cells = labels.where("label > 0").withColumn("set_id", F.xxhash64("image_id", "label"))
-    names = cells.groupBy("set_id").agg(F.first("image_id").alias("image_id"), F.first("label").alias("label"), F.count("*").alias("area"))
+    numbers = _numbers(labels)
+    cells = labels.join(numbers, ["image_id", "label"])
+    names = cells.groupBy("set_id", "image_id", "label").agg(F.count("*").alias("area"))
     corners = convex_hull(cells.select("set_id", "y", "x"))
-    boxes_ = find_objects(labels).withColumn("set_id", F.xxhash64("image_id", "label"))
+    boxes_ = find_objects(labels).join(numbers, ["image_id", "label"])
     grid_ = boxes_.select("set_id", F.explode(F.sequence("y0", "y1")).alias("y"), "x0", "x1").select("set_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
     inside = hull_contains(corners, grid_).groupBy("set_id").agg(F.sum(c("inside").cast("long")).alias("area_convex"))
     n = corners.groupBy("set_id").agg(F.count("*").alias("n_corners"))

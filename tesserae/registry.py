@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import kernels as K
+from .functions import sql
 from .functions.borders import MODES
 from .functions.shapes import circle_points, ellipse_points
 from .operators import drawing, features, geometry, histograms, labels, peaks, pointwise, reach, regions, spatial, thinning, trees, volumes, whole_image
@@ -595,6 +596,24 @@ add("draw_paint", lambda s, d: _plain(drawing.paint(R.gray(s, d), drawing.circle
 _MARK = f"EXISTS (SELECT 1 FROM ({_stamped(drawing.SHAPES['CROSS'])}) k WHERE k.image_id = g.image_id AND k.y = g.y AND k.x = g.x)"
 add("mark_points", lambda s, d: drawing.mark_points(R.gray(s, d), _centres(s, d), "CROSS").select("image_id", "y", "x", "r", "g", "b"), f"SELECT g.image_id, g.y, g.x, CASE WHEN {_MARK} THEN 255.0::DOUBLE ELSE v END AS r, CASE WHEN {_MARK} THEN 0.0::DOUBLE ELSE v END AS g, CASE WHEN {_MARK} THEN 0.0::DOUBLE ELSE v END AS b FROM ({R.GRAY}) g")
 
+
+
+def _in_sql(text: str, name: str, rows: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query written in SQL over the registered table functions."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        sql.register(s)
+        rows(s, d).createOrReplaceTempView(name)
+        return s.sql(text)
+
+    return run
+
+
+add("sql_draw_line", _in_sql("SELECT s.vec_id, c.i, c.y, c.x FROM segments s, LATERAL draw_line(s.y1, s.x1, s.y2, s.x2) c", "segments", _segments), _LINE)
+add("sql_draw_circle", _in_sql("SELECT t.image_id, c.y, c.x FROM tops t, LATERAL draw_circle(t.y, t.x, 6) c", "tops", _centres), _stamped(circle_points(6)))
+add("sql_draw_ellipse", _in_sql("SELECT t.image_id, c.y, c.x FROM tops t, LATERAL draw_ellipse(t.y, t.x, 7, 4) c", "tops", _centres), _stamped(ellipse_points(7, 4)))
+add("sql_stamp", _in_sql("SELECT t.image_id, c.y, c.x FROM tops t, LATERAL stamp(t.y, t.x, 'SQUARE', 3) c", "tops", _centres), _stamped(drawing.SHAPES["SQUARE"]))
+
 # Streams (as batches) and grids.
 
 add("stream_windows", lambda s, d: windowed(R.table(s, d, "events")).select("win_start", "event_type", "n", shown("total", 4).alias("total"), "lo", "hi"), "SELECT date_trunc('hour', ts) AS win_start, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1, 2")
