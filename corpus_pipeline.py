@@ -13,22 +13,39 @@ from tesserae.llm.common import stored
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without those that the trained network rejects; the labels are the only thing learnt from.
+
+    Null and empty texts are clean; repeated rows have one verdict; an empty table stays empty; all columns stay.
+    """
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (white space aside) the longest row, then the one of the least id; all columns stay.
+
+    Null texts are empty and so equal to each other; of rows that tie the first stays; an empty table stays empty.
+    """
     return exact_dedup.without_copies(docs)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, the one of the least id; all columns stay.
+
+    Texts without words are linked with nothing and stay; of repeated rows the first stays; an empty table stays empty.
+    """
     return near_dedup.one_of_each(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without those that hold a window of a benchmark item; all columns stay.
+
+    Null and empty texts hold none; an empty table, and an empty benchmark, leave all rows that there are.
+    """
     return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every row that is left; null and empty texts have no tokens."""
     return sentencepiece_codec.digests(docs)
 
 
