@@ -230,7 +230,8 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
     (text with ``keep_text``; a column named like one of the following gives way to it), n_words, n_hit, n_items, items (sorted as strings), spans (word
     positions [start, end), merged) and contaminated. Null texts have no words; items
     without words match nothing; the windows of an item with a null id count as hits, but the item is not
-    in ``items``; repeated items count once. With several blocks the documents are stored after each but the last.
+    in ``items``; repeated items count once. An empty table gives an empty result; with an empty benchmark
+    nothing is hit. Very long texts are indexed whole. With several blocks the documents are stored after each but the last.
     """
     spark = docs.sparkSession
     spare = {c: f"__in_{i}" for i, c in enumerate(docs.columns) if c != "text"}
@@ -253,7 +254,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
 def clean_documents(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """``docs`` without those that hold a window of the benchmark, all columns as they were, whatever their names.
 
-    Null and empty texts stay; repeated rows stay or go together.
+    Null and empty texts stay; repeated rows stay or go together; an empty table stays empty.
     """
     flagged = contamination(whole_rows(docs), bench)
     return flagged.where("not contaminated").select("row.*")

@@ -286,7 +286,8 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, slo
     per row: row_no, doc_id, n_shingles, component_id (the smallest doc_id of the
     component), kept. Texts without words, empty or null ones have no shingles and
     are linked with nothing, not even each other. Of repeated rows one is kept; a
-    null id counts as the largest. Links are confirmed on full sets; with 32 bands of
+    null id counts as the largest. An empty table gives an empty result; further columns are
+    left alone. What a task holds grows with its longest text, and no text is cut. Links are confirmed on full sets; with 32 bands of
     4 slots a pair at exactly 0.75 is missed as a candidate with probability 5e-6.
     """
     docs = in_files(docs)

@@ -241,6 +241,7 @@ def encoded(docs: DataFrame, model: str | None = None, block: int | None = None,
 
 
 def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of ``encoded``, one row per row; null and empty texts have no ids."""
     out = encoded(docs, model, digests=True)
     return out.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
 

@@ -452,7 +452,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFram
     Null and empty texts score as the empty window does; with no labels, or of one
     class only, every text scores the prior. Null ids are not held out. One row per row
     of ``docs``: repeated rows each get the same score, an empty table gives an empty
-    result, further columns are left alone whatever their names.
+    result, further columns are left alone whatever their names. Very long texts are scored by
+    all of their windows.
     """
     model = train(*sample(docs, labels, "toxic", most))
     out = with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
