@@ -526,8 +526,7 @@ _PAIR = f"SELECT a.point_id AS query_id, b.point_id, round({{}}, 9) + 0.0 AS dis
 for _p, _n in ((2, "knn"), (1, "knn_p1"), (math.inf, "knn_inf")):
     add(_n, lambda s, d, p=_p: spatial.knn(R.points(s, d), _asked(s, d), 5, p).select("query_id", "point_id", shown("dist", 9).alias("dist"), "rank"), f"SELECT query_id, point_id, dist, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, point_id) AS rank FROM ({_PAIR.format(_dist(_p))})) WHERE rank <= 5")
 _NEXT = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, point_id) AS rank FROM ({_PAIR.format(_dist())})"
-_KS = (1 + c("query_id") % 7).cast("int")
-add("knn_each", lambda s, d: spatial.knn(R.points(s, d), _asked(s, d).withColumn("k", _KS), "k", within=140.0).select("query_id", "point_id", shown("dist", 9).alias("dist"), "rank"), f"SELECT query_id, point_id, dist, rank::INT AS rank FROM ({_NEXT}) WHERE rank <= 1 + query_id % 7 AND dist < 140")
+add("knn_each", lambda s, d: spatial.knn(R.points(s, d), _asked(s, d).withColumn("k", (1 + c("query_id") % 7).cast("int")), "k", within=140.0).select("query_id", "point_id", shown("dist", 9).alias("dist"), "rank"), f"SELECT query_id, point_id, dist, rank::INT AS rank FROM ({_NEXT}) WHERE rank <= 1 + query_id % 7 AND dist < 140")
 add("ball_each", lambda s, d: spatial.ball(R.points(s, d), _asked(s, d).withColumn("r", 90.0 + c("query_id") % 31), "r", p=2), f"SELECT * FROM ({_PAIR.format(_dist())}) WHERE dist <= 90 + query_id % 31")
 add("ball_inf", lambda s, d: spatial.ball(R.points(s, d), _asked(s, d), 34.0, math.inf), f"SELECT * FROM ({_PAIR.format(_dist(math.inf))}) WHERE dist <= 34")
 add("ball", lambda s, d: spatial.ball(R.points(s, d), _asked(s, d), 115.0), f"SELECT * FROM ({_PAIR.format(_dist())}) WHERE dist <= 115")
