@@ -48,6 +48,21 @@ def sampled(cells: DataFrame, px: DataFrame, order: int, mode: str = "constant",
     return read.groupBy(*PIXEL).agg(F.sum(c("wt") * F.coalesce("v", F.lit(float(value)))).alias("v"))
 
 
+def map_coordinates(px: DataFrame, points: DataFrame, order: int = 1, mode: str = "constant", value: float = 0.0) -> DataFrame:
+    """``points`` (image_id, y, x and further columns) with v, the image's value interpolated there.
+
+    Points need not be distinct; those of an image that is not there are left out.
+    """
+    at = points.select(F.struct(*points.columns).alias("point"), "image_id", c("y").cast("double").alias("sy"), c("x").cast("double").alias("sx"))
+    taps = lambda n, size: F.array(*(F.struct(fit(i, c(size), mode).cast("int").alias("i"), w.alias("w")) for i, w in weights(c(n), order)))
+    places = at.select("image_id", "sy", "sx").distinct().join(images_of(px), "image_id")
+    read = places.withColumn("ty", F.explode(taps("sy", "h"))).withColumn("tx", F.explode(taps("sx", "w")))
+    read = read.select("image_id", "sy", "sx", c("ty.i").alias("y"), c("tx.i").alias("x"), (c("ty.w") * c("tx.w")).alias("wt"))
+    found = read.join(px.select("image_id", "y", "x", "v"), ["image_id", "y", "x"], "left").groupBy("image_id", "sy", "sx")
+    found = found.agg(F.sum(c("wt") * F.coalesce("v", F.lit(float(value)))).alias("v"))
+    return at.join(found, ["image_id", "sy", "sx"]).select("point.*", "v")
+
+
 def _canvas(px: DataFrame, h: Column | int, w: Column | int) -> DataFrame:
     h, w = (x if isinstance(x, Column) else F.lit(x) for x in (h, w))
     sizes = images_of(px).select("image_id", h.cast("int").alias("nh"), w.cast("int").alias("nw"), c("h").alias("ih"), c("w").alias("iw")).where("nh > 0 AND nw > 0")

@@ -146,6 +146,13 @@ def sampled(px: str, shape: tuple[int, int], sy: str, sx: str, order: int, mode:
     return f"SELECT t.image_id, {shape[0]} AS h, {shape[1]} AS w, t.y, t.x, sum(t.wt * coalesce(p.v, {value!r})) AS v FROM ({taps}) t LEFT JOIN ({px}) p ON p.image_id = t.image_id AND p.y = t.iy AND p.x = t.ix GROUP BY ALL"
 
 
+def sampled_at(px: str, points: str, order: int, mode: str = "constant", value: float = 0.0) -> str:
+    """``points`` (image_id, id, y, x) with v, read from ``px``."""
+    rows = f"SELECT o.image_id, o.id, o.y AS sy, o.x AS sx, i.h AS ih, i.w AS iw FROM ({points}) o JOIN (SELECT DISTINCT image_id, h, w FROM ({px})) i USING (image_id)"
+    taps = " UNION ALL ".join(f"SELECT image_id, id, sy, sx, {fit_sql(iy, 'ih', mode)} AS iy, {fit_sql(ix, 'iw', mode)} AS ix, {wy} * {wx} AS wt FROM ({rows})" for iy, wy in weights("sy", order) for ix, wx in weights("sx", order))
+    return f"SELECT t.image_id, t.id, t.sy AS y, t.sx AS x, sum(t.wt * coalesce(p.v, {value!r})) AS v FROM ({taps}) t LEFT JOIN ({px}) p ON p.image_id = t.image_id AND p.y = t.iy AND p.x = t.ix GROUP BY ALL"
+
+
 def resized(px: str, shape: tuple[int, int], order: int, mode: str = "constant") -> str:
     return sampled(px, shape, f"o.y * (o.ih - 1)::DOUBLE / {shape[0] - 1}", f"o.x * (o.iw - 1)::DOUBLE / {shape[1] - 1}", order, mode)
 

@@ -472,6 +472,17 @@ add("peaks_inverted", lambda s, d: peaks.find_peaks(R.gray(s, d), 3, n_peaks=10,
 
 # Geometry and pyramids.
 
+
+def _asked_points(s: SparkSession, d: str) -> DataFrame:
+    """A point in or about an image for each embedding."""
+    at = lambda i: F.round(16 + c("embedding")[i].cast("double") * 60, 3)
+    return R.table(s, d, "embeddings").select((c("vec_id") % 4).alias("image_id"), c("vec_id").alias("id"), at(0).alias("y"), at(1).alias("x"))
+
+
+_POINTS_SQL = "SELECT vec_id % 4 AS image_id, vec_id AS id, round(16 + embedding[1]::DOUBLE * 60, 3) AS y, round(16 + embedding[2]::DOUBLE * 60, 3) AS x FROM embeddings"
+for _o, _mode in ((0, "edge"), (1, "constant"), (2, "wrap"), (3, "reflect")):
+    add(f"sample_points_{_o}", lambda s, d, o=_o, m=_mode: geometry.map_coordinates(R.gray(s, d), _asked_points(s, d), o, m, 7.0).select("image_id", "id", "y", "x", shown("v").alias("v")), f"SELECT image_id, id, y, x, round(v, 6) + 0.0 AS v FROM ({G.sampled_at(R.GRAY, _POINTS_SQL, _o, _mode, 7.0)})")
+
 for _o in range(4):
     pixels(f"resize_{_o}", lambda p, o=_o: geometry.resize(p, (20, 45), o), G.resized(R.GRAY, (20, 45), _o))
 pixels("resize_antialias", lambda p: geometry.resize(p, (16, 16), 1, size=(32, 32)), G.resized(G.convolved(G.convolved(R.GRAY, [[w] for w in K.gaussian_line((31 / 15 - 1) / 2)]), [K.gaussian_line((31 / 15 - 1) / 2)]), (16, 16), 1))
