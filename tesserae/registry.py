@@ -392,7 +392,6 @@ def _props_sql(lab: str, px: str) -> str:
 
 add("region_props", lambda s, d: _props(labels.label(R.mask(s, d)), R.gray(s, d)), _props_sql(_L, R.GRAY))
 add("region_shapes", lambda s, d: regions.region_shapes(labels.label(R.mask(s, d))).select("image_id", "label", "area", "area_filled", shown("perimeter").alias("perimeter"), "euler_number", shown("circularity").alias("circularity")))
-add("region_hulls", lambda s, d: regions.region_hulls(labels.label(R.mask(s, d))))
 _CODES = G.convolved(G.minus(R.MASK, _E, "(a.v <> b.v)::INT::DOUBLE"), regions.CODES)
 add(
     "perimeter",
@@ -567,7 +566,19 @@ add("hull", lambda s, d: spatial.convex_hull(_foreground(s, d)).select("set_id",
 _INSIDE = "EXISTS (SELECT 1 FROM e WHERE e.set_id = g.image_id) AND NOT EXISTS (SELECT 1 FROM e WHERE e.set_id = g.image_id AND (e.y2 - e.y) * (g.x - e.x) - (e.x2 - e.x) * (g.y - e.y) < 0)"
 add("hull_fill", lambda s, d: _plain(spatial.hull_image(spatial.convex_hull(_foreground(s, d)), images_of(R.gray(s, d)))), _HULL + f"SELECT g.image_id, g.y, g.x, ({_INSIDE})::INT::DOUBLE AS v FROM ({R.GRAY}) g")
 add("hull_query", lambda s, d: spatial.hull_contains(spatial.convex_hull(_foreground(s, d)), R.gray(s, d).select(c("image_id").alias("set_id"), "y", "x")), _HULL + f"SELECT g.image_id AS set_id, g.y, g.x, {_INSIDE} AS inside FROM ({R.GRAY}) g")
-add("hull_outline", lambda s, d: spatial.hull_outline(spatial.convex_hull(_foreground(s, d))))
+_CELLS = f"SELECT image_id * 10000 + label AS set_id, image_id, label, y, x FROM ({G.labelled(R.MASK)}) WHERE label > 0"
+_REGION_HULL = f"WITH l AS MATERIALIZED ({_CELLS}), f AS (SELECT set_id, y, unnest(list_distinct([min(x), max(x)])) AS x FROM l GROUP BY 1, 2), e AS MATERIALIZED ({_ON}), "
+_REGION_HULL += "b AS (SELECT set_id, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM l GROUP BY 1), g AS (SELECT set_id, unnest(range(y0, y1 + 1)) AS y, x0, x1 FROM b), "
+_REGION_HULL += "k AS (SELECT set_id, y, unnest(range(x0, x1 + 1)) AS x FROM g), i AS (SELECT k.set_id, count(*) AS n FROM k WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.set_id = k.set_id AND (e.y2 - e.y) * (k.x - e.x) - (e.x2 - e.x) * (k.y - e.y) < 0) GROUP BY 1), "
+_REGION_HULL += "q AS (SELECT set_id, count(*) AS n FROM (SELECT DISTINCT set_id, y, x FROM e) GROUP BY 1) "
+add("region_hulls", lambda s, d: regions.region_hulls(labels.label(R.mask(s, d))), _REGION_HULL + "SELECT l.image_id, l.label, count(*) AS area, any_value(i.n) AS area_convex, coalesce(any_value(q.n), 1) AS n_corners FROM l JOIN i USING (set_id) LEFT JOIN q USING (set_id) GROUP BY l.image_id, l.label")
+_SPAN = "greatest(abs(y2 - y1), abs(x2 - x1))"
+_OUTLINE = (
+    "SELECT DISTINCT set_id, (y1 + CASE WHEN y2 > y1 THEN 1 ELSE -1 END * CASE WHEN abs(y2 - y1) > abs(x2 - x1) THEN i ELSE (2 * abs(y2 - y1) * i + n) // (2 * n) END)::INT AS y, "
+    "(x1 + CASE WHEN x2 > x1 THEN 1 ELSE -1 END * CASE WHEN abs(y2 - y1) > abs(x2 - x1) THEN (2 * abs(x2 - x1) * i + n) // (2 * n) ELSE i END)::INT AS x "
+    f"FROM (SELECT *, {_SPAN} AS n, unnest(range({_SPAN} + 1)) AS i FROM (SELECT set_id, y AS y1, x AS x1, y2, x2 FROM e))"
+)
+add("hull_outline", lambda s, d: spatial.hull_outline(spatial.convex_hull(_foreground(s, d))), _HULL + _OUTLINE)
 
 # Drawing.
 
