@@ -551,7 +551,21 @@ def _kmeans(s: SparkSession, d: str) -> DataFrame:
     return spatial.assign(points, centres).groupBy("cluster").agg(F.count("*").alias("n"), *(shown(F.avg(c("p")[i])).alias(f"m{i}") for i in range(len(centres[0]))))
 
 
-add("kmeans_fit", _kmeans)
+def _kmeans_sql(k: int = 4, rounds: int = 100, dims: int = 64) -> str:
+    """Farthest-point seeds, then Lloyd's rounds well past the last that changes anything."""
+    gaps = "[round(list_distance(p.p, x), 9) FOR x IN {c}]"
+    seeds = ["s1 AS MATERIALIZED (SELECT [arg_min(p, point_id)] AS c FROM p)"]
+    for i in range(1, k):
+        seeds.append(f"s{i + 1} AS MATERIALIZED (SELECT list_append(any_value(s.c), arg_min(p.p, (-list_min({gaps.format(c='s.c')}), p.point_id))) AS c FROM p, s{i} s)")
+    at = lambda c: f"list_position({gaps.format(c=c)}, list_min({gaps.format(c=c)})) - 1"
+    means = f"SELECT step, k, j, avg(v) AS m FROM (SELECT r.step, {at('r.c')} AS k, unnest(p.p) AS v, unnest(range({dims})) AS j FROM p, r WHERE r.step < {rounds}) GROUP BY ALL"
+    step = f"SELECT step + 1, list(m ORDER BY k) FROM (SELECT step, k, list(m ORDER BY j) AS m FROM ({means}) GROUP BY step, k) GROUP BY step"
+    last = f"SELECT p.p, {at('r.c')} AS cluster FROM p, r WHERE r.step = {rounds}"
+    cols = ", ".join(f"round(avg(p[{i + 1}]), 6) + 0.0 AS m{i}" for i in range(dims))
+    return f"WITH RECURSIVE p AS MATERIALIZED ({R.POINTS}), {', '.join(seeds)}, r(step, c) AS (SELECT 0, c FROM s{k} UNION ALL ({step})) SELECT cluster::INT AS cluster, count(*) AS n, {cols} FROM ({last}) GROUP BY cluster"
+
+
+add("kmeans_fit", _kmeans, _kmeans_sql())
 
 
 def _foreground(s: SparkSession, d: str) -> DataFrame:
