@@ -448,10 +448,47 @@ _RADII = (3, 5)
 _CO = ", ".join(f"({i}, {a}, {b})" for i, r in enumerate(_RADII) for a, b in circle_points(r))
 add("hough_circle", lambda s, d: features.hough_circle(R.mask(s, d), _RADII), f"SELECT image_id, o.i AS radius_ix, p.y + o.dy AS y, p.x + o.dx AS x, count(*) AS votes FROM ({R.MASK}) p CROSS JOIN (VALUES {_CO}) o(i, dy, dx) WHERE v <> 0 AND p.y + o.dy BETWEEN 0 AND 31 AND p.x + o.dx BETWEEN 0 AND 31 GROUP BY ALL")
 add("hough_pp_line", lambda s, d: whole_image.hough_probabilistic_line(R.mask(s, d, 40), _ANGLES, 5, 6, 2))
-add("hough_line_peak", lambda s, d: peaks.hough_line_peak(features.hough_line(R.mask(s, d), _ANGLES), 5))
-add("hough_circle_peak", lambda s, d: peaks.hough_circle_peak(features.hough_circle(R.mask(s, d), _RADII), 5))
-add("peaks_box", lambda s, d: peaks.peak_suppression(R.gray(s, d), 3))
-add("peaks_box_inverted", lambda s, d: peaks.peak_suppression(R.gray(s, d), (2, 4), n_peaks=20, mode="edge", invert=True))
+
+
+def _plateaus_sql(cells: str, reach: tuple[int, int, int]) -> str:
+    """Rows (image_id, z, y, x, v, rank) by the greedy choice among ``cells`` (candidates): the best that is left takes the
+    cells that touch it with its value, and silences its box."""
+    order = "list(struct_pack(z := z::BIGINT, y := y::BIGINT, x := x::BIGINT, v := v::DOUBLE) ORDER BY v DESC, z, y, x)"
+    touch = "len(list_filter(acc, lambda t: abs(t.z - q.z) <= 1 AND abs(t.y - q.y) <= 1 AND abs(t.x - q.x) <= 1)) > 0"
+    taken = f"list_reduce(range(40), lambda acc, i: list_distinct(list_concat(acc, list_filter(live, lambda q: q.v = live[1].v AND {touch}))), [live[1]])"
+    box = " AND ".join(f"abs(q.{a} - live[1].{a}) <= {r}" for a, r in zip("zyx", reach, strict=True))
+    step = (
+        f"SELECT image_id, step + 1, list_filter(live, lambda q: NOT list_contains(taken, q) AND NOT ({box})), list_concat(done, [struct_pack(c := t, rank := step + 1) FOR t IN taken]) "
+        f"FROM (SELECT *, {taken} AS taken FROM r WHERE len(live) > 0)"
+    )
+    none = "[]::STRUCT(c STRUCT(z BIGINT, y BIGINT, x BIGINT, v DOUBLE), rank BIGINT)[]"
+    return (
+        f"WITH RECURSIVE r(image_id, step, live, done) AS (SELECT image_id, 0::BIGINT, {order}, {none} FROM ({cells}) GROUP BY 1 UNION ALL ({step})) "
+        "SELECT image_id, e.c.z AS z, e.c.y AS y, e.c.x AS x, e.c.v AS v, e.rank AS rank FROM (SELECT image_id, unnest(done) AS e FROM r WHERE len(live) = 0)"
+    )
+
+
+def _strong_sql(votes: str, reach: tuple[int, int, int]) -> str:
+    """Cells of an accumulator above half an image's greatest that none in their box exceeds."""
+    near = " AND ".join(f"abs(b.{a} - a.{a}) <= {r}" for a, r in zip("zyx", reach, strict=True))
+    return f"SELECT * FROM (SELECT * FROM ({votes}) QUALIFY v > 0.5 * max(v) OVER (PARTITION BY image_id)) a WHERE NOT EXISTS (SELECT 1 FROM ({votes}) b WHERE b.image_id = a.image_id AND b.v > a.v AND {near})"
+
+
+_LINES_SQL = f"SELECT image_id, 0 AS z, rho AS y, theta_ix AS x, votes AS v FROM ({_sql['hough_line']})"
+_CIRCLES_SQL = f"SELECT image_id, radius_ix AS z, y, x, votes AS v FROM ({_sql['hough_circle']})"
+add("hough_line_peak", lambda s, d: peaks.hough_line_peak(features.hough_line(R.mask(s, d), _ANGLES), 5), f"SELECT image_id, y::INT AS rho, x::INT AS theta_ix, v::BIGINT AS votes, rank FROM ({_plateaus_sql(_strong_sql(_LINES_SQL, (0, 7, 7)), (0, 7, 7))}) WHERE rank <= 5")
+_AROUND = (int(len(_RADII) > 1), 7, 7)
+add("hough_circle_peak", lambda s, d: peaks.hough_circle_peak(features.hough_circle(R.mask(s, d), _RADII), 5), f"SELECT image_id, z::INT AS radius_ix, y::INT AS y, x::INT AS x, v::BIGINT AS votes FROM ({_plateaus_sql(_strong_sql(_CIRCLES_SQL, _AROUND), _AROUND)}) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY z, y, x) <= 5")
+
+
+def _boxes_sql(px: str, reach: tuple[int, int], mode: str, limit: int) -> str:
+    top = G.gather(px, K.taps(K.box(2 * reach[0] + 1, 2 * reach[1] + 1)), "any_value(p.v) AS v, max(@v) AS top", mode)
+    cells = f"SELECT image_id, 0 AS z, y, x, v FROM ({top}) JOIN (SELECT image_id, 0.5 * max(v) AS th FROM ({px}) GROUP BY 1) USING (image_id) WHERE v > th AND v >= top"
+    return f"SELECT image_id, y::INT AS y, x::INT AS x, v, rank FROM ({_plateaus_sql(cells, (0, *reach))}) WHERE rank <= {limit}"
+
+
+add("peaks_box", lambda s, d: peaks.peak_suppression(R.gray(s, d), 3), _boxes_sql(R.GRAY, (3, 3), "constant", 100_000))
+add("peaks_box_inverted", lambda s, d: peaks.peak_suppression(R.gray(s, d), (2, 4), n_peaks=20, mode="edge", invert=True), _boxes_sql(f"SELECT * REPLACE (255 - v AS v) FROM ({R.GRAY})", (2, 4), "edge", 20))
 _GREEDY = "list_reduce(list(struct_pack(y := y, x := x, v := v) ORDER BY v DESC, y, x), lambda a, q: CASE WHEN len(list_filter(a, lambda t: {near})) > 0 THEN a ELSE list_append(a, q) END, []::STRUCT(y INT, x INT, v DOUBLE)[])"
 
 
