@@ -391,13 +391,22 @@ def _props_sql(lab: str, px: str) -> str:
 
 
 add("region_props", lambda s, d: _props(labels.label(R.mask(s, d)), R.gray(s, d)), _props_sql(_L, R.GRAY))
-add("region_shapes", lambda s, d: regions.region_shapes(labels.label(R.mask(s, d))).select("image_id", "label", "area", "area_filled", shown("perimeter").alias("perimeter"), "euler_number", shown("circularity").alias("circularity")))
 _CODES = G.convolved(G.minus(R.MASK, _E, "(a.v <> b.v)::INT::DOUBLE"), regions.CODES)
 add(
     "perimeter",
     lambda s, d: regions.perimeter(R.mask(s, d)).select("image_id", shown("perimeter").alias("perimeter")),
     f"SELECT image_id, round(sum(CASE WHEN v IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN v IN (21, 33) THEN sqrt(2) WHEN v IN (13, 23) THEN (1 + sqrt(2)) / 2 ELSE 0 END), 6) + 0.0 AS perimeter FROM ({_CODES}) GROUP BY 1",
 )
+_LENGTH = "sum(CASE WHEN v IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN v IN (21, 33) THEN sqrt(2) WHEN v IN (13, 23) THEN (1 + sqrt(2)) / 2 ELSE 0 END)"
+# Each region as an image of its own, in its box.
+_OWN = f"SELECT b.image_id * 10000 + b.label AS image_id, (b.y1 - b.y0 + 1)::INT AS h, (b.x1 - b.x0 + 1)::INT AS w, (l.y - b.y0)::INT AS y, (l.x - b.x0)::INT AS x, (l.label = b.label)::INT::DOUBLE AS v FROM ({_BOXES}) b JOIN ({_L}) l ON l.image_id = b.image_id AND l.y BETWEEN b.y0 AND b.y1 AND l.x BETWEEN b.x0 AND b.x1"
+_OWN_CODES = G.convolved(G.minus("SELECT * FROM own", G.eroded("SELECT * FROM own", CROSS), "(a.v <> b.v)::INT::DOUBLE"), regions.CODES)
+_SHAPES = (
+    f"WITH own AS MATERIALIZED ({_OWN}), a AS (SELECT image_id, sum(v)::BIGINT AS area FROM own GROUP BY 1), f AS MATERIALIZED (SELECT image_id, sum(v)::BIGINT AS area_filled FROM ({G.filled('SELECT * FROM own')}) GROUP BY 1), "
+    f"p AS (SELECT image_id, {_LENGTH} AS perimeter FROM ({_OWN_CODES}) GROUP BY 1) SELECT image_id // 10000 AS image_id, image_id % 10000 AS label, area, area_filled, round(perimeter, 6) + 0.0 AS perimeter, "
+    "area - area_filled AS euler_number, round(pow(perimeter, 2) / (4 * pi() * area_filled), 6) + 0.0 AS circularity FROM a JOIN f USING (image_id) JOIN p USING (image_id)"
+)
+add("region_shapes", lambda s, d: regions.region_shapes(labels.label(R.mask(s, d))).select("image_id", "label", "area", "area_filled", shown("perimeter").alias("perimeter"), "euler_number", shown("circularity").alias("circularity")), _SHAPES)
 _M = [(p, q) for p in range(3) for q in range(3)]
 add("moments", lambda s, d: regions.moments(R.gray(s, d), 2), f"SELECT image_id, {', '.join(f'sum(v * pow(y, {p}) * pow(x, {q})) AS m{p}{q}' for p, q in _M)} FROM ({R.GRAY}) GROUP BY 1")
 add("moments_central", lambda s, d: regions.moments(R.gray(s, d), 2, (15.5, 15.5)), f"SELECT image_id, {', '.join(f'sum(v * pow(y - 15.5, {p}) * pow(x - 15.5, {q})) AS m{p}{q}' for p, q in _M)} FROM ({R.GRAY}) GROUP BY 1")
