@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -170,7 +171,8 @@ def minimum(px: DataFrame, bins: int | None = None, iterations: int = 10000) ->
             peaks = [i for i in range(len(n)) if n[i] > (n[i - 1] if i else -1) and n[i] > (n[i + 1] if i + 1 < len(n) else -1)]
             if len(peaks) <= 2:
                 break
-            n = pd.Series(n).rolling(3, center=True, min_periods=1).sum().to_numpy() / 3
+            wide = np.pad(n, 1)
+            n = (wide[:-2] + wide[1:-1] + wide[2:]) / 3
         th = float(h["bin"].iloc[peaks[0] + int(n[peaks[0] : peaks[1] + 1].argmin())]) if len(peaks) == 2 else None
         return pd.DataFrame({"image_id": [h["image_id"].iloc[0]], "th": [th]})
 

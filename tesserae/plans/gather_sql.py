@@ -123,6 +123,18 @@ def otsu(px: str) -> str:
     return best(sums(px), "n1 * lead(n2) @lead * pow(m1 - lead(m2) @lead, 2)")
 
 
+def valley(px: str) -> str:
+    """Threshold of each image's histogram, smoothed until two peaks are left: the first least bin between them."""
+    peaks = "list_filter(range(1, len({n}) + 1), lambda i: {n}[i] > coalesce({n}[i - 1], -1) AND {n}[i] > coalesce({n}[i + 1], -1))"
+    smooth = "[(coalesce(n[i - 1], 0) + n[i] + coalesce(n[i + 1], 0)) / 3 FOR i IN range(1, len(n) + 1)]"
+    between = "n[p[1] : p[2]]"
+    return (
+        f"WITH RECURSIVE t AS MATERIALIZED (SELECT image_id, list(bin ORDER BY bin) AS bins, list(cnt::DOUBLE ORDER BY bin) AS n FROM ({counts(px)}) GROUP BY 1), "
+        f"r AS (SELECT image_id, 0 AS step, n, {peaks.format(n='n')} AS p FROM t UNION ALL SELECT image_id, step, m, {peaks.format(n='m')} FROM (SELECT image_id, step + 1 AS step, {smooth} AS m FROM r WHERE len(p) > 2 AND step < 9999)) "
+        f"SELECT r.image_id, CASE WHEN len(p) = 2 THEN t.bins[p[1] + list_position({between.replace('n[', 'r.n[')}, list_min({between.replace('n[', 'r.n[')})) - 1] END AS th FROM r JOIN t USING (image_id) WHERE len(p) <= 2"
+    )
+
+
 def weights(p: str, order: int) -> list[tuple[str, str]]:
     """(index, weight) pairs of an interpolation at p."""
     p = f"round({p}, 9)"

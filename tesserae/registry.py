@@ -177,7 +177,7 @@ _threshold("thr_li_lee", histograms.li_and_lee, G.best(f"SELECT image_id, bin, n
 _threshold("thr_kapur", histograms.kapur, G.best(_P, "-(e1 / p1) + ln(p1) - (al - e1) / p2 + ln(p2)"))
 _threshold("thr_min_error", histograms.minimum_error, G.best(_V, "1 + 2 * (lead(n1) @lead * ln(lead(s1) @lead / s2) + n2 * ln(s2 / lead(s1) @lead))", 1, True))
 _threshold("thr_mean", histograms.mean_threshold, f"SELECT image_id, avg(v) AS th FROM ({R.GRAY}) GROUP BY 1")
-_threshold("thr_minimum", histograms.minimum, None)
+_threshold("thr_minimum", histograms.minimum, G.valley(R.GRAY))
 pixels("threshold_otsu", lambda p: histograms.threshold(p, "otsu"), f"SELECT p.image_id, p.y, p.x, (p.v > t.th)::INT::DOUBLE AS v FROM ({R.GRAY}) p JOIN ({G.otsu(R.GRAY)}) t USING (image_id)")
 
 # Filters.
