@@ -145,11 +145,13 @@ def region_fill(px: DataFrame, seed: tuple[int, int], tolerance: float = 0, conn
     return at.join(start, ["image_id", "root"], "left").select(*PIXEL, F.when(filled, value).otherwise(0.0).alias("v"))
 
 
-def canny(px: DataFrame, sigma: float = 1.0, low: float | None = None, high: float | None = None, top: float = 255.0, percentile: bool = False, mode: str = "constant", value: float = 0.0) -> DataFrame:
+def canny(px: DataFrame, sigma: float = 1.0, low: float | None = None, high: float | None = None, top: float = 255.0, percentile: bool = False, mode: str = "constant", value: float = 0.0, mask: DataFrame | None = None) -> DataFrame:
     """Edges: blur, gradients, suppression along the gradient, and components that hold a strong pixel.
 
     ``top`` is the type's greatest value: pixels and given thresholds are divided by it (defaults 0.1 and 0.2);
-    with ``percentile`` the thresholds are shares of the magnitudes' distribution.
+    with ``percentile`` the thresholds are shares of the magnitudes' distribution. Cells outside ``mask`` (image_id,
+    y, x, m; m = 0 or no row) count as 0, the blur is divided by what the mask, a cell thinner, holds of its
+    weights, and edges are only where it holds all of them.
     """
     from ..functions import kernels as K
 
@@ -161,7 +163,16 @@ def canny(px: DataFrame, sigma: float = 1.0, low: float | None = None, high: flo
     taps = K.taps(K.gaussian(sigma, radius=2))
     unit = px.withColumn("v", c("v") / top)
     inner = c("y").between(1, c("h") - 2) & c("x").between(1, c("w") - 2)
-    if mode == "constant":
+    full = None
+    if mask is not None:
+        held = unit.join(mask.select("image_id", "y", "x", (c("m") != 0).alias("m")), ["image_id", "y", "x"], "left").withColumn("m", F.coalesce(c("m").cast("double"), F.lit(0.0)))
+        thin = N.binary_erosion(held.select(*PIXEL, c("m").alias("v")), K.box(3, 3)).select("image_id", "y", "x", c("v").alias("t"))
+        unit = held.join(thin, ["image_id", "y", "x"]).select(*PIXEL, (c("v") * c("m")).alias("v"), c("t").alias("m"))
+        blurred = N.gathered(unit, taps, mode, value, pad_zeros=bool(value) or mode != "constant", v=F.sum(c("wt") * c("v")), m=F.sum(c("wt") * c("m")))
+        blurred = stored(blurred, "blurred")
+        full, whole = blurred.select("image_id", "y", "x", (c("m") >= 1 - 1e-9).alias("full")), c("full")
+        blurred = blurred.withColumn("v", c("v") / (c("m") + K.EPSILON)).drop("m")
+    elif mode == "constant":
         blurred = N.gathered(unit.withColumn("m", inner.cast("double")), taps, mode, value, pad_zeros=bool(value), v=F.sum(c("wt") * c("v")), m=F.sum(c("wt") * c("m")))
         blurred = blurred.withColumn("v", c("v") / (c("m") + K.EPSILON)).drop("m")
         whole = c("y").between(3, c("h") - 4) & c("x").between(3, c("w") - 4)
@@ -174,6 +185,8 @@ def canny(px: DataFrame, sigma: float = 1.0, low: float | None = None, high: flo
     else:
         ends = images_of(g).select("image_id", F.lit(low).alias("lo"), F.lit(high).alias("hi"))
     thin = N.canny_suppression(g, 0.0).join(ends, "image_id")
+    if full is not None:
+        thin = thin.join(full, ["image_id", "y", "x"])
     thin = thin.withColumn("v", ((c("v") > 0) & whole & (c("mag") >= c("lo"))).cast("double"))
     at = components(stored(thin, "thin"), 2)
     strong = at.where((c("mag") >= c("hi")) & c("root").isNotNull()).select("image_id", "root").distinct().withColumn("s", F.lit(1.0))

@@ -229,6 +229,13 @@ _INNER = "(y BETWEEN 1 AND h - 2 AND x BETWEEN 1 AND w - 2)::INT::DOUBLE"
 _GK = K.gaussian(1.0, radius=2)
 _BLUR = G.minus(G.convolved(_UNITPX, _GK), G.convolved(f"SELECT * REPLACE ({_INNER} AS v) FROM ({_UNITPX})", _GK), f"a.v / (b.v + {K.EPSILON!r})")
 _THIN = f"SELECT * REPLACE ((v > 0 AND y BETWEEN 3 AND h - 4 AND x BETWEEN 3 AND w - 4 AND mag >= 0.1)::INT::DOUBLE AS v) FROM ({_nms(G.gradients(_BLUR, normalise=False))})"
+_SHAPE = "(y + x < 46 AND (y - 12) * (y - 12) + (x - 14) * (x - 14) > 3)"
+_HELD = f"SELECT * REPLACE ({_SHAPE}::INT::DOUBLE AS v) FROM ({R.GRAY})"
+_WEIGHT = G.convolved(G.eroded(_HELD, BOX3), _GK)
+_BLUR_HELD = G.minus(G.convolved(f"SELECT * REPLACE (v * {_SHAPE}::INT AS v) FROM ({_UNITPX})", _GK), _WEIGHT, f"a.v / (b.v + {K.EPSILON!r})")
+_THIN_HELD = f"SELECT n.* REPLACE ((n.v > 0 AND q.v >= 1 - 1e-9 AND mag >= 0.1)::INT::DOUBLE AS v) FROM ({_nms(G.gradients(_BLUR_HELD, normalise=False))}) n JOIN ({_WEIGHT}) q USING (image_id, y, x)"
+_STRONG = "SELECT image_id, y, x, coalesce(max(CASE WHEN mag >= {high} AND root IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, root) = 1 AND root IS NOT NULL, false)::INT::DOUBLE AS v FROM ({rows})"
+pixels("edge_canny_masked", lambda p: labels.canny(p, high=255 * 0.8, mask=p.select("image_id", "y", "x", F.expr(_SHAPE).cast("double").alias("m"))), _STRONG.format(high=0.8, rows=G.rooted(_THIN_HELD, 2)))
 pixels("edge_canny", labels.canny, f"SELECT image_id, y, x, coalesce(max(CASE WHEN mag >= 0.2 AND root IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, root) = 1 AND root IS NOT NULL, false)::INT::DOUBLE AS v FROM ({G.rooted(_THIN, 2)})")
 _GRAD0 = G.gradients(R.GRAY, "sobel", "constant", False)
 _TENSOR = [G.blurred(f"SELECT image_id, h, w, y, x, {e} AS v FROM ({_GRAD0})", 1.0, "constant") for e in ("gy * gy", "gy * gx", "gx * gx")]
