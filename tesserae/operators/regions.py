@@ -92,8 +92,11 @@ def region_shapes(labels: DataFrame) -> DataFrame:
     return out.select(c("i").alias("image_id"), "label", "area", "area_filled", "perimeter", (c("area") - c("area_filled")).alias("euler_number"), ratio.alias("circularity"))
 
 
-def region_hulls(labels: DataFrame) -> DataFrame:
-    """Area, convex hull (its number of corners) and cells within the hull (area_convex) of each region."""
+def region_hulls(labels: DataFrame, mask: DataFrame | None = None) -> DataFrame:
+    """Area, convex hull (its number of corners) and cells within the hull (area_convex) of each region, of its cells where
+    ``mask`` (image_id, y, x, m) is on; regions without such cells are left out."""
+    if mask is not None:
+        labels = labels.join(mask.where("m <> 0").select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi")
     numbers = _numbers(labels)
     cells = labels.join(numbers, ["image_id", "label"])
     names = cells.groupBy("set_id", "image_id", "label").agg(F.count("*").alias("area"))

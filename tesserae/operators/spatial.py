@@ -65,11 +65,13 @@ def chain(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return half
 
 
-def convex_hull(points: DataFrame) -> DataFrame:
-    """Corners (set_id, i, y, x) of the hull of each set's points (set_id, y, x).
+def convex_hull(points: DataFrame, mask: DataFrame | None = None) -> DataFrame:
+    """Corners (set_id, i, y, x) of the hull of each set's points (set_id, y, x), of those where ``mask`` (set_id, y, x, m) is on.
 
     Only the ends of each row can be corners: an aggregation leaves two points a row before a set is put together.
     """
+    if mask is not None:
+        points = points.join(mask.where("m <> 0").select("set_id", "y", "x"), ["set_id", "y", "x"], "left_semi")
     ends = points.groupBy("set_id", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
     ends = ends.select("set_id", "y", F.explode(F.array_distinct(F.array("a", "b"))).alias("x"))
 

@@ -631,6 +631,8 @@ _ON = "SELECT DISTINCT a.set_id, a.y, a.x, b.y AS y2, b.x AS x2 FROM f a JOIN f
 _HULL = f"WITH f AS ({_FG}), e AS ({_ON}) "
 add("hull", lambda s, d: spatial.convex_hull(_foreground(s, d)).select("set_id", c("y").cast("int").alias("y"), c("x").cast("int").alias("x")), _HULL + "SELECT DISTINCT set_id, y, x FROM e")
 _INSIDE = "EXISTS (SELECT 1 FROM e WHERE e.set_id = g.image_id) AND NOT EXISTS (SELECT 1 FROM e WHERE e.set_id = g.image_id AND (e.y2 - e.y) * (g.x - e.x) - (e.x2 - e.x) * (g.y - e.y) < 0)"
+_IN_SHAPE = f"WITH f AS (SELECT image_id AS set_id, y, unnest(list_distinct([min(x), max(x)])) AS x FROM ({R.MASK}) WHERE v = 1 AND {_SHAPE} GROUP BY 1, 2), e AS ({_ON}) "
+add("hull_masked", lambda s, d: spatial.convex_hull(_foreground(s, d), R.mask(s, d).select(c("image_id").alias("set_id"), "y", "x", F.expr(_SHAPE).alias("m")).withColumn("m", c("m").cast("int"))).select("set_id", c("y").cast("int").alias("y"), c("x").cast("int").alias("x")), _IN_SHAPE + "SELECT DISTINCT set_id, y, x FROM e")
 add("hull_fill", lambda s, d: _plain(spatial.hull_image(spatial.convex_hull(_foreground(s, d)), images_of(R.gray(s, d)))), _HULL + f"SELECT g.image_id, g.y, g.x, ({_INSIDE})::INT::DOUBLE AS v FROM ({R.GRAY}) g")
 add("hull_query", lambda s, d: spatial.hull_contains(spatial.convex_hull(_foreground(s, d)), R.gray(s, d).select(c("image_id").alias("set_id"), "y", "x")), _HULL + f"SELECT g.image_id AS set_id, g.y, g.x, {_INSIDE} AS inside FROM ({R.GRAY}) g")
 _CELLS = f"SELECT image_id * 10000 + label AS set_id, image_id, label, y, x FROM ({G.labelled(R.MASK)}) WHERE label > 0"
@@ -639,6 +641,8 @@ _REGION_HULL += "b AS (SELECT set_id, min(y) AS y0, max(y) AS y1, min(x) AS x0,
 _REGION_HULL += "k AS (SELECT set_id, y, unnest(range(x0, x1 + 1)) AS x FROM g), i AS (SELECT k.set_id, count(*) AS n FROM k WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.set_id = k.set_id AND (e.y2 - e.y) * (k.x - e.x) - (e.x2 - e.x) * (k.y - e.y) < 0) GROUP BY 1), "
 _REGION_HULL += "q AS (SELECT set_id, count(*) AS n FROM (SELECT DISTINCT set_id, y, x FROM e) GROUP BY 1) "
 add("region_hulls", lambda s, d: regions.region_hulls(labels.label(R.mask(s, d))), _REGION_HULL + "SELECT l.image_id, l.label, count(*) AS area, any_value(i.n) AS area_convex, coalesce(any_value(q.n), 1) AS n_corners FROM l JOIN i USING (set_id) LEFT JOIN q USING (set_id) GROUP BY l.image_id, l.label")
+_CUT_HULL = _REGION_HULL.replace("WHERE label > 0", f"WHERE label > 0 AND {_SHAPE}")
+add("region_hulls_masked", lambda s, d: regions.region_hulls(labels.label(R.mask(s, d)), R.gray(s, d).select("image_id", "y", "x", F.expr(_SHAPE).cast("int").alias("m"))), _CUT_HULL + "SELECT l.image_id, l.label, count(*) AS area, any_value(i.n) AS area_convex, coalesce(any_value(q.n), 1) AS n_corners FROM l JOIN i USING (set_id) LEFT JOIN q USING (set_id) GROUP BY l.image_id, l.label")
 _SPAN = "greatest(abs(y2 - y1), abs(x2 - x1))"
 _OUTLINE = (
     "SELECT DISTINCT set_id, (y1 + CASE WHEN y2 > y1 THEN 1 ELSE -1 END * CASE WHEN abs(y2 - y1) > abs(x2 - x1) THEN i ELSE (2 * abs(y2 - y1) * i + n) // (2 * n) END)::INT AS y, "
