@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,6 +172,34 @@ def _layers(n: int, size: tuple[int, int], factor: float) -> int:
     return n if n > 0 else 1 if factor >= 1 else max(1, min(int(math.log2(s * factor / 16 + 1)) for s in size))
 
 
+@dataclass
+class Layer:
+    """The steps of pyramids by themselves, with what they depend on as attributes that can be set between them.
+
+    ``size`` is that of the images that come next; ``rescale`` and ``reduce`` move it on.
+    """
+
+    size: tuple[int, int]
+    factor: float = 0.5
+    sigma: float = 1.0
+    order: int = 0
+    mode: str = "symmetric"
+    value: float = 0.0
+
+    def scale(self, px: DataFrame) -> DataFrame:
+        """Smooth by ``sigma``."""
+        return _blurred(px, self.sigma, self.mode, self.value)
+
+    def rescale(self, px: DataFrame) -> DataFrame:
+        """Resample by ``factor``, smoothed first if that shrinks and interpolates."""
+        px, self.size = _halved(px, self.size, self.factor, self.order, self.mode, self.value)
+        return px
+
+    def reduce(self, px: DataFrame) -> DataFrame:
+        """The next level of a Gaussian pyramid: resample, then smooth."""
+        return self.scale(self.rescale(px))
+
+
 def _stacked(levels: Iterable[DataFrame]) -> DataFrame:
     out = None
     for k, px in enumerate(levels):

@@ -566,6 +566,9 @@ _R1 = G.resized(_G0, (16, 16), 0, "symmetric")
 _LEVEL = "SELECT image_id, {k} AS level, y, x, round(v, 6) + 0.0 AS v FROM ({s})"
 add("pyr_gauss", lambda s, d: _levels(geometry.gaussian_pyramid(R.gray(s, d), (32, 32), n_layers=2)), " UNION ALL ".join(_LEVEL.format(k=k, s=q) for k, q in enumerate((_G0, _sym(_R1)))))
 add("pyr_laplace", lambda s, d: _levels(geometry.laplacian_pyramid(R.gray(s, d), (32, 32), n_layers=2)), " UNION ALL ".join(_LEVEL.format(k=k, s=q) for k, q in enumerate((G.minus(R.GRAY, _G0), G.minus(_R1, _sym(_R1))))))
+pixels("layer_scale", lambda p: geometry.Layer((32, 32), sigma=0.8).scale(p), _sym(R.GRAY, 0.8))
+pixels("layer_rescale", lambda p: geometry.Layer((32, 32)).rescale(p), G.resized(R.GRAY, (16, 16), 0, "symmetric"))
+pixels("layer_reduce", lambda p: geometry.Layer((32, 32), sigma=0.8).reduce(p), _sym(G.resized(R.GRAY, (16, 16), 0, "symmetric"), 0.8))
 _S0 = [R.GRAY, _sym(R.GRAY, 0.8), _sym(_sym(R.GRAY, 0.8), 1.0)]
 _S1 = [(_x := G.resized(_S0[-1], (16, 16), 0, "symmetric")), _sym(_x, 0.8), _sym(_sym(_x, 0.8), 1.0)]
 _SCALE = "SELECT image_id, {k} AS level, {i} AS scale_ix, y, x, round(v, 6) + 0.0 AS v FROM ({s})"

@@ -24,6 +24,14 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     return named.groupBy("name").agg(F.max_by("extension", "path").alias("extension"), F.max("path").alias("path"))
 
 
+def default_path(spark: SparkSession) -> str:
+    """Folder of sample images: the setting ``spark.tesserae.path`` of the session; there are none in the package."""
+    path = spark.conf.get("spark.tesserae.path", None)
+    if not path:
+        raise ValueError("set spark.tesserae.path to a folder of images")
+    return path
+
+
 def load_images(spark: SparkSession, path: str) -> DataFrame:
     """Pixels of image files by Spark's own reader: image_id (hash of the path), path, h, w, y, x and v, or r, g, b.
 

@@ -24,3 +24,23 @@ def test_shapes_in_sql(spark):
 def test_further_functions(spark):
     sql.register(spark, {"diagonal": ("n INT", "y INT, x INT", "SELECT i, i FROM explode(sequence(0, n - 1)) AS t(i)")})
     assert [tuple(r) for r in spark.sql("SELECT * FROM diagonal(3)").collect()] == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_default_path_is_a_setting(spark):
+    from tesserae.sources import images
+
+    with pytest.raises(ValueError, match="spark.tesserae.path"):
+        images.default_path(spark)
+    spark.conf.set("spark.tesserae.path", "/data/pictures")
+    assert images.default_path(spark) == "/data/pictures"
+    spark.conf.unset("spark.tesserae.path")
+
+
+def test_colours_by_name(spark):
+    from tesserae.operators import pointwise
+
+    px = spark.createDataFrame([(1, 1, 1, 0, 0, 0.2, 0.4, 0.6)], "image_id long, h int, w int, y int, x int, r double, g double, b double")
+    assert pointwise.converted(px, "rgb2gray").collect() == pointwise.rgb2gray(px).collect()
+    assert pointwise.converted(px, "RGB2HSV").columns == pointwise.rgb2hsv(px).columns and len(pointwise.COLOURS) == 7
+    with pytest.raises(ValueError, match="RGB2YUV"):
+        pointwise.converted(px, "rgb2lab")
