@@ -132,17 +132,30 @@ class Phrases:
     def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.ids = [i for i, _ in items]
         self.symbol: dict[bytes, int] = {}
-        rows: dict[tuple[int, ...], set[int]] = {}
+        #: The items of each different word sequence, its windows as rows of one array, and whose each row is.
+        self.items: list[list[int]] = []
+        known: dict[bytes, list[int]] = {}
+        rows, counts, lengths = [np.zeros((0, window), np.int32)], [], []
         for k, (_, text) in enumerate(items):
-            w = [self.symbol.setdefault(x, len(self.symbol) + 2) for x in words_of(text)]
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                rows.setdefault(tuple(w[i : i + window]), set()).add(k)
-        self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.rows = np.zeros((len(rows), window), np.int64)
-        for i, r in enumerate(rows):
-            self.rows[i, window - len(r) :] = r
-        self.items = [sorted(x) for x in rows.values()]
-        self.shortest = int(self.lengths.min()) if rows else 0
+            w = words_of(text)
+            if not w:
+                continue
+            mine = known.setdefault(b" ".join(w), [])
+            mine.append(k)
+            if len(mine) > 1:
+                continue
+            s = np.fromiter((self.symbol.setdefault(x, len(self.symbol) + 2) for x in w), np.int32, len(w))
+            if len(s) < window:
+                rows.append(np.pad(s, (window - len(s), 0))[None])
+            else:
+                rows.append(np.lib.stride_tricks.sliding_window_view(s, window))
+            self.items.append(mine)
+            counts.append(len(rows[-1]))
+            lengths.append(min(len(s), window))
+        self.rows = np.concatenate(rows)
+        self.owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        self.lengths = np.repeat(np.array(lengths, np.int32), counts)
+        self.shortest = min(lengths, default=0)
 
     def hits(self, texts: list[bytes], shard_words: int = SHARD_WORDS):
         """Per text: number of words, merged hit spans [start, end) and the numbers of the items hit."""
@@ -186,7 +199,7 @@ class Phrases:
             first, t, word = at[r]
             begin = word + p - first
             spans[t].append((begin, begin + int(self.lengths[k])))
-            items[t].update(self.items[k])
+            items[t].update(self.items[self.owner[k]])
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
