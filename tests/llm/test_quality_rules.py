@@ -1,11 +1,9 @@
-import json
 import math
 import random
 import re
 from collections import Counter
 
 import numpy as np
-import pytest
 
 from tesserae.llm import quality_rules as Q
 from tesserae.llm import text_statistics as S
