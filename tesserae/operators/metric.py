@@ -91,7 +91,8 @@ class Shape:
         chosen = np.zeros((len(d), len(self.cell)), bool)
         ends = np.searchsorted(self.cell, np.arange(len(self.pivots) + 1))
         for i, k in enumerate(ks.tolist()):
-            for c in [d[i].argmin()] if self.count[ends[(h := d[i].argmin())] : ends[h + 1]].sum() >= k else np.argsort(d[i]):
+            home = d[i].argmin()
+            for c in [home] if self.count[ends[home] : ends[home + 1]].sum() >= k else np.argsort(d[i]):
                 mine = np.arange(ends[c], ends[c + 1])
                 mine = mine[np.argsort(np.maximum(d[i, c] - self.high[mine], self.low[mine] - d[i, c]), kind="stable")]
                 upto = np.cumsum(self.count[mine])

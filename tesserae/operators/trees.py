@@ -96,9 +96,10 @@ class Forest:
 
 
 def _frame(head: tuple, gy: int, gx: int, parts: list[dict]) -> pd.DataFrame:
+    """The parts' rows with all columns of ``ROWS``; ``head`` is the image's id, height and width."""
     names = [f.split()[0] for f in ROWS.split(", ")]
-    known = dict(zip(names, (*head, gy, gx), strict=False))
-    frames = [pd.DataFrame({n: p[n] if n in p else [known.get(n)] * len(p["node"]) if n != "kind" else p["kind"] for n in names}) for p in parts if len(p["node"])]
+    known = dict(zip(("image_id", "h", "w"), head, strict=True)) | {"gy": gy, "gx": gx}
+    frames = [pd.DataFrame({n: p.get(n, [known.get(n)] * len(p["node"])) for n in names}) for p in parts if len(p["node"])]
     return pd.concat(frames) if frames else pd.DataFrame({n: [] for n in names})
 
 

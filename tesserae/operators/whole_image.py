@@ -13,7 +13,6 @@ from ..plans.frames import PIXEL
 from .features import default_angles
 
 
-
 def array_of(rows: pd.DataFrame) -> np.ndarray:
     a = np.zeros((int(rows["h"].iloc[0]), int(rows["w"].iloc[0])))
     a[rows["y"], rows["x"]] = rows["v"]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-
 from collections.abc import Sequence
 
+import numpy as np
+
 from ..functions import kernels as K
 from ..functions.borders import fit_sql
 
