@@ -2,9 +2,10 @@
 
 Points are dealt to the Voronoi cells of sampled pivots and to rings about them. How far a
 cell's points are from every pivot, and a ring's from its own, is known by two numbers each;
-with the triangle inequality a query rules out what cannot hold an answer, and meets the rest in
-an equi-join of packed rows. What the driver and every task hold of the index is bounded by
-``PIVOTS`` and ``RINGS``.
+with the triangle inequality a query rules out what cannot hold an answer. Rings are put together
+to blocks; a query goes once to each block with rings that are left, and a task holds one block while the
+queries of its share stream by. What the driver and every task hold of the index is bounded by
+``PIVOTS``, ``RINGS`` and ``BLOCK``.
 """
 
 from __future__ import annotations
@@ -20,8 +21,14 @@ from pyspark.sql import functions as F
 
 from ..plans.frames import discard, stored
 
-#: Most pivots, rings of a cell, rows of a pack of points and of queries, and rows that a task gathers before it packs them.
-PIVOTS, RINGS, PACK, ASKED, GATHERED = 256, 32, 2048, 256, 20_000
+#: Most pivots, rings of a cell, points and queries that are held against each other at once, and queries that a task gathers before it sends them.
+PIVOTS, RINGS, PACK, ASKED, GATHERED = 256, 32, 2048, 256, 8192
+#: Bytes of the points of a block, of the vectors in one row of a table, and of the rows that a task sends on at once.
+BLOCK, ROW, SENT = 2**23, 2**13, 2**23
+#: Tasks of a search among many points, and fewest points for each.
+TASKS, SHARE = 64, 512
+#: Rows and columns of a matrix of distances that are worked out together, coordinate by coordinate.
+TILE = 64, 1024
 #: Pairs whose exact distances are worked out at once.
 TOGETHER = 20_000
 #: Share of a distance that rounding may take.
@@ -35,12 +42,39 @@ def far(a: np.ndarray, b: np.ndarray, p: float) -> tuple[np.ndarray, float]:
         d = na[:, None] + nb - 2 * (a @ b.T)
         most = math.sqrt(max(na.max(initial=0), nb.max(initial=0)))
         return np.sqrt(np.maximum(d, 0)), 1e-6 * most
-    out = np.empty((len(a), len(b)))
-    for j, y in enumerate(b):
-        out[:, j] = exact(a, y, p)
+    if p == 1 or math.isinf(p):
+        out = by_coordinate(a, b, p, np.float64)
+    else:
+        out = np.empty((len(a), len(b)))
+        for j, y in enumerate(b):
+            out[:, j] = exact(a, y, p)
     return out, ROUNDING * out.max(initial=0)
 
 
+def near(a: np.ndarray, b: np.ndarray, p: float) -> tuple[np.ndarray, float]:
+    """As ``far``, in single precision where that is faster; what they may be off by is then more."""
+    most = max(np.abs(a).max(initial=0), np.abs(b).max(initial=0))
+    if (p != 1 and not math.isinf(p)) or not most < 1e30:
+        return far(a, b, p)
+    dims = a.shape[1]
+    return by_coordinate(a, b, p, np.float32), 2.0**-23 * most * (4 if math.isinf(p) else dims * (2 + dims))
+
+
+def by_coordinate(a: np.ndarray, b: np.ndarray, p: float, kind: type) -> np.ndarray:
+    """Sums (p = 1) or greatest of the gaps of all rows of ``a`` from all of ``b``."""
+    out, (high, wide) = np.zeros((len(a), len(b)), kind), TILE
+    columns, rows = np.ascontiguousarray(a.T, kind), np.ascontiguousarray(b.T, kind)
+    add, gaps = np.add if p == 1 else np.maximum, np.empty((high, wide), kind)
+    for i in range(0, len(a), high):
+        for j in range(0, len(b), wide):
+            held = out[i : i + high, j : j + wide]
+            gap = gaps[: held.shape[0], : held.shape[1]]
+            for x, y in zip(columns[:, i : i + high], rows[:, j : j + wide], strict=True):
+                np.abs(np.subtract(x[:, None], y, out=gap), out=gap)
+                add(held, gap, out=held)
+    return out
+
+
 def exact(a: np.ndarray, y: np.ndarray, p: float) -> np.ndarray:
     """Distances of the rows of ``a`` from one point or from as many."""
     gap = np.abs(a - y)
@@ -75,6 +109,12 @@ class Shape:
     #: Least and greatest distance of a cell's points from each pivot.
     cell_low: np.ndarray
     cell_high: np.ndarray
+    #: Block of each part of each ring, first part of each ring, first and last ring of each block.
+    block: np.ndarray
+    first: np.ndarray
+    spans: list[tuple[int, int]]
+    #: Shares that the queries of a block are dealt over.
+    shares: int
 
     def least(self, d: np.ndarray, off: float) -> np.ndarray:
         """Least distance that a point of each ring can have from each query, of distances ``d`` from the pivots."""
@@ -156,47 +196,57 @@ def merged(rings: list[tuple[int, int, float, float]]) -> list[tuple[int, int, f
     return out
 
 
+def blocked(count: np.ndarray, parts: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], int]:
+    """Blocks of rings of ``count`` points in so many parts, as ``Shape`` has them: of ``BLOCK`` bytes at most (and one part), and enough for ``TASKS``."""
+    size, first = int(count.sum()), np.cumsum(parts) - parts
+    tasks = min(TASKS, -(-size // SHARE))
+    limit = max(1, min(BLOCK // (8 * max(dims, 1)), -(-size // math.isqrt(tasks))))
+    each = np.repeat(count / parts, parts)
+    block = np.unique(((np.cumsum(each) - each) // limit).astype(np.int64), return_inverse=True)[1]
+    ring = np.repeat(np.arange(len(count)), parts)
+    n = int(block[-1]) + 1
+    spans = [(int(ring[lo]), int(ring[hi - 1])) for lo, hi in zip(np.searchsorted(block, np.arange(n)), np.searchsorted(block, np.arange(n), "right"), strict=True)]
+    return block, first, spans, -(-tasks // n)
+
+
 def _parts(shape):
-    """Points of a ring dealt over its blocks, whatever their coordinates."""
+    """Points of a ring dealt over its parts, whatever their coordinates, with the parts' blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shape.value
         for batch in batches:
-            rings = batch.column("k").to_numpy()
-            at = np.searchsorted(s.keys, rings, "right") - 1
-            parts = s.blocks[at]
-            yield pa.RecordBatch.from_arrays([pa.array(s.keys[at]), pa.array(batch.column("h").to_numpy() % parts), batch.column("point_id"), batch.column("x")], names=["ring", "part", "point_id", "x"])
+            at = np.searchsorted(s.keys, batch.column("k").to_numpy(), "right") - 1
+            block = s.block[s.first[at] + batch.column("h").to_numpy() % s.blocks[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(at), batch.column("point_id"), batch.column("x")], names=["block", "ring", "point_id", "x"])
 
     return run
 
 
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one block (ring, part), sorted, as packs of at most ``PACK``."""
-    held: dict[tuple[int, int], tuple[list, list]] = {}
-
-    def out(keys):
-        keys = [k for k in keys if held[k][0]]
-        done = [(*k, packed(np.array(held[k][0], np.int64)), b"".join(held[k][1])) for k in keys]
-        for k in keys:
-            del held[k]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    """Rows of one block and ring, sorted, as packs of ``ROW`` bytes."""
+    key, ids, xs, done = None, [], [], []
+
+    def out() -> pa.RecordBatch:
         columns = zip(*done, strict=True) if done else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["ring", "part", "ids", "xs"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "ring", "ids", "xs"])
 
     for batch in batches:
-        for ring, part, i, x in zip(*(batch.column(c).to_pylist() for c in ("ring", "part", "point_id", "x")), strict=True):
-            for k in [k for k in held if k != (ring, part)]:
-                yield out([k])
-            ids, rows = held.setdefault((ring, part), ([], []))
+        for block, ring, i, x in zip(*(batch.column(c).to_pylist() for c in ("block", "ring", "point_id", "x")), strict=True):
+            if ids and (key != (block, ring) or (len(ids) + 1) * len(x) > ROW):
+                done.append((*key, packed(np.array(ids, np.int64)), b"".join(xs)))
+                ids, xs = [], []
+            key = block, ring
             ids.append(i)
-            rows.append(x)
-            if len(ids) == PACK:
-                yield out([(ring, part)])
-    yield out(list(held))
+            xs.append(x)
+        yield out()
+        done = []
+    if ids:
+        done.append((*key, packed(np.array(ids, np.int64)), b"".join(xs)))
+    yield out()
 
 
-#: A pack of queries: what is asked, and the block that it goes to.
-ASK = "ids binary, qs binary, ks binary, bounds binary, ring long, parts long"
+#: Packs of points (of a ring) and of queries (with k, bound and, as bits, the block's rings that they ask) on their way to a block's share.
+SENDING = "slot long, ids binary, xs binary, ring long, ks binary, bounds binary, rings binary"
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -214,56 +264,133 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
 
 
 def _asks(shape, epsilon: float, first: bool):
-    """Packs of queries for the rings that they go to: the nearest (``first``), or all that can hold an answer within the bound."""
+    """Packs of queries for the blocks with rings that they go to: the nearest (``first``), or all that can hold an answer within the bound."""
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    names = [c.split()[0] for c in SENDING.split(", ")]
+
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shape.value
         for ids, qs, ks, bounds in _gathered(batches):
             d, off = far(qs, s.pivots, s.p)
+            share = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % s.shares
             rows: list[tuple] = []
+            size, most = 0, max(1, ROW // max(8 * qs.shape[1], 1))
             order = np.lexsort((d.min(1), d.argmin(1)))
             for start in range(0, len(order), ASKED):
                 part = order[start : start + ASKED]
                 goes = s.nearest(d[part], ks[part]) if first else s.least(d[part], off) * (1 + epsilon) <= bounds[part, None] * (1 + ROUNDING)
-                for r in np.flatnonzero(goes.any(0)).tolist():
-                    mine = part[goes[:, r]]
-                    rows.append((packed(ids[mine]), packed(qs[mine]), packed(ks[mine]), packed(bounds[mine]), int(s.keys[r]), int(s.blocks[r])))
-            kinds = [pa.binary()] * 4 + [pa.int64()] * 2
-            columns = zip(*rows, strict=True) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["ids", "qs", "ks", "bounds", "ring", "parts"])
+                for b, (low, high) in enumerate(s.spans):
+                    own = goes[:, low : high + 1]
+                    asked = np.flatnonzero(own.any(1))
+                    for t in np.unique(share[part[asked]]).tolist():
+                        mine = asked[share[part[asked]] == t]
+                        for n in range(0, len(mine), most):
+                            at = part[mine[n : n + most]]
+                            bits = packed(np.packbits(own[mine[n : n + most]], axis=1))
+                            rows.append((b * s.shares + t, packed(ids[at]), packed(qs[at]), None, packed(ks[at]), packed(bounds[at]), bits))
+                            size += qs[at].nbytes + len(bits)
+                    if size > SENT:
+                        yield sent(rows)
+                        rows, size = [], 0
+            yield sent(rows)
 
     return run
 
 
 def _answers(q: np.ndarray, ks: np.ndarray | None, bounds: np.ndarray, x: np.ndarray, points: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, point and distance of what lies within the bounds; with ``ks``, of the k nearest of each query, ties by id."""
-    d, off = far(q, x, p)
-    limit = bounds + 2 * off
-    if ks is not None and ks.min() < len(x):
+    d, off = near(q, x, p)
+    close = d <= (bounds + 2 * off)[:, None]
+    if ks is not None and ks.min() < len(x) and np.count_nonzero(close) > 4 * np.minimum(ks, len(x)).sum():
         least = np.partition(d, np.unique(np.minimum(ks, len(x))) - 1, axis=1)
-        limit = np.minimum(limit, least[np.arange(len(q)), np.minimum(ks, len(x)) - 1] + 4 * off)
-    i, j = np.nonzero(d <= limit[:, None])
+        close &= d <= (least[np.arange(len(q)), np.minimum(ks, len(x)) - 1] + 4 * off)[:, None]
+    i, j = np.nonzero(close)
     e = np.concatenate([exact(x[j[n : n + TOGETHER]], q[i[n : n + TOGETHER]], p) for n in range(0, len(i), TOGETHER)] or [np.empty(0)])
-    if ks is not None:
-        order = np.lexsort((points[j], e, i))
-        i, j, e = i[order], j[order], e[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        good = (rank < ks[i]) & (e <= bounds[i])
-        i, j, e = i[good], j[good], e[good]
-    return i, points[j], e
-
-
-def _meet(p: float, nearest: bool):
-    """Each pack of queries against the pack of points that it met."""
+    return (i, points[j], e) if ks is None else nearest_of(i, points[j], e, ks, bounds)
+
+
+def nearest_of(i: np.ndarray, points: np.ndarray, e: np.ndarray, ks: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (query, point, distance), the k nearest of each query within its bound, ties by id."""
+    order = np.lexsort((points, e, i))
+    i, points, e = i[order], points[order], e[order]
+    good = (np.arange(len(i)) - np.searchsorted(i, i) < ks[i]) & (e <= bounds[i])
+    return i[good], points[good], e[good]
+
+
+class _Block:
+    """The points of one block, ring after ring."""
+
+    def __init__(self, s: Shape, block: int, rings: list[int], ids: list[np.ndarray], xs: list[np.ndarray]):
+        self.s, self.low, self.high = s, *s.spans[block]
+        self.ids, self.x = np.concatenate(ids), np.concatenate(xs).reshape(sum(map(len, ids)), -1)
+        ends = np.cumsum(np.bincount(np.array(rings) - self.low, [len(i) for i in ids], self.high - self.low + 1).astype(np.int64))
+        self.starts = np.concatenate([[0], ends])
+
+    def pieces(self, goes: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+        """Neighbouring rings that are asked, in pieces of ``PACK`` points at most: which queries ask, and from where to where."""
+        held: list[int] = []
+        asked = np.flatnonzero(goes.any(0) & (np.diff(self.starts) > 0)).tolist()
+        for r, after in zip(asked, [*asked[1:], None], strict=True):
+            held.append(r)
+            if after is None or after != r + 1 or self.starts[after + 1] - self.starts[held[0]] > PACK:
+                mine = np.flatnonzero(goes[:, held[0] : r + 1].any(1))
+                for n in range(int(self.starts[held[0]]), int(self.starts[r + 1]), PACK):
+                    yield mine, n, min(n + PACK, int(self.starts[r + 1]))
+                held = []
+
+    def meet(self, rows: list[tuple[np.ndarray, ...]], nearest: bool) -> Iterator[pa.RecordBatch]:
+        ids, ks, bounds = (np.concatenate([r[c] for r in rows]) for c in (0, 2, 3))
+        q = np.concatenate([r[1] for r in rows]).reshape(len(ids), -1)
+        rings = self.high - self.low + 1
+        goes = np.concatenate([np.unpackbits(r[4].reshape(len(r[0]), -1), axis=1, count=rings) for r in rows]).astype(bool)
+        best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for mine, low, high in self.pieces(goes):
+            i, points, e = _answers(q[mine], ks[mine] if nearest else None, bounds[mine], self.x[low:high], self.ids[low:high], self.s.p)
+            if nearest:
+                best = nearest_of(*map(np.concatenate, zip(best, (mine[i], points, e), strict=True)), ks, bounds)
+            else:
+                yield found(ids[mine[i]], points, e)
+        if nearest:
+            yield found(ids[best[0]], *best[1:])
+
+
+def found(ids: np.ndarray, points: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(points), pa.array(e)], names=["query_id", "point_id", "dist"])
+
+
+def _meet(shape, nearest: bool):
+    """Sorted packs of each block's share: its points, then the queries that stream by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, slot, block = shape.value, None, None
+        rings, ids, xs, asked, n = [], [], [], [], 0
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("ids", "qs", "ks", "bounds", "points", "xs")]
-            for ids, qs, ks, bounds, points, xs in zip(*columns, strict=True):
-                ids, ks, points = (np.frombuffer(b, np.int64) for b in (ids, ks, points))
-                q, x = np.frombuffer(qs).reshape(len(ids), -1), np.frombuffer(xs).reshape(len(points), -1)
-                i, point, e = _answers(q, ks if nearest else None, np.frombuffer(bounds), x, points, p)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(point), pa.array(e)], names=["query_id", "point_id", "dist"])
+            columns = [batch.column(c) for c in ("ids", "xs", "ks", "bounds", "rings")]
+            for r, (at, ring) in enumerate(zip(batch.column("slot").to_pylist(), batch.column("ring").to_pylist(), strict=True)):
+                if at != slot:
+                    if n:
+                        yield from block.meet(asked, nearest)
+                    slot, block, rings, ids, xs, asked, n = at, None, [], [], [], [], 0
+                of = lambda c, kind: np.frombuffer(columns[c][r].as_py(), kind)  # noqa: B023, E731
+                if ring is not None:
+                    rings.append(ring)
+                    ids.append(of(0, np.int64))
+                    xs.append(of(1, np.float64))
+                    continue
+                if block is None:
+                    block = _Block(s, slot // s.shares, rings, ids, xs)
+                    rings, ids, xs = [], [], []
+                asked.append((of(0, np.int64), of(1, np.float64), of(2, np.int64), of(3, np.float64), of(4, np.uint8)))
+                n += len(asked[-1][0])
+                if n >= ASKED:
+                    yield from block.meet(asked, nearest)
+                    asked, n = [], 0
+        if n:
+            yield from block.meet(asked, nearest)
 
     return run
 
@@ -297,18 +424,21 @@ class PivotIndex:
         for r in ends:
             cell_low[r["k"], r["j"]], cell_high[r["k"], r["j"]] = r["low"], r["high"]
         keys, count, low, high = (np.array(column) for column in zip(*rings, strict=True))
-        self.shape = Shape(p, centres, keys, keys // RINGS, count, low, high, -(-count // PACK), cell_low, cell_high)
+        parts = -(-count // PACK)
+        self.shape = Shape(p, centres, keys, keys // RINGS, count, low, high, parts, cell_low, cell_high, *blocked(count, parts, centres.shape[1]))
         self.sent = self.spark.sparkContext.broadcast(self.shape)
-        blocks = dealt.where("x is not null").select("k", "point_id", "h", "x").mapInArrow(_parts(self.sent), "ring long, part long, point_id long, x binary")
-        blocks = blocks.repartition("ring", "part").sortWithinPartitions("ring", "part")
-        self.blocks = stored(blocks.mapInArrow(_packs, "ring long, part long, ids binary, xs binary"), "blocks")
+        blocks = dealt.where("x is not null").select("k", "point_id", "h", "x").mapInArrow(_parts(self.sent), "block long, ring long, point_id long, x binary")
+        blocks = blocks.repartition("block").sortWithinPartitions("block", "ring")
+        self.blocks = stored(blocks.mapInArrow(_packs, "block long, ring long, ids binary, xs binary"), "blocks")
         discard(dealt)
 
     def _met(self, queries: DataFrame, epsilon: float, first: bool, nearest: bool) -> DataFrame:
-        asks = queries.select("query_id", "q", "k", "bound").mapInArrow(_asks(self.sent, epsilon, first), ASK)
-        asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-        met = asks.join(self.blocks.withColumnRenamed("ids", "points"), ["ring", "part"])
-        return met.select("ids", "qs", "ks", "bounds", "points", "xs").mapInArrow(_meet(self.p, nearest), "query_id long, point_id long, dist double")
+        shares = self.shape.shares
+        asks = queries.select("query_id", "q", "k", "bound").mapInArrow(_asks(self.sent, epsilon, first), SENDING)
+        slots = F.explode(F.sequence(F.col("block") * shares, F.col("block") * shares + shares - 1))
+        both = self.blocks.select(slots.alias("slot"), "ids", "xs", "ring").unionByName(asks, allowMissingColumns=True)
+        dealt = both.repartition(len(self.shape.spans) * shares, "slot").sortWithinPartitions("slot", F.col("ring").asc_nulls_last())
+        return dealt.mapInArrow(_meet(self.sent, nearest), "query_id long, point_id long, dist double")
 
     def _asked(self, queries: DataFrame, k: int | str, bound: float | str) -> DataFrame:
         of = lambda v, kind: (F.col(v) if isinstance(v, str) else F.lit(v)).cast(kind)

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 
@@ -98,3 +99,26 @@ def test_no_points_no_queries_one_point(spark, monkeypatch):
             m.setattr(DataFrame, name, refused)
         near = index.knn(asks, 1)
     assert near.count() == 2
+
+
+def test_queries_that_go_everywhere_are_sent_once_to_each_block(spark):
+    rng = np.random.default_rng(3)
+    data = np.round(rng.normal(size=(6000, 64)) * 20)  # without clusters: no ring is ruled out
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], POINTS).repartition(3)
+    index = metric.PivotIndex(points)
+    asked = pa.RecordBatch.from_arrays([pa.array(np.arange(6000)), pa.array(data.tolist()), pa.array(np.full(6000, 5)), pa.array(np.full(6000, np.inf))], names=["query_id", "q", "k", "bound"])
+    sent = list(metric._asks(index.sent, 0, False)(iter([asked])))
+    assert max(b.nbytes for b in sent) < 20e6  # each query was held once for every ring before
+    assert max(len(r) for b in sent for r in b.column(2).to_pylist()) <= 2**13
+    assert sum(len(r) for b in sent for r in b.column(1).to_pylist()) == 8 * 6000 * len(index.shape.spans)
+    assert len(index.shape.spans) * index.shape.shares > 8
+
+
+@pytest.mark.parametrize("p", [1, np.inf])
+def test_single_precision_is_off_by_no_more_than_it_says(p):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(70, 64)) * 50, rng.normal(size=(1100, 64)) * 1e4
+    d, off = metric.near(a, b, p)
+    want = np.array([np.linalg.norm(b - x, p, axis=1) for x in a])
+    assert d.dtype == np.float32 and 0 < np.abs(d - want).max() <= off
+    np.testing.assert_allclose(metric.far(a, b, p)[0], want, rtol=1e-12)
