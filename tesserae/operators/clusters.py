@@ -135,7 +135,7 @@ class KMeans:
     farthest from those chosen), "random" (k points that ``seed`` chooses) or "oversampled" (some passes that
     sample points by their squared distance from those there are, and a weighted choice among
     the few sampled). Ties go to the first centre, an empty cluster keeps its centre. Rounds end
-    when no centre moves by ``tol``. A table of fewer than k points is refused.
+    when no centre moves by more than ``tol``. A table of fewer than k points is refused.
     """
 
     def __init__(self, k: int = 4, iterations: int = 300, tol: float = 1e-5, start: str = "farthest", p: float = 2, first: int | None = None, seed: int = 0):
@@ -198,7 +198,7 @@ class KMeans:
             self.rounds, self.looked = self.rounds + 1, self.looked + looked
             write = looked > STALE * self.n_samples and not write
             moved, centres = exact(new, centres, self.p).max(), new
-            if moved < self.tol:
+            if moved <= self.tol:
                 break
         discard(table)
         self.centers = centres

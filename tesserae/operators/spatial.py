@@ -44,8 +44,8 @@ def assign(points: DataFrame, centres: list[list[float]], p: float = 2) -> DataF
     return points.withColumn("cluster", (F.array_position(d, F.array_min(d)) - 1).cast("int"))
 
 
-def kmeans(points: DataFrame, k: int = 4, iterations: int = 300, tol: float = 1e-5, first: int | None = None, p: float = 2, start: str = "farthest", seed: int = 0) -> list[list[float]]:
-    """Lloyd's centres, as ``KMeans`` finds them. Only k centres and sums of tasks reach the driver."""
+def kmeans(points: DataFrame, k: int = 4, iterations: int = 100, tol: float = 0.0, first: int | None = None, p: float = 2, start: str = "farthest", seed: int = 0) -> list[list[float]]:
+    """Lloyd's centres, as ``KMeans`` finds them: those of so many rounds, or of fewer if they stay. Only k centres and sums of tasks reach the driver."""
     return KMeans(k, iterations, tol, start, p, first, seed).fit(points).centers.tolist()
 
 

@@ -1,6 +1,9 @@
+import inspect
+
 import numpy as np
 import pytest
 
+from tesserae import registry
 from tesserae.operators import clusters, spatial
 
 
@@ -70,3 +73,21 @@ def test_few_points_and_equal_ones(spark):
     with pytest.raises(ValueError):
         clusters.KMeans().predict(points)
     assert spatial.kmeans(points, 1) == [[1.0, 2.0]]
+
+
+def test_as_many_rounds_as_the_sql(monkeypatch):
+    """Large tables need more than the SQL's rounds until the centres stay; the query must end where the SQL does."""
+    asked = []
+
+    class Stub:
+        def __init__(self, k, iterations, tol, *_):
+            asked.append((k, iterations, tol))
+
+        def fit(self, points):
+            self.centers = np.zeros((4, 1))
+            return self
+
+    monkeypatch.setattr(spatial, "KMeans", Stub)
+    spatial.kmeans(None, 4)
+    sql = inspect.signature(registry._kmeans_sql).parameters
+    assert asked == [(sql["k"].default, sql["rounds"].default, 0.0)]
