@@ -49,11 +49,22 @@ class Trie:
 
     def __init__(self, scores: dict[str, float], longest: int, unknown: float, most: int = NODES):
         self.scores, self.longest, self.unknown, self.most = scores, longest, unknown, most
+        self.endings: dict[str, list[int]] = {}
+        for piece in sorted(scores, key=len, reverse=True):
+            if len(piece) > 2 and len(piece) not in (known := self.endings.setdefault(piece[-3:], []))[-1:]:
+                known.append(len(piece))
         self._clear()
 
     def _clear(self) -> None:
         self.child: dict[int, int] = {}
         self.best, self.pieces = [0.0], [0]
+        self.lengths: dict[str, tuple[int, ...]] = {}
+
+    def _lengths(self, last: str) -> tuple[int, ...]:
+        """Lengths, longest first, that a piece can have where a word's last three characters (or all of fewer) are these."""
+        found = (*self.endings.get(last, ()), *(n for n in (2, 1) if n <= len(last) and last[-n:] in self.scores))
+        self.lengths[last] = found
+        return found
 
     def counts(self, words: list[str]) -> list[int]:
         """The number of pieces of each word's best segmentation, as its last node says. Sorted words share most of their paths."""
@@ -75,13 +86,18 @@ class Trie:
 
     def _descend(self, word: str, path: list[int]) -> None:
         """Lengthen the path to the whole word, making the nodes that are missing."""
-        child, best, pieces, get = self.child, self.best, self.pieces, self.scores.get
+        child, best, pieces, get, lengths = self.child, self.best, self.pieces, self.scores.get, self.lengths.get
         for end in range(len(path), len(word) + 1):
             edge = path[-1] << 21 | ord(word[end - 1])
             node = child.get(edge)
             if node is None:
                 top, n = -math.inf, 0
-                for start in range(max(0, end - self.longest), end):
+                last = word[max(0, end - 3) : end]
+                fit = lengths(last)
+                for size in self._lengths(last) if fit is None else fit:
+                    start = end - size
+                    if start < 0:
+                        continue
                     s = get(word[start:end])
                     if s is not None and (t := best[path[start]] + s) > top:
                         top, n = t, pieces[path[start]] + 1

@@ -95,3 +95,27 @@ def test_trie_works_out_each_prefix_once():
     assert trie.counts(words) == small.counts(words) == want
     assert len(trie.best) == 1 + len({w[:i] for w in words for i in range(1, len(w) + 1)})
     assert len(small.best) <= 40
+
+
+def test_only_pieces_that_can_end_a_prefix_are_looked_up():
+    looked = []
+
+    class Scores(dict):
+        def get(self, key, default=None):
+            looked.append(key)
+            return super().get(key, default)
+
+    rng = random.Random(4)
+    scores = Scores({"".join(rng.choice("abc") for _ in range(rng.randint(2, 9))): -rng.random() * 9 for _ in range(60)} | {"a": -8.0, "b": -9.0})
+    words = sorted({"".join(rng.choice("abcé") for _ in range(rng.randint(1, 24))) for _ in range(300)})
+    trie = T.Trie(scores, max(map(len, scores)), -20.0)
+
+    def plain(word):
+        best = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            top = max(((best[i][0] + scores[word[i:end]], i - end, best[i][1] + 1) for i in range(end) if word[i:end] in scores), key=lambda e: (e[0], -e[1]), default=None)
+            best.append((top[0], top[2]) if top else (best[-1][0] - 20.0, best[-1][1] + len(word[end - 1].encode())))
+        return best[-1][1]
+
+    assert trie.counts(words) == [plain(w) for w in words]
+    assert len(looked) < 3 * len(trie.best)  # up to the longest piece's length for each node before
