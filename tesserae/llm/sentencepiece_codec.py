@@ -17,8 +17,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+from array import array
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import count
 from zlib import crc32
 
 import numpy as np
@@ -67,11 +70,15 @@ def plain(word: str) -> str:
 def segmented(model: str, words: list[str]) -> list[tuple[bytes, str | None]]:
     """For each marked word: its ids as little-endian 32-bit numbers, and its decoded text where that is not the plain one."""
     sp = processor(model)
-    ids = sp.encode([w[1:] for w in words], num_threads=1) if words else []
+    bare = [w[1:] for w in words]
+    ids = sp.encode(bare, num_threads=1) if words else []
     # The library gives no ids for an empty text; a lone marker is a word within a text.
     ids = [x or [sp.piece_to_id(MARK)] for x in ids]
     texts = sp.decode(ids) if ids else []
-    return [(np.array(x, "<u4").tobytes(), None if t == plain(w) else t) for w, x, t in zip(words, ids, texts, strict=True)]
+    expected = "\0".join(bare).replace(MARK, " ")
+    if expected == "\0".join(texts) and expected.count("\0") < max(1, len(words)):  # as nearly always, no odd text among them
+        texts = [None] * len(words)
+    return [(array("I", x).tobytes(), None if t is None or t == plain(w) else t) for w, x, t in zip(words, ids, texts, strict=True)]
 
 
 def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
@@ -90,15 +97,21 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def dealt_words(words: Iterable[str], buckets: int) -> dict[int, list[str]]:
+    """Distinct words dealt over buckets, in order within each."""
+    held = list(words)
+    at = np.fromiter(map(crc32, map(str.encode, held)), np.uint32, len(held)) % buckets
+    order = np.argsort(at, kind="stable")
+    ends = np.flatnonzero(np.diff(at[order], prepend=-1, append=-1))
+    return {int(at[order[lo]]): sorted(map(held.__getitem__, order[lo:hi].tolist())) for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
+
+
 def words_by_bucket(rows: pa.Table, buckets: int) -> dict[int, list[str]]:
     """The distinct marked words of a block in order, dealt over buckets."""
     words: set[str] = set()
     for text in rows.column("text"):
         words.update(marked_words(text.as_py()))
-    dealt: dict[int, list[str]] = {}
-    for word in sorted(words):
-        dealt.setdefault(crc32(word.encode()) % buckets, []).append(word)
-    return dealt
+    return dealt_words(words, buckets)
 
 
 def _named(rows: pa.Table) -> tuple[int, int]:
@@ -159,61 +172,90 @@ def _texts(size: int):
     return run
 
 
-def _answers(words: list[str], ids: bytes, counts: bytes, odd: bytes | None) -> Iterator[tuple[str, tuple[str, int, str]]]:
-    """Word, (its ids as decimals joined by commas, their number, its decoded text)."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    n = np.frombuffer(unpack(counts), "<u4").tolist()
-    decimals = list(map(str, np.frombuffer(unpack(ids[3:]), ids[:3].decode()).tolist()))
-    texts, at = json.loads(odd) if odd else {}, 0
-    for i, (word, k) in enumerate(zip(words, n, strict=True)):
-        text = texts.get(str(i)) if texts else None
-        yield word, (",".join(decimals[at : at + k]), k, plain(word) if text is None else text)
-        at += k
-
-
-def _encoded(rows: pa.Table, known: dict[str, tuple[str, int, str]], digests: bool) -> Iterator[pa.RecordBatch]:
-    for batch in rows.to_batches(max_chunksize=1000):
-        counts, ids, decoded = [], [], []
-        for text in batch.column("text"):
-            words = marked_words(text.as_py())
-            a, n, t = zip(*map(known.__getitem__, words), strict=True) if words else ((), (), ())
-            counts.append(sum(n))
-            ids.append(",".join(a))
-            decoded.append(" ".join(t))
+def joined(strings: pa.Array, counts: np.ndarray) -> pa.Array:
+    """So many consecutive strings each, joined by commas."""
+    ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), strings), pa.scalar(",", pa.large_string()))
+
+
+class _Block:
+    """A block's texts as numbers of its distinct words, and what is known of these: the ids as decimals, their number, odd decoded texts."""
+
+    def __init__(self, rows: pa.Table, buckets: int):
+        self.rows = rows
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.texts = [array("I", map(self.number.__getitem__, marked_words(t.as_py()))) for t in rows.column("text")]
+        self.waiting = dealt_words(self.number, buckets)
+        self.known: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        self.odd: dict[int, str] = {}
+
+    def learn(self, bucket: int, flat: np.ndarray, counts: np.ndarray, odd: dict[int, str]) -> None:
+        """Ids of a bucket's words end to end, their numbers, and odd decoded texts by index."""
+        at = np.fromiter(map(self.number.__getitem__, self.waiting.pop(bucket)), np.int64, len(counts))
+        self.known.append((at, joined(pa.array(flat).cast(pa.large_string()), counts), counts))
+        self.odd.update((int(at[i]), text) for i, text in odd.items())
+
+    def answered(self, bucket: int, ids: bytes, counts: bytes, odd: bytes | None) -> None:
+        unpack = zstandard.ZstdDecompressor().decompress
+        flat = np.frombuffer(unpack(ids[3:]), ids[:3].decode())
+        self.learn(bucket, flat, np.frombuffer(unpack(counts), "<u4"), {int(i): t for i, t in json.loads(odd).items()} if odd else {})
+
+    def segmented(self, model: str) -> None:
+        """The words of the buckets that gave no answer."""
+        for bucket, words in list(self.waiting.items()):
+            ids, texts = zip(*segmented(model, words), strict=True)
+            self.learn(bucket, np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], "<u4"), {i: t for i, t in enumerate(texts) if t is not None})
+
+    def decoded(self, text: str, numbers: array) -> str:
+        """Plain words joined by one space are the text itself, with spaces for markers."""
+        if not self.odd or self.odd.keys().isdisjoint(numbers):
+            return text.replace(MARK, " ")
+        return " ".join(plain(w) if (t := self.odd.get(n)) is None else t for w, n in zip(marked_words(text), numbers, strict=True))
+
+    def encoded(self, digests: bool) -> Iterator[pa.RecordBatch]:
+        number = np.concatenate([k[0] for k in self.known] or [np.empty(0, np.int64)])
+        place = np.empty(len(number), np.int64)
+        place[number] = np.arange(len(number))
+        decimals = pa.concat_arrays([k[1] for k in self.known] or [pa.array([], pa.large_string())])
+        sizes = np.concatenate([k[2] for k in self.known] or [np.empty(0, "<u4")]).astype(np.int64)
+        first = 0
+        for batch in self.rows.to_batches(max_chunksize=1000):
+            texts = self.texts[first : first + batch.num_rows]
+            first += batch.num_rows
+            at = place[np.frombuffer(b"".join(texts), np.uint32)]
+            lengths = np.array([len(t) for t in texts], np.int64)
+            ids = joined(decimals.take(pa.array(at)), lengths)
+            counts = np.diff(np.concatenate([[0], np.cumsum(sizes[at])])[np.concatenate([[0], np.cumsum(lengths)])])
+            decoded = [self.decoded(t, n) for t, n in zip(batch.column("text").to_pylist(), texts, strict=True)]
             if digests:
-                ids[-1], decoded[-1] = (hashlib.sha256(x[-1].encode()).hexdigest() for x in (ids, decoded))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row_no"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["row_no", "doc_id", "n_tokens", "ids", "decoded"]
-        )
+                ids, decoded = ([hashlib.sha256(x.encode()).hexdigest() for x in column] for column in (ids.to_pylist(), decoded))
+            ids = pa.array(ids, pa.string()) if digests else ids.cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("row_no"), batch.column("doc_id"), pa.array(counts, pa.int64()), ids, pa.array(decoded, pa.string())], names=["row_no", "doc_id", "n_tokens", "ids", "decoded"])
 
 
 def _join(model: str, buckets: int, digests: bool):
     """Blocks in order, each with its texts first and then the answers of all buckets that have words of it."""
 
-    def finished(rows: pa.Table, dealt: dict[int, list[str]], known: dict) -> Iterator[pa.RecordBatch]:
-        for words in dealt.values():  # a block of no answers
-            for word, (ids, text) in zip(words, segmented(model, words), strict=True):
-                numbers = np.frombuffer(ids, "<u4").tolist()
-                known[word] = (",".join(map(str, numbers)), len(numbers), plain(word) if text is None else text)
-        yield from _encoded(rows, known, digests)
+    def finished(held: _Block) -> Iterator[pa.RecordBatch]:
+        held.segmented(model)
+        yield from held.encoded(digests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, at, dealt, known = None, None, {}, {}
+        held, at = None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 block, last, bucket, ids, counts, odd = (batch.column(c)[i].as_py() for c in ("block", "last", "bucket", "ids", "counts", "odd"))
                 if bucket == TEXTS:
-                    if rows is not None:
-                        yield from finished(rows, dealt, known)
-                    rows, at, known = pa.ipc.open_stream(ids).read_all(), (block, last), {}
-                    dealt = words_by_bucket(rows, buckets)
-                elif rows is not None and (block, last) == at and bucket in dealt:
-                    known.update(_answers(dealt.pop(bucket), ids, counts, odd))
-                if rows is not None and not dealt:
-                    yield from finished(rows, dealt, known)
-                    rows = None
-        if rows is not None:
-            yield from finished(rows, dealt, known)
+                    if held is not None:
+                        yield from finished(held)
+                    held, at = _Block(pa.ipc.open_stream(ids).read_all(), buckets), (block, last)
+                elif held is not None and (block, last) == at and bucket in held.waiting:
+                    held.answered(bucket, ids, counts, odd)
+                if held is not None and not held.waiting:
+                    yield from finished(held)
+                    held = None
+        if held is not None:
+            yield from finished(held)
 
     return run
 

@@ -47,6 +47,33 @@ def test_blocks_without_answers_segment_their_words():
     assert sorted((r["doc_id"], r["ids"]) for r in out) == [(i, ",".join(map(str, P.processor(model).encode(t)))) for i, t in enumerate(texts)]
 
 
+def test_a_block_cuts_each_text_once(monkeypatch):
+    import pyarrow as pa
+
+    texts, cut = [t for t in odd_texts(80, 6) if t] + ["a\x00b ﬁ", "plain words"], []
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["row_no", "doc_id", "text"])
+    model = P.default_model()
+    answers = [r for t in P._distinct(10**6, 3)(iter([rows])) for r in P._segment(model)(iter([t]))]
+    both = pa.Table.from_batches([*P._texts(10**6)(iter([rows])), *answers]).sort_by([("block", "ascending"), ("bucket", "ascending")])
+    monkeypatch.setattr(P, "marked_words", lambda t: cut.append(t) or marked_words(t))
+    out = [r for b in P._join(model, 3, False)(iter(both.to_batches())) for r in b.to_pylist()]
+    sp = P.processor(model)
+    assert len(cut) == len(texts)  # twice as many before
+    assert [(r["n_tokens"], r["decoded"]) for r in out] == [(len(sp.encode(t)), sp.decode(sp.encode(t))) for t in texts]
+
+
+def test_odd_decoded_words():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["a b", "c", "b b a", ""]
+    block = P._Block(pa.table({"row_no": range(4), "doc_id": range(4), "text": texts}), 1)
+    assert block.waiting == {0: ["▁a", "▁b", "▁c"]}
+    block.learn(0, np.array([7, 8, 9, 70_000], np.uint32), np.array([1, 2, 1], np.uint32), {1: "B!"})
+    out = [tuple(r[c] for c in ("n_tokens", "ids", "decoded")) for b in block.encoded(False) for r in b.to_pylist()]
+    assert out == [(3, "7,8,9", "a B!"), (1, "70000", "c"), (5, "8,9,8,9,7", "B! B! a"), (0, "", "")]
+
+
 def test_repeated_ids_stay_apart(table):
     rows = [(1, "a b"), (1, "a b"), (None, "a"), (None, None)]
     assert sorted((r.doc_id or 0, r.n_tokens, r.decoded) for r in P.encoded(table(rows)).collect()) == [(0, 0, ""), (0, 1, "a"), (1, 2, "a b"), (1, 2, "a b")]
