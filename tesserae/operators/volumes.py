@@ -8,12 +8,15 @@ of times whatever the footprint, and no grid has to fit a task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.borders import MODES
 from ..plans.frames import numbered, stored
@@ -24,6 +27,8 @@ from .neighbourhood import _copies
 c = F.col
 #: Cells of a block by rank, about; sides are powers of two.
 SIDES = {1: 65_536, 2: 128, 3: 32, 4: 16}
+#: Cells of whole blocks whose components are found together, about.
+GATHERED = 65_536
 Offsets = list[tuple[tuple[int, ...], float]]
 
 
@@ -44,6 +49,66 @@ def element(rank: int, connectivity: int = 1, hole: bool = False) -> np.ndarray:
     return ((away <= connectivity) & ~(hole & (away == 0))).astype(float)
 
 
+def _changes(rows: pa.Table, names: Sequence[str]) -> np.ndarray:
+    """Which rows differ from the one before in a column of ``names``; the first does."""
+    out = np.ones(len(rows), bool)
+    if len(rows) > 1:
+        out[1:] = False
+        for column in (rows.column(n).combine_chunks() for n in names):
+            here, before = column[1:], column[:-1]
+            empty = column.is_null().to_numpy(zero_copy_only=False)
+            out[1:] |= (empty[1:] != empty[:-1]) | pc.fill_null(pc.not_equal(here, before), False).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _parts(keys: list[str], at: list[str], side: int, steps: list[tuple[int, ...]]):
+    """Rows sorted by grid, block and raster number ``__n``, with part: the least number of the cell's component within its block.
+
+    The blocks of some ten thousand cells are worked on together.
+    """
+    blocks = [f"__{a}" for a in at]
+
+    def of(rows: pa.Table) -> pa.Table:
+        numbers = rows.column("__n").to_numpy()
+        v = rows.column("v").cast(pa.float64()).to_numpy()
+        on = np.flatnonzero((v != 0) & rows.column("v").is_valid().to_numpy())
+        code = np.cumsum(_changes(rows, [*keys, *blocks]))[on]
+        strides = [(side + 2) ** i for i in range(len(at))][::-1]  # an empty cell round each block
+        code *= (side + 2) ** len(at)
+        for a, b, stride in zip(at, blocks, strides, strict=True):
+            code += (rows.column(a).to_numpy().astype(np.int64) - rows.column(b).to_numpy() * side + 1)[on] * stride
+        order = np.argsort(code, kind="stable")
+        ranked, pairs = code[order], []
+        for step in steps:
+            wanted = ranked + int(np.dot(step, strides))
+            place = np.minimum(np.searchsorted(ranked, wanted), max(len(ranked) - 1, 0))
+            meets = ranked[place] == wanted
+            pairs.append((order[meets], order[place[meets]]))
+        a, b = (np.concatenate(e) for e in zip(*pairs, strict=True))
+        touch = v[on[a]] == v[on[b]]
+        part, none = np.zeros(len(rows), np.int64), np.ones(len(rows), bool)
+        part[on], none[on] = numbers[on][joined(len(on), a[touch], b[touch])], False
+        return rows.drop_columns(blocks).append_column("part", pa.array(part, mask=none))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            n += len(batch)
+            if n >= GATHERED:
+                rows = pa.Table.from_batches(held)
+                last = int(np.flatnonzero(_changes(rows, [*keys, *blocks]))[-1])  # the last block may go on
+                if last:
+                    yield from of(rows.slice(0, last)).to_batches()
+                held, n = rows.slice(last).to_batches(), n - last
+        if n:
+            yield from of(pa.Table.from_batches(held)).to_batches()
+
+    return run
+
+
 class Space:
     """Axes as (coordinate, size) column names, and the keys that tell grids apart; ``v`` holds the values."""
 
@@ -187,55 +252,53 @@ class Space:
 
         Blocks find their components; what touches across blocks are the edges of a graph of those.
         """
-        at, side, keys = self.at, self.side, self.keys
+        at, side = self.at, self.side
+        blocks = [f"__{a}" for a in at]
         steps = [tuple(int(i) - 1 for i in o) for o in np.argwhere(element(self.rank, connectivity, hole=True)) if tuple(o) > (1,) * self.rank]
-        rows = px.where("v <> 0").select(*self.cell, c("v").cast("double").alias("v"), self.raster().alias("__n"), *(F.floor(c(a) / side).alias(f"__{a}") for a in at))
-
-        def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-            cells = cells.sort_values("__n")
-            places = [cells[a].to_numpy().astype(np.int64) - int(k) * side + 1 for a, k in zip(at, key[len(keys) :], strict=True)]
-            grid = np.full((side + 2,) * len(at), -1)
-            grid[tuple(places)] = np.arange(len(cells))
-            a = np.tile(np.arange(len(cells)), len(steps))
-            b = np.concatenate([grid[tuple(p + o for p, o in zip(places, s, strict=True))] for s in steps])
-            v = cells["v"].to_numpy()
-            touch = (b >= 0) & (v[a] == v[b])
-            cells["part"] = cells["__n"].to_numpy()[joined(len(cells), a[touch], b[touch])]
-            return cells[[*keys, *at, "v", "part"]]
-
-        kinds = {f.name: f.dataType.simpleString() for f in px.schema}
-        cells = stored(rows.groupBy(*keys, *(f"__{a}" for a in at)).applyInPandas(run, ", ".join([*(f"{n} {kinds[n]}" for n in (*keys, *at)), "v double", "part long"])), "cells")
-        grid_key = F.struct(*keys).alias("image_id") if keys != ["image_id"] else c("image_id")
-        seam = cells.where(F.greatest(*(F.array_contains(F.array(F.lit(0), F.lit(side - 1)), c(a) % side).cast("int") for a in at), F.lit(0)) == 1)
+        dealt = px.select("*", self.raster().alias("__n"), *(F.floor(c(a) / side).alias(b) for a, b in zip(at, blocks, strict=True)))
+        dealt = dealt.repartition(*self.keys, *blocks).sortWithinPartitions(*self.keys, *blocks, "__n")
+        schema = StructType([*px.schema.fields, StructField("__n", LongType()), StructField("part", LongType())])
+        cells = stored(dealt.mapInArrow(_parts(self.keys, at, side, steps), schema), "cells")
+        seam = cells.where(F.greatest(*(F.array_contains(F.array(F.lit(0), F.lit(side - 1)), F.pmod(c(a), F.lit(side))).cast("int") for a in at), F.lit(0)) == 1)
+        seam = seam.where("part is not null").select(*self.keys, *at, c("v").cast("double").alias("v"), "part")
         moves = F.explode(F.array(*(F.struct(*(F.lit(o).alias(a) for a, o in zip(at, s, strict=True))) for s in steps))).alias("m")
-        out = seam.select("*", moves).select(*keys, "v", c("part").alias("a"), *((c(a) + c(f"m.{a}")).alias(a) for a in at), *(F.floor(c(a) / side).alias(f"__{a}") for a in at))
+        out = seam.select("*", moves).select(*self.keys, "v", c("part").alias("a"), *((c(a) + c(f"m.{a}")).alias(a) for a in at), *(F.floor(c(a) / side).alias(f"__{a}") for a in at))
         other = F.lit(False)
         for a in at:
             other |= F.floor(c(a) / side) != c(f"__{a}")
-        meet = out.where(other).join(seam.withColumnRenamed("part", "b"), [*keys, *at, "v"])
-        roots = rooted(meet.select(grid_key, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).select(c("image_id").alias("__g"), c("a").alias("part"), "root")
-        named = cells.withColumn("__g", F.struct(*keys) if keys != ["image_id"] else c("image_id")).join(roots, ["__g", "part"], "left")
-        named = named.select(*keys, *at, F.coalesce("root", "part").alias("root"))
-        return px.join(named, [*keys, *at], "left")
+        meet = out.where(other).join(seam.withColumnRenamed("part", "b"), [*self.keys, *at, "v"])
+        roots = rooted(meet.select(self.grid().alias("image_id"), F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).select(c("image_id").alias("__g"), c("a").alias("__p"), c("root").alias("__r"))
+        # cells of no component have keys of their own, so that they are not one large group
+        named = cells.withColumn("__g", self.grid()).withColumn("__p", F.coalesce("part", -1 - c("__n"))).join(roots, ["__g", "__p"], "left")
+        return named.select(*px.columns, F.coalesce("__r", "part").alias("root"))
+
+    def grid(self) -> Column:
+        """What tells a grid apart, as one column."""
+        return c(self.keys[0]) if len(self.keys) == 1 else F.struct(*self.keys)
+
+    def _found(self, px: DataFrame, connectivity: int) -> DataFrame:
+        """Stored components, with the grid and a key for joins: the root or, where there is none, a number of the cell's own."""
+        found = self.components(px, connectivity).withColumn("__g", self.grid()).withColumn("__n", self.raster())
+        return stored(found.withColumn("__k", F.coalesce("root", -1 - c("__n"))), "components")
 
     def label(self, px: DataFrame, connectivity: int = 1) -> DataFrame:
         """0 for background, else 1, 2, ... by each component's first cell in raster order."""
-        found = stored(self.components(px, connectivity).withColumn("__g", F.to_json(F.struct(*self.keys))), "components")
-        names = numbered(found.where("root is not null").select("__g", "root").distinct(), "__g", [c("root")], "label")
-        return found.join(names, ["__g", "root"], "left").select(*self.cell, F.coalesce("label", F.lit(0)).cast("long").alias("label"))
+        found = self._found(px, connectivity)
+        names = numbered(found.where("root = __n").select("__g", "__k"), "__g", [c("__k")], "label")
+        return found.join(names, ["__g", "__k"], "left").select(*self.cell, F.coalesce("label", F.lit(0)).cast("long").alias("label"))
 
     def remove_small_objects(self, px: DataFrame, threshold: int = 32, connectivity: int = 1) -> DataFrame:
         """Keeps components of more than ``threshold`` cells."""
-        found = stored(self.components(px, connectivity).withColumn("__g", F.to_json(F.struct(*self.keys))), "components")
-        large = found.where("root is not null").groupBy("__g", "root").agg(F.count("*").alias("n")).where(c("n") > threshold)
-        return found.join(large, ["__g", "root"], "left").select(*self.cell, c("n").isNotNull().cast("double").alias("v"))
+        found = self._found(px, connectivity)
+        large = found.where("root is not null").groupBy("__g", "__k").agg(F.count("*").alias("n")).where(c("n") > threshold)
+        return found.join(large, ["__g", "__k"], "left").select(*self.cell, c("n").isNotNull().cast("double").alias("v"))
 
     def fill_holes(self, px: DataFrame, connectivity: int = 1) -> DataFrame:
         """Background that does not reach the grid's border becomes foreground."""
         flipped = px.withColumn("v", (c("v") == 0).cast("double"))
-        found = stored(self.components(flipped, connectivity).withColumn("__g", F.to_json(F.struct(*self.keys))), "components")
+        found = self._found(flipped, connectivity)
         edge = F.lit(False)
         for a, n in zip(self.at, self.sizes, strict=True):
             edge |= (c(a) == 0) | (c(a) == c(n) - 1)
-        open_ = found.where(edge & c("root").isNotNull()).select("__g", "root").distinct().withColumn("o", F.lit(1))
-        return found.join(open_, ["__g", "root"], "left").select(*self.cell, c("o").isNull().cast("double").alias("v"))
+        open_ = found.where(edge & c("root").isNotNull()).select("__g", "__k").distinct().withColumn("o", F.lit(1))
+        return found.join(open_, ["__g", "__k"], "left").select(*self.cell, c("o").isNull().cast("double").alias("v"))
