@@ -28,7 +28,7 @@ BLOCK, ROW, SENT = 2**23, 2**13, 2**23
 #: Tasks of a search among many points, and fewest points for each.
 TASKS, SHARE = 64, 512
 #: Rows and columns of a matrix of distances that are worked out together, coordinate by coordinate.
-TILE = 64, 1024
+TILE = 64, 2048
 #: Pairs whose exact distances are worked out at once.
 TOGETHER = 20_000
 #: Share of a distance that rounding may take.
@@ -52,14 +52,33 @@ def far(a: np.ndarray, b: np.ndarray, p: float) -> tuple[np.ndarray, float]:
 
 
 def near(a: np.ndarray, b: np.ndarray, p: float) -> tuple[np.ndarray, float]:
-    """As ``far``, in single precision where that is faster; what they may be off by is then more."""
+    """As ``far``, in few bits where that is faster: whole numbers exactly, others in single precision; what they may be off by is then more."""
     most = max(np.abs(a).max(initial=0), np.abs(b).max(initial=0))
     if (p != 1 and not math.isinf(p)) or not most < 1e30:
         return far(a, b, p)
     dims = a.shape[1]
+    kind = whole(a, b, dims if p == 1 else 1)
+    if kind is not None:
+        return by_coordinate(a, b, p, kind), 0.0
     return by_coordinate(a, b, p, np.float32), 2.0**-23 * most * (4 if math.isinf(p) else dims * (2 + dims))
 
 
+def whole(a: np.ndarray, b: np.ndarray, gaps: int) -> type | None:
+    """The least type that holds the values and so many gaps together, if all are whole numbers and one of one or two bytes does."""
+    ends = [f for x in (a, b) if x.size for f in (x.min(), x.max())]
+    span = max(ends, default=0) - min(ends, default=0)
+    most = max(span * gaps, *map(abs, ends), 0) if ends else 0
+    kind = next((k for k in (np.int8, np.int16) if most <= np.iinfo(k).max), None)
+    return kind if kind is not None and all((x == x.astype(kind)).all() for x in (a, b)) else None
+
+
+def within(d: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which distances are at most the bound of their row, compared in their own type."""
+    if d.dtype.kind == "i":
+        bounds = np.floor(np.clip(bounds, -1, np.iinfo(d.dtype).max)).astype(d.dtype)
+    return d <= bounds[:, None]
+
+
 def by_coordinate(a: np.ndarray, b: np.ndarray, p: float, kind: type) -> np.ndarray:
     """Sums (p = 1) or greatest of the gaps of all rows of ``a`` from all of ``b``."""
     out, (high, wide) = np.zeros((len(a), len(b)), kind), TILE
@@ -304,10 +323,10 @@ def _asks(shape, epsilon: float, first: bool):
 def _answers(q: np.ndarray, ks: np.ndarray | None, bounds: np.ndarray, x: np.ndarray, points: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, point and distance of what lies within the bounds; with ``ks``, of the k nearest of each query, ties by id."""
     d, off = near(q, x, p)
-    close = d <= (bounds + 2 * off)[:, None]
+    close = within(d, bounds + 2 * off)
     if ks is not None and ks.min() < len(x) and np.count_nonzero(close) > 4 * np.minimum(ks, len(x)).sum():
         least = np.partition(d, np.unique(np.minimum(ks, len(x))) - 1, axis=1)
-        close &= d <= (least[np.arange(len(q)), np.minimum(ks, len(x)) - 1] + 4 * off)[:, None]
+        close &= within(d, least[np.arange(len(q)), np.minimum(ks, len(x)) - 1] + 4 * off)
     i, j = np.nonzero(close)
     e = np.concatenate([exact(x[j[n : n + TOGETHER]], q[i[n : n + TOGETHER]], p) for n in range(0, len(i), TOGETHER)] or [np.empty(0)])
     return (i, points[j], e) if ks is None else nearest_of(i, points[j], e, ks, bounds)

@@ -122,3 +122,19 @@ def test_single_precision_is_off_by_no_more_than_it_says(p):
     want = np.array([np.linalg.norm(b - x, p, axis=1) for x in a])
     assert d.dtype == np.float32 and 0 < np.abs(d - want).max() <= off
     np.testing.assert_allclose(metric.far(a, b, p)[0], want, rtol=1e-12)
+
+
+@pytest.mark.parametrize("p", [1, np.inf])
+@pytest.mark.parametrize(("low", "high", "kinds"), [(-63, 63, (np.int16, np.int8)), (-127, -1, (np.int16, np.int8)), (-64, 64, (np.int16, np.int16)), (0, 511, (np.int16, np.int16)), (0, 512, (np.float32, np.int16)), (0, 2**15, (np.float32, np.float32))])
+def test_whole_numbers_are_exact_in_few_bits(p, low, high, kinds):
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(low, high, (70, 64), endpoint=True).astype(float), rng.integers(low, high, (2100, 64), endpoint=True).astype(float)
+    a[0], b[0] = low, high
+    d, off = metric.near(a, b, p)
+    want = np.array([np.linalg.norm(b - x, p, axis=1) for x in a])
+    kind = kinds[0 if p == 1 else 1]
+    assert d.dtype == kind and (off == 0) == (kind != np.float32)
+    assert (d == want).all()
+    for bounds in (np.full(70, np.inf), np.full(70, -5.0), np.sort(want, axis=1)[:, 4], np.sort(want, axis=1)[:, 4] - 1e-9):
+        assert (metric.within(d, bounds) == (want <= bounds[:, None])).all() or kind == np.float32
+    assert metric.near(a + 0.5, b, p)[0].dtype == np.float32
