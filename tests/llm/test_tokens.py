@@ -146,3 +146,27 @@ def test_only_pieces_that_can_end_a_prefix_are_looked_up():
 
     assert trie.counts(words) == [plain(w) for w in words]
     assert len(looked) < 3 * len(trie.best)  # up to the longest piece's length for each node before
+
+
+def test_words_enter_the_trie_level_by_level():
+    class Scores(dict):
+        def get(self, key, default=None):
+            raise AssertionError("a piece was looked up for one node")  # as before, some 2 for each node
+
+    scores, longest, unknown = T.piece_scores(T.default_model())
+    rng = random.Random(9)
+    words = ["▁" + "".join(rng.choice(["the", "ing", "é", "漢", "😀", "\x00", "a", "ti", "on", "1"]) for _ in range(rng.randint(0, 16))) for _ in range(400)]
+    words += ["", "\x00", "a", "a\x00", "a\x00\x00", "b"]
+    assert max(map(len, words)) <= T.DEEP
+    assert T.Trie(Scores(scores), longest, unknown).counts(words) == [best_count(w, scores, longest, unknown) for w in words]
+
+
+def test_words_deeper_than_the_levels():
+    scores, longest, unknown = T.piece_scores(T.default_model())
+    rng = random.Random(10)
+    words = ["▁" * rng.randint(0, 3) + "".join(rng.choice(["the", "ing", "é", "😀", "\x00"]) * 3 for _ in range(n)) for n in range(40)]
+    words += ["x" * n for n in (T.DEEP - 1, T.DEEP, T.DEEP + 1, 2000)] + ["x" * 100 + y for y in "abc"]
+    assert T.Trie(scores, longest, unknown).counts(words) == [best_count(w, scores, longest, unknown) for w in words]
+    pieces = {"ab": -1.0, "a": -0.5, "b": -0.5, "\x00": -2.0}  # equal scores: the longest last piece
+    for n in (1, 40):
+        assert T.Trie(pieces, 2, -9.0).counts(["ab" * n, "\x00" * n, "c" * n]) == [n, n, n]
