@@ -63,6 +63,17 @@ def near(a: np.ndarray, b: np.ndarray, p: float) -> tuple[np.ndarray, float]:
     return by_coordinate(a, b, p, np.float32), 2.0**-23 * most * (4 if math.isinf(p) else dims * (2 + dims))
 
 
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+    """Squared Euclidean distances of all rows of ``a`` from all of ``b``, exact, as one product in single precision; None if that cannot hold them."""
+    most, dims = max(np.abs(x).max(initial=0) for x in (a, b)), a.shape[1]
+    if not 4 * dims * most * most < 2**24 or any((x != np.floor(x)).any() for x in (a, b)):
+        return None
+    left, right = np.ones((len(a), dims + 2), np.float32), np.ones((len(b), dims + 2), np.float32)
+    left[:, :dims], left[:, dims] = -2 * a, (a * a).sum(1)
+    right[:, :dims], right[:, dims + 1] = b, (b * b).sum(1)
+    return left @ right.T
+
+
 def whole(a: np.ndarray, b: np.ndarray, gaps: int) -> type | None:
     """The least type that holds the values and so many gaps together, if all are whole numbers and one of one or two bytes does."""
     ends = [f for x in (a, b) if x.size for f in (x.min(), x.max())]
@@ -322,12 +333,16 @@ def _asks(shape, epsilon: float, first: bool):
 
 def _answers(q: np.ndarray, ks: np.ndarray | None, bounds: np.ndarray, x: np.ndarray, points: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, point and distance of what lies within the bounds; with ``ks``, of the k nearest of each query, ties by id."""
-    d, off = near(q, x, p)
-    close = within(d, bounds + 2 * off)
+    square = squares(q, x) if p == 2 else None
+    d, off = near(q, x, p) if square is None else (square, 0.0)
+    if square is None:
+        close = within(d, bounds + 2 * off)
+    else:  # a little more than the bound's square, as a whole number of their type
+        close = d <= np.floor(np.minimum(bounds * np.abs(bounds) * (1 + ROUNDING), 2.0**24)).astype(np.float32)[:, None]
     if ks is not None and ks.min() < len(x) and np.count_nonzero(close) > 4 * np.minimum(ks, len(x)).sum():
         least = np.partition(d, np.unique(np.minimum(ks, len(x))) - 1, axis=1)
         close &= within(d, least[np.arange(len(q)), np.minimum(ks, len(x)) - 1] + 4 * off)
-    i, j = np.nonzero(close)
+    i, j = np.divmod(np.flatnonzero(close), len(x))
     e = np.concatenate([exact(x[j[n : n + TOGETHER]], q[i[n : n + TOGETHER]], p) for n in range(0, len(i), TOGETHER)] or [np.empty(0)])
     return (i, points[j], e) if ks is None else nearest_of(i, points[j], e, ks, bounds)
 

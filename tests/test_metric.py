@@ -138,3 +138,23 @@ def test_whole_numbers_are_exact_in_few_bits(p, low, high, kinds):
     for bounds in (np.full(70, np.inf), np.full(70, -5.0), np.sort(want, axis=1)[:, 4], np.sort(want, axis=1)[:, 4] - 1e-9):
         assert (metric.within(d, bounds) == (want <= bounds[:, None])).all() or kind == np.float32
     assert metric.near(a + 0.5, b, p)[0].dtype == np.float32
+
+
+def test_squares_of_whole_numbers_are_exact_in_one_product():
+    rng = np.random.default_rng(10)
+    a, b = rng.integers(-58, 52, (70, 64), endpoint=True).astype(float), rng.integers(-58, 52, (900, 64), endpoint=True).astype(float)
+    b[:70] = a  # distances of 0
+    want = ((a[:, None] - b) ** 2).sum(-1)
+    d = metric.squares(a, b)
+    assert d.dtype == np.float32 and (d == want).all()
+    assert metric.squares(a + 0.5, b) is None and metric.squares(a * 5, b) is None and metric.squares(a * np.nan, b) is None
+    kth = np.sqrt(np.sort(want, axis=1)[:, 4])
+    for bounds in (kth, np.full(70, np.inf), np.full(70, -5.0), kth - 1e-3):
+        for ks in (None, np.full(70, 7)):
+            i, j, e = metric._answers(a, ks, bounds, b, np.arange(900), 2)
+            close = np.sqrt(want) <= bounds[:, None]
+            if ks is not None:
+                rank = np.argsort(np.argsort(want, axis=1, kind="stable"), axis=1)
+                close &= rank < 7
+            assert sorted(map(list, zip(i.tolist(), j.tolist(), strict=True))) == np.argwhere(close).tolist()
+            assert (e == np.sqrt(want[i, j])).all()
