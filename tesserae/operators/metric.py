@@ -343,7 +343,10 @@ def _answers(q: np.ndarray, ks: np.ndarray | None, bounds: np.ndarray, x: np.nda
         least = np.partition(d, np.unique(np.minimum(ks, len(x))) - 1, axis=1)
         close &= within(d, least[np.arange(len(q)), np.minimum(ks, len(x)) - 1] + 4 * off)
     i, j = np.divmod(np.flatnonzero(close), len(x))
-    e = np.concatenate([exact(x[j[n : n + TOGETHER]], q[i[n : n + TOGETHER]], p) for n in range(0, len(i), TOGETHER)] or [np.empty(0)])
+    if off:
+        e = np.concatenate([exact(x[j[n : n + TOGETHER]], q[i[n : n + TOGETHER]], p) for n in range(0, len(i), TOGETHER)] or [np.empty(0)])
+    else:  # they are exact as they stand
+        e = d[i, j].astype(float) if square is None else np.sqrt(square[i, j].astype(float))
     return (i, points[j], e) if ks is None else nearest_of(i, points[j], e, ks, bounds)
 
 

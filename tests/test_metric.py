@@ -158,3 +158,14 @@ def test_squares_of_whole_numbers_are_exact_in_one_product():
                 close &= rank < 7
             assert sorted(map(list, zip(i.tolist(), j.tolist(), strict=True))) == np.argwhere(close).tolist()
             assert (e == np.sqrt(want[i, j])).all()
+
+
+@pytest.mark.parametrize("p", [1, 2, np.inf])
+def test_whole_numbers_are_not_measured_twice(p, monkeypatch):
+    rng = np.random.default_rng(11)
+    a, b = rng.integers(-9, 9, (40, 8)).astype(float), rng.integers(-9, 9, (500, 8)).astype(float)
+    want = np.array([metric.exact(b, x, p) for x in a])
+    bound = np.full(40, np.median(want))
+    monkeypatch.setattr(metric, "exact", lambda *_: pytest.fail("each answer was worked out again"))
+    i, j, e = metric._answers(a, None, bound, b, np.arange(500), p)
+    assert (np.stack([i, j], 1) == np.argwhere(want <= bound[:, None])).all() and (e == want[i, j]).all()
