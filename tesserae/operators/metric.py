@@ -117,6 +117,17 @@ def packed(rows: np.ndarray) -> bytes:
     return np.ascontiguousarray(rows).tobytes()
 
 
+def narrowed(rows: np.ndarray) -> bytes:
+    """Rows in one or two bytes a value if they are whole numbers that fit, else as they are."""
+    kind = whole(rows, rows[:0], 1)
+    return packed(rows if kind is None else rows.astype(kind))
+
+
+def widened(data: bytes, values: int) -> np.ndarray:
+    """What ``narrowed`` packed, so many values."""
+    return np.frombuffer(data, {1: np.int8, 2: np.int16, 8: np.float64}[len(data) // values if values else 8]).astype(float)
+
+
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A column of equally long lists of numbers as a matrix of doubles."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
@@ -321,7 +332,7 @@ def _asks(shape, epsilon: float, first: bool):
                         for n in range(0, len(mine), most):
                             at = part[mine[n : n + most]]
                             bits = packed(np.packbits(own[mine[n : n + most]], axis=1))
-                            rows.append((b * s.shares + t, packed(ids[at]), packed(qs[at]), None, packed(ks[at]), packed(bounds[at]), bits))
+                            rows.append((b * s.shares + t, packed(ids[at]), narrowed(qs[at]), None, packed(ks[at]), packed(bounds[at]), bits))
                             size += qs[at].nbytes + len(bits)
                     if size > SENT:
                         yield sent(rows)
@@ -421,7 +432,8 @@ def _meet(shape, nearest: bool):
                 if block is None:
                     block = _Block(s, slot // s.shares, rings, ids, xs)
                     rings, ids, xs = [], [], []
-                asked.append((of(0, np.int64), of(1, np.float64), of(2, np.int64), of(3, np.float64), of(4, np.uint8)))
+                who = of(0, np.int64)
+                asked.append((who, widened(columns[1][r].as_py(), len(who) * s.pivots.shape[1]), of(2, np.int64), of(3, np.float64), of(4, np.uint8)))
                 n += len(asked[-1][0])
                 if n >= ASKED:
                     yield from block.meet(asked, nearest)

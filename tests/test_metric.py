@@ -169,3 +169,16 @@ def test_whole_numbers_are_not_measured_twice(p, monkeypatch):
     monkeypatch.setattr(metric, "exact", lambda *_: pytest.fail("each answer was worked out again"))
     i, j, e = metric._answers(a, None, bound, b, np.arange(500), p)
     assert (np.stack([i, j], 1) == np.argwhere(want <= bound[:, None])).all() and (e == want[i, j]).all()
+
+
+def test_queries_travel_in_few_bytes():
+    rng = np.random.default_rng(12)
+    for low, high, size in ((-58, 52, 1), (-128, 127, 2), (-9000, 9000, 2), (-90_000, 90_000, 8)):
+        rows = rng.integers(low, high, (16, 64), endpoint=True).astype(float)
+        rows[0, :2] = low, high
+        data = metric.narrowed(rows)
+        assert len(data) == 16 * 64 * size  # eight bytes a value before
+        assert (metric.widened(data, 16 * 64) == rows.ravel()).all()
+    odd = np.array([[0.5, np.nan, np.inf, -0.25]])
+    assert np.array_equal(metric.widened(metric.narrowed(odd), 4), odd[0], equal_nan=True)
+    assert len(metric.widened(metric.narrowed(np.empty((3, 0))), 0)) == 0
