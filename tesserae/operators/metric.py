@@ -33,6 +33,10 @@ TILE = 64, 2048
 TOGETHER = 20_000
 #: Share of a distance that rounding may take.
 ROUNDING = 1e-9
+#: With u = wt, no gap t is less than ``STEEP`` / w * (1 - cos u + ``THIRD`` * (1 - cos 3u)); of normal gaps that is nine tenths.
+STEEP, THIRD = 1.28, 0.155
+#: Largest share of the pairs that a bound by waves may leave; with more, all are worked out.
+SIFTED = 1 / 4
 
 
 def far(a: np.ndarray, b: np.ndarray, p: float) -> tuple[np.ndarray, float]:
@@ -74,6 +78,41 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
     return left @ right.T
 
 
+@dataclass
+class Waves:
+    """Lower bounds of sums of gaps (p = 1) by one product in single precision, of four values a coordinate."""
+
+    w: float
+    dims: int
+
+    @classmethod
+    def fitted(cls, a: np.ndarray, b: np.ndarray) -> Waves | None:
+        """With the frequency that bounds gaps of some rows of ``a`` from some of ``b`` best; any is right. None if there are no gaps, or angles would be rounded."""
+        some = [x[:: -(-len(x) // 64) or 1] for x in (a, b)]
+        gaps = np.abs(some[0][:, None] - some[1]).ravel()
+        mean = gaps.mean() if gaps.size else 0.0
+        if not 0 < mean < math.inf:
+            return None
+        gaps = gaps[:: -(-len(gaps) // 2**14)]
+        tried = [cls(float(w), a.shape[1]) for w in np.geomspace(0.5, 2, 13) / mean]
+        return max(tried, key=lambda t: t.least(gaps).sum())
+
+    def least(self, gaps: np.ndarray) -> np.ndarray:
+        return STEEP / self.w * (1 - np.cos(self.w * gaps) + THIRD * (1 - np.cos(3 * self.w * gaps)))
+
+    def of(self, rows: np.ndarray) -> np.ndarray | None:
+        """Values of rows, whose product is ``most`` less the bound; None if angles would be rounded."""
+        if not np.abs(rows).max(initial=0) * self.w < 1e6:
+            return None
+        c, s = np.cos(self.w * rows), np.sin(self.w * rows)
+        return (np.concatenate([c, s, math.sqrt(THIRD) * c * (4 * c * c - 3), math.sqrt(THIRD) * s * (3 - 4 * s * s)], axis=1) * math.sqrt(STEEP / self.w)).astype(np.float32)
+
+    def floor(self, bounds: np.ndarray) -> np.ndarray:
+        """What the product is at least for pairs within the bounds."""
+        most = self.dims * STEEP / self.w * (1 + THIRD)
+        return (most - bounds - most * (4 * self.dims + 16) * 2.0**-23).astype(np.float32)
+
+
 def whole(a: np.ndarray, b: np.ndarray, gaps: int) -> type | None:
     """The least type that holds the values and so many gaps together, if all are whole numbers and one of one or two bytes does."""
     ends = [f for x in (a, b) if x.size for f in (x.min(), x.max())]
@@ -113,6 +152,24 @@ def exact(a: np.ndarray, y: np.ndarray, p: float) -> np.ndarray:
     return (gap**p).sum(axis=1) ** (1 / p)
 
 
+def of_pairs(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sums of the gaps (p = 1) of the rows ``i`` of ``x`` from the rows ``j`` of ``y``; gaps of whole numbers fit their type (see ``whole``)."""
+    out, ones = np.empty(len(i)), np.ones(x.shape[1], np.float32 if x.dtype.kind == "i" else np.float64)
+    for n in range(0, len(i), TOGETHER):
+        gap = x.take(i[n : n + TOGETHER], 0)
+        np.abs(np.subtract(gap, y.take(j[n : n + TOGETHER], 0), out=gap), out=gap)
+        out[n : n + TOGETHER] = gap.astype(np.float32) @ ones if gap.dtype.kind == "i" else gap.sum(1)
+    return out
+
+
+def marked(close: np.ndarray) -> np.ndarray:
+    """Numbers of the true values of a contiguous matrix with few of them, which is looked through eight values at a time."""
+    flat = close.ravel()
+    eights = np.flatnonzero(flat[: len(flat) // 8 * 8].view(np.uint64))
+    at = (8 * eights[:, None] + np.arange(8)).ravel()
+    return np.concatenate([at[flat[at]], len(flat) // 8 * 8 + np.flatnonzero(flat[len(flat) // 8 * 8 :])])
+
+
 def packed(rows: np.ndarray) -> bytes:
     return np.ascontiguousarray(rows).tobytes()
 
@@ -159,10 +216,9 @@ class Shape:
 
     def least(self, d: np.ndarray, off: float) -> np.ndarray:
         """Least distance that a point of each ring can have from each query, of distances ``d`` from the pivots."""
-        cells = np.zeros((len(d), len(self.pivots)))
-        for j in range(len(self.pivots)):
-            x = d[:, j, None]
-            np.maximum(cells, np.maximum(x - self.cell_high[:, j], self.cell_low[:, j] - x), out=cells)
+        cells = np.empty((len(d), len(self.pivots)))
+        for held, row in zip(cells, d, strict=True):
+            np.maximum((row - self.cell_high).max(1), (self.cell_low - row).max(1), out=held)
         own = d[:, self.cell]
         rings = np.maximum(cells[:, self.cell], np.maximum(own - self.high, self.low - own))
         return np.maximum(rings * (1 - ROUNDING) - 2 * off, 0)
@@ -369,6 +425,15 @@ def nearest_of(i: np.ndarray, points: np.ndarray, e: np.ndarray, ks: np.ndarray,
     return i[good], points[good], e[good]
 
 
+def tightened(best: tuple[np.ndarray, np.ndarray, np.ndarray], ks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Bounds no greater than the k-th distance in ``best`` (of ``nearest_of``), where there are k."""
+    ends = np.searchsorted(best[0], np.arange(len(ks)), "right")
+    full = np.flatnonzero((np.diff(ends, prepend=0) >= ks) & (ks > 0))
+    out = bounds.copy()
+    out[full] = np.minimum(out[full], best[2][ends[full] - 1])
+    return out
+
+
 class _Block:
     """The points of one block, ring after ring."""
 
@@ -377,6 +442,35 @@ class _Block:
         self.ids, self.x = np.concatenate(ids), np.concatenate(xs).reshape(sum(map(len, ids)), -1)
         ends = np.cumsum(np.bincount(np.array(rings) - self.low, [len(i) for i in ids], self.high - self.low + 1).astype(np.int64))
         self.starts = np.concatenate([[0], ends])
+        self.waves = self.felt = self.ends = self.rows = None
+
+    def sifts(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Values of the queries and points for a bound by waves (p = 1), queries as rows of the type of ``self.rows``; None if there is no such bound."""
+        if self.felt is None:
+            self.waves = Waves.fitted(q, self.x)
+            self.felt = self.waves and self.waves.of(self.x)
+            if self.felt is None:
+                return None
+            if whole(self.x, self.x[:0], 1) is not None:
+                self.ends = np.array([[self.x.min(), self.x.max()]])
+        felt = self.waves.of(q)
+        if felt is None:
+            return None
+        kind = np.float64 if self.ends is None else whole(q, self.ends, 1) or np.float64
+        if self.rows is None or self.rows.dtype != kind:
+            self.rows = self.x.astype(kind)
+        return felt, q.astype(kind)
+
+    def sifted(self, felt: np.ndarray, q: np.ndarray, mine: np.ndarray, bounds: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """As ``_answers`` of the queries ``mine`` and points from ``low`` to ``high``, pairs worked out only where waves leave them; None if those are many."""
+        close = felt[mine] @ self.felt[low:high].T >= self.waves.floor(bounds)[:, None]
+        if np.count_nonzero(close) > SIFTED * close.size:
+            return None
+        i, j = np.divmod(marked(close), high - low)
+        j += low
+        e = of_pairs(q, self.rows, mine[i], j)
+        good = e <= bounds[i]
+        return i[good], self.ids[j[good]], e[good]
 
     def pieces(self, goes: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
         """Neighbouring rings that are asked, in pieces of ``PACK`` points at most: which queries ask, and from where to where."""
@@ -396,10 +490,13 @@ class _Block:
         rings = self.high - self.low + 1
         goes = np.concatenate([np.unpackbits(r[4].reshape(len(r[0]), -1), axis=1, count=rings) for r in rows]).astype(bool)
         best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        sifts = self.sifts(q) if self.s.p == 1 and np.isfinite(bounds).any() else None
         for mine, low, high in self.pieces(goes):
-            i, points, e = _answers(q[mine], ks[mine] if nearest else None, bounds[mine], self.x[low:high], self.ids[low:high], self.s.p)
+            got = self.sifted(*sifts, mine, bounds[mine], low, high) if sifts is not None else None
+            i, points, e = got or _answers(q[mine], ks[mine] if nearest else None, bounds[mine], self.x[low:high], self.ids[low:high], self.s.p)
             if nearest:
                 best = nearest_of(*map(np.concatenate, zip(best, (mine[i], points, e), strict=True)), ks, bounds)
+                bounds = tightened(best, ks, bounds)
             else:
                 yield found(ids[mine[i]], points, e)
         if nearest:
@@ -483,10 +580,11 @@ class PivotIndex:
 
     def _met(self, queries: DataFrame, epsilon: float, first: bool, nearest: bool) -> DataFrame:
         shares = self.shape.shares
-        asks = queries.select("query_id", "q", "k", "bound").mapInArrow(_asks(self.sent, epsilon, first), SENDING)
+        dealt = queries.select("query_id", "q", "k", "bound").repartition("query_id")  # a file may have all of them
+        asks = dealt.mapInArrow(_asks(self.sent, epsilon, first), SENDING)
         slots = F.explode(F.sequence(F.col("block") * shares, F.col("block") * shares + shares - 1))
         both = self.blocks.select(slots.alias("slot"), "ids", "xs", "ring").unionByName(asks, allowMissingColumns=True)
-        dealt = both.repartition(len(self.shape.spans) * shares, "slot").sortWithinPartitions("slot", F.col("ring").asc_nulls_last())
+        dealt = both.repartitionById(len(self.shape.spans) * shares, F.col("slot").cast("int")).sortWithinPartitions("slot", F.col("ring").asc_nulls_last())
         return dealt.mapInArrow(_meet(self.sent, nearest), "query_id long, point_id long, dist double")
 
     def _asked(self, queries: DataFrame, k: int | str, bound: float | str) -> DataFrame:

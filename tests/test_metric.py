@@ -182,3 +182,78 @@ def test_queries_travel_in_few_bytes():
     odd = np.array([[0.5, np.nan, np.inf, -0.25]])
     assert np.array_equal(metric.widened(metric.narrowed(odd), 4), odd[0], equal_nan=True)
     assert len(metric.widened(metric.narrowed(np.empty((3, 0))), 0)) == 0
+
+
+def test_waves_are_never_above_a_gap():
+    t = np.linspace(0, 3, 300_001)  # farther on the waves, at most 2 * STEEP * (1 + THIRD), are less than the gap
+    assert (metric.Waves(1.0, 1).least(t) <= t).all() and 2 * metric.STEEP * (1 + metric.THIRD) < 3
+    rng = np.random.default_rng(13)
+    for a, b in ((rng.normal(size=(60, 64)) * 9, rng.normal(size=(300, 64)) * 9), (np.round(rng.normal(size=(60, 5)) * 13), np.round(rng.normal(size=(300, 5)) * 40) - 900)):
+        b[:60] = a
+        waves = metric.Waves.fitted(a, b)
+        want = np.abs(a[:, None] - b).sum(2)
+        for e in want.T[:90]:  # each pair of distance e is found by the bound e
+            assert (waves.of(a) @ waves.of(b).T >= waves.floor(e)[:, None])[want <= e[:, None]].all()
+    a, b = np.round(rng.normal(size=(60, 64)) * 13), np.round(rng.normal(size=(300, 64)) * 13)
+    waves = metric.Waves.fitted(a, b)
+    most = waves.floor(np.zeros(60)).max()
+    assert np.mean((most - waves.of(a) @ waves.of(b).T) / np.abs(a[:, None] - b).sum(2)) > 0.85
+    assert metric.Waves.fitted(a, b * np.nan) is None and metric.Waves.fitted(a[:0], b) is None and waves.of(b * 1e9) is None
+
+
+def block_of(points, p, rings=4):
+    shape = metric.Shape(*[None] * 14)
+    shape.p, shape.spans = p, [(0, rings - 1)]
+    ids = np.array_split(np.arange(len(points)) * 7, rings)
+    return metric._Block(shape, 0, list(range(rings)), ids, np.array_split(points, rings))
+
+
+def asked_of(queries, ks, bounds, rings=4):
+    bits = np.packbits(np.ones((len(queries), rings), bool), axis=1)
+    return [(np.arange(len(queries)), queries, ks, bounds, bits.ravel())]
+
+
+@pytest.mark.parametrize("scale", [1, 90, 0.37, 1e7])
+@pytest.mark.parametrize("nearest", [True, False])
+def test_sums_of_gaps_are_worked_out_where_waves_leave_them(scale, nearest, monkeypatch):
+    rng = np.random.default_rng(14)
+    data, queries = np.round(rng.normal(size=(900, 64)) * 13) * scale, np.round(rng.normal(size=(40, 64)) * 13) * scale
+    data[100:140], data[700:740] = data[:40], queries  # ties and copies
+    want = np.abs(queries[:, None] - data).sum(2)
+    kth = np.sort(want, axis=1)[:, 9]
+    measured, near = [], metric.near
+    monkeypatch.setattr(metric, "near", lambda a, b, p: measured.append(len(a) * len(b)) or near(a, b, p))
+    got = [r for b in block_of(data, 1).meet(asked_of(queries, np.full(40, 6), kth), nearest) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert not measured  # every pair was before
+    order = np.argsort(want, axis=1, kind="stable")[:, : 6 if nearest else None]
+    assert sorted(g[:2] for g in got) == sorted((i, int(j) * 7) for i in range(40) for j in order[i] if want[i, j] <= kth[i])
+    np.testing.assert_allclose([e for *_, e in got], [want[i, j // 7] for i, j, _ in got], rtol=1e-12)
+
+
+@pytest.mark.parametrize("p", [1, 2, np.inf])
+def test_bounds_tighten_within_a_block(p, monkeypatch):
+    monkeypatch.setattr(metric, "PACK", 100)
+    rng = np.random.default_rng(15)
+    data, queries = rng.integers(-9, 9, (600, 6)).astype(float), rng.integers(-9, 9, (30, 6)).astype(float)
+    ks = rng.integers(1, 40, 30)
+    ks[0] = 1000
+    seen, answers = [], metric._answers
+    monkeypatch.setattr(metric, "_answers", lambda q, k, bounds, *rest: seen.append(np.isinf(bounds).sum()) or answers(q, k, bounds, *rest))
+    got = [r for b in block_of(data, p).meet(asked_of(queries, ks, np.full(30, np.inf)), True) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    want = plain(data, queries, p)
+    assert seen[0] == 30 and seen[-1] == 1  # all 30 before
+    assert sorted(g[:2] for g in got) == sorted((i, int(j) * 7) for i in range(30) for j in np.argsort(want[i], kind="stable")[: ks[i]])
+
+
+def test_queries_of_one_file_are_dealt_to_tasks_of_their_own(spark):
+    rng = np.random.default_rng(16)
+    data = np.round(rng.normal(size=(6000, 16)) * 20)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], POINTS).coalesce(1)
+    index = metric.PivotIndex(rows, 1)
+    slots = len(index.shape.spans) * index.shape.shares
+    asked = index._asked(rows.selectExpr("point_id AS query_id", "p AS q"), 5, np.inf)
+    met = index._met(asked, 0, False, True)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "hashpartitioning(query_id" in plan  # a file's queries were one task before
+    assert met.rdd.getNumPartitions() == slots > 4
+    assert min(len(part) for part in met.rdd.glom().collect()) > 0  # some tasks had several slots before, and others none
