@@ -224,7 +224,7 @@ class Shape:
         return np.maximum(rings * (1 - ROUNDING) - 2 * off, 0)
 
     def nearest(self, d: np.ndarray, ks: np.ndarray) -> np.ndarray:
-        """Which rings hold k points that are likely near: those of the query's own cell by their distance from it, then of the next."""
+        """Which rings hold k points that are likely near (up to a pack of each cell, for a closer bound): those of the query's own cell by their distance from it, then of the next."""
         chosen = np.zeros((len(d), len(self.cell)), bool)
         ends = np.searchsorted(self.cell, np.arange(len(self.pivots) + 1))
         for i, k in enumerate(ks.tolist()):
@@ -233,7 +233,7 @@ class Shape:
                 mine = np.arange(ends[c], ends[c + 1])
                 mine = mine[np.argsort(np.maximum(d[i, c] - self.high[mine], self.low[mine] - d[i, c]), kind="stable")]
                 upto = np.cumsum(self.count[mine])
-                chosen[i, mine[: int(np.searchsorted(upto, k)) + 1]] = True
+                chosen[i, mine[: int(np.searchsorted(upto, max(k, PACK))) + 1]] = True
                 k -= int(upto[-1]) if len(upto) else 0
                 if k <= 0:
                     break

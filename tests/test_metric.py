@@ -257,3 +257,12 @@ def test_queries_of_one_file_are_dealt_to_tasks_of_their_own(spark):
     assert plan.count("Exchange") == 2 and "hashpartitioning(query_id" in plan  # a file's queries were one task before
     assert met.rdd.getNumPartitions() == slots > 4
     assert min(len(part) for part in met.rdd.glom().collect()) > 0  # some tasks had several slots before, and others none
+
+
+def test_a_first_round_takes_up_to_a_pack_of_the_own_cell(monkeypatch):
+    monkeypatch.setattr(metric, "PACK", 50)
+    shape = metric.Shape(*[None] * 14)
+    shape.pivots, shape.cell, shape.count = np.zeros((2, 3)), np.array([0, 0, 0, 1, 1]), np.array([20, 20, 40, 9, 9])
+    shape.low, shape.high = np.array([0.0, 2, 4, 0, 2]), np.array([2.0, 4, 6, 2, 4])
+    chosen = shape.nearest(np.array([[1.0, 9], [5, 9], [9, 3], [9, 1]]), np.array([1, 50, 5, 30]))
+    assert chosen.tolist() == [[True] * 3 + [False] * 2, [False, True, True, False, False], [False] * 3 + [True] * 2, [False] + [True] * 4]  # one ring for k = 1 before
